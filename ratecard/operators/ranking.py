@@ -97,11 +97,11 @@ def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
             .groupBy(*g, v.alias("_qv")).agg(F.count(F.lit(1)).alias("_qn")))
     cum = group_running_totals(freq, g, ["_qv"], {"_qc": F.col("_qn")}, n_buckets)
     if g:
-        sizes = freq.groupBy(*g).agg(F.sum("_qn").alias("_qN"))
+        sizes = freq.groupBy(*g).agg(F.sum("_qn").alias("_qtot"))
         cum = cum.join(sizes, g)            # one row per group on the right
     else:
-        cum = cum.withColumn("_qN", freq.agg(F.sum("_qn")).scalar())
-    n1 = F.col("_qN") - 1
+        cum = cum.withColumn("_qtot", freq.agg(F.sum("_qn")).scalar())
+    n1 = F.col("_qtot") - 1
     before = F.col("_qc") - F.col("_qn")   # 0-based rank of the first copy of _qv
     # each (group, value) row keeps only the quantile positions it covers
     qarr = F.array(*[F.struct(F.lit(i).alias("q_idx"), F.lit(float(q)).alias("q"))
@@ -119,7 +119,8 @@ def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
                           F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
               .agg(F.max(F.when(has_lo, F.col("_qv"))).alias("_vlo"),
                    F.max(F.when(has_hi, F.col("_qv"))).alias("_vhi")))
-    val = F.when(F.col("_hi") == F.col("_lo"), F.col("_vlo")).otherwise(
+    val = F.when((F.col("_hi") == F.col("_lo")) | (F.col("_vlo") == F.col("_vhi")),
+                 F.col("_vlo")).otherwise(
         (F.col("_hi") - F.col("_pos")) * F.col("_vlo")
         + (F.col("_pos") - F.col("_lo")) * F.col("_vhi"))
     return picked.select(*g, "q_idx", "q", val.cast("double").alias("value"))

@@ -177,3 +177,179 @@ SELECT (SELECT COUNT(*) FROM accounts) AS n_accounts,
        (SELECT CAST(SUM(churned) AS BIGINT) FROM churn) AS churned_accounts,
        (SELECT CAST(SUM(churned) AS DOUBLE) / COUNT(*) FROM churn) AS churn_rate_6m
 FROM quotes"""
+
+
+# ---- segmentation (rule clusters) ------------------------------------------
+
+RULE_CTE = f"""
+rc AS (
+  SELECT *, CAST((CASE WHEN acceptance_rate >= CAST({2 / 3!r} AS DOUBLE) THEN 1 ELSE 0 END) * 2
+               + (CASE WHEN express_share >= CAST(0.4 AS DOUBLE) THEN 1 ELSE 0 END) AS INTEGER)
+           AS cluster
+  FROM rfm
+)"""
+
+_ct = ", ".join(f"COUNT(*) FILTER (WHERE true_segment = '{t}') AS {t}" for t in P.tier_order)
+ORACLE_SQL["tier_crosstab"] = with_(*BASE, RFM_CTE, RULE_CTE) + f"""
+SELECT cluster, {_ct} FROM rc GROUP BY cluster"""
+
+_pct = ", ".join(f"CAST(COUNT(*) FILTER (WHERE true_segment = '{t}') AS DOUBLE) / COUNT(*) AS {t}"
+                 for t in P.tier_order)
+ORACLE_SQL["tier_crosstab_pct"] = with_(*BASE, RFM_CTE, RULE_CTE) + f"""
+SELECT cluster, {_pct} FROM rc GROUP BY cluster"""
+
+ORACLE_SQL["adjusted_rand_index"] = with_(*BASE, RFM_CTE, RULE_CTE) + """,
+cont AS (SELECT cluster, true_segment, COUNT(*) AS n FROM rc GROUP BY cluster, true_segment),
+s AS (
+  SELECT CAST(SUM(n * (n - 1) // 2) AS DOUBLE) AS ij, CAST(SUM(n) AS DOUBLE) AS nn,
+    (SELECT CAST(SUM(m * (m - 1) // 2) AS DOUBLE)
+       FROM (SELECT SUM(n) AS m FROM cont GROUP BY cluster)) AS a,
+    (SELECT CAST(SUM(m * (m - 1) // 2) AS DOUBLE)
+       FROM (SELECT SUM(n) AS m FROM cont GROUP BY true_segment)) AS b
+  FROM cont
+),
+e AS (SELECT ij, nn, a * b / (nn * (nn - 1) / 2) AS expected, (a + b) / 2 AS mx FROM s)
+SELECT CASE WHEN mx = expected THEN 1.0 ELSE (ij - expected) / (mx - expected) END AS ari,
+       CAST(nn AS BIGINT) AS n
+FROM e"""
+
+_prof_cols = ("recency_days", "frequency_per_year", "monetary_per_year", "acceptance_rate",
+              "avg_price_ratio", "express_share", "avg_weight_kg", "avg_distance_km",
+              "tenure_years")
+PROFILE_CTE = f"""
+prof AS (
+  SELECT cluster, {", ".join(f"AVG(CAST({c} AS DOUBLE)) AS {c}" for c in _prof_cols)},
+         COUNT(*) AS n_customers
+  FROM rc GROUP BY cluster
+),
+dom AS (
+  SELECT cluster, true_segment AS dominant_tier FROM (
+    SELECT cluster, true_segment, ROW_NUMBER() OVER (
+      PARTITION BY cluster ORDER BY COUNT(*) DESC, list_position([{_tiers}], true_segment)) AS r
+    FROM rc GROUP BY cluster, true_segment) WHERE r = 1
+),
+ranked AS (
+  SELECT p.*, d.dominant_tier,
+         ROW_NUMBER() OVER (ORDER BY p.monetary_per_year DESC, p.cluster) AS rk,
+         COUNT(*) OVER () AS k
+  FROM prof p JOIN dom d ON p.cluster = d.cluster
+),
+w1 AS (SELECT *, MIN(CASE WHEN rk > 1 AND rk < k THEN acceptance_rate END) OVER () AS wacc
+       FROM ranked),
+w2 AS (SELECT *, MIN(CASE WHEN rk > 1 AND rk < k AND acceptance_rate = wacc THEN rk END)
+                   OVER () AS fw FROM w1),
+named AS (
+  SELECT *, CASE WHEN rk = k THEN 'Low-Engagement / Occasional'
+                 WHEN rk = 1 THEN 'High-Value Core'
+                 WHEN rk = fw THEN 'Price-Sensitive / At-Risk'
+                 ELSE 'Steady Mid-Value' END AS cluster_name
+  FROM w2
+)"""
+
+ORACLE_SQL["cluster_profile_names"] = with_(*BASE, RFM_CTE, RULE_CTE, PROFILE_CTE) + f"""
+SELECT cluster, {", ".join(f"{rnd(c, 6)} AS {c}" for c in _prof_cols)},
+       n_customers, dominant_tier, cluster_name
+FROM named"""
+
+ORACLE_SQL["misfiled_accounts"] = with_(*BASE, RFM_CTE, RULE_CTE, PROFILE_CTE) + """
+SELECT r.true_segment, n.cluster_name, COUNT(*) AS n_accounts
+FROM rc r JOIN named n ON r.cluster = n.cluster
+WHERE r.true_segment <> n.dominant_tier
+GROUP BY r.true_segment, n.cluster_name"""
+
+# ---- ranking metrics on the fixed arithmetic churn score -------------------
+
+SCORED_CTE = f"""
+scored AS (
+  SELECT customer_id, churned,
+         {rnd("CAST(0.9 AS DOUBLE) - CAST(0.6 AS DOUBLE) * acceptance_rate_12m"
+              " + CAST(0.2 AS DOUBLE) * express_share_12m", 3)} AS score
+  FROM churn
+),
+sc AS (SELECT score, SUM(churned) AS pos, SUM(1 - churned) AS neg FROM scored GROUP BY score)"""
+
+ORACLE_SQL["roc_auc"] = with_(*BASE, CHURN_CTE, SCORED_CTE) + """,
+cum AS (SELECT *, SUM(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+                  - neg AS neg_below FROM sc)
+SELECT CAST(SUM(pos * (2 * neg_below + neg)) AS DOUBLE)
+         / (CAST(2.0 AS DOUBLE) * CAST(SUM(pos) AS DOUBLE) * CAST(SUM(neg) AS DOUBLE)) AS roc_auc,
+       CAST(SUM(pos) AS BIGINT) AS n_pos, CAST(SUM(neg) AS BIGINT) AS n_neg
+FROM cum"""
+
+DESC_CTE = """
+dc AS (
+  SELECT score, pos, neg,
+    SUM(pos) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp,
+    SUM(neg) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fp
+  FROM sc
+)"""
+
+ORACLE_SQL["average_precision"] = with_(*BASE, CHURN_CTE, SCORED_CTE, DESC_CTE) + f"""
+SELECT {rnd("SUM(CAST(pos * tp AS DOUBLE) / CAST(tp + fp AS DOUBLE)) / CAST(SUM(pos) AS DOUBLE)", 12)}
+       AS average_precision
+FROM dc"""
+
+_tot = ("(SELECT CAST(SUM(pos) AS DOUBLE) FROM sc)", "(SELECT CAST(SUM(neg) AS DOUBLE) FROM sc)")
+ORACLE_SQL["roc_points"] = with_(*BASE, CHURN_CTE, SCORED_CTE, DESC_CTE) + f"""
+SELECT score AS threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp,
+       CAST(tp AS DOUBLE) / {_tot[0]} AS tpr, CAST(fp AS DOUBLE) / {_tot[1]} AS fpr
+FROM dc"""
+
+ORACLE_SQL["pr_points"] = with_(*BASE, CHURN_CTE, SCORED_CTE, DESC_CTE) + f"""
+SELECT score AS threshold, CAST(tp AS DOUBLE) / CAST(tp + fp AS DOUBLE) AS precision,
+       CAST(tp AS DOUBLE) / {_tot[0]} AS recall
+FROM dc"""
+
+ORACLE_SQL["decile_lift"] = with_(*BASE, CHURN_CTE, SCORED_CTE) + """,
+r AS (SELECT churned, ROW_NUMBER() OVER (ORDER BY score, customer_id) AS rn, COUNT(*) OVER () AS n
+      FROM scored),
+d AS (SELECT CAST(11 - GREATEST(1, CEIL((rn - 1) * 10 / GREATEST(n - 1, 1))) AS INTEGER) AS decile,
+             churned FROM r),
+per AS (SELECT decile, COUNT(*) AS n, CAST(SUM(churned) AS BIGINT) AS churners FROM d GROUP BY decile)
+SELECT decile, n, churners, CAST(churners AS DOUBLE) / n AS churn_rate,
+       CAST(SUM(churners) OVER (ORDER BY decile ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+            AS BIGINT) AS cum_churners,
+       CAST(SUM(churners) OVER (ORDER BY decile ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+            AS DOUBLE) / CAST(SUM(churners) OVER () AS DOUBLE) AS cum_capture_rate
+FROM per"""
+
+SPLIT_CTE = f"""
+split AS (
+  SELECT customer_id, churned,
+    CASE WHEN ROW_NUMBER() OVER (PARTITION BY churned
+                                 ORDER BY md5('{P.salt}' || CAST(customer_id AS VARCHAR)))
+              <= CEIL(COUNT(*) OVER (PARTITION BY churned) * {P.test_fraction!r})
+         THEN 'test' ELSE 'train' END AS split
+  FROM churn
+)"""
+ORACLE_SQL["stratified_split"] = with_(*BASE, CHURN_CTE, SPLIT_CTE) + "\nSELECT * FROM split"
+ORACLE_SQL["stratified_split_counts"] = with_(*BASE, CHURN_CTE, SPLIT_CTE) + """
+SELECT split, churned, COUNT(*) AS n FROM split GROUP BY split, churned"""
+
+ORACLE_SQL["median_imputed"] = with_(*BASE, CHURN_CTE) + f"""
+SELECT customer_id,
+  {rnd("COALESCE(price_ratio_trend, (SELECT quantile_cont(price_ratio_trend, 0.5) FROM churn))", 12)}
+    AS price_ratio_trend_imputed,
+  CASE WHEN price_ratio_trend IS NULL THEN 1 ELSE 0 END AS trend_missing
+FROM churn"""
+
+ORACLE_SQL["class_weights"] = with_(*BASE, CHURN_CTE) + """
+SELECT churned, COUNT(*) AS n,
+  CAST((SELECT COUNT(*) FROM churn) AS DOUBLE)
+    / CAST((SELECT COUNT(DISTINCT churned) FROM churn) * COUNT(*) AS DOUBLE) AS weight
+FROM churn GROUP BY churned"""
+
+_zc = ("tenure_days_at_cutoff", "n_quotes_12m", "n_accepted_12m", "acceptance_rate_12m",
+       "avg_price_ratio_12m", "revenue_12m", "express_share_12m")
+ORACLE_SQL["zscore_features"] = with_(*BASE, CHURN_CTE) + "\nSELECT customer_id, " + ", ".join(
+    f"{rnd(f'(CAST({c} AS DOUBLE) - AVG(CAST({c} AS DOUBLE)) OVER ()) / STDDEV_POP(CAST({c} AS DOUBLE)) OVER ()', 9)} AS z_{c}"
+    for c in _zc) + " FROM churn"
+
+ORACLE_SQL["quote_sequence"] = """
+SELECT ROW_NUMBER() OVER (ORDER BY o.o_custkey, CAST(o.o_orderdate AS DATE), l.l_orderkey,
+         l.l_partkey, l.l_suppkey, l.l_linenumber, l.l_quantity, l.l_extendedprice,
+         l.l_discount, l.l_tax, l.l_returnflag, l.l_linestatus, l.l_shipdate) AS quote_id,
+       o.o_custkey AS customer_id, CAST(o.o_orderdate AS DATE) AS quote_date,
+       l.l_orderkey, l.l_linenumber
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+JOIN customer c ON c.c_custkey = o.o_custkey"""

@@ -91,3 +91,151 @@ def q_rfm_summary(spark, sf_dir):
 def q_overview_kpis(spark, sf_dir):
     t = Tables(spark, sf_dir)
     return fe.overview_kpis(t.accounts(), t.quotes(with_part=False), churn_labels_of(t))
+
+
+# ---- segmentation (rule clusters: SQL-checkable) ---------------------------
+
+from ratecard.operators import segments as sg  # noqa: E402
+
+
+def rule_clusters_of(t: Tables) -> DataFrame:
+    return sg.rule_clusters(rfm_of(t))
+
+
+@query("tier_crosstab")
+def q_tier_crosstab(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return sg.crosstab(rule_clusters_of(t), "cluster", "true_segment", t.p.tier_order)
+
+
+@query("tier_crosstab_pct")
+def q_tier_crosstab_pct(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    ct = sg.crosstab(rule_clusters_of(t), "cluster", "true_segment", t.p.tier_order)
+    return sg.crosstab_row_pct(ct, "cluster", t.p.tier_order)
+
+
+@query("adjusted_rand_index")
+def q_adjusted_rand_index(spark, sf_dir):
+    return sg.adjusted_rand_index(rule_clusters_of(Tables(spark, sf_dir)), "cluster", "true_segment")
+
+
+@query("cluster_profile_names")
+def q_cluster_profile_names(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    prof = sg.cluster_profile(rule_clusters_of(t), t.p.tier_order)
+    return prof.select("cluster", *[R(c, 6).alias(c) for c in sg.PROFILE_COLS],
+                       "n_customers", "dominant_tier", "cluster_name")
+
+
+@query("misfiled_accounts")
+def q_misfiled_accounts(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    feat = rule_clusters_of(t)
+    return sg.misfiled_accounts(feat, sg.cluster_profile(feat, t.p.tier_order))
+
+
+@query("kmeans_segments", rows_only=True)
+def q_kmeans_segments(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return sg.kmeans_segments(rfm_of(t), t.p.tier_order, k=t.p.k, seed=t.p.seed)
+
+
+@query("kmeans_k_sweep", rows_only=True)
+def q_kmeans_k_sweep(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return sg.kmeans_k_sweep(rfm_of(t), t.p.k_range, seed=t.p.seed)
+
+
+@query("kmeans_tier_ari", rows_only=True)
+def q_kmeans_tier_ari(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return sg.adjusted_rand_index(sg.kmeans_segments(rfm_of(t), t.p.tier_order, k=t.p.k),
+                                  "cluster", "true_segment")
+
+
+@query("pca_2d", rows_only=True)
+def q_pca_2d(spark, sf_dir):
+    return sg.pca_2d(rfm_of(Tables(spark, sf_dir)))
+
+
+# ---- churn preparation and ranking metrics (fixed arithmetic score) --------
+
+from ratecard.operators import churn as ch  # noqa: E402
+from ratecard.operators import ranking as rk  # noqa: E402
+
+
+def stub_scored(t: Tables) -> DataFrame:
+    lab = churn_labels_of(t)
+    return lab.select("customer_id", "churned", ch.stub_risk_score(lab).alias("score"))
+
+
+@query("roc_auc")
+def q_roc_auc(spark, sf_dir):
+    return rk.roc_auc(stub_scored(Tables(spark, sf_dir)), "score", "churned")
+
+
+@query("average_precision")
+def q_average_precision(spark, sf_dir):
+    ap = rk.average_precision(stub_scored(Tables(spark, sf_dir)), "score", "churned")
+    return ap.select(R("average_precision", 12).alias("average_precision"))
+
+
+@query("roc_points")
+def q_roc_points(spark, sf_dir):
+    pts = rk.threshold_points(stub_scored(Tables(spark, sf_dir)), "score", "churned")
+    return pts.select("threshold", "tp", "fp", "tpr", "fpr")
+
+
+@query("pr_points")
+def q_pr_points(spark, sf_dir):
+    pts = rk.threshold_points(stub_scored(Tables(spark, sf_dir)), "score", "churned")
+    return pts.select("threshold", "precision", "recall")
+
+
+@query("decile_lift")
+def q_decile_lift(spark, sf_dir):
+    return rk.decile_lift(stub_scored(Tables(spark, sf_dir)), "score", "churned", "customer_id")
+
+
+@query("stratified_split")
+def q_stratified_split(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    s = ch.stratified_split(churn_labels_of(t), "churned", "customer_id", t.p.test_fraction, t.p.salt)
+    return s.select("customer_id", "churned", "split")
+
+
+@query("stratified_split_counts")
+def q_stratified_split_counts(spark, sf_dir):
+    s = q_stratified_split(spark, sf_dir)
+    return s.groupBy("split", "churned").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("median_imputed")
+def q_median_imputed(spark, sf_dir):
+    mf = ch.model_frame(churn_labels_of(Tables(spark, sf_dir)))
+    out = ch.median_impute(mf, "price_ratio_trend")
+    return out.select("customer_id", R("price_ratio_trend_imputed", 12)
+                      .alias("price_ratio_trend_imputed"), "trend_missing")
+
+
+@query("class_weights")
+def q_class_weights(spark, sf_dir):
+    return ch.class_weights(churn_labels_of(Tables(spark, sf_dir)), "churned")
+
+
+@query("zscore_features")
+def q_zscore_features(spark, sf_dir):
+    z = ch.zscores(churn_labels_of(Tables(spark, sf_dir)))
+    return z.select("customer_id", *[R(c, 9).alias(c) for c in z.columns if c != "customer_id"])
+
+
+@query("quote_sequence")
+def q_quote_sequence(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    q = t.quotes(with_part=False, keep_line_columns=True)
+    order = ["customer_id", "quote_date", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+             "weight_kg", "competitor_price", "l_discount", "l_tax", "l_returnflag",
+             "l_linestatus", "l_shipdate"]
+    seq = rk.sequence_id(q, order, "quote_id")
+    return seq.select("quote_id", "customer_id", "quote_date", "l_orderkey", "l_linenumber")
