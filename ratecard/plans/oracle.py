@@ -353,3 +353,301 @@ SELECT ROW_NUMBER() OVER (ORDER BY o.o_custkey, CAST(o.o_orderdate AS DATE), l.l
        l.l_orderkey, l.l_linenumber
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
 JOIN customer c ON c.c_custkey = o.o_custkey"""
+
+
+# ---- pricing ------------------------------------------------------------------
+
+import datetime as _dt  # noqa: E402
+import math as _math  # noqa: E402
+
+from ratecard.functions.stats import erfc_sql, z_quantile  # noqa: E402
+
+QC_CTE = f"""
+qc AS (SELECT q.*, a.contract_type FROM quotes q LEFT JOIN accounts a ON q.customer_id = a.customer_id),
+cut AS (SELECT CAST(MAX(quote_date) - INTERVAL {P.holdout_months} MONTH AS DATE) AS cutoff FROM quotes)"""
+
+ORACLE_SQL["time_split_counts"] = with_(*BASE, QC_CTE) + """
+SELECT CASE WHEN quote_date < (SELECT cutoff FROM cut) THEN 'train' ELSE 'test' END AS split,
+       (SELECT cutoff FROM cut) AS cutoff, COUNT(*) AS n_quotes,
+       CAST(SUM(accepted) AS BIGINT) AS n_accepted,
+       CAST(SUM(accepted) AS DOUBLE) / COUNT(*) AS acceptance_rate
+FROM quotes GROUP BY 1, 2"""
+
+SUPPORT_CTE = f"""
+support AS (SELECT segment, quantile_cont(price_ratio, {P.support_quantile!r}) AS support_upper
+            FROM quotes GROUP BY segment)"""
+
+ORACLE_SQL["price_support_p97"] = with_(*BASE, SUPPORT_CTE) + f"""
+SELECT segment, {rnd('support_upper', 10)} AS support_upper FROM support"""
+
+_mode_sql = lambda c: f"""
+m_{c} AS (SELECT segment, v AS "{c}" FROM (
+  SELECT segment, "{c}" AS v, ROW_NUMBER() OVER (PARTITION BY segment ORDER BY COUNT(*) DESC, "{c}") AS r
+  FROM trows GROUP BY segment, "{c}") WHERE r = 1)"""
+
+TYPICAL_CTE = f"""
+trows AS (
+  SELECT * FROM qc WHERE quote_date >= (SELECT cutoff FROM cut)
+  UNION ALL
+  SELECT * FROM qc WHERE quote_date < (SELECT cutoff FROM cut)
+    AND segment NOT IN (SELECT DISTINCT segment FROM qc WHERE quote_date >= (SELECT cutoff FROM cut))
+),
+med AS (SELECT segment,
+  {rnd('quantile_cont(weight_kg, 0.5)', 6)} AS weight_kg,
+  {rnd('quantile_cont(distance_km, 0.5)', 6)} AS distance_km,
+  {rnd('quantile_cont(competitor_price, 0.5)', 6)} AS competitor_price
+  FROM trows GROUP BY segment),
+{_mode_sql('mode').strip()},
+{_mode_sql('service_level').strip()},
+{_mode_sql('contract_type').strip()},
+typical AS (
+  SELECT med.*, m_mode."mode", m_service_level.service_level, m_contract_type.contract_type
+  FROM med JOIN m_mode ON med.segment = m_mode.segment
+  JOIN m_service_level ON med.segment = m_service_level.segment
+  JOIN m_contract_type ON med.segment = m_contract_type.segment
+)"""
+
+ORACLE_SQL["typical_shipment"] = with_(*BASE, QC_CTE, TYPICAL_CTE) + "\nSELECT * FROM typical"
+
+_z = ("CAST(2.0 AS DOUBLE) - CAST(8.0 AS DOUBLE) * (price_ratio - CAST(1.0 AS DOUBLE))"
+      " + CAST(0.4 AS DOUBLE) * CAST(service_level = 'Express' AS DOUBLE)")
+CURVE_CTE = f"""
+grid AS (
+  SELECT t.*, {rnd('CAST(0.7 AS DOUBLE) + CAST(g.i AS INTEGER) * CAST(0.01 AS DOUBLE)', 2)} AS price_ratio
+  FROM typical t CROSS JOIN range(0, {P.grid_points}) AS g(i)
+),
+curve AS (
+  SELECT grid.segment, price_ratio,
+    {rnd(f'CAST(1.0 AS DOUBLE) / (CAST(1.0 AS DOUBLE) + exp(-({_z})))', 6)} AS pred_accept_prob,
+    price_ratio * competitor_price AS quoted_price, s.support_upper
+  FROM grid JOIN support s ON grid.segment = s.segment
+),
+curves AS (
+  SELECT segment, price_ratio, pred_accept_prob, quoted_price,
+         quoted_price * pred_accept_prob AS expected_revenue,
+         price_ratio <= support_upper AS well_supported
+  FROM curve
+)"""
+
+ORACLE_SQL["demand_curve_stub"] = with_(*BASE, QC_CTE, TYPICAL_CTE, SUPPORT_CTE, CURVE_CTE) + """
+SELECT * FROM curves"""
+
+RECO_CTE = f"""
+best AS (
+  SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY segment
+                             ORDER BY expected_revenue DESC, price_ratio) AS r
+                 FROM curves WHERE well_supported) WHERE r = 1
+),
+edge AS (SELECT segment, MAX(price_ratio) AS edge FROM curves WHERE well_supported GROUP BY segment),
+cur AS (SELECT segment, {dsum('price_ratio')} / COUNT(price_ratio) AS cur FROM quotes GROUP BY segment),
+reco AS (
+  SELECT b.segment, {rnd('c.cur', 3)} AS current_avg_price_ratio,
+    {rnd('b.price_ratio', 3)} AS recommended_price_ratio,
+    {rnd('b.pred_accept_prob', 3)} AS recommended_accept_prob,
+    {rnd('b.expected_revenue', 2)} AS expected_revenue_at_recommendation,
+    abs(b.price_ratio - e.edge) <= CAST(1e-08 AS DOUBLE) + CAST(1e-05 AS DOUBLE) * abs(e.edge)
+      AS optimum_still_rising_at_data_edge
+  FROM best b JOIN edge e ON b.segment = e.segment JOIN cur c ON b.segment = c.segment
+)"""
+
+ORACLE_SQL["price_recommendation_stub"] = with_(
+    *BASE, QC_CTE, TYPICAL_CTE, SUPPORT_CTE, CURVE_CTE, RECO_CTE) + """
+SELECT *, recommended_price_ratio / current_avg_price_ratio - 1 AS implied_price_move FROM reco"""
+
+STUB_TEST_CTE = f"""
+stest AS (
+  SELECT accepted, {rnd(f'CAST(1.0 AS DOUBLE) / (CAST(1.0 AS DOUBLE) + exp(-({_z})))', 6)} AS p
+  FROM quotes WHERE quote_date >= (SELECT cutoff FROM cut)
+)"""
+
+_eps = 2.220446049250313e-16
+ORACLE_SQL["log_loss_brier"] = with_(*BASE, QC_CTE, STUB_TEST_CTE) + f"""
+SELECT {rnd(f'AVG(-(CAST(accepted AS DOUBLE) * ln(LEAST(GREATEST(p, {_eps!r}), {1 - _eps!r}))'
+            f' + (1.0 - CAST(accepted AS DOUBLE)) * ln(1.0 - LEAST(GREATEST(p, {_eps!r}), {1 - _eps!r}))))', 9)}
+         AS log_loss,
+       {rnd('AVG((p - CAST(accepted AS DOUBLE)) * (p - CAST(accepted AS DOUBLE)))', 9)} AS brier,
+       COUNT(*) AS n
+FROM stest"""
+
+ORACLE_SQL["calibration_bins"] = with_(*BASE, QC_CTE, STUB_TEST_CTE) + f"""
+, edges AS (SELECT quantile_cont(p, [{", ".join(repr(i / 10) for i in range(1, 10))}]) AS e FROM stest)
+SELECT CAST(len(list_filter((SELECT e FROM edges), lambda x: x < p)) AS INTEGER) AS bin, COUNT(*) AS n,
+       {rnd('AVG(p)', 9)} AS mean_predicted,
+       {rnd('AVG(CAST(accepted AS DOUBLE))', 9)} AS fraction_positive
+FROM stest GROUP BY 1"""
+
+# ---- experiment ------------------------------------------------------------------
+
+_START = P.as_of - _dt.timedelta(days=P.experiment_days)
+_SQRT2 = repr(_math.sqrt(2.0))
+
+EXP_CTE = f"""
+samp AS (
+  SELECT * FROM (
+    SELECT a.*, ROW_NUMBER() OVER (ORDER BY md5('{P.salt}:sample' || CAST(customer_id AS VARCHAR))) AS rk,
+           COUNT(*) OVER () AS n_all
+    FROM accounts a)
+  WHERE rk <= CEIL(n_all * CAST(0.6 AS DOUBLE))
+),
+asg AS (
+  SELECT customer_id, true_segment, signup_date,
+    CASE WHEN ROW_NUMBER() OVER (PARTITION BY true_segment
+                                 ORDER BY md5('{P.salt}' || CAST(customer_id AS VARCHAR)))
+              <= FLOOR(COUNT(*) OVER (PARTITION BY true_segment) / 2)
+         THEN 'control' ELSE 'treatment' END AS arm
+  FROM samp
+),
+exp AS (
+  SELECT q.customer_id, q.segment, a.arm,
+         CAST(date_diff('day', {D(_START)}, q.quote_date) AS INTEGER) AS day,
+         q.price_ratio, q.quoted_price, q.accepted,
+         CASE WHEN q.accepted = 1 THEN q.quoted_price ELSE 0.0 END AS revenue
+  FROM quotes q JOIN asg a ON q.customer_id = a.customer_id
+  WHERE q.quote_date >= {D(_START)} AND q.quote_date < {D(P.as_of)}
+),
+sas AS (
+  SELECT segment, arm, COUNT(*) AS n, CAST(SUM(accepted) AS BIGINT) AS x,
+         SUM(CAST(revenue AS DECIMAL(18,2))) AS s1,
+         SUM(CAST(revenue AS DECIMAL(18,2)) * CAST(revenue AS DECIMAL(18,2))) AS s2
+  FROM exp GROUP BY segment, arm
+),
+arms AS (SELECT arm, CAST(SUM(n) AS BIGINT) AS n, CAST(SUM(x) AS BIGINT) AS x,
+                SUM(s1) AS s1, SUM(s2) AS s2 FROM sas GROUP BY arm),
+wide AS (
+  SELECT MAX(CASE WHEN arm = 'control' THEN n END) AS n_c, MAX(CASE WHEN arm = 'treatment' THEN n END) AS n_t,
+         MAX(CASE WHEN arm = 'control' THEN x END) AS x_c, MAX(CASE WHEN arm = 'treatment' THEN x END) AS x_t,
+         MAX(CASE WHEN arm = 'control' THEN s1 END) AS s1_c, MAX(CASE WHEN arm = 'treatment' THEN s1 END) AS s1_t,
+         MAX(CASE WHEN arm = 'control' THEN s2 END) AS s2_c, MAX(CASE WHEN arm = 'treatment' THEN s2 END) AS s2_t
+  FROM arms
+),
+swide AS (
+  SELECT segment,
+         MAX(CASE WHEN arm = 'control' THEN n END) AS n_c, MAX(CASE WHEN arm = 'treatment' THEN n END) AS n_t,
+         MAX(CASE WHEN arm = 'control' THEN x END) AS x_c, MAX(CASE WHEN arm = 'treatment' THEN x END) AS x_t,
+         MAX(CASE WHEN arm = 'control' THEN s1 END) AS s1_c, MAX(CASE WHEN arm = 'treatment' THEN s1 END) AS s1_t,
+         MAX(CASE WHEN arm = 'control' THEN s2 END) AS s2_c, MAX(CASE WHEN arm = 'treatment' THEN s2 END) AS s2_t
+  FROM sas GROUP BY segment
+)"""
+
+
+def _z_cols():
+    p1 = "(CAST(x_c AS DOUBLE) / n_c)"
+    p2 = "(CAST(x_t AS DOUBLE) / n_t)"
+    pbar = "(CAST(x_c + x_t AS DOUBLE) / (n_c + n_t))"
+    se = (f"sqrt({pbar} * (1 - {pbar}) * (CAST(1.0 AS DOUBLE) / n_c + CAST(1.0 AS DOUBLE) / n_t))")
+    z = f"(({p2} - {p1}) / {se})"
+    se_diff = f"sqrt({p1} * (1 - {p1}) / n_c + {p2} * (1 - {p2}) / n_t)"
+    pval = erfc_sql(f"abs({z}) / {_SQRT2}")
+    return dict(accept_control=p1, accept_treatment=p2, accept_diff=f"({p2} - {p1})", z=z,
+                accept_pval=rnd(pval, 12),
+                ci_low=f"(({p2} - {p1}) - CAST(1.96 AS DOUBLE) * {se_diff})",
+                ci_high=f"(({p2} - {p1}) + CAST(1.96 AS DOUBLE) * {se_diff})")
+
+
+def _mean_sql(s1, n):
+    return f"(CAST({s1} AS DOUBLE) / {n})"
+
+
+def _var_sql(s1, s2, n):
+    return (f"((CAST({s2} AS DOUBLE) - CAST({s1} AS DOUBLE) * CAST({s1} AS DOUBLE) / {n})"
+            f" / ({n} - 1))")
+
+
+def _welch_cols():
+    mc, mt = _mean_sql("s1_c", "n_c"), _mean_sql("s1_t", "n_t")
+    vc = f"({_var_sql('s1_c', 's2_c', 'n_c')} / n_c)"
+    vt = f"({_var_sql('s1_t', 's2_t', 'n_t')} / n_t)"
+    t = f"(({mt} - {mc}) / sqrt({vt} + {vc}))"
+    dfree = f"(({vt} + {vc}) * ({vt} + {vc}) / ({vt} * {vt} / (n_t - 1) + {vc} * {vc} / (n_c - 1)))"
+    return dict(rev_control=mc, rev_treatment=mt, rev_t=t, rev_df=dfree)
+
+
+_ZC, _WC = _z_cols(), _welch_cols()
+
+ORACLE_SQL["ab_sample"] = with_(*BASE, EXP_CTE) + "\nSELECT customer_id, true_segment FROM samp"
+ORACLE_SQL["ab_assignment"] = with_(*BASE, EXP_CTE) + "\nSELECT customer_id, true_segment, arm FROM asg"
+ORACLE_SQL["ab_balance"] = with_(*BASE, EXP_CTE) + f"""
+SELECT arm, COUNT(*) AS n,
+       AVG(CAST(date_diff('day', signup_date, {D(P.as_of)}) AS DOUBLE)) AS avg_tenure_days
+FROM asg GROUP BY arm"""
+ORACLE_SQL["ab_segment_mix"] = with_(*BASE, EXP_CTE) + f"""
+SELECT arm, {", ".join(f"CAST(COUNT(*) FILTER (WHERE true_segment = '{t}') AS DOUBLE) / COUNT(*) AS {t}"
+                       for t in P.tier_order)}
+FROM asg GROUP BY arm"""
+ORACLE_SQL["ab_experiment_rows"] = with_(*BASE, EXP_CTE) + "\nSELECT * FROM exp"
+ORACLE_SQL["ab_arm_rollup"] = with_(*BASE, EXP_CTE) + """
+SELECT arm, n AS quotes, CAST(x AS DOUBLE) / n AS accept_rate, CAST(s1 AS DOUBLE) / n AS rev_per_quote
+FROM arms"""
+ORACLE_SQL["ab_ztest"] = with_(*BASE, EXP_CTE) + "\nSELECT n_c AS n_control, n_t AS n_treatment, " + \
+    ", ".join(f"{v} AS {k}" for k, v in _ZC.items()) + " FROM wide"
+ORACLE_SQL["ab_welch"] = with_(*BASE, EXP_CTE) + f"""
+SELECT n_c AS n_control, n_t AS n_treatment, {_WC['rev_control']} AS rev_control,
+       {_WC['rev_treatment']} AS rev_treatment, {rnd(_WC['rev_t'], 9)} AS rev_t,
+       {rnd(_WC['rev_df'], 6)} AS rev_df
+FROM wide"""
+ORACLE_SQL["ab_error_bars"] = with_(*BASE, EXP_CTE) + f"""
+SELECT arm, n, CAST(x AS DOUBLE) / n AS accept_rate,
+       {rnd('CAST(1.96 AS DOUBLE) * sqrt((CAST(x AS DOUBLE) / n) * (1 - CAST(x AS DOUBLE) / n) / n)', 12)}
+         AS accept_err,
+       CAST(s1 AS DOUBLE) / n AS rev_per_quote,
+       {rnd(f"CAST(1.96 AS DOUBLE) * sqrt({_var_sql('s1', 's2', 'n')}) / sqrt(n)", 9)} AS rev_err
+FROM arms"""
+
+EFFECTS_CTE = f"""
+effects AS (
+  SELECT segment, n_c AS n_control, n_t AS n_treatment,
+    {_ZC['accept_control']} AS accept_control, {_ZC['accept_treatment']} AS accept_treatment,
+    {_ZC['accept_diff']} AS accept_diff, {_ZC['accept_pval']} AS accept_pval,
+    {_mean_sql('s1_c', 'n_c')} AS rev_control, {_mean_sql('s1_t', 'n_t')} AS rev_treatment,
+    {_mean_sql('s1_t', 'n_t')} / {_mean_sql('s1_c', 'n_c')} - 1 AS rev_diff_pct
+  FROM swide WHERE n_c >= {P.min_arm_rows} AND n_t >= {P.min_arm_rows}
+)"""
+ORACLE_SQL["ab_segment_effects"] = with_(*BASE, EXP_CTE, EFFECTS_CTE) + "\nSELECT * FROM effects"
+ORACLE_SQL["ab_guardrail"] = with_(*BASE, EXP_CTE, EFFECTS_CTE) + f"""
+SELECT segment, accept_diff, accept_diff < CAST({-P.guardrail_drop!r} AS DOUBLE) AS breached FROM effects"""
+
+VOLUME_SQL = ("(SELECT COUNT(*) FROM quotes WHERE quote_date >= "
+              "CAST((SELECT MAX(quote_date) FROM quotes) - INTERVAL 12 MONTH AS DATE))")
+_lift = f"({_mean_sql('s1_t', 'n_t')} - {_mean_sql('s1_c', 'n_c')})"
+ORACLE_SQL["ab_annual_impact"] = with_(*BASE, EXP_CTE) + f"""
+SELECT {_lift} AS rev_lift_per_quote, {VOLUME_SQL} AS annual_quote_volume,
+       {_lift} * {VOLUME_SQL} AS projected_annual_impact
+FROM wide"""
+
+_za, _zb = repr(z_quantile(1 - P.alpha / 2)), repr(z_quantile(P.power))
+_p1 = "baseline_rate"
+_p2 = f"(baseline_rate + CAST({P.baseline_mde!r} AS DOUBLE))"
+_pbar = f"(({_p1} + {_p2}) / 2)"
+_root = (f"(CAST({_za} AS DOUBLE) * sqrt(CAST(2.0 AS DOUBLE) * {_pbar} * (1 - {_pbar}))"
+         f" + CAST({_zb} AS DOUBLE) * sqrt({_p1} * (1 - {_p1}) + {_p2} * (1 - {_p2})))")
+ORACLE_SQL["ab_sample_size"] = with_(*BASE) + f""",
+base AS (SELECT segment, CAST(SUM(accepted) AS DOUBLE) / COUNT(*) AS baseline_rate
+         FROM quotes GROUP BY segment),
+avail AS (SELECT segment, COUNT(*) AS available_quotes FROM quotes
+          WHERE quote_date >= {D(_START)} AND quote_date < {D(P.as_of)} GROUP BY segment)
+SELECT b.segment, baseline_rate,
+       CAST(CEIL({_root} * {_root} / CAST({P.baseline_mde * P.baseline_mde!r} AS DOUBLE)) AS BIGINT)
+         AS n_needed_per_arm,
+       COALESCE(available_quotes, 0) AS available_quotes
+FROM base b LEFT JOIN avail a ON b.segment = a.segment"""
+
+ORACLE_SQL["ab_summary"] = with_(*BASE, EXP_CTE, EFFECTS_CTE) + f"""
+SELECT {_ZC['accept_control']} AS accept_control, {_ZC['accept_treatment']} AS accept_treatment,
+       {_ZC['accept_pval']} AS accept_pval,
+       {_WC['rev_control']} AS rev_control, {_WC['rev_treatment']} AS rev_treatment,
+       {rnd(_WC['rev_t'], 9)} AS rev_t, {rnd(_WC['rev_df'], 6)} AS rev_df,
+       {_mean_sql('s1_t', 'n_t')} / {_mean_sql('s1_c', 'n_c')} - 1 AS rel_revenue_lift,
+       {_lift} * {VOLUME_SQL} AS projected_annual_impact,
+       COALESCE((SELECT MAX(CASE WHEN accept_diff < CAST({-P.guardrail_drop!r} AS DOUBLE) THEN 1 ELSE 0 END)
+                 FROM effects), 0) = 1 AS guardrail_breached
+FROM wide"""
+
+ORACLE_SQL["ab_decision"] = with_(*BASE, QC_CTE, TYPICAL_CTE, SUPPORT_CTE, CURVE_CTE, RECO_CTE,
+                                  EXP_CTE, EFFECTS_CTE) + f"""
+SELECT e.segment, e.accept_diff,
+  CASE WHEN e.accept_diff >= CAST({-P.guardrail_drop!r} AS DOUBLE) THEN 'ship' ELSE 'retest_half_move' END
+    AS decision,
+  {rnd(f"CASE WHEN e.accept_diff >= CAST({-P.guardrail_drop!r} AS DOUBLE) THEN r.recommended_price_ratio "
+       "ELSE r.current_avg_price_ratio + (r.recommended_price_ratio - r.current_avg_price_ratio) / 2 END", 9)}
+    AS next_price_ratio
+FROM effects e JOIN reco r ON e.segment = r.segment"""

@@ -239,3 +239,251 @@ def q_quote_sequence(spark, sf_dir):
              "l_linestatus", "l_shipdate"]
     seq = rk.sequence_id(q, order, "quote_id")
     return seq.select("quote_id", "customer_id", "quote_date", "l_orderkey", "l_linenumber")
+
+
+# ---- pricing ------------------------------------------------------------------
+
+from ratecard.operators import pricing as pr  # noqa: E402
+
+
+def priced_quotes(t: Tables) -> DataFrame:
+    return pr.with_contract(t.quotes(), t.accounts())
+
+
+def typical_of(t: Tables, q: DataFrame) -> DataFrame:
+    split = pr.time_split(q, t.p.holdout_months)
+    typ = pr.typical_shipment(split.where("split = 'test'").drop("split", "cutoff"),
+                              split.where("split = 'train'").drop("split", "cutoff"))
+    # medians of 2-decimal money / 1-decimal sizes: 6 decimals are exact
+    return typ.select("segment", *[R(c, 6).alias(c) for c in pr.TYPICAL_NUM], *pr.TYPICAL_CAT)
+
+
+def stub_curves(t: Tables) -> DataFrame:
+    q = priced_quotes(t)
+    return pr.demand_curve(typical_of(t, q), pr.support_bound(q, t.p.support_quantile),
+                           lambda g: g.withColumn("pred_accept_prob", pr.stub_accept_prob(g)),
+                           t.p.grid_start, t.p.grid_step, t.p.grid_points)
+
+
+def stub_recommendation(t: Tables) -> DataFrame:
+    return pr.recommend_price(stub_curves(t), t.quotes(with_part=False))
+
+
+@query("time_split_counts")
+def q_time_split_counts(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    s = pr.time_split(t.quotes(with_part=False), t.p.holdout_months)
+    return s.groupBy("split", "cutoff").agg(
+        F.count(F.lit(1)).alias("n_quotes"), F.sum("accepted").cast("long").alias("n_accepted"),
+        (F.sum("accepted") / F.count(F.lit(1))).alias("acceptance_rate"))
+
+
+@query("price_support_p97")
+def q_price_support_p97(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    s = pr.support_bound(t.quotes(with_part=False), t.p.support_quantile)
+    return s.select("segment", R("support_upper", 10).alias("support_upper"))
+
+
+@query("typical_shipment")
+def q_typical_shipment(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return typical_of(t, priced_quotes(t))
+
+
+@query("demand_curve_stub")
+def q_demand_curve_stub(spark, sf_dir):
+    c = stub_curves(Tables(spark, sf_dir))
+    return c.select("segment", "price_ratio", "pred_accept_prob", "quoted_price",
+                    "expected_revenue", "well_supported")
+
+
+@query("price_recommendation_stub")
+def q_price_recommendation_stub(spark, sf_dir):
+    return stub_recommendation(Tables(spark, sf_dir))
+
+
+def stub_test_scores(t: Tables) -> DataFrame:
+    s = pr.time_split(t.quotes(with_part=False), t.p.holdout_months).where("split = 'test'")
+    return s.select("accepted", pr.stub_accept_prob(s).alias("p"))
+
+
+@query("log_loss_brier")
+def q_log_loss_brier(spark, sf_dir):
+    m = rk.log_loss_brier(stub_test_scores(Tables(spark, sf_dir)), "p", "accepted")
+    return m.select(R("log_loss", 9).alias("log_loss"), R("brier", 9).alias("brier"), "n")
+
+
+@query("calibration_bins")
+def q_calibration_bins(spark, sf_dir):
+    c = rk.calibration_bins(stub_test_scores(Tables(spark, sf_dir)), "p", "accepted")
+    return c.select("bin", "n", R("mean_predicted", 9).alias("mean_predicted"),
+                    R("fraction_positive", 9).alias("fraction_positive"))
+
+
+def _model_metrics(models: dict, test: DataFrame, label: str) -> DataFrame:
+    """Long table (model, metric, value): one union of one-row frames."""
+    from functools import reduce
+    parts = []
+    for name, m in models.items():
+        sc = ch.positive_probability(m, test, "p").select(label, "p").persist()
+        frames = [rk.roc_auc(sc, "p", label).select(F.lit("roc_auc").alias("metric"),
+                                                     F.col("roc_auc").alias("value")),
+                  rk.average_precision(sc, "p", label).select(
+                      F.lit("average_precision").alias("metric"),
+                      F.col("average_precision").alias("value"))]
+        ll = rk.log_loss_brier(sc, "p", label)
+        frames += [ll.select(F.lit("log_loss").alias("metric"), F.col("log_loss").alias("value")),
+                   ll.select(F.lit("brier").alias("metric"), F.col("brier").alias("value"))]
+        parts += [f.select(F.lit(name).alias("model"), "metric", "value") for f in frames]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query("pricing_model_metrics", rows_only=True)
+def q_pricing_model_metrics(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    s = pr.time_split(priced_quotes(t), t.p.holdout_months).persist()
+    models = pr.fit_response_models(s.where("split = 'train'"), t.p.gbt_iter, t.p.seed)
+    return _model_metrics(models, s.where("split = 'test'"), "accepted")
+
+
+@query("gbt_demand_curve", rows_only=True)
+def q_gbt_demand_curve(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    q = priced_quotes(t)
+    s = pr.time_split(q, t.p.holdout_months)
+    models = pr.fit_response_models(s.where("split = 'train'"), t.p.gbt_iter, t.p.seed)
+    curves = pr.demand_curve(typical_of(t, q), pr.support_bound(q, t.p.support_quantile),
+                             pr.model_scorer(models["Gradient Boosting"]),
+                             t.p.grid_start, t.p.grid_step, t.p.grid_points)
+    return pr.recommend_price(curves, q)
+
+
+# ---- experiment ------------------------------------------------------------------
+
+import datetime as _dt  # noqa: E402
+
+from ratecard.operators import experiment as ex  # noqa: E402
+
+SAMPLE_FRACTION = 0.6
+
+
+def window_of(t: Tables):
+    return t.p.as_of - _dt.timedelta(days=t.p.experiment_days), t.p.as_of
+
+
+def assigned_of(t: Tables) -> DataFrame:
+    return ex.assign_arms(ex.sample_accounts(t.accounts(), SAMPLE_FRACTION, t.p.salt), t.p.salt)
+
+
+def experiment_of(t: Tables) -> DataFrame:
+    start, end = window_of(t)
+    return ex.experiment_rows(t.quotes(start, end, with_part=False), assigned_of(t), start, end)
+
+
+@query("ab_sample")
+def q_ab_sample(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return ex.sample_accounts(t.accounts(), SAMPLE_FRACTION, t.p.salt).select(
+        "customer_id", "true_segment")
+
+
+@query("ab_assignment")
+def q_ab_assignment(spark, sf_dir):
+    return assigned_of(Tables(spark, sf_dir)).select("customer_id", "true_segment", "arm")
+
+
+@query("ab_balance")
+def q_ab_balance(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return ex.balance(assigned_of(t), t.p.as_of)
+
+
+@query("ab_segment_mix")
+def q_ab_segment_mix(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return ex.segment_mix(assigned_of(t), t.p.tier_order)
+
+
+@query("ab_experiment_rows")
+def q_ab_experiment_rows(spark, sf_dir):
+    return experiment_of(Tables(spark, sf_dir))
+
+
+@query("ab_arm_rollup")
+def q_ab_arm_rollup(spark, sf_dir):
+    e = experiment_of(Tables(spark, sf_dir))
+    a = ex.arm_stats(ex.segment_arm_stats(e))
+    return a.select("arm", F.col("n").alias("quotes"), (F.col("x") / F.col("n")).alias("accept_rate"),
+                    (F.col("s1").cast("double") / F.col("n")).alias("rev_per_quote"))
+
+
+@query("ab_ztest")
+def q_ab_ztest(spark, sf_dir):
+    z = ex.ztest(experiment_of(Tables(spark, sf_dir)))
+    return z.select(*[R(c, 12).alias(c) if c == "accept_pval" else F.col(c) for c in z.columns])
+
+
+@query("ab_welch")
+def q_ab_welch(spark, sf_dir):
+    w = ex.welch(experiment_of(Tables(spark, sf_dir)))
+    return w.select("n_control", "n_treatment", "rev_control", "rev_treatment",
+                    R("rev_t", 9).alias("rev_t"), R("rev_df", 6).alias("rev_df"))
+
+
+@query("ab_welch_pvalue", rows_only=True)
+def q_ab_welch_pvalue(spark, sf_dir):
+    return ex.welch_pvalue(experiment_of(Tables(spark, sf_dir)))
+
+
+@query("ab_error_bars")
+def q_ab_error_bars(spark, sf_dir):
+    e = ex.error_bars(experiment_of(Tables(spark, sf_dir)))
+    return e.select("arm", "n", "accept_rate", R("accept_err", 12).alias("accept_err"),
+                    "rev_per_quote", R("rev_err", 9).alias("rev_err"))
+
+
+def effects_of(t: Tables) -> DataFrame:
+    return ex.segment_effects(experiment_of(t), t.p.min_arm_rows)
+
+
+@query("ab_segment_effects")
+def q_ab_segment_effects(spark, sf_dir):
+    e = effects_of(Tables(spark, sf_dir))
+    return e.select(*[R(c, 12).alias(c) if c == "accept_pval" else F.col(c) for c in e.columns])
+
+
+@query("ab_guardrail")
+def q_ab_guardrail(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return ex.guardrail(effects_of(t), t.p.guardrail_drop)
+
+
+@query("ab_annual_impact")
+def q_ab_annual_impact(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return ex.annual_impact(experiment_of(t), t.quotes(with_part=False))
+
+
+@query("ab_sample_size")
+def q_ab_sample_size(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    start, end = window_of(t)
+    return ex.sample_size(t.quotes(with_part=False), t.quotes(start, end, with_part=False),
+                          t.p.baseline_mde, t.p.alpha, t.p.power)
+
+
+@query("ab_summary")
+def q_ab_summary(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    s = ex.summary(experiment_of(t), t.quotes(with_part=False), t.p.guardrail_drop, t.p.min_arm_rows)
+    return s.select(*[R(c, 12).alias(c) if c == "accept_pval"
+                      else R(c, 9).alias(c) if c == "rev_t"
+                      else R(c, 6).alias(c) if c == "rev_df" else F.col(c) for c in s.columns])
+
+
+@query("ab_decision")
+def q_ab_decision(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    d = ex.decisions(effects_of(t), stub_recommendation(t), t.p.guardrail_drop)
+    return d.select("segment", "accept_diff", "decision", R("next_price_ratio", 9).alias("next_price_ratio"))
