@@ -651,3 +651,192 @@ SELECT e.segment, e.accept_diff,
        "ELSE r.current_avg_price_ratio + (r.recommended_price_ratio - r.current_avg_price_ratio) / 2 END", 9)}
     AS next_price_ratio
 FROM effects e JOIN reco r ON e.segment = r.segment"""
+
+
+# ---- forecasting -----------------------------------------------------------------
+
+_H = P.holdout_months
+_ANGLE = f"CAST({2 * _math.pi!r} AS DOUBLE) * CAST(month(month) AS DOUBLE) / CAST(12.0 AS DOUBLE)"
+
+DENSE_CTE = """
+dense AS (
+  SELECT s.segment, m.month, COALESCE(p.revenue, 0.0) AS revenue,
+         CAST(COALESCE(p.shipments, 0) AS BIGINT) AS shipments
+  FROM (SELECT DISTINCT segment FROM panel) s
+  CROSS JOIN (SELECT CAST(unnest(generate_series((SELECT MIN(month) FROM panel),
+                                                 (SELECT MAX(month) FROM panel),
+                                                 INTERVAL 1 MONTH)) AS DATE) AS month) m
+  LEFT JOIN panel p ON p.segment = s.segment AND p.month = m.month
+),
+tidx AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY segment ORDER BY month) - 1 AS INTEGER)
+                   AS time_idx FROM dense),
+cutm AS (SELECT CAST((SELECT MAX(month) FROM dense) - INTERVAL """ + str(_H - 1) + """ MONTH AS DATE)
+                AS cutoff)"""
+
+FORECAST_BASE = (*BASE, MONTHLY_CTE, PANEL_CTE, DENSE_CTE)
+
+
+def with_rec(*ctes: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join(c.strip() for c in ctes)
+
+
+_lagsel = ", ".join(f"LAG(revenue, {k}) OVER (PARTITION BY segment ORDER BY month) AS lag{k}"
+                    for k in range(1, 13))
+ORACLE_SQL["lag_features"] = with_(*FORECAST_BASE) + f""",
+l AS (SELECT *, {_lagsel} FROM tidx)
+SELECT segment, month, time_idx, {rnd(f'sin({_ANGLE})', 12)} AS month_sin,
+       {rnd(f'cos({_ANGLE})', 12)} AS month_cos, lag1, lag2, lag3, lag6, lag12,
+       (lag1 + lag2 + lag3) / CAST(3.0 AS DOUBLE) AS roll3,
+       (lag1 + lag2 + lag3 + lag4 + lag5 + lag6) / CAST(6.0 AS DOUBLE) AS roll6,
+       revenue AS target
+FROM l WHERE time_idx >= 12"""
+
+ORACLE_SQL["seasonal_naive"] = with_(*FORECAST_BASE) + """
+SELECT d.segment, d.month, d.revenue, n.revenue AS naive_forecast
+FROM dense d LEFT JOIN dense n
+  ON n.segment = d.segment AND CAST(n.month + INTERVAL 12 MONTH AS DATE) = d.month
+WHERE d.month >= (SELECT cutoff FROM cutm)"""
+
+
+def _solve3_sql(a11, a12, a13, a22, a23, a33, b1, b2, b3):
+    det = (f"({a11} * ({a22} * {a33} - {a23} * {a23}) - {a12} * ({a12} * {a33} - {a23} * {a13})"
+           f" + {a13} * ({a12} * {a23} - {a22} * {a13}))")
+    d1 = (f"({b1} * ({a22} * {a33} - {a23} * {a23}) - {a12} * ({b2} * {a33} - {a23} * {b3})"
+          f" + {a13} * ({b2} * {a23} - {a22} * {b3}))")
+    d2 = (f"({a11} * ({b2} * {a33} - {a23} * {b3}) - {b1} * ({a12} * {a33} - {a23} * {a13})"
+          f" + {a13} * ({a12} * {b3} - {b2} * {a13}))")
+    d3 = (f"({a11} * ({a22} * {b3} - {b2} * {a23}) - {a12} * ({a12} * {b3} - {b2} * {a13})"
+          f" + {b1} * ({a12} * {a23} - {a22} * {a13}))")
+    return f"{d1} / {det}", f"{d2} / {det}", f"{d3} / {det}"
+
+
+def trend_ctes(train_filter: str, name: str) -> str:
+    bt, bs, bc = _solve3_sql("tt", "ts", "tc", "ss", "sc", "cc", "ty", "sy", "cy")
+    return f"""
+{name}_x AS (SELECT segment, CAST(time_idx AS DOUBLE) AS t, sin({_ANGLE}) AS s, cos({_ANGLE}) AS c,
+                    revenue AS y FROM tidx WHERE {train_filter}),
+{name}_m AS (SELECT segment, AVG(t) AS m_t, AVG(s) AS m_s, AVG(c) AS m_c, AVG(y) AS m_y
+             FROM {name}_x GROUP BY segment),
+{name}_c AS (SELECT x.segment, t - m_t AS t, s - m_s AS s, c - m_c AS c, y - m_y AS y
+             FROM {name}_x x JOIN {name}_m m ON x.segment = m.segment),
+{name}_s AS (SELECT SUM(t * t) AS tt, SUM(t * s) AS ts, SUM(t * c) AS tc, SUM(s * s) AS ss,
+                    SUM(s * c) AS sc, SUM(c * c) AS cc, SUM(t * y) AS ty, SUM(s * y) AS sy,
+                    SUM(c * y) AS cy FROM {name}_c),
+{name}_b AS (SELECT {bt} AS b_t, {bs} AS b_s, {bc} AS b_c FROM {name}_s),
+{name} AS (SELECT m.segment, m_y - b_t * m_t - b_s * m_s - b_c * m_c AS alpha, b_t, b_s, b_c
+           FROM {name}_m m CROSS JOIN {name}_b)"""
+
+
+TREND_BT = trend_ctes("month < (SELECT cutoff FROM cutm)", "coef")
+_ANGLE_R = _ANGLE.replace("month(month)", "month(r.month)")
+_pred = (f"(k.alpha + k.b_t * CAST(r.time_idx AS DOUBLE) + k.b_s * sin({_ANGLE_R})"
+         f" + k.b_c * cos({_ANGLE_R}))")
+
+ORACLE_SQL["trend_forecast"] = with_(*FORECAST_BASE, TREND_BT) + f"""
+SELECT r.segment, r.month, r.time_idx, r.revenue, {rnd(_pred, 4)} AS trend_forecast
+FROM tidx r JOIN coef k ON r.segment = k.segment
+WHERE r.month >= (SELECT cutoff FROM cutm)"""
+
+
+def rec_cte(first_month_sql: str, steps: int, name: str = "rec") -> str:
+    return f"""
+{name}(segment, h, month, pred) AS (
+  SELECT d1.segment, 0, CAST(d1.month + INTERVAL 1 MONTH AS DATE),
+         CAST(0.6 AS DOUBLE) * d1.revenue + CAST(0.4 AS DOUBLE) * d12.revenue
+  FROM dense d1 JOIN dense d12
+    ON d12.segment = d1.segment AND d12.month = CAST(d1.month - INTERVAL 11 MONTH AS DATE)
+  WHERE d1.month = CAST(({first_month_sql}) - INTERVAL 1 MONTH AS DATE)
+  UNION ALL
+  SELECT r.segment, r.h + 1, CAST(r.month + INTERVAL 1 MONTH AS DATE),
+         CAST(0.6 AS DOUBLE) * r.pred + CAST(0.4 AS DOUBLE) * d.revenue
+  FROM {name} r JOIN dense d
+    ON d.segment = r.segment AND d.month = CAST(r.month - INTERVAL 11 MONTH AS DATE)
+  WHERE r.h < {steps - 1}
+)"""
+
+
+REC_BT = rec_cte("SELECT cutoff FROM cutm", _H)
+ORACLE_SQL["recursive_forecast_stub"] = with_rec(*FORECAST_BASE, REC_BT) + f"""
+SELECT segment, month, {rnd('pred', 4)} AS forecast FROM rec"""
+
+BACKTEST_CTE = f"""
+bt AS (
+  SELECT r.segment, r.month, r.revenue, n.revenue AS naive_forecast, {_pred} AS trend_forecast,
+         c.pred AS forecast
+  FROM tidx r JOIN coef k ON r.segment = k.segment
+  LEFT JOIN dense n ON n.segment = r.segment AND CAST(n.month + INTERVAL 12 MONTH AS DATE) = r.month
+  LEFT JOIN rec c ON c.segment = r.segment AND c.month = r.month
+  WHERE r.month >= (SELECT cutoff FROM cutm)
+),
+mets AS (
+  SELECT segment,
+    AVG(abs(revenue - naive_forecast) / GREATEST(abs(revenue), CAST(2.220446049250313e-16 AS DOUBLE))) AS naive_mape,
+    AVG(abs(revenue - trend_forecast) / GREATEST(abs(revenue), CAST(2.220446049250313e-16 AS DOUBLE))) AS trend_seasonal_mape,
+    AVG(abs(revenue - forecast) / GREATEST(abs(revenue), CAST(2.220446049250313e-16 AS DOUBLE))) AS recursive_mape
+  FROM bt WHERE naive_forecast IS NOT NULL AND trend_forecast IS NOT NULL GROUP BY segment
+),
+win AS (SELECT *, CASE WHEN trend_seasonal_mape <= recursive_mape THEN 'trend_seasonal'
+                       ELSE 'recursive' END AS best_method FROM mets),
+blended AS (
+  SELECT bt.*, CASE WHEN w.best_method = 'trend_seasonal' THEN bt.trend_forecast ELSE bt.forecast END
+           AS blended_forecast
+  FROM bt LEFT JOIN win w ON bt.segment = w.segment
+)"""
+
+_BT = with_rec(*FORECAST_BASE, TREND_BT, REC_BT, BACKTEST_CTE)
+
+ORACLE_SQL["backtest_metrics"] = _BT + f"""
+SELECT segment, {rnd('naive_mape', 9)} AS naive_mape,
+       {rnd('trend_seasonal_mape', 9)} AS trend_seasonal_mape,
+       {rnd('recursive_mape', 9)} AS recursive_mape, best_method
+FROM win"""
+
+ORACLE_SQL["forecast_winner"] = _BT + "\nSELECT segment, best_method FROM win"
+
+ORACLE_SQL["backtest_table"] = _BT + f"""
+SELECT segment, month, revenue, {rnd('naive_forecast', 4)} AS naive_forecast,
+       {rnd('trend_forecast', 4)} AS trend_forecast, {rnd('forecast', 4)} AS forecast,
+       {rnd('blended_forecast', 4)} AS blended_forecast
+FROM blended"""
+
+ORACLE_SQL["backtest_macro"] = _BT + f"""
+SELECT {rnd('AVG(naive_mape)', 9)} AS naive, {rnd('AVG(trend_seasonal_mape)', 9)} AS trend_seasonal,
+       {rnd('AVG(recursive_mape)', 9)} AS recursive,
+       {rnd('AVG(LEAST(trend_seasonal_mape, recursive_mape))', 9)} AS blended
+FROM win"""
+
+ORACLE_SQL["bottom_up_total"] = _BT + f"""
+SELECT month, {rnd('SUM(revenue)', 4)} AS actual, {rnd('SUM(blended_forecast)', 4)} AS blended_forecast
+FROM blended GROUP BY month"""
+
+TREND_FULL = trend_ctes("TRUE", "fcoef")
+REC_FWD = rec_cte("SELECT CAST(MAX(month) + INTERVAL 1 MONTH AS DATE) FROM dense",
+                  P.forecast_horizon, "frec")
+FORWARD_CTE = f"""
+fut AS (
+  SELECT l.segment, CAST(l.m + to_months(CAST(g.k AS INTEGER)) AS DATE) AS month,
+         CAST(l.i + g.k AS INTEGER) AS time_idx
+  FROM (SELECT segment, MAX(month) AS m, MAX(time_idx) AS i FROM tidx GROUP BY segment) l
+  CROSS JOIN range(1, {P.forecast_horizon + 1}) AS g(k)
+),
+ftrend AS (
+  SELECT r.segment, r.month, {_pred} AS trend_forecast
+  FROM fut r JOIN fcoef k ON r.segment = k.segment
+),
+fwd AS (
+  SELECT f.segment, f.month, f.pred AS forecast, t.trend_forecast,
+         CASE WHEN w.best_method = 'trend_seasonal' THEN t.trend_forecast ELSE f.pred END
+           AS blended_forecast
+  FROM frec f JOIN ftrend t ON f.segment = t.segment AND f.month = t.month
+  LEFT JOIN win w ON f.segment = w.segment
+)"""
+_FWD = with_rec(*FORECAST_BASE, TREND_BT, REC_BT, BACKTEST_CTE, TREND_FULL, REC_FWD, FORWARD_CTE)
+
+ORACLE_SQL["forward_trend"] = _FWD + f"""
+SELECT segment, month, {rnd('forecast', 4)} AS forecast, {rnd('trend_forecast', 4)} AS trend_forecast,
+       {rnd('blended_forecast', 4)} AS blended_forecast
+FROM fwd"""
+
+ORACLE_SQL["forward_pivot"] = _FWD + "\nSELECT month, " + ", ".join(
+    f"{rnd(f'MAX(CASE WHEN segment = {chr(39)}{t}{chr(39)} THEN blended_forecast END)', 4)} AS {t}"
+    for t in P.tier_order) + " FROM fwd GROUP BY month"

@@ -487,3 +487,155 @@ def q_ab_decision(spark, sf_dir):
     t = Tables(spark, sf_dir)
     d = ex.decisions(effects_of(t), stub_recommendation(t), t.p.guardrail_drop)
     return d.select("segment", "accept_diff", "decision", R("next_price_ratio", 9).alias("next_price_ratio"))
+
+
+# ---- forecasting -----------------------------------------------------------------
+
+from ratecard.operators import forecast as fc  # noqa: E402
+
+
+def dense_of(t: Tables) -> DataFrame:
+    panel = fe.drop_open_month(fe.monthly_revenue(t.quotes(with_part=False), t.p.panel_start),
+                               t.p.as_of)
+    return fc.dense_panel(panel)
+
+
+def backtest_of(t: Tables) -> DataFrame:
+    """Holdout rows with actual, seasonal-naive, trend and recursive-stub
+    forecasts."""
+    dense = dense_of(t).checkpoint()    # small panel reused by every branch
+    cut = fc.holdout_start(dense, t.p.holdout_months)
+    tidx = fc.with_time_index(dense)
+    coefs = fc.fit_trend(tidx.where(F.col("month") < cut))
+    test = tidx.where(F.col("month") >= cut)
+    trend = fc.predict_trend(test, coefs).select("segment", "month", "revenue", "trend_forecast")
+    rec = fc.recursive_forecast(dense, cut, t.p.holdout_months, fc.stub_recursive_model)
+    bt = fc.seasonal_naive(dense, trend).join(rec, ["segment", "month"], "left")
+    return bt.select("segment", "month", "revenue", "naive_forecast", "trend_forecast", "forecast")
+
+
+def _r4(df: DataFrame, cols) -> DataFrame:
+    return df.select(*[R(c, 4).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+_FC = ("trend_forecast", "forecast", "blended_forecast", "naive_forecast")
+
+
+@query("lag_features")
+def q_lag_features(spark, sf_dir):
+    f = fc.lag_features(dense_of(Tables(spark, sf_dir)))
+    return f.select(*[R(c, 12).alias(c) if c in ("month_sin", "month_cos") else F.col(c)
+                      for c in f.columns])
+
+
+@query("seasonal_naive")
+def q_seasonal_naive(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    dense = dense_of(t).checkpoint()
+    test = dense.where(F.col("month") >= fc.holdout_start(dense, t.p.holdout_months))
+    return fc.seasonal_naive(dense, test.select("segment", "month", "revenue"))
+
+
+@query("trend_forecast")
+def q_trend_forecast(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    dense = dense_of(t).checkpoint()    # small panel reused by every branch
+    cut = fc.holdout_start(dense, t.p.holdout_months)
+    tidx = fc.with_time_index(dense)
+    coefs = fc.fit_trend(tidx.where(F.col("month") < cut))
+    out = fc.predict_trend(tidx.where(F.col("month") >= cut), coefs)
+    return _r4(out.select("segment", "month", "time_idx", "revenue", "trend_forecast"), _FC)
+
+
+@query("recursive_forecast_stub")
+def q_recursive_forecast_stub(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    dense = dense_of(t).checkpoint()
+    out = fc.recursive_forecast(dense, fc.holdout_start(dense, t.p.holdout_months),
+                                t.p.holdout_months, fc.stub_recursive_model)
+    return _r4(out, _FC)
+
+
+def metrics_of(bt: DataFrame) -> DataFrame:
+    return fc.backtest_metrics(bt)
+
+
+@query("backtest_metrics")
+def q_backtest_metrics(spark, sf_dir):
+    m = metrics_of(backtest_of(Tables(spark, sf_dir)))
+    return m.select("segment", *[R(c, 9).alias(c) for c in
+                                 ("naive_mape", "trend_seasonal_mape", "recursive_mape")],
+                    "best_method")
+
+
+@query("forecast_winner")
+def q_forecast_winner(spark, sf_dir):
+    return metrics_of(backtest_of(Tables(spark, sf_dir))).select("segment", "best_method")
+
+
+@query("backtest_table")
+def q_backtest_table(spark, sf_dir):
+    bt = backtest_of(Tables(spark, sf_dir))
+    return _r4(fc.blend(bt, metrics_of(bt)), _FC)
+
+
+@query("backtest_macro")
+def q_backtest_macro(spark, sf_dir):
+    m = metrics_of(backtest_of(Tables(spark, sf_dir)))
+    return m.agg(R(F.avg("naive_mape"), 9).alias("naive"),
+                 R(F.avg("trend_seasonal_mape"), 9).alias("trend_seasonal"),
+                 R(F.avg("recursive_mape"), 9).alias("recursive"),
+                 R(F.avg(F.least("trend_seasonal_mape", "recursive_mape")), 9).alias("blended"))
+
+
+@query("bottom_up_total")
+def q_bottom_up_total(spark, sf_dir):
+    bt = backtest_of(Tables(spark, sf_dir))
+    b = fc.blend(bt, metrics_of(bt))
+    return b.groupBy("month").agg(R(F.sum("revenue"), 4).alias("actual"),
+                                  R(F.sum("blended_forecast"), 4).alias("blended_forecast"))
+
+
+def forward_of(t: Tables) -> DataFrame:
+    """Refit on the full history, roll ``forecast_horizon`` months forward
+    with both methods and keep each segment's backtest winner."""
+    dense = dense_of(t).checkpoint()
+    tidx = fc.with_time_index(dense)
+    coefs = fc.fit_trend(tidx)
+    last = tidx.groupBy("segment").agg(F.max("month").alias("_m"), F.max("time_idx").alias("_i"))
+    fut = (last.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(t.p.forecast_horizon))))
+           .select("segment", F.add_months("_m", F.col("_k")).alias("month"),
+                   (F.col("_i") + F.col("_k")).alias("time_idx")))
+    trend = fc.predict_trend(fut, coefs)
+    rec = fc.recursive_forecast(dense, None, t.p.forecast_horizon, fc.stub_recursive_model)
+    fwd = rec.join(trend.select("segment", "month", "trend_forecast"), ["segment", "month"])
+    winners = metrics_of(backtest_of(t)).select("segment", "best_method")
+    return (fwd.join(winners, "segment", "left")
+            .withColumn("blended_forecast",
+                        F.when(F.col("best_method") == "trend_seasonal", F.col("trend_forecast"))
+                        .otherwise(F.col("forecast")))
+            .select("segment", "month", "forecast", "trend_forecast", "blended_forecast"))
+
+
+@query("forward_trend")
+def q_forward_trend(spark, sf_dir):
+    return _r4(forward_of(Tables(spark, sf_dir)), _FC)
+
+
+@query("forward_pivot")
+def q_forward_pivot(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    f = forward_of(t)
+    wide = f.groupBy("month").pivot("segment", list(t.p.tier_order)).agg(F.first("blended_forecast"))
+    return wide.select("month", *[R(F.col(f"`{s}`"), 4).alias(s) for s in t.p.tier_order])
+
+
+@query("gbt_recursive_forecast", rows_only=True)
+def q_gbt_recursive_forecast(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    dense = dense_of(t).checkpoint()
+    cut = fc.holdout_start(dense, t.p.holdout_months)
+    feats = fc.lag_features(dense)
+    model = fc.gbt_model(feats.where(F.col("month") < cut), t.p.gbt_iter, t.p.seed)
+    out = fc.recursive_forecast(dense, cut, t.p.holdout_months, model)
+    return out.join(dense.select("segment", "month", "revenue"), ["segment", "month"], "left")
