@@ -4,7 +4,8 @@
 helpers here compute running totals in a global order the distributed way:
 
 1. range-partition on the full ordering (Spark samples the keys, so a hot
-   value of the first key is split by the following keys);
+   value of the first key is split by the following keys) and freeze the
+   bucket ids with a reliable checkpoint;
 2. running totals inside each range with a window partitioned by range id;
 3. per-range totals -> at most ``n_buckets`` rows -> prefix offsets, which
    are broadcast (size bounded by the bucket count) and added back.
@@ -20,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratecard.session import default_parallelism
+from ratecard.session import default_parallelism, ensure_checkpoint_dir
 
 _B = "_rt_bucket"
 
@@ -36,7 +37,14 @@ def running_totals(df: DataFrame, order_by: Sequence, values: dict,
     spark = df.sparkSession
     nb = n_buckets or default_parallelism(spark)
     order = [_col(c) for c in order_by]
-    ranged = df.repartitionByRange(nb, *order).withColumn(_B, F.spark_partition_id())
+    # The range bounds come from sampling, and sampling sees rows in an
+    # order a shuffle does not fix; two executions of the exchange (one per
+    # consumer below, or a retry) could therefore disagree on bucket ids.
+    # A reliable checkpoint freezes one assignment for both consumers and
+    # survives executor loss.
+    ensure_checkpoint_dir(spark)
+    ranged = (df.repartitionByRange(nb, *order).withColumn(_B, F.spark_partition_id())
+              .checkpoint())
     w = (Window.partitionBy(_B).orderBy(*order)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = ranged.select("*", *[F.sum(_col(v)).over(w).alias(f"_rt_l_{k}")
@@ -237,3 +245,21 @@ def calibration_bins(df: DataFrame, prob_col: str, label_col: str, n_bins: int =
         F.count(F.lit(1)).alias("n"),
         F.avg(prob_col).alias("mean_predicted"),
         F.avg(F.col(label_col).cast("double")).alias("fraction_positive"))
+
+
+def roc_auc_by(df: DataFrame, group_cols: Sequence[str], score_col: str, label_col: str,
+               n_buckets: int | None = None) -> DataFrame:
+    """Exact ROC-AUC per group (e.g. per permuted feature and repeat)."""
+    g = list(group_cols)
+    y = F.col(label_col).cast("long")
+    sc = df.groupBy(*g, F.col(score_col).alias("score")).agg(
+        F.sum(y).alias("pos"), F.sum(F.lit(1) - y).alias("neg"))
+    c = group_running_totals(sc, g, ["score"], {"cum_neg": F.col("neg")}, n_buckets)
+    neg_below = F.col("cum_neg") - F.col("neg")
+    d38 = "decimal(38,0)"
+    agg = c.groupBy(*g).agg(
+        F.sum((F.col("pos") * (neg_below * 2 + F.col("neg"))).cast(d38)).alias("_num2"),
+        F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    return agg.select(*g, (F.col("_num2").cast("double")
+                           / (F.lit(2.0) * F.col("_p").cast("double") * F.col("_n").cast("double")))
+                      .alias("roc_auc"))

@@ -639,3 +639,56 @@ def q_gbt_recursive_forecast(spark, sf_dir):
     model = fc.gbt_model(feats.where(F.col("month") < cut), t.p.gbt_iter, t.p.seed)
     out = fc.recursive_forecast(dense, cut, t.p.holdout_months, model)
     return out.join(dense.select("segment", "month", "revenue"), ["segment", "month"], "left")
+
+
+# ---- churn models (fitted: rows-only) ----------------------------------------
+
+def churn_fit_of(t: Tables):
+    mf = ch.churn_model_frame(churn_labels_of(t), t.p.salt, t.p.test_fraction).checkpoint()
+    models = ch.fit_churn_models(mf.where("split = 'train'"), t.p.gbt_iter, t.p.seed)
+    return mf, models
+
+
+@query("churn_model_metrics", rows_only=True)
+def q_churn_model_metrics(spark, sf_dir):
+    mf, models = churn_fit_of(Tables(spark, sf_dir))
+    return _model_metrics(models, mf.where("split = 'test'"), "churned")
+
+
+@query("churn_risk_scores", rows_only=True)
+def q_churn_risk_scores(spark, sf_dir):
+    mf, models = churn_fit_of(Tables(spark, sf_dir))
+    scored = ch.positive_probability(models["Gradient Boosting"], mf, "risk_score")
+    return scored.select("customer_id", "segment", "churned", "risk_score",
+                         (F.col("split") == "train").alias("in_train"))
+
+
+@query("churn_decile_lift_model", rows_only=True)
+def q_churn_decile_lift_model(spark, sf_dir):
+    mf, models = churn_fit_of(Tables(spark, sf_dir))
+    test = ch.positive_probability(models["Gradient Boosting"], mf.where("split = 'test'"), "score")
+    return rk.decile_lift(test, "score", "churned", "customer_id")
+
+
+def _importance(t: Tables, n_repeats: int = 8) -> DataFrame:
+    mf, models = churn_fit_of(t)
+    test = mf.where("split = 'test'").select("customer_id", "churned", *ch.NUM_FEATURES,
+                                             *ch.CAT_FEATURES)
+    return ch.permutation_importance(ch.scorer(models["Gradient Boosting"]), test,
+                                     [*ch.NUM_FEATURES, *ch.CAT_FEATURES], "churned",
+                                     "customer_id", n_repeats, t.p.seed)
+
+
+@query("permutation_importance", rows_only=True)
+def q_permutation_importance(spark, sf_dir):
+    return _importance(Tables(spark, sf_dir))
+
+
+@query("partial_dependence", rows_only=True)
+def q_partial_dependence(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    imp = _importance(t).where(F.col("feature").isin(*ch.NUM_FEATURES)).checkpoint()
+    top = imp.orderBy(F.col("importance_mean").desc(), "feature").first()["feature"]  # M25: top-1
+    mf, models = churn_fit_of(t)
+    test = mf.where("split = 'test'")
+    return ch.partial_dependence(ch.scorer(models["Gradient Boosting"]), test, top)
