@@ -157,7 +157,7 @@ def segment_effects(exp: DataFrame, min_rows: int = 5) -> DataFrame:
     return w.select("segment", F.col("n_c").alias("n_control"), F.col("n_t").alias("n_treatment"),
                     zc[0], zc[1], zc[2], zc[4],
                     mc.alias("rev_control"), mt.alias("rev_treatment"),
-                    (mt / mc - 1).alias("rev_diff_pct"))
+                    (mt / F.nullif(mc, F.lit(0.0)) - 1).alias("rev_diff_pct"))
 
 
 def guardrail(effects: DataFrame, drop: float = 0.03) -> DataFrame:
@@ -209,7 +209,7 @@ def summary(exp: DataFrame, quotes: DataFrame, drop: float, min_rows: int) -> Da
     vol = annual_volume(quotes)
     mc, mt = _mean("s1_c", "n_c"), _mean("s1_t", "n_t")
     return w.select(zc["ac"], zc["at"], zc["pv"], wc[0], wc[1], wc[2], wc[3],
-                    (mt / mc - 1).alias("rel_revenue_lift"),
+                    (mt / F.nullif(mc, F.lit(0.0)) - 1).alias("rel_revenue_lift"),
                     ((mt - mc) * vol).alias("projected_annual_impact"),
                     (F.coalesce(breached, F.lit(0)) == 1).alias("guardrail_breached"))
 

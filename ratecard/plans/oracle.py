@@ -599,7 +599,7 @@ effects AS (
     {_ZC['accept_control']} AS accept_control, {_ZC['accept_treatment']} AS accept_treatment,
     {_ZC['accept_diff']} AS accept_diff, {_ZC['accept_pval']} AS accept_pval,
     {_mean_sql('s1_c', 'n_c')} AS rev_control, {_mean_sql('s1_t', 'n_t')} AS rev_treatment,
-    {_mean_sql('s1_t', 'n_t')} / {_mean_sql('s1_c', 'n_c')} - 1 AS rev_diff_pct
+    {_mean_sql('s1_t', 'n_t')} / NULLIF({_mean_sql('s1_c', 'n_c')}, 0) - 1 AS rev_diff_pct
   FROM swide WHERE n_c >= {P.min_arm_rows} AND n_t >= {P.min_arm_rows}
 )"""
 ORACLE_SQL["ab_segment_effects"] = with_(*BASE, EXP_CTE, EFFECTS_CTE) + "\nSELECT * FROM effects"
@@ -636,7 +636,7 @@ SELECT {_ZC['accept_control']} AS accept_control, {_ZC['accept_treatment']} AS a
        {_ZC['accept_pval']} AS accept_pval,
        {_WC['rev_control']} AS rev_control, {_WC['rev_treatment']} AS rev_treatment,
        {rnd(_WC['rev_t'], 9)} AS rev_t, {rnd(_WC['rev_df'], 6)} AS rev_df,
-       {_mean_sql('s1_t', 'n_t')} / {_mean_sql('s1_c', 'n_c')} - 1 AS rel_revenue_lift,
+       {_mean_sql('s1_t', 'n_t')} / NULLIF({_mean_sql('s1_c', 'n_c')}, 0) - 1 AS rel_revenue_lift,
        {_lift} * {VOLUME_SQL} AS projected_annual_impact,
        COALESCE((SELECT MAX(CASE WHEN accept_diff < CAST({-P.guardrail_drop!r} AS DOUBLE) THEN 1 ELSE 0 END)
                  FROM effects), 0) = 1 AS guardrail_breached
