@@ -88,7 +88,7 @@ def fit_trend(train: DataFrame) -> DataFrame:
                      F.col("revenue").alias("y"))
     x = x.withColumnRenamed("month_sin", "s").withColumnRenamed("month_cos", "c")
     means = x.groupBy("segment").agg(*[F.avg(c).alias(f"m_{c}") for c in ("t", "s", "c", "y")])
-    means = means.checkpoint()   # one row per segment, reused twice below
+    means = means.persist()   # one row per segment, reused twice below
     cen = x.join(means, "segment").select(
         "segment", *[(F.col(c) - F.col(f"m_{c}")).alias(c) for c in ("t", "s", "c", "y")])
     pairs = [("t", "t"), ("t", "s"), ("t", "c"), ("s", "s"), ("s", "c"), ("c", "c"),
@@ -114,50 +114,52 @@ def predict_trend(rows: DataFrame, coefs: DataFrame, out: str = "trend_forecast"
 
 # ---- recursive multi-step forecasting ---------------------------------------------
 
-def next_step_features(hist: DataFrame) -> DataFrame:
-    """Feature row of the month after each segment's newest row in
-    ``hist`` (segment, month, value, time_idx): the newest 12 values give
-    the lags."""
-    w = Window.partitionBy("segment").orderBy(F.col("month").desc())
-    last = hist.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= 12)
-    lag = {k: F.max(F.when(F.col("_rn") == k, F.col("value"))) for k in range(1, 13)}
-    f = last.groupBy("segment").agg(
-        F.add_months(F.max("month"), 1).alias("month"),
-        (F.max("time_idx") + 1).alias("time_idx"),
-        *[lag[k].alias(f"lag{k}") for k in range(1, 13)])
-    roll3 = (F.col("lag1") + F.col("lag2") + F.col("lag3")) / F.lit(3.0)
-    roll6 = (F.col("lag1") + F.col("lag2") + F.col("lag3") + F.col("lag4") + F.col("lag5")
-             + F.col("lag6")) / F.lit(6.0)
-    return f.select("segment", "month", "time_idx", *_cyc(),
-                    *[F.col(f"lag{k}") for k in LAGS], roll3.alias("roll3"), roll6.alias("roll6"))
+def _next_month_columns(w) -> list:
+    """For every history row: the feature row of the month after it, were
+    it the newest (lags are the row's value and its 11 predecessors)."""
+    v = F.col("value")
+    lag = {1: v, **{k: F.lag("value", k - 1).over(w) for k in range(2, 13)}}
+    return [F.add_months("month", 1).alias("month"), (F.col("time_idx") + 1).alias("time_idx"),
+            *[lag[k].alias(f"lag{k}") for k in range(1, 13)]]
 
 
 def recursive_forecast(dense: DataFrame, start: F.Column | None, steps: int,
                        predict: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Walk forward ``steps`` months from ``start`` (None = after the newest
-    month): each prediction becomes history for the next step.
-
-    The driver loops over horizon steps only (never over series); every
-    step's history is checkpointed to the reliable checkpoint folder, so the
-    plan stays flat and a lost executor recomputes one step at most.
+    month); each prediction becomes history for the next step.
+
+    One step is one window pass over the (calendar-bounded) panel: every
+    row computes next-month features, the model scores them, and the
+    newest row of each segment emits itself plus the predicted month
+    (``explode``). History is referenced once per step, so the plan grows
+    linearly with the horizon and the whole walk runs as a single job; the
+    driver loops over steps only, never over series.
     """
     hist = with_time_index(dense)
     if start is not None:
         hist = hist.where(F.col("month") < start)
-    hist = hist.select("segment", "month", F.col("revenue").alias("value"), "time_idx")
-    outs = []
+    hist = hist.select("segment", "month", F.col("revenue").alias("value"), "time_idx",
+                       F.lit(False).alias("_pred"))
+    w = Window.partitionBy("segment").orderBy("month")
+    newest = Window.partitionBy("segment").orderBy(F.col("month").desc())
+    keep = ["segment", "month", "value", "time_idx", "_pred"]
     for _ in range(steps):
-        feats = next_step_features(hist)
-        pred = predict(feats).select("segment", "month", "time_idx",
-                                     F.col("prediction").cast("double").alias("forecast"))
-        pred = pred.checkpoint()
-        outs.append(pred.select("segment", "month", "forecast"))
-        hist = hist.unionByName(pred.select("segment", "month", F.col("forecast").alias("value"),
-                                            "time_idx")).checkpoint()
-    res = outs[0]
-    for o in outs[1:]:
-        res = res.unionByName(o)
-    return res
+        nxt = hist.select("segment", *[F.col(c).alias(f"_cur_{c}") for c in keep[1:]],
+                          (F.row_number().over(newest) == 1).alias("_newest"),
+                          *_next_month_columns(w))
+        roll3 = (F.col("lag1") + F.col("lag2") + F.col("lag3")) / F.lit(3.0)
+        roll6 = (F.col("lag1") + F.col("lag2") + F.col("lag3") + F.col("lag4") + F.col("lag5")
+                 + F.col("lag6")) / F.lit(6.0)
+        nxt = nxt.select("*", *_cyc(), roll3.alias("roll3"), roll6.alias("roll6"))
+        scored = predict(nxt)
+        cur = F.struct(F.col("segment"), *[F.col(f"_cur_{c}").alias(c) for c in keep[1:]])
+        new = F.struct(F.col("segment"), F.col("month"),
+                       F.col("prediction").cast("double").alias("value"),
+                       F.col("time_idx"), F.lit(True).alias("_pred"))
+        hist = (scored.select(F.explode(F.when(F.col("_newest"), F.array(cur, new))
+                                        .otherwise(F.array(cur))).alias("_r"))
+                .select("_r.*"))
+    return hist.where("_pred").select("segment", "month", F.col("value").alias("forecast"))
 
 
 def stub_recursive_model(feats: DataFrame) -> DataFrame:
@@ -172,7 +174,8 @@ def gbt_model(train_features: DataFrame, max_iter: int = 20, seed: int = 42):
     from pyspark.ml.regression import GBTRegressor
     stages = [StringIndexer(inputCol="segment", outputCol="_seg_ix", handleInvalid="keep"),
               OneHotEncoder(inputCols=["_seg_ix"], outputCols=["_seg_oh"], handleInvalid="keep"),
-              VectorAssembler(inputCols=["_seg_oh", *FEATURE_COLS], outputCol="features"),
+              VectorAssembler(inputCols=["_seg_oh", *FEATURE_COLS], outputCol="features",
+                              handleInvalid="keep"),
               GBTRegressor(featuresCol="features", labelCol="target", maxDepth=3, stepSize=0.07,
                            maxIter=max_iter, seed=seed)]
     model = Pipeline(stages=stages).fit(train_features)

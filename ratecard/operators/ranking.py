@@ -43,8 +43,10 @@ def running_totals(df: DataFrame, order_by: Sequence, values: dict,
     # A reliable checkpoint freezes one assignment for both consumers and
     # survives executor loss.
     ensure_checkpoint_dir(spark)
-    ranged = (df.repartitionByRange(nb, *order).withColumn(_B, F.spark_partition_id())
-              .checkpoint())
+    ranged = df.repartitionByRange(nb, *order).withColumn(_B, F.spark_partition_id()).persist()
+    frozen = ranged.checkpoint()     # the write reads the persisted blocks
+    ranged.unpersist()
+    ranged = frozen
     w = (Window.partitionBy(_B).orderBy(*order)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = ranged.select("*", *[F.sum(_col(v)).over(w).alias(f"_rt_l_{k}")

@@ -503,7 +503,7 @@ def dense_of(t: Tables) -> DataFrame:
 def backtest_of(t: Tables) -> DataFrame:
     """Holdout rows with actual, seasonal-naive, trend and recursive-stub
     forecasts."""
-    dense = dense_of(t).checkpoint()    # small panel reused by every branch
+    dense = dense_of(t).persist()    # small panel reused by every branch
     cut = fc.holdout_start(dense, t.p.holdout_months)
     tidx = fc.with_time_index(dense)
     coefs = fc.fit_trend(tidx.where(F.col("month") < cut))
@@ -531,7 +531,7 @@ def q_lag_features(spark, sf_dir):
 @query("seasonal_naive")
 def q_seasonal_naive(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    dense = dense_of(t).checkpoint()
+    dense = dense_of(t).persist()
     test = dense.where(F.col("month") >= fc.holdout_start(dense, t.p.holdout_months))
     return fc.seasonal_naive(dense, test.select("segment", "month", "revenue"))
 
@@ -539,7 +539,7 @@ def q_seasonal_naive(spark, sf_dir):
 @query("trend_forecast")
 def q_trend_forecast(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    dense = dense_of(t).checkpoint()    # small panel reused by every branch
+    dense = dense_of(t).persist()    # small panel reused by every branch
     cut = fc.holdout_start(dense, t.p.holdout_months)
     tidx = fc.with_time_index(dense)
     coefs = fc.fit_trend(tidx.where(F.col("month") < cut))
@@ -550,7 +550,7 @@ def q_trend_forecast(spark, sf_dir):
 @query("recursive_forecast_stub")
 def q_recursive_forecast_stub(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    dense = dense_of(t).checkpoint()
+    dense = dense_of(t).persist()
     out = fc.recursive_forecast(dense, fc.holdout_start(dense, t.p.holdout_months),
                                 t.p.holdout_months, fc.stub_recursive_model)
     return _r4(out, _FC)
@@ -599,7 +599,7 @@ def q_bottom_up_total(spark, sf_dir):
 def forward_of(t: Tables) -> DataFrame:
     """Refit on the full history, roll ``forecast_horizon`` months forward
     with both methods and keep each segment's backtest winner."""
-    dense = dense_of(t).checkpoint()
+    dense = dense_of(t).persist()
     tidx = fc.with_time_index(dense)
     coefs = fc.fit_trend(tidx)
     last = tidx.groupBy("segment").agg(F.max("month").alias("_m"), F.max("time_idx").alias("_i"))
@@ -633,7 +633,7 @@ def q_forward_pivot(spark, sf_dir):
 @query("gbt_recursive_forecast", rows_only=True)
 def q_gbt_recursive_forecast(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    dense = dense_of(t).checkpoint()
+    dense = dense_of(t).persist()
     cut = fc.holdout_start(dense, t.p.holdout_months)
     feats = fc.lag_features(dense)
     model = fc.gbt_model(feats.where(F.col("month") < cut), t.p.gbt_iter, t.p.seed)
