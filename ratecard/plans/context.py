@@ -5,10 +5,12 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ratecard.params import TESTDATA_PARAMS, AnalysisParams
 from ratecard.session import ensure_checkpoint_dir
-from ratecard.sources.testdata import load_accounts, load_quotes
+from ratecard.sources.conformed import conformed_tables
+from ratecard.sources.testdata import load_quotes
 
 
 class Tables:
@@ -24,8 +26,19 @@ class Tables:
         ensure_checkpoint_dir(spark)
 
     def accounts(self) -> DataFrame:
-        return load_accounts(self.spark, self.sf_dir)
+        return conformed_tables(self.spark, self.sf_dir)[0]
 
     def quotes(self, start: dt.date | None = None, end: dt.date | None = None,
                with_part: bool = True, keep_line_columns: bool = False) -> DataFrame:
-        return load_quotes(self.spark, self.sf_dir, start, end, with_part, keep_line_columns)
+        """The conformed quote table, optionally restricted to [start, end).
+
+        ``keep_line_columns`` (raw line-item columns for the sequence-id
+        query) reads the source tables directly."""
+        if keep_line_columns:
+            return load_quotes(self.spark, self.sf_dir, start, end, with_part, True)
+        q = conformed_tables(self.spark, self.sf_dir)[1]
+        if start is not None:
+            q = q.where(F.col("quote_date") >= F.lit(start))
+        if end is not None:
+            q = q.where(F.col("quote_date") < F.lit(end))
+        return q

@@ -103,7 +103,9 @@ def load_quotes(spark: SparkSession, sf_dir: str, start: dt.date | None = None,
                    "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
                    "l_linestatus", "l_shipdate"]
     li = load_table(spark, sf_dir, "lineitem").select(*li_cols)
-    q = li.join(oc, li.l_orderkey == oc.o_orderkey)
+    # fact x fact on the order key: sort-merge, never broadcast (a pruned
+    # small-file estimate must not make the fact table a broadcast side)
+    q = li.hint("merge").join(oc, li.l_orderkey == oc.o_orderkey)
     cols = [
         F.col("o_custkey").alias("customer_id"),
         F.col("c_mktsegment").alias("segment"),
