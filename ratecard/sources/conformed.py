@@ -31,7 +31,7 @@ def _root(spark: SparkSession) -> str:
 
 
 def conformed_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    key = (id(spark), sf_dir.rstrip("/"))
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     hit = _CACHE.get(key)
     if hit is not None:
         return hit

@@ -28,7 +28,7 @@ def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     per session and path, so repeated plans skip file listing and footer
     schema inference; every caller still gets its own lazy plan on top."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), path)
+    key = (spark.sparkContext.applicationId, path)
     if key not in _READERS:
         _READERS[key] = spark.read.parquet(path)
     return _READERS[key]

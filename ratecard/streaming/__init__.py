@@ -1,0 +1,9 @@
+"""Incremental execution of the monthly revenue roll-up.
+
+The reference has no streaming operators and none are invented here; this
+module only runs the batch roll-up ``features.monthly_revenue`` over quote
+files as they arrive, so the panel stays current without rescanning
+history.
+"""
+
+from ratecard.streaming.revenue import start_monthly_revenue_stream  # noqa: F401
