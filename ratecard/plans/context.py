@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ratecard.params import TESTDATA_PARAMS, AnalysisParams
 from ratecard.session import ensure_checkpoint_dir
 from ratecard.sources.conformed import conformed_tables
-from ratecard.sources.testdata import load_quotes
 
 
 class Tables:
@@ -30,12 +29,8 @@ class Tables:
 
     def quotes(self, start: dt.date | None = None, end: dt.date | None = None,
                with_part: bool = True, keep_line_columns: bool = False) -> DataFrame:
-        """The conformed quote table, optionally restricted to [start, end).
-
-        ``keep_line_columns`` (raw line-item columns for the sequence-id
-        query) reads the source tables directly."""
-        if keep_line_columns:
-            return load_quotes(self.spark, self.sf_dir, start, end, with_part, True)
+        """The conformed quote table, optionally restricted to [start, end)
+        (it also carries the raw line-item key columns)."""
         q = conformed_tables(self.spark, self.sf_dir)[1]
         if start is not None:
             q = q.where(F.col("quote_date") >= F.lit(start))

@@ -39,7 +39,9 @@ def conformed_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     nparts = default_parallelism(spark)
     (load_accounts(spark, sf_dir).repartition(nparts, "customer_id")
      .write.mode("overwrite").parquet(f"{root}/accounts"))
-    (load_quotes(spark, sf_dir).repartitionByRange(nparts, "quote_date")
+    # line-item keys ride along (parquet reads only the columns a query
+    # asks for); they are the tie-breakers of the quote sequence id
+    (load_quotes(spark, sf_dir, keep_line_columns=True).repartitionByRange(nparts, "quote_date")
      .sortWithinPartitions("quote_date", "customer_id")
      .write.mode("overwrite").parquet(f"{root}/quotes"))
     tables = (spark.read.parquet(f"{root}/accounts"), spark.read.parquet(f"{root}/quotes"))

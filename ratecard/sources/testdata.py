@@ -130,7 +130,9 @@ def load_quotes(spark: SparkSession, sf_dir: str, start: dt.date | None = None,
         F.when(F.col("l_returnflag") != "R", 1).otherwise(0).alias("accepted"),
     ]
     if keep_line_columns:
-        cols += [F.col(c) for c in li_cols if c not in ("l_quantity", "l_extendedprice")]
+        cols += [F.col(c) for c in li_cols
+                 if c not in ("l_quantity", "l_extendedprice", "l_partkey")]
+        cols.append(F.col("l_partkey"))
     return q.select(*cols)
 
 
