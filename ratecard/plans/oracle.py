@@ -412,9 +412,11 @@ ORACLE_SQL["typical_shipment"] = with_(*BASE, QC_CTE, TYPICAL_CTE) + "\nSELECT *
 _z = ("CAST(2.0 AS DOUBLE) - CAST(8.0 AS DOUBLE) * (price_ratio - CAST(1.0 AS DOUBLE))"
       " + CAST(0.4 AS DOUBLE) * CAST(service_level = 'Express' AS DOUBLE)")
 CURVE_CTE = f"""
+grid0 AS (SELECT t.*, unnest(range(0, {P.grid_points})) AS i FROM typical t),
 grid AS (
-  SELECT t.*, {rnd('CAST(0.7 AS DOUBLE) + CAST(g.i AS INTEGER) * CAST(0.01 AS DOUBLE)', 2)} AS price_ratio
-  FROM typical t CROSS JOIN range(0, {P.grid_points}) AS g(i)
+  SELECT * EXCLUDE (i),
+         {rnd('CAST(0.7 AS DOUBLE) + CAST(i AS INTEGER) * CAST(0.01 AS DOUBLE)', 2)} AS price_ratio
+  FROM grid0
 ),
 curve AS (
   SELECT grid.segment, price_ratio,
@@ -660,13 +662,13 @@ _ANGLE = f"CAST({2 * _math.pi!r} AS DOUBLE) * CAST(month(month) AS DOUBLE) / CAS
 
 DENSE_CTE = """
 dense AS (
-  SELECT s.segment, m.month, COALESCE(p.revenue, 0.0) AS revenue,
+  SELECT m.segment, m.month, COALESCE(p.revenue, 0.0) AS revenue,
          CAST(COALESCE(p.shipments, 0) AS BIGINT) AS shipments
-  FROM (SELECT DISTINCT segment FROM panel) s
-  CROSS JOIN (SELECT CAST(unnest(generate_series((SELECT MIN(month) FROM panel),
-                                                 (SELECT MAX(month) FROM panel),
-                                                 INTERVAL 1 MONTH)) AS DATE) AS month) m
-  LEFT JOIN panel p ON p.segment = s.segment AND p.month = m.month
+  FROM (SELECT segment, CAST(unnest(generate_series((SELECT MIN(month) FROM panel),
+                                                    (SELECT MAX(month) FROM panel),
+                                                    INTERVAL 1 MONTH)) AS DATE) AS month
+        FROM (SELECT DISTINCT segment FROM panel)) m
+  LEFT JOIN panel p ON p.segment = m.segment AND p.month = m.month
 ),
 tidx AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY segment ORDER BY month) - 1 AS INTEGER)
                    AS time_idx FROM dense),
@@ -723,8 +725,12 @@ def trend_ctes(train_filter: str, name: str) -> str:
                     SUM(s * c) AS sc, SUM(c * c) AS cc, SUM(t * y) AS ty, SUM(s * y) AS sy,
                     SUM(c * y) AS cy FROM {name}_c),
 {name}_b AS (SELECT {bt} AS b_t, {bs} AS b_s, {bc} AS b_c FROM {name}_s),
-{name} AS (SELECT m.segment, m_y - b_t * m_t - b_s * m_s - b_c * m_c AS alpha, b_t, b_s, b_c
-           FROM {name}_m m CROSS JOIN {name}_b)"""
+{name} AS (
+  SELECT segment, m_y - (SELECT b_t FROM {name}_b) * m_t - (SELECT b_s FROM {name}_b) * m_s
+                      - (SELECT b_c FROM {name}_b) * m_c AS alpha,
+         (SELECT b_t FROM {name}_b) AS b_t, (SELECT b_s FROM {name}_b) AS b_s,
+         (SELECT b_c FROM {name}_b) AS b_c
+  FROM {name}_m)"""
 
 
 TREND_BT = trend_ctes("month < (SELECT cutoff FROM cutm)", "coef")
@@ -814,10 +820,10 @@ REC_FWD = rec_cte("SELECT CAST(MAX(month) + INTERVAL 1 MONTH AS DATE) FROM dense
                   P.forecast_horizon, "frec")
 FORWARD_CTE = f"""
 fut AS (
-  SELECT l.segment, CAST(l.m + to_months(CAST(g.k AS INTEGER)) AS DATE) AS month,
-         CAST(l.i + g.k AS INTEGER) AS time_idx
-  FROM (SELECT segment, MAX(month) AS m, MAX(time_idx) AS i FROM tidx GROUP BY segment) l
-  CROSS JOIN range(1, {P.forecast_horizon + 1}) AS g(k)
+  SELECT segment, CAST(m + to_months(CAST(k AS INTEGER)) AS DATE) AS month,
+         CAST(i + k AS INTEGER) AS time_idx
+  FROM (SELECT segment, m, i, unnest(range(1, {P.forecast_horizon + 1})) AS k
+        FROM (SELECT segment, MAX(month) AS m, MAX(time_idx) AS i FROM tidx GROUP BY segment))
 ),
 ftrend AS (
   SELECT r.segment, r.month, {_pred} AS trend_forecast

@@ -692,3 +692,23 @@ def q_partial_dependence(spark, sf_dir):
     mf, models = churn_fit_of(t)
     test = mf.where("split = 'test'")
     return ch.partial_dependence(ch.scorer(models["Gradient Boosting"]), test, top)
+
+
+@query("gbt_backtest_metrics", rows_only=True)
+def q_gbt_backtest_metrics(spark, sf_dir):
+    """Backtest with the boosted recursive forecaster as the second fitted
+    candidate (trend+season vs boosted, naive reported as the floor)."""
+    t = Tables(spark, sf_dir)
+    dense = dense_of(t).persist()
+    cut = fc.holdout_start(dense, t.p.holdout_months)
+    tidx = fc.with_time_index(dense)
+    coefs = fc.fit_trend(tidx.where(F.col("month") < cut))
+    trend = fc.predict_trend(tidx.where(F.col("month") >= cut), coefs).select(
+        "segment", "month", "revenue", "trend_forecast")
+    model = fc.gbt_model(fc.lag_features(dense).where(F.col("month") < cut), t.p.gbt_iter, t.p.seed)
+    rec = fc.recursive_forecast(dense, cut, t.p.holdout_months, model)
+    bt = fc.seasonal_naive(dense, trend).join(rec, ["segment", "month"], "left")
+    m = fc.backtest_metrics(bt, ("trend_seasonal", "recursive"))
+    return m.select("segment", "naive_mape", "trend_seasonal_mape",
+                    F.col("recursive_mape").alias("gbm_recursive_mape"),
+                    F.regexp_replace("best_method", "^recursive$", "gbm_recursive").alias("best_method"))
