@@ -8,17 +8,32 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+# Cluster sizing: start every shuffle wide and let AQE coalesce towards
+# ~128 MB partitions, so a 100 TB stage never runs with too few (spilling)
+# partitions while small stages collapse; scans split at 256 MB.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "4096",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "16384",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
+    "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 * 1024 * 1024),
+}
+
+
 def get_session(
     master: str | None = None,
     app_name: str = "ratecard",
     shuffle_partitions: int | None = None,
     extra_conf: dict | None = None,
+    cluster: bool = False,
 ) -> SparkSession:
     """Build (or reuse) a session with the settings every operator assumes.
 
     AQE is on so shuffle partitions coalesce at runtime and skewed join
     partitions split; the session time zone is UTC so DATE/TIMESTAMP
     arithmetic matches the SQL oracle; the UI server stays off.
+    ``cluster=True`` adds ``CLUSTER_CONF`` (wide shuffles, coalesced by AQE).
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -33,6 +48,8 @@ def get_session(
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "16g",
     }
+    if cluster:
+        conf.update(CLUSTER_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra_conf or {})

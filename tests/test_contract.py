@@ -63,3 +63,21 @@ def test_no_feature_row_after_cutoff(spark):
     lab = churn_labels_of(t)
     w = churn_windows(TESTDATA_PARAMS)
     assert lab.where(lab.signup_date >= w["cutoff"]).count() == 0
+
+
+def test_no_cartesian_or_nested_loop_joins(spark):
+    """Every oracle-checked query plans without cross products."""
+    from __spark_entry__ import oracle_sql, queries
+    qs = queries()
+    bad = []
+    for name in oracle_sql():
+        plan = qs[name](spark, SF_SMALL)._jdf.queryExecution().sparkPlan().toString()
+        if "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan:
+            bad.append(name)
+    assert not bad, bad
+
+
+def test_date_window_reaches_the_scan(spark):
+    from __spark_entry__ import queries
+    plan = queries()["churn_labels"](spark, SF_SMALL)._jdf.queryExecution().sparkPlan().toString()
+    assert "GreaterThanOrEqual(quote_date" in plan and "LessThan(quote_date" in plan
