@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratecard.session import default_parallelism, ensure_checkpoint_dir
+from ratecard.session import default_parallelism, freeze
 
 _B = "_rt_bucket"
 
@@ -40,13 +40,9 @@ def running_totals(df: DataFrame, order_by: Sequence, values: dict,
     # The range bounds come from sampling, and sampling sees rows in an
     # order a shuffle does not fix; two executions of the exchange (one per
     # consumer below, or a retry) could therefore disagree on bucket ids.
-    # A reliable checkpoint freezes one assignment for both consumers and
-    # survives executor loss.
-    ensure_checkpoint_dir(spark)
-    ranged = df.repartitionByRange(nb, *order).withColumn(_B, F.spark_partition_id()).persist()
-    frozen = ranged.checkpoint()     # the write reads the persisted blocks
-    ranged.unpersist()
-    ranged = frozen
+    # Writing the bucketed rows once to the reliable checkpoint folder
+    # freezes one assignment for both consumers and survives executor loss.
+    ranged = freeze(df.repartitionByRange(nb, *order).withColumn(_B, F.spark_partition_id()))
     w = (Window.partitionBy(_B).orderBy(*order)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = ranged.select("*", *[F.sum(_col(v)).over(w).alias(f"_rt_l_{k}")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -84,3 +85,14 @@ def default_parallelism(spark: SparkSession) -> int:
         return int(spark.conf.get("spark.sql.shuffle.partitions"))
     except Exception:  # pragma: no cover - conf always present in practice
         return spark.sparkContext.defaultParallelism
+
+
+def freeze(df):
+    """Materialise ``df`` as parquet under the reliable checkpoint folder and
+    read it back: one job, lineage cut, and every later consumer (or retry)
+    sees exactly the same rows -- including columns computed from
+    non-deterministic expressions such as ``spark_partition_id``."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ratecard-frozen-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
