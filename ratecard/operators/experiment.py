@@ -216,8 +216,9 @@ def summary(exp: DataFrame, quotes: DataFrame, drop: float, min_rows: int) -> Da
 
 def decisions(effects: DataFrame, recs: DataFrame, drop: float) -> DataFrame:
     """Ship where the guardrail holds; otherwise re-test at half the move."""
-    j = effects.join(F.broadcast(recs.select("segment", "current_avg_price_ratio",
-                                             "recommended_price_ratio")), "segment")
+    # one row per tier on each side; AQE picks the strategy from runtime sizes
+    j = effects.join(recs.select("segment", "current_avg_price_ratio",
+                                 "recommended_price_ratio"), "segment")
     half = (F.col("current_avg_price_ratio")
             + (F.col("recommended_price_ratio") - F.col("current_avg_price_ratio")) / 2)
     ship = F.col("accept_diff") >= F.lit(-drop)

@@ -42,7 +42,10 @@ def running_totals(df: DataFrame, order_by: Sequence, values: dict,
     # consumer below, or a retry) could therefore disagree on bucket ids.
     # Writing the bucketed rows once to the reliable checkpoint folder
     # freezes one assignment for both consumers and survives executor loss.
-    ranged = freeze(df.repartitionByRange(nb, *order).withColumn(_B, F.spark_partition_id()))
+    # written bucketed on the bucket id: the per-bucket window and totals
+    # below read it without another exchange
+    ranged = freeze(df.repartitionByRange(nb, *order).withColumn(_B, F.spark_partition_id()),
+                    bucket_col=_B, n_buckets=nb)
     w = (Window.partitionBy(_B).orderBy(*order)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = ranged.select("*", *[F.sum(_col(v)).over(w).alias(f"_rt_l_{k}")

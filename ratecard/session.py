@@ -87,12 +87,21 @@ def default_parallelism(spark: SparkSession) -> int:
         return spark.sparkContext.defaultParallelism
 
 
-def freeze(df):
+def freeze(df, bucket_col: str | None = None, n_buckets: int | None = None):
     """Materialise ``df`` as parquet under the reliable checkpoint folder and
     read it back: one job, lineage cut, and every later consumer (or retry)
     sees exactly the same rows -- including columns computed from
-    non-deterministic expressions such as ``spark_partition_id``."""
+    non-deterministic expressions such as ``spark_partition_id``.
+
+    With ``bucket_col`` the copy is written as a bucketed table on that
+    column, so later windows / aggregations partitioned by it read it
+    without another shuffle."""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ratecard-frozen-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    name = f"ratecard_frozen_{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
+    if bucket_col is None:
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+    (df.write.mode("overwrite").format("parquet").bucketBy(n_buckets, bucket_col)
+     .option("path", path).saveAsTable(name))
+    return spark.table(name)
