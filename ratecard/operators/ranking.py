@@ -30,12 +30,34 @@ def _col(c):
     return F.col(c) if isinstance(c, str) else c
 
 
+BUCKET_BYTES = 128 * 1024 * 1024
+MAX_BUCKETS = 65536
+
+
+def bucket_count(df: DataFrame) -> int:
+    """Buckets for a global ordering: about 128 MB of input each.
+
+    The volume is bounded from the plan's leaf relations (scanned bytes,
+    times 4 for decompression / row expansion) -- no job is run, and
+    unlike the estimate of the whole plan it is not inflated by join size
+    products. Tiny inputs get one bucket; 100 TB of scans get tens of
+    thousands, and the offset table stays at one row per bucket."""
+    fallback = default_parallelism(df.sparkSession)
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    except Exception:  # noqa: BLE001 - no estimate: the session default
+        return fallback
+    if not sizes or max(sizes) >= 2 ** 62:   # a leaf of unknown size (e.g. an RDD)
+        return fallback
+    return max(1, min(MAX_BUCKETS, -(-4 * sum(sizes) // BUCKET_BYTES)))
+
+
 def running_totals(df: DataFrame, order_by: Sequence, values: dict,
                    n_buckets: int | None = None) -> DataFrame:
     """Inclusive running sums of ``values`` ({name: column}) in the global
     order ``order_by``. Returns ``df`` plus one column per name."""
-    spark = df.sparkSession
-    nb = n_buckets or default_parallelism(spark)
+    nb = n_buckets or bucket_count(df)
     order = [_col(c) for c in order_by]
     # The range bounds come from sampling, and sampling sees rows in an
     # order a shuffle does not fix; two executions of the exchange (one per
