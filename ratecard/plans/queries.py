@@ -495,9 +495,13 @@ from ratecard.operators import forecast as fc  # noqa: E402
 
 
 def dense_of(t: Tables) -> DataFrame:
+    """The gap-free monthly panel. Its size is segments x months -- fixed by
+    the calendar, not by the quote volume -- so it is kept in one partition:
+    the forecasting windows then run one task per stage instead of
+    ``spark.sql.shuffle.partitions`` near-empty ones."""
     panel = fe.drop_open_month(fe.monthly_revenue(t.quotes(with_part=False), t.p.panel_start),
                                t.p.as_of)
-    return fc.dense_panel(panel)
+    return fc.dense_panel(panel).coalesce(1)
 
 
 def backtest_of(t: Tables) -> DataFrame:

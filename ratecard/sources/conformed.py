@@ -19,7 +19,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratecard.session import default_parallelism, ensure_checkpoint_dir
+from ratecard.session import ensure_checkpoint_dir
 from ratecard.sources.testdata import load_accounts, load_quotes
 
 _CACHE: dict = {}
@@ -30,13 +30,22 @@ def _root(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/ratecard-conformed-{uuid.uuid4().hex[:12]}"
 
 
+def _file_count(spark: SparkSession, sf_dir: str) -> int:
+    """One output file per core, or per ~128 MB of expanded input when that
+    is more: enough scan parallelism on a cluster, no sea of tiny files."""
+    from ratecard.operators.ranking import bucket_count
+    cores = spark.sparkContext.defaultParallelism
+    lineitem = spark.read.parquet(f"{sf_dir.rstrip('/')}/lineitem.parquet")
+    return max(cores, bucket_count(lineitem))
+
+
 def conformed_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     hit = _CACHE.get(key)
     if hit is not None:
         return hit
     root = _root(spark)
-    nparts = default_parallelism(spark)
+    nparts = _file_count(spark, sf_dir)
     (load_accounts(spark, sf_dir).repartition(nparts, "customer_id")
      .write.mode("overwrite").parquet(f"{root}/accounts"))
     # line-item keys ride along (parquet reads only the columns a query
