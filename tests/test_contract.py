@@ -81,3 +81,15 @@ def test_date_window_reaches_the_scan(spark):
     from __spark_entry__ import queries
     plan = queries()["churn_labels"](spark, SF_SMALL)._jdf.queryExecution().sparkPlan().toString()
     assert "GreaterThanOrEqual(quote_date" in plan and "LessThan(quote_date" in plan
+
+
+def test_experiment_summary_partition_invariant(spark):
+    from __spark_entry__ import queries
+    from tools.check_oracle import compare
+    a = queries()["ab_summary"](spark, SF_SMALL).toPandas()
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        b = queries()["ab_summary"](spark, SF_SMALL).toPandas()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert compare(a, b)[0]

@@ -104,3 +104,14 @@ def test_g9_annual_volume_times_lift():
     # published impact / lift per quote = trailing-year quote volume
     lift = 192.44661871953693 - 175.82173786027406
     assert round(355822.3250308033 / lift) == 21403
+
+
+def test_sample_size_per_arm(spark):
+    # SURVEY check: 2,554 quotes per arm to see 2 points from a 92 % baseline
+    n_q = 10_000
+    rows = [("A", 1 if i < 9_200 else 0) for i in range(n_q)]
+    q = spark.createDataFrame(rows, "segment string, accepted int")
+    r = ex.sample_size(q, q.limit(0), 0.02, 0.05, 0.80).first()
+    assert r.baseline_rate == pytest.approx(0.92)
+    assert r.n_needed_per_arm == 2554
+    assert r.available_quotes == 0
