@@ -40,8 +40,9 @@ def bucket_count(df: DataFrame) -> int:
     The volume is bounded from the plan's leaf relations (scanned bytes,
     times 4 for decompression / row expansion) -- no job is run, and
     unlike the estimate of the whole plan it is not inflated by join size
-    products. Tiny inputs get one bucket; 100 TB of scans get tens of
-    thousands, and the offset table stays at one row per bucket."""
+    products. Small inputs get one bucket per core; 100 TB of scans get tens of
+    thousands, and the offset table stays at one row per bucket. The count
+    never drops below the number of cores."""
     fallback = default_parallelism(df.sparkSession)
     try:
         leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
@@ -50,7 +51,9 @@ def bucket_count(df: DataFrame) -> int:
         return fallback
     if not sizes or max(sizes) >= 2 ** 62:   # a leaf of unknown size (e.g. an RDD)
         return fallback
-    return max(1, min(MAX_BUCKETS, -(-4 * sum(sizes) // BUCKET_BYTES)))
+    # at least one bucket per core, so small inputs still use the whole cluster
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return max(cores, min(MAX_BUCKETS, -(-4 * sum(sizes) // BUCKET_BYTES)))
 
 
 def running_totals(df: DataFrame, order_by: Sequence, values: dict,
