@@ -716,3 +716,30 @@ def q_gbt_backtest_metrics(spark, sf_dir):
     return m.select("segment", "naive_mape", "trend_seasonal_mape",
                     F.col("recursive_mape").alias("gbm_recursive_mape"),
                     F.regexp_replace("best_method", "^recursive$", "gbm_recursive").alias("best_method"))
+
+
+def _pricing_single_model(spark, sf_dir, which: str) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    s = pr.time_split(priced_quotes(t), t.p.holdout_months).persist()
+    train = s.where("split = 'train'")
+    if which == "logit":
+        model = ch.fit_logistic(train, pr.CAT_FEATURES, pr.NUM_FEATURES, "accepted")
+        name = "Logistic Regression"
+    else:
+        model = ch.fit_gbt(train, pr.CAT_FEATURES, pr.NUM_FEATURES, "accepted", max_depth=4,
+                           step=0.08, max_iter=t.p.gbt_iter, seed=t.p.seed)
+        name = "Gradient Boosting"
+    return _model_metrics({name: model}, s.where("split = 'test'"), "accepted")
+
+
+@query("logit_metrics", rows_only=True)
+def q_logit_metrics(spark, sf_dir):
+    """Held-out AUC, average precision, log-loss and Brier of the L2 logistic
+    acceptance model (time split: last 6 months)."""
+    return _pricing_single_model(spark, sf_dir, "logit")
+
+
+@query("gbt_metrics", rows_only=True)
+def q_gbt_metrics(spark, sf_dir):
+    """The same metrics for the boosted acceptance model."""
+    return _pricing_single_model(spark, sf_dir, "gbt")
