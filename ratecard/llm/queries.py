@@ -4,12 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, secrets
+from . import bpe, exact_dedup, packing, secrets
 from .common import table
 
 
+def op4_pack_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"),
+                                public_tokenizers.path("byte_bpe_50k.json"), bpe.DIGEST)
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_digest(table(spark, sf_dir, "documents"))
 
@@ -19,7 +29,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op8_secret_scan, op9_exact_dedup)}
+    f.__name__: f for f in (op4_pack_histogram, op6_bpe_tree, op8_secret_scan, op9_exact_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op9_exact_dedup": """
