@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, packing, secrets
+from . import bpe, exact_dedup, packing, secrets, warc_zip
 from .common import table
 
 
+def op3_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zip.archive_round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
 def op4_pack_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -29,9 +33,20 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_pack_histogram, op6_bpe_tree, op8_secret_scan, op9_exact_dedup)}
+    f.__name__: f for f in (op3_warc_zip, op4_pack_histogram, op6_bpe_tree, op8_secret_scan, op9_exact_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_warc_zip": """
+        WITH t AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS hex,
+                     max(page_id) OVER (PARTITION BY html) AS owner FROM t)
+        SELECT page_id, payload_bytes,
+               list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   1 + CAST((CAST('0x' || substr(hex, 1 + 5 * (i // 4), 5) AS BIGINT)
+                             >> (15 - 5 * (i % 4))) & 31 AS INTEGER), 1)), 'string_agg', '') AS payload_digest,
+               CASE WHEN page_id < owner THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id < owner THEN owner END AS refers_to
+        FROM d""",
     "op9_exact_dedup": """
         WITH t AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
