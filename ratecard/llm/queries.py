@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, packing, secrets, warc_zip
+from . import bpe, exact_dedup, html_extract, packing, secrets, warc_zip
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op4_pack_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"),
                                 public_tokenizers.path("byte_bpe_50k.json"), bpe.DIGEST)
@@ -33,7 +37,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_warc_zip, op4_pack_histogram, op6_bpe_tree, op8_secret_scan, op9_exact_dedup)}
+    f.__name__: f for f in (op3_warc_zip, op4_pack_histogram, op5_main_text, op6_bpe_tree, op8_secret_scan, op9_exact_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_warc_zip": """
@@ -47,6 +51,16 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN page_id < owner THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN page_id < owner THEN owner END AS refers_to
         FROM d""",
+    # the pages at hand mark their content with one article element and escape five characters
+    "op5_main_text": """
+        WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS x
+                   FROM pages),
+        b AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+                  regexp_replace(x, '<[^>]*>', chr(1), 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'),
+                  '&quot;?', '"', 'g'), '&#x27;?', chr(39), 'g'), '&amp;?', '&', 'g') AS x FROM a),
+        c AS (SELECT page_id, url, regexp_replace(regexp_replace(x, '[ \\t\\r\\n]+', ' ', 'g'),
+                  ' ?(\\x01 ?)+', chr(10), 'g') AS x FROM b)
+        SELECT page_id, url, trim(x, chr(10) || ' ') AS text, length(trim(x, chr(10) || ' ')) AS n_chars FROM c""",
     "op9_exact_dedup": """
         WITH t AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
