@@ -60,6 +60,19 @@ def ranked(df: DataFrame, group: list[str], order: list[str], out: str,
             .drop("_b", "_from", "_at"))
 
 
+def likely_in(df: DataFrame, keys: DataFrame, on: list[str], slots: int = 1 << 20,
+              others: bool = False) -> DataFrame:
+    """The rows of ``df`` whose ``on`` may occur in ``keys``: all that do, and few others (or, with
+    ``others``, the remaining rows).
+
+    Keys are hashed to ``slots`` numbers; the distinct numbers (at most ``slots`` rows, whatever the
+    data) are broadcast. A join on the keys themselves then shuffles few wide rows."""
+    slot = F.pmod(F.xxhash64(*on), F.lit(slots)).alias("_slot")
+    taken = keys.select(slot).distinct()
+    kind = "left_anti" if others else "left_semi"
+    return df.withColumn("_slot", slot).join(F.broadcast(taken), "_slot", kind).drop("_slot")
+
+
 def buffers(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes and the offsets (from 0) of an Arrow string or binary array, without a copy.
     A null has no bytes."""

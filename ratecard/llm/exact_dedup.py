@@ -7,7 +7,8 @@ singleton; a group whose bytes have ended holds equal texts and leaves as a clas
 settled by the bytes themselves; no digest is compared.
 
 The first round reads the table's rows narrowly (length and first bytes); only rows of groups with
-two or more members carry their remaining bytes into the next rounds, and each round takes
+two or more members (found by a broadcast of fixed size before the shuffle) carry their remaining
+bytes into the next rounds, and each round takes
 ``GROWTH`` times as many bytes as the one before, up to ``WIDEST`` at once, which bounds a task's
 row. Group counts are combined before the shuffle, so a group holding a third of all rows is one row
 per task there, and the join that hands rows their new group is an ordinary equi-join whose hot keys
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, stored, text_bytes
+from .common import LOWER, UPPER, likely_in, stored, text_bytes
 
 FIRST = 32
 GROWTH = 16
@@ -43,10 +44,10 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                                                       F.max("id").alias("grp"))
                     .filter("n > 1"), "radix-groups")
     sha = F.sha2("norm", 256).alias("text_sha256")
-    single = digit.join(groups, ["len", "chunk"], "left_anti").select("id", sha)
+    single = digit.select("id", "len", "chunk", sha).join(groups, ["len", "chunk"], "left_anti")
     out = [single.select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
                          "text_sha256")]
-    active = stored(digit.join(groups, ["len", "chunk"])
+    active = stored(likely_in(digit, groups, ["len", "chunk"]).join(groups, ["len", "chunk"])
                     .select("id", "len", "grp", "n", sha,
                             F.expr(f"substring(norm, {FIRST + 1})").alias("rest")), "radix-rows")
     at, width = FIRST, FIRST * GROWTH
