@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_extract, packing, secrets, warc_zip
+from . import bpe, exact_dedup, html_extract, packing, secrets, toxicity, warc_zip
 from .common import table
 
 
@@ -28,6 +28,11 @@ def op6_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
                                 public_tokenizers.path("byte_bpe_50k.json"), bpe.DIGEST)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_digest(table(spark, sf_dir, "documents"))
 
@@ -37,7 +42,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_warc_zip, op4_pack_histogram, op5_main_text, op6_bpe_tree, op8_secret_scan, op9_exact_dedup)}
+    f.__name__: f for f in (op3_warc_zip, op4_pack_histogram, op5_main_text, op6_bpe_tree, op7_toxicity, op8_secret_scan, op9_exact_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_warc_zip": """
