@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_extract, packing, secrets, toxicity, warc_zip
+from . import bpe, exact_dedup, html_extract, packing, secrets, sharding, topk_search, toxicity, warc_zip
 from .common import table
 
 
+def op2_shard_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.archive_round_trip(table(spark, sf_dir, "pages")).drop("url")
 
@@ -41,8 +45,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_classes(table(spark, sf_dir, "documents"))
 
 
+def op10_topk_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_warc_zip, op4_pack_histogram, op5_main_text, op6_bpe_tree, op7_toxicity, op8_secret_scan, op9_exact_dedup)}
+    f.__name__: f for f in (op2_shard_propagation, op3_warc_zip, op4_pack_histogram, op5_main_text, op6_bpe_tree, op7_toxicity, op8_secret_scan, op9_exact_dedup, op10_topk_threshold)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_warc_zip": """
@@ -73,4 +81,15 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY norm)""",
+    "op10_topk_threshold": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+                   FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id,
+                     CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+              FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),
+        r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER)
+                     AS rank, vec_id, score FROM s)
+        SELECT * FROM r WHERE rank <= 20""",
 }
