@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_extract, packing, secrets, sharding, topk_search, toxicity, warc_zip
+from . import bpe, exact_dedup, html_extract, near_dedup, packing, secrets, sharding, topk_search, toxicity, warc_zip
 from .common import table
 
 
+def op1_minhash_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op2_shard_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_topk_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_shard_propagation, op3_warc_zip, op4_pack_histogram, op5_main_text, op6_bpe_tree, op7_toxicity, op8_secret_scan, op9_exact_dedup, op10_topk_threshold)}
+    f.__name__: f for f in (op1_minhash_tensor, op2_shard_propagation, op3_warc_zip, op4_pack_histogram, op5_main_text, op6_bpe_tree, op7_toxicity, op8_secret_scan, op9_exact_dedup, op10_topk_threshold)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_warc_zip": """
