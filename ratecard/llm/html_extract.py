@@ -171,7 +171,9 @@ def fit_weights(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
     labelled page, words and tags keep fixed weights."""
     html = F.col(html_col)
     labelled = pages.filter((F.length(html) - F.length(F.replace(html, F.lit("<article"), F.lit("")))) == 8)
-    rows = labelled.orderBy(F.xxhash64(id_col), id_col).limit(n).select(html.alias("html")).collect()
+    first = labelled.select(F.col(id_col).alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(n).collect()
+    rows = (labelled.filter(F.col(id_col).isin([r["id"] for r in first])).groupBy(id_col)
+            .agg(F.min(html).alias("html")).collect())
     return Weights(r["html"] for r in rows)
 
 
