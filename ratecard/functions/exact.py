@@ -3,7 +3,8 @@
 Floating-point sums depend on the order rows arrive in, which differs
 between partitions, retries and engines. Money (2 dp) and ratios (4 dp)
 are exact decimals, so summing them as DECIMAL gives the same bits on
-every run; averages divide the exact sum by the count as DOUBLE.
+every run; averages divide the exact sum by the count as DOUBLE. A value
+with more decimals than declared is an error, never rounded in silence.
 """
 
 from __future__ import annotations
@@ -18,7 +19,13 @@ def _c(c):
 
 def dec_sum(c, scale: int = 4, precision: int = 18) -> Column:
     """Exact SUM of a column holding at most ``scale`` decimals, as DOUBLE."""
-    return F.sum(_c(c).cast(f"decimal({precision},{scale})")).cast("double")
+    x = _c(c)
+    dec = x.cast(f"decimal({precision},{scale})")
+    off = F.abs(dec.cast("double") - x.cast("double"))
+    # one double step at most, the distance of a double from its decimal
+    fits = off <= F.abs(x.cast("double")) * 1e-14
+    return F.sum(F.when(x.isNull() | fits, dec).otherwise(F.raise_error(F.concat(
+        F.lit(f"more than {scale} decimals: "), x.cast("string"))))).cast("double")
 
 
 def money_sum(c) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ratecard.operators.ranking import exact_quantiles, group_sequence
 
+# The names of the model's columns.
 NUM_FEATURES = ("tenure_days_at_cutoff", "n_quotes_12m", "n_accepted_12m", "acceptance_rate_12m",
                 "avg_price_ratio_12m", "revenue_12m", "express_share_12m", "price_ratio_trend",
                 "trend_missing")
@@ -108,12 +109,12 @@ def fit_logistic(train: DataFrame, cat_cols, num_cols, label_col: str, weight_co
 
 
 def fit_gbt(train: DataFrame, cat_cols, num_cols, label_col: str, max_depth: int = 4,
-            step: float = 0.06, max_iter: int = 20, seed: int = 42):
+            step: float = 0.06, max_iter: int = 300, seed: int = 42):
     """Gradient-boosted trees (tree training rejects NaN: impute first)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
     gbt = GBTClassifier(featuresCol="features", labelCol=label_col, maxDepth=max_depth,
-                        stepSize=step, maxIter=max_iter, maxBins=64, seed=seed,
+                        stepSize=step, maxIter=max_iter, maxBins=255, seed=seed,
                         checkpointInterval=10)
     return Pipeline(stages=[*_prep_stages(cat_cols, num_cols, False), gbt]).fit(train)
 
@@ -173,7 +174,7 @@ def permutation_importance(score: "callable", test: DataFrame, features, label_c
                  F.stddev_pop("roc_auc").alias("importance_std")))
 
 
-def partial_dependence(score: "callable", test: DataFrame, feature: str, points: int = 20,
+def partial_dependence(score: "callable", test: DataFrame, feature: str, points: int = 100,
                        lo_q: float = 0.05, hi_q: float = 0.95) -> DataFrame:
     """Average prediction with ``feature`` set to each of ``points`` values
     spread evenly between its 5th and 95th percentiles (a bounded grid per
@@ -190,11 +191,12 @@ def partial_dependence(score: "callable", test: DataFrame, feature: str, points:
             .withColumn("feature", F.lit(feature)))
 
 
-def fit_churn_models(train: DataFrame, gbt_iter: int = 20, seed: int = 42) -> dict:
-    logit = fit_logistic(train, CAT_FEATURES, NUM_FEATURES, "churned", weight_col="class_weight")
-    gbt = fit_gbt(train, CAT_FEATURES, NUM_FEATURES, "churned", max_depth=4, step=0.06,
-                  max_iter=gbt_iter, seed=seed)
-    return {"Logistic Regression": logit, "Gradient Boosting": gbt}
+def fit_churn_model(train: DataFrame, which: str, gbt_iter: int = 300, seed: int = 42):
+    """One churn model: ``Logistic Regression`` or ``Gradient Boosting``."""
+    if which == "Logistic Regression":
+        return fit_logistic(train, CAT_FEATURES, NUM_FEATURES, "churned", weight_col="class_weight")
+    return fit_gbt(train, CAT_FEATURES, NUM_FEATURES, "churned", max_depth=4, step=0.06,
+                   max_iter=gbt_iter, seed=seed)
 
 
 def scorer(model):

@@ -167,7 +167,7 @@ def stub_recursive_model(feats: DataFrame) -> DataFrame:
     return feats.withColumn("prediction", F.lit(0.6) * F.col("lag1") + F.lit(0.4) * F.col("lag12"))
 
 
-def gbt_model(train_features: DataFrame, max_iter: int = 20, seed: int = 42):
+def gbt_model(train_features: DataFrame, max_iter: int = 250, seed: int = 42):
     """Boosted regressor on segment one-hot + lag features."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
@@ -177,7 +177,7 @@ def gbt_model(train_features: DataFrame, max_iter: int = 20, seed: int = 42):
               VectorAssembler(inputCols=["_seg_oh", *FEATURE_COLS], outputCol="features",
                               handleInvalid="keep"),
               GBTRegressor(featuresCol="features", labelCol="target", maxDepth=3, stepSize=0.07,
-                           maxIter=max_iter, seed=seed)]
+                           maxIter=max_iter, maxBins=255, seed=seed, checkpointInterval=10)]
     model = Pipeline(stages=stages).fit(train_features)
 
     def predict(feats: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from ratecard.functions.exact import dec_avg
 from ratecard.functions.stats import isclose, logistic
 from ratecard.operators.ranking import exact_quantiles
 
+# The names of the model's columns.
 NUM_FEATURES = ("price_ratio", "weight_kg", "distance_km", "competitor_price")
 CAT_FEATURES = ("segment", "service_level", "mode", "contract_type")
 TYPICAL_NUM = ("weight_kg", "distance_km", "competitor_price")
@@ -118,12 +119,13 @@ def recommend_price(curves: DataFrame, quotes: DataFrame) -> DataFrame:
 
 # ---- fitted response models (Spark ML) --------------------------------------
 
-def fit_response_models(train: DataFrame, gbt_iter: int = 20, seed: int = 42):
+def fit_response_model(train: DataFrame, which: str, gbt_iter: int = 300, seed: int = 42):
+    """One acceptance model: ``Logistic Regression`` or ``Gradient Boosting``."""
     from ratecard.operators.churn import fit_gbt, fit_logistic
-    logit = fit_logistic(train, CAT_FEATURES, NUM_FEATURES, "accepted")
-    gbt = fit_gbt(train, CAT_FEATURES, NUM_FEATURES, "accepted", max_depth=4, step=0.08,
-                  max_iter=gbt_iter, seed=seed)
-    return {"Logistic Regression": logit, "Gradient Boosting": gbt}
+    if which == "Logistic Regression":
+        return fit_logistic(train, CAT_FEATURES, NUM_FEATURES, "accepted")
+    return fit_gbt(train, CAT_FEATURES, NUM_FEATURES, "accepted", max_depth=4, step=0.08,
+                   max_iter=gbt_iter, seed=seed)
 
 
 def model_scorer(model) -> Callable[[DataFrame], DataFrame]:

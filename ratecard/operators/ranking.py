@@ -31,35 +31,34 @@ def _col(c):
 
 
 BUCKET_BYTES = 128 * 1024 * 1024
-MAX_BUCKETS = 65536
 
 
 def bucket_count(df: DataFrame) -> int:
     """Buckets for a global ordering: about 128 MB of input each.
 
-    The volume is bounded from the plan's leaf relations (scanned bytes,
-    times 4 for decompression / row expansion) -- no job is run, and
-    unlike the estimate of the whole plan it is not inflated by join size
-    products. Small inputs get one bucket per core; 100 TB of scans get tens of
-    thousands, and the offset table stays at one row per bucket. The count
-    never drops below the number of cores."""
-    fallback = default_parallelism(df.sparkSession)
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    except Exception:  # noqa: BLE001 - no estimate: the session default
-        return fallback
+    The volume comes from the plan's leaf relations (bytes of the scanned
+    files, times 4 for decompression); ``running_totals`` writes its input
+    first, so the leaf is the ranked frame itself and an aggregated frame
+    counts with its aggregated size. Small inputs get one bucket per core;
+    there is no upper limit, and the offset table has one row per bucket."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
     if not sizes or max(sizes) >= 2 ** 62:   # a leaf of unknown size (e.g. an RDD)
-        return fallback
+        return default_parallelism(df.sparkSession)
     # at least one bucket per core, so small inputs still use the whole cluster
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return max(cores, min(MAX_BUCKETS, -(-4 * sum(sizes) // BUCKET_BYTES)))
+    return max(cores, -(-4 * sum(sizes) // BUCKET_BYTES))
 
 
 def running_totals(df: DataFrame, order_by: Sequence, values: dict,
                    n_buckets: int | None = None) -> DataFrame:
     """Inclusive running sums of ``values`` ({name: column}) in the global
-    order ``order_by``. Returns ``df`` plus one column per name."""
+    order ``order_by``. Returns ``df`` plus one column per name.
+
+    Runs jobs while the plan is built: the input is evaluated once and
+    written to the checkpoint folder (range bounds are sampled from that
+    copy, not from a second evaluation), then written again by range."""
+    df = freeze(df)
     nb = n_buckets or bucket_count(df)
     order = [_col(c) for c in order_by]
     # The range bounds come from sampling, and sampling sees rows in an
@@ -101,15 +100,25 @@ def group_running_totals(df: DataFrame, group_cols: Sequence[str], order_by: Seq
     """
     g = list(group_cols)
     glob = running_totals(df, [*g, *order_by], values, n_buckets)
-    starts = glob.groupBy(*g).agg(*[F.min(F.col(k) - _col(v)).alias(f"_gs_{k}")
-                                    for k, v in values.items()])
     if not g:   # one group: its start offsets are 0
         return glob
-    out = glob.join(starts, g)
+    starts = freeze(glob.groupBy(*g).agg(*[F.min(F.col(k) - _col(v)).alias(f"_gs_{k}")
+                                           for k, v in values.items()]))
+    # few groups: their starts are broadcast, so the ranked rows of a hot
+    # group stay spread over the ranges; many groups: an ordinary join
+    out = glob.join(F.broadcast(starts) if few_groups(starts) else starts, g)
     return out.select(*[c for c in glob.columns if c not in values],
                       *[(F.col(k) - F.col(f"_gs_{k}")).alias(k) for k in values])
 
 
+FEW_GROUPS = 100_000
+
+
+def few_groups(per_group: DataFrame) -> bool:
+    """Whether a frame of one row per group is small enough to broadcast (counted)."""
+    return per_group.count() <= FEW_GROUPS
+
+
 def group_sequence(df: DataFrame, group_cols: Sequence[str], order_by: Sequence,
                    name: str = "rn", n_buckets: int | None = None) -> DataFrame:
     """row_number() over (partition by group order by ...) that splits hot groups."""
@@ -127,12 +136,12 @@ def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
     """
     g = list(group_cols)
     v = F.col(value_col)
-    freq = (df.where(v.isNotNull() & ~F.isnan(v.cast("double")))
-            .groupBy(*g, v.alias("_qv")).agg(F.count(F.lit(1)).alias("_qn")))
+    freq = freeze(df.where(v.isNotNull() & ~F.isnan(v.cast("double")))
+                  .groupBy(*g, v.alias("_qv")).agg(F.count(F.lit(1)).alias("_qn")))
     cum = group_running_totals(freq, g, ["_qv"], {"_qc": F.col("_qn")}, n_buckets)
     if g:
         sizes = freq.groupBy(*g).agg(F.sum("_qn").alias("_qtot"))
-        cum = cum.join(sizes, g)            # one row per group on the right
+        cum = cum.join(F.broadcast(sizes) if few_groups(sizes) else sizes, g)
     else:
         cum = cum.withColumn("_qtot", freq.agg(F.sum("_qn")).scalar())
     n1 = F.col("_qtot") - 1
@@ -169,7 +178,7 @@ def decile_assign(scored: DataFrame, score_col: str, id_col: str, n_bins: int =
     which is *not* ``ntile``: the short bucket lands in the middle.
     """
     ranked = sequence_id(scored, [score_col, id_col], "_rank", n_buckets)
-    n = scored.agg(F.count(F.lit(1))).scalar()
+    n = ranked.agg(F.max("_rank")).scalar()
     b = F.greatest(F.lit(1), F.ceil((F.col("_rank") - 1) * n_bins / F.greatest(n - 1, F.lit(1))))
     return (ranked.withColumn("decile", (F.lit(n_bins + 1) - b).cast("int"))
             .drop("_rank"))
@@ -201,14 +210,21 @@ def score_counts(df: DataFrame, score_col: str, label_col: str) -> DataFrame:
         F.sum(y).alias("pos"), F.sum(F.lit(1) - y).alias("neg"))
 
 
+def _auc_term(neg_below: Column) -> Column:
+    """pos * (2 * negatives below + negatives tied), in decimals from the
+    start: the product of two counts outgrows a long."""
+    wide = "decimal(19,0)"
+    return (F.col("pos").cast(wide) * (neg_below.cast(wide) * 2 + F.col("neg").cast(wide))
+            ).cast("decimal(38,0)")
+
+
 def roc_auc(df: DataFrame, score_col: str, label_col: str,
             n_buckets: int | None = None) -> DataFrame:
     """Exact ROC-AUC, ties counted 1/2 (Mann-Whitney)."""
     c = running_totals(score_counts(df, score_col, label_col), ["score"],
                        {"cum_neg": F.col("neg")}, n_buckets)
     neg_below = F.col("cum_neg") - F.col("neg")
-    d38 = "decimal(38,0)"
-    agg = c.agg(F.sum((F.col("pos") * (neg_below * 2 + F.col("neg"))).cast(d38)).alias("_num2"),
+    agg = c.agg(F.sum(_auc_term(neg_below)).alias("_num2"),
                 F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     return agg.select(
         (F.col("_num2").cast("double")
@@ -226,7 +242,8 @@ def average_precision(df: DataFrame, score_col: str, label_col: str,
                       n_buckets: int | None = None) -> DataFrame:
     """Step-wise AP = sum over thresholds of (R_k - R_{k-1}) * P_k."""
     c = _desc_cumulative(df, score_col, label_col, n_buckets)
-    agg = c.agg(F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("_s"),
+    agg = c.agg(F.sum(F.col("pos").cast("double") * F.col("tp").cast("double")
+                      / (F.col("tp") + F.col("fp"))).alias("_s"),
                 F.sum("pos").alias("_p"))
     return agg.select((F.col("_s") / F.col("_p")).alias("average_precision"))
 
@@ -236,8 +253,8 @@ def threshold_points(df: DataFrame, score_col: str, label_col: str,
     """One row per distinct score (descending thresholds): tp, fp, tpr, fpr,
     precision, recall -- the data behind ROC and PR curves."""
     c = _desc_cumulative(df, score_col, label_col, n_buckets)
-    n_pos = df.agg(F.sum(F.col(label_col).cast("long"))).scalar()
-    n_neg = df.agg(F.sum(F.lit(1) - F.col(label_col).cast("long"))).scalar()
+    # the last cumulative row holds the totals
+    n_pos, n_neg = c.agg(F.max("tp")).scalar(), c.agg(F.max("fp")).scalar()
     return c.select(
         F.col("score").alias("threshold"),
         F.col("tp").cast("long").alias("tp"), F.col("fp").cast("long").alias("fp"),
@@ -282,9 +299,8 @@ def roc_auc_by(df: DataFrame, group_cols: Sequence[str], score_col: str, label_c
         F.sum(y).alias("pos"), F.sum(F.lit(1) - y).alias("neg"))
     c = group_running_totals(sc, g, ["score"], {"cum_neg": F.col("neg")}, n_buckets)
     neg_below = F.col("cum_neg") - F.col("neg")
-    d38 = "decimal(38,0)"
     agg = c.groupBy(*g).agg(
-        F.sum((F.col("pos") * (neg_below * 2 + F.col("neg"))).cast(d38)).alias("_num2"),
+        F.sum(_auc_term(neg_below)).alias("_num2"),
         F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     return agg.select(*g, (F.col("_num2").cast("double")
                            / (F.lit(2.0) * F.col("_p").cast("double") * F.col("_n").cast("double")))

@@ -32,10 +32,19 @@ def rule_clusters(rfm: DataFrame, accept_threshold: float = 2 / 3,
          + (F.col("express_share") >= F.lit(express_threshold)).cast("int")).cast("int"))
 
 
+def listed(col: str, values) -> F.Column:
+    """The column, with an error for any row whose value is not in ``values``."""
+    c = F.col(col)
+    return F.when(c.isin(*values), c).otherwise(F.raise_error(
+        F.concat(F.lit(f"{col}: unlisted value "), F.coalesce(c.cast("string"), F.lit("null")))))
+
+
 def crosstab(df: DataFrame, row_col: str, col_col: str, col_order) -> DataFrame:
     """Counts with a fixed, zero-filled column order (pivot with explicit
-    values: one aggregation, no distinct-values pass)."""
-    wide = df.groupBy(row_col).pivot(col_col, list(col_order)).agg(F.count(F.lit(1)))
+    values: one aggregation, no distinct-values pass). A value outside
+    ``col_order`` is an error, never a missing column."""
+    wide = (df.withColumn(col_col, listed(col_col, col_order)).groupBy(row_col)
+            .pivot(col_col, list(col_order)).agg(F.count(F.lit(1))))
     return wide.select(row_col, *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast("long").alias(c)
                                   for c in col_order])
 
@@ -111,29 +120,35 @@ def misfiled_accounts(feat: DataFrame, profile: DataFrame, cluster_col: str = "c
 
 def _scaled(rfm: DataFrame, cols=SEGMENT_FEATURES):
     from pyspark.ml.feature import StandardScaler, VectorAssembler
-    va = VectorAssembler(inputCols=list(cols), outputCol="_raw", handleInvalid="skip")
+    va = VectorAssembler(inputCols=list(cols), outputCol="_raw", handleInvalid="error")
     vec = va.transform(rfm)
     scaler = StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True)
     return scaler.fit(vec).transform(vec)
 
 
-def kmeans_fit(rfm: DataFrame, k: int, seed: int = 42, restarts: int = 3, max_iter: int = 30):
-    """K-means on standardised features; best of ``restarts`` seeds by cost.
-
-    The scaled feature frame is persisted once and reused by every fit."""
+def _best_kmeans(data: DataFrame, k: int, seed: int, restarts: int, max_iter: int):
+    """The cheapest of ``restarts`` fits."""
     from pyspark.ml.clustering import KMeans
-    data = _scaled(rfm).persist()
     best = None
     for r in range(restarts):
         m = KMeans(k=k, seed=seed + r, maxIter=max_iter, featuresCol="features",
                    predictionCol="cluster").fit(data)
         if best is None or m.summary.trainingCost < best.summary.trainingCost:
             best = m
-    return best, data
+    return best
+
+
+def kmeans_fit(rfm: DataFrame, k: int, seed: int = 42, restarts: int = 10, max_iter: int = 300):
+    """K-means on standardised features; best of ``restarts`` seeds by cost.
+    A null feature is an error.
+
+    The scaled feature frame is persisted once and reused by every fit."""
+    data = _scaled(rfm).persist()
+    return _best_kmeans(data, k, seed, restarts, max_iter), data
 
 
 def kmeans_segments(rfm: DataFrame, tier_order, k: int = 4, seed: int = 42,
-                    restarts: int = 3) -> DataFrame:
+                    restarts: int = 10) -> DataFrame:
     model, data = kmeans_fit(rfm, k, seed, restarts)
     feat = model.transform(data).drop("_raw", "features")
     prof = cluster_profile(feat, tier_order)
@@ -145,17 +160,17 @@ def kmeans_segments(rfm: DataFrame, tier_order, k: int = 4, seed: int = 42,
                     "acceptance_rate", "avg_price_ratio"))
 
 
-def kmeans_k_sweep(rfm: DataFrame, ks, seed: int = 42) -> DataFrame:
+def kmeans_k_sweep(rfm: DataFrame, ks, seed: int = 42, restarts: int = 10,
+                   max_iter: int = 300) -> DataFrame:
     """Inertia and silhouette for each k (driver loop over k only; each fit
     is distributed). Spark's silhouette uses squared Euclidean distance."""
-    from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
     data = _scaled(rfm).persist()
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="cluster",
                              distanceMeasure="squaredEuclidean")
     rows = []
     for k in ks:
-        m = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(data)
+        m = _best_kmeans(data, k, seed, restarts, max_iter)
         rows.append((int(k), float(m.summary.trainingCost), float(ev.evaluate(m.transform(data)))))
     return rfm.sparkSession.createDataFrame(
         rows, "k int, inertia double, silhouette_sq_euclidean double")

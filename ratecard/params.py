@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 
 @dataclass(frozen=True)
@@ -42,11 +42,13 @@ class AnalysisParams:
     test_fraction: float = 0.25
     # forecasting
     forecast_horizon: int = 3
-    # model settings (trees are slow locally: parameters, not constants)
+    # price test: share of the accounts that take part
+    sample_fraction: float = 0.6
+    # model settings
     seed: int = 42
-    gbt_iter: int = 20
-    n_buckets: int = 0  # 0 = spark.sql.shuffle.partitions
-    extra: dict = field(default_factory=dict)
+    gbt_iter: int = 300            # pricing and churn models
+    forecast_gbt_iter: int = 250   # recursive forecaster
+    dependence_points: int = 100
 
     def with_(self, **kw) -> "AnalysisParams":
         return replace(self, **kw)

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ratecard.operators import features as fe
 from ratecard.plans.context import Tables
+from ratecard.session import freeze
+from ratecard.sources.conformed import source_key
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 # queries whose result comes from a fitted model / iterative algorithm:
@@ -326,7 +328,8 @@ def _model_metrics(models: dict, test: DataFrame, label: str) -> DataFrame:
     from functools import reduce
     parts = []
     for name, m in models.items():
-        sc = ch.positive_probability(m, test, "p").select(label, "p").persist()
+        # written once: every metric reads the same scores, and no model runs again
+        sc = freeze(ch.positive_probability(m, test, "p").select(label, "p"))
         frames = [rk.roc_auc(sc, "p", label).select(F.lit("roc_auc").alias("metric"),
                                                      F.col("roc_auc").alias("value")),
                   rk.average_precision(sc, "p", label).select(
@@ -339,22 +342,48 @@ def _model_metrics(models: dict, test: DataFrame, label: str) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+# fitted models by (source state, parameters, name): the queries of one
+# session share a fit as long as the source tables stay as they are
+_FITS: dict = {}
+MODELS = ("Logistic Regression", "Gradient Boosting")
+
+
+def fitted(t: Tables, name: str, make: Callable):
+    key = (source_key(t.spark, t.sf_dir), t.p, name)
+    if key not in _FITS:
+        _FITS[key] = make()
+    return _FITS[key]
+
+
+def pricing_split(t: Tables) -> DataFrame:
+    return pr.time_split(priced_quotes(t), t.p.holdout_months)
+
+
+def pricing_model(t: Tables, which: str):
+    """The acceptance model, trained before the holdout months."""
+    def make():
+        train = (pricing_split(t).where("split = 'train'")
+                 .select(*pr.NUM_FEATURES, *pr.CAT_FEATURES, "accepted").persist())
+        try:
+            return pr.fit_response_model(train, which, t.p.gbt_iter, t.p.seed)
+        finally:
+            train.unpersist()
+    return fitted(t, f"pricing {which}", make)
+
+
 @query("pricing_model_metrics", rows_only=True)
 def q_pricing_model_metrics(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    s = pr.time_split(priced_quotes(t), t.p.holdout_months).persist()
-    models = pr.fit_response_models(s.where("split = 'train'"), t.p.gbt_iter, t.p.seed)
-    return _model_metrics(models, s.where("split = 'test'"), "accepted")
+    models = {which: pricing_model(t, which) for which in MODELS}
+    return _model_metrics(models, pricing_split(t).where("split = 'test'"), "accepted")
 
 
 @query("gbt_demand_curve", rows_only=True)
 def q_gbt_demand_curve(spark, sf_dir):
     t = Tables(spark, sf_dir)
     q = priced_quotes(t)
-    s = pr.time_split(q, t.p.holdout_months)
-    models = pr.fit_response_models(s.where("split = 'train'"), t.p.gbt_iter, t.p.seed)
     curves = pr.demand_curve(typical_of(t, q), pr.support_bound(q, t.p.support_quantile),
-                             pr.model_scorer(models["Gradient Boosting"]),
+                             pr.model_scorer(pricing_model(t, "Gradient Boosting")),
                              t.p.grid_start, t.p.grid_step, t.p.grid_points)
     return pr.recommend_price(curves, q)
 
@@ -365,15 +394,13 @@ import datetime as _dt  # noqa: E402
 
 from ratecard.operators import experiment as ex  # noqa: E402
 
-SAMPLE_FRACTION = 0.6
-
 
 def window_of(t: Tables):
     return t.p.as_of - _dt.timedelta(days=t.p.experiment_days), t.p.as_of
 
 
 def assigned_of(t: Tables) -> DataFrame:
-    return ex.assign_arms(ex.sample_accounts(t.accounts(), SAMPLE_FRACTION, t.p.salt), t.p.salt)
+    return ex.assign_arms(ex.sample_accounts(t.accounts(), t.p.sample_fraction, t.p.salt), t.p.salt)
 
 
 def experiment_of(t: Tables) -> DataFrame:
@@ -384,7 +411,7 @@ def experiment_of(t: Tables) -> DataFrame:
 @query("ab_sample")
 def q_ab_sample(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return ex.sample_accounts(t.accounts(), SAMPLE_FRACTION, t.p.salt).select(
+    return ex.sample_accounts(t.accounts(), t.p.sample_fraction, t.p.salt).select(
         "customer_id", "true_segment")
 
 
@@ -501,7 +528,7 @@ def dense_of(t: Tables) -> DataFrame:
     ``spark.sql.shuffle.partitions`` near-empty ones."""
     panel = fe.drop_open_month(fe.monthly_revenue(t.quotes(with_part=False), t.p.panel_start),
                                t.p.as_of)
-    return fc.dense_panel(panel).coalesce(1)
+    return fc.dense_panel(panel).repartition(1)
 
 
 def backtest_of(t: Tables) -> DataFrame:
@@ -630,55 +657,70 @@ def q_forward_trend(spark, sf_dir):
 def q_forward_pivot(spark, sf_dir):
     t = Tables(spark, sf_dir)
     f = forward_of(t)
-    wide = f.groupBy("month").pivot("segment", list(t.p.tier_order)).agg(F.first("blended_forecast"))
+    wide = (f.withColumn("segment", sg.listed("segment", t.p.tier_order)).groupBy("month")
+            .pivot("segment", list(t.p.tier_order)).agg(F.first("blended_forecast")))
     return wide.select("month", *[R(F.col(f"`{s}`"), 4).alias(s) for s in t.p.tier_order])
 
 
+def forecast_model(t: Tables, dense: DataFrame, cut=None):
+    """The boosted forecaster, trained on the months before ``cut`` (None: on all)."""
+    def make():
+        train = fc.lag_features(dense)
+        return fc.gbt_model(train if cut is None else train.where(F.col("month") < cut),
+                            t.p.forecast_gbt_iter, t.p.seed)
+    return fitted(t, f"forecast {'all' if cut is None else 'backtest'}", make)
+
+
 @query("gbt_recursive_forecast", rows_only=True)
 def q_gbt_recursive_forecast(spark, sf_dir):
     t = Tables(spark, sf_dir)
     dense = dense_of(t).persist()
     cut = fc.holdout_start(dense, t.p.holdout_months)
-    feats = fc.lag_features(dense)
-    model = fc.gbt_model(feats.where(F.col("month") < cut), t.p.gbt_iter, t.p.seed)
+    model = forecast_model(t, dense, cut)
     out = fc.recursive_forecast(dense, cut, t.p.holdout_months, model)
     return out.join(dense.select("segment", "month", "revenue"), ["segment", "month"], "left")
 
 
 # ---- churn models (fitted: rows-only) ----------------------------------------
 
-def churn_fit_of(t: Tables):
-    mf = ch.churn_model_frame(churn_labels_of(t), t.p.salt, t.p.test_fraction).checkpoint()
-    models = ch.fit_churn_models(mf.where("split = 'train'"), t.p.gbt_iter, t.p.seed)
-    return mf, models
+def churn_frame(t: Tables) -> DataFrame:
+    return fitted(t, "churn frame", lambda: freeze(ch.churn_model_frame(
+        churn_labels_of(t), t.p.salt, t.p.test_fraction)))
+
+
+def churn_model(t: Tables, which: str):
+    return fitted(t, f"churn {which}", lambda: ch.fit_churn_model(
+        churn_frame(t).where("split = 'train'"), which, t.p.gbt_iter, t.p.seed))
 
 
 @query("churn_model_metrics", rows_only=True)
 def q_churn_model_metrics(spark, sf_dir):
-    mf, models = churn_fit_of(Tables(spark, sf_dir))
-    return _model_metrics(models, mf.where("split = 'test'"), "churned")
+    t = Tables(spark, sf_dir)
+    models = {which: churn_model(t, which) for which in MODELS}
+    return _model_metrics(models, churn_frame(t).where("split = 'test'"), "churned")
+
+
+def churn_scored(t: Tables, out: str = "score") -> DataFrame:
+    return ch.positive_probability(churn_model(t, "Gradient Boosting"), churn_frame(t), out)
 
 
 @query("churn_risk_scores", rows_only=True)
 def q_churn_risk_scores(spark, sf_dir):
-    mf, models = churn_fit_of(Tables(spark, sf_dir))
-    scored = ch.positive_probability(models["Gradient Boosting"], mf, "risk_score")
+    scored = churn_scored(Tables(spark, sf_dir), "risk_score")
     return scored.select("customer_id", "segment", "churned", "risk_score",
                          (F.col("split") == "train").alias("in_train"))
 
 
 @query("churn_decile_lift_model", rows_only=True)
 def q_churn_decile_lift_model(spark, sf_dir):
-    mf, models = churn_fit_of(Tables(spark, sf_dir))
-    test = ch.positive_probability(models["Gradient Boosting"], mf.where("split = 'test'"), "score")
-    return rk.decile_lift(test, "score", "churned", "customer_id")
+    test = churn_scored(Tables(spark, sf_dir)).where("split = 'test'")
+    return rk.decile_lift(test.select("customer_id", "churned", "score"), "score", "churned", "customer_id")
 
 
 def _importance(t: Tables, n_repeats: int = 8) -> DataFrame:
-    mf, models = churn_fit_of(t)
-    test = mf.where("split = 'test'").select("customer_id", "churned", *ch.NUM_FEATURES,
+    test = churn_frame(t).where("split = 'test'").select("customer_id", "churned", *ch.NUM_FEATURES,
                                              *ch.CAT_FEATURES)
-    return ch.permutation_importance(ch.scorer(models["Gradient Boosting"]), test,
+    return ch.permutation_importance(ch.scorer(churn_model(t, "Gradient Boosting")), test,
                                      [*ch.NUM_FEATURES, *ch.CAT_FEATURES], "churned",
                                      "customer_id", n_repeats, t.p.seed)
 
@@ -693,9 +735,8 @@ def q_partial_dependence(spark, sf_dir):
     t = Tables(spark, sf_dir)
     imp = _importance(t).where(F.col("feature").isin(*ch.NUM_FEATURES)).checkpoint()
     top = imp.orderBy(F.col("importance_mean").desc(), "feature").first()["feature"]  # M25: top-1
-    mf, models = churn_fit_of(t)
-    test = mf.where("split = 'test'")
-    return ch.partial_dependence(ch.scorer(models["Gradient Boosting"]), test, top)
+    test = churn_frame(t).where("split = 'test'")
+    return ch.partial_dependence(ch.scorer(churn_model(t, "Gradient Boosting")), test, top, t.p.dependence_points)
 
 
 @query("gbt_backtest_metrics", rows_only=True)
@@ -709,7 +750,7 @@ def q_gbt_backtest_metrics(spark, sf_dir):
     coefs = fc.fit_trend(tidx.where(F.col("month") < cut))
     trend = fc.predict_trend(tidx.where(F.col("month") >= cut), coefs).select(
         "segment", "month", "revenue", "trend_forecast")
-    model = fc.gbt_model(fc.lag_features(dense).where(F.col("month") < cut), t.p.gbt_iter, t.p.seed)
+    model = forecast_model(t, dense, cut)
     rec = fc.recursive_forecast(dense, cut, t.p.holdout_months, model)
     bt = fc.seasonal_naive(dense, trend).join(rec, ["segment", "month"], "left")
     m = fc.backtest_metrics(bt, ("trend_seasonal", "recursive"))
@@ -720,26 +761,18 @@ def q_gbt_backtest_metrics(spark, sf_dir):
 
 def _pricing_single_model(spark, sf_dir, which: str) -> DataFrame:
     t = Tables(spark, sf_dir)
-    s = pr.time_split(priced_quotes(t), t.p.holdout_months).persist()
-    train = s.where("split = 'train'")
-    if which == "logit":
-        model = ch.fit_logistic(train, pr.CAT_FEATURES, pr.NUM_FEATURES, "accepted")
-        name = "Logistic Regression"
-    else:
-        model = ch.fit_gbt(train, pr.CAT_FEATURES, pr.NUM_FEATURES, "accepted", max_depth=4,
-                           step=0.08, max_iter=t.p.gbt_iter, seed=t.p.seed)
-        name = "Gradient Boosting"
-    return _model_metrics({name: model}, s.where("split = 'test'"), "accepted")
+    return _model_metrics({which: pricing_model(t, which)}, pricing_split(t).where("split = 'test'"),
+                          "accepted")
 
 
 @query("logit_metrics", rows_only=True)
 def q_logit_metrics(spark, sf_dir):
     """Held-out AUC, average precision, log-loss and Brier of the L2 logistic
     acceptance model (time split: last 6 months)."""
-    return _pricing_single_model(spark, sf_dir, "logit")
+    return _pricing_single_model(spark, sf_dir, "Logistic Regression")
 
 
 @query("gbt_metrics", rows_only=True)
 def q_gbt_metrics(spark, sf_dir):
     """The same metrics for the boosted acceptance model."""
-    return _pricing_single_model(spark, sf_dir, "gbt")
+    return _pricing_single_model(spark, sf_dir, "Gradient Boosting")

@@ -47,7 +47,6 @@ def get_session(
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
-        "spark.driver.memory": "16g",
     }
     if cluster:
         conf.update(CLUSTER_CONF)
@@ -75,6 +74,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors "
+                           "share; a machine-local folder would lose rows on a cluster")
     local = tempfile.mkdtemp(prefix="ratecard-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir()
@@ -104,4 +106,8 @@ def freeze(df, bucket_col: str | None = None, n_buckets: int | None = None):
         return spark.read.parquet(path)
     (df.write.mode("overwrite").format("parquet").bucketBy(n_buckets, bucket_col)
      .option("path", path).saveAsTable(name))
-    return spark.table(name)
+    frozen = spark.table(name)
+    # the frame knows its files and buckets; the catalog need not keep the
+    # (external) table, and dropping it leaves the files alone
+    spark.sql(f"DROP TABLE {name}")
+    return frozen

@@ -7,10 +7,13 @@ written once as parquet into the shared folder the cluster names in
 ``spark.checkpoint.dir`` (a private scratch folder only when unset, as in
 tests) and every query scans that copy.
 
-``quotes`` is range-partitioned on ``quote_date`` and sorted by
-(quote_date, customer_id) inside each file, so the date windows of the
-churn, pricing and experiment analyses skip files and row groups through
+``quotes`` is range-partitioned on (quote_date, customer_id, l_orderkey) --
+the date alone has too few values to spread a large table -- and sorted in
+that order inside each file, so the date windows of the churn, pricing and experiment analyses skip files and row groups through
 parquet min/max statistics (PushedFilters on quote_date).
+
+The first query of a session builds the tables, i.e. runs jobs while its
+plan is built; they are built anew when a file of a source table changes.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from ratecard.session import ensure_checkpoint_dir
-from ratecard.sources.testdata import load_accounts, load_quotes
+from ratecard.sources.testdata import load_accounts, load_quotes, load_table, source_version
 
 _CACHE: dict = {}
 
@@ -30,29 +33,38 @@ def _root(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/ratecard-conformed-{uuid.uuid4().hex[:12]}"
 
 
-def _file_count(spark: SparkSession, sf_dir: str) -> int:
+SOURCES = ("region", "nation", "customer", "part", "orders", "lineitem")
+
+
+def _file_count(spark: SparkSession, sf_dir: str, name: str) -> int:
     """One output file per core, or per ~128 MB of expanded input when that
     is more: enough scan parallelism on a cluster, no sea of tiny files."""
     from ratecard.operators.ranking import bucket_count
     cores = spark.sparkContext.defaultParallelism
-    lineitem = spark.read.parquet(f"{sf_dir.rstrip('/')}/lineitem.parquet")
-    return max(cores, bucket_count(lineitem))
+    return max(cores, bucket_count(load_table(spark, sf_dir, name)))
+
+
+def source_key(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names this state of the source tables in this session."""
+    root = sf_dir.rstrip("/")
+    return (spark.sparkContext.applicationId, root,
+            tuple(source_version(spark, f"{root}/{name}.parquet") for name in SOURCES))
 
 
 def conformed_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-    hit = _CACHE.get(key)
-    if hit is not None:
-        return hit
+    key = source_key(spark, sf_dir)
+    hit = _CACHE.get(key[:2])
+    if hit is not None and hit[0] == key:
+        return hit[1]
     root = _root(spark)
-    nparts = _file_count(spark, sf_dir)
-    (load_accounts(spark, sf_dir).repartition(nparts, "customer_id")
+    (load_accounts(spark, sf_dir).repartition(_file_count(spark, sf_dir, "customer"), "customer_id")
      .write.mode("overwrite").parquet(f"{root}/accounts"))
     # line-item keys ride along (parquet reads only the columns a query
     # asks for); they are the tie-breakers of the quote sequence id
-    (load_quotes(spark, sf_dir, keep_line_columns=True).repartitionByRange(nparts, "quote_date")
-     .sortWithinPartitions("quote_date", "customer_id")
+    (load_quotes(spark, sf_dir, keep_line_columns=True)
+     .repartitionByRange(_file_count(spark, sf_dir, "lineitem"), "quote_date", "customer_id", "l_orderkey")
+     .sortWithinPartitions("quote_date", "customer_id", "l_orderkey")
      .write.mode("overwrite").parquet(f"{root}/quotes"))
     tables = (spark.read.parquet(f"{root}/accounts"), spark.read.parquet(f"{root}/quotes"))
-    _CACHE[key] = tables
+    _CACHE[key[:2]] = (key, tables)
     return tables

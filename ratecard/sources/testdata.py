@@ -20,18 +20,21 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
-_READERS: dict = {}
+def source_version(spark: SparkSession, path: str) -> tuple:
+    """The files under ``path`` with their sizes and modification times (a
+    listing by the store's own file system): changes when the source does."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(hadoop, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
 
 
 def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Parquet scan of one testdata table. The unresolved scan is cached
-    per session and path, so repeated plans skip file listing and footer
-    schema inference; every caller still gets its own lazy plan on top."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (spark.sparkContext.applicationId, path)
-    if key not in _READERS:
-        _READERS[key] = spark.read.parquet(path)
-    return _READERS[key]
+    """Parquet scan of one testdata table."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _ntz(d: dt.date) -> F.Column:
@@ -51,7 +54,8 @@ def _orders(spark, sf_dir, start=None, end=None) -> DataFrame:
 
 
 def load_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per account that has at least one order.
+    """One row per account; ``signup_date`` (the first order) is null for an
+    account without orders.
 
     nation and region are fixed-size dimensions (25 and 5 rows in every
     TPC-H scale factor), so broadcasting them is size-safe.
@@ -67,7 +71,7 @@ def load_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cust = load_table(spark, sf_dir, "customer").select(
         "c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
     return (cust.join(geo, cust.c_nationkey == geo.n_nationkey)
-            .join(first_order, "c_custkey")
+            .join(first_order, "c_custkey", "left")
             .select(F.col("c_custkey").alias("customer_id"),
                     F.col("c_mktsegment").alias("true_segment"),
                     "signup_date", "industry", "region",
@@ -146,7 +150,7 @@ accounts AS (
   FROM customer c
   JOIN nation n ON c.c_nationkey = n.n_nationkey
   JOIN region r ON n.n_regionkey = r.r_regionkey
-  JOIN (SELECT o_custkey, CAST(MIN(o_orderdate) AS DATE) AS signup_date
+  LEFT JOIN (SELECT o_custkey, CAST(MIN(o_orderdate) AS DATE) AS signup_date
         FROM orders GROUP BY o_custkey) f ON f.o_custkey = c.c_custkey
 )"""
 
