@@ -24,9 +24,31 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(p)
 
 
+def runs_of_documents(off: np.ndarray, limit: int = 1 << 20) -> list[tuple[int, int]]:
+    """Ranges of documents of about ``limit`` bytes; a longer document is a range of its own."""
+    out, start, n = [], 0, len(off) - 1
+    while start < n:
+        stop = max(start + 1, int(np.searchsorted(off, off[start] + limit, side="right")) - 1)
+        out.append((start, min(stop, n)))
+        start = out[-1][1]
+    return out
+
+
+def in_runs(f, raw: np.ndarray, off: np.ndarray, *args) -> tuple[np.ndarray, np.ndarray]:
+    """``f`` over ranges of documents, so that its arrays stay small; results one after another."""
+    parts = [f(raw[off[a]:off[b]], off[a:b + 1] - off[a], *args) for a, b in runs_of_documents(off)]
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
 def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` of every document, A-Z lower-cased, in order,
     and the number of words per document. ``raw``/``off``: the documents' bytes and offsets."""
+    return in_runs(_word_hashes, raw, off)
+
+
+def _word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n_docs = len(off) - 1
     upper = (raw >= 65) & (raw <= 90)
     low = raw + (upper * np.uint8(32))
@@ -55,7 +77,11 @@ def shingle_hashes(raw: np.ndarray, off: np.ndarray, k: int = 5) -> tuple[np.nda
     """Distinct ``k``-word shingles of every document as sorted 64-bit hashes, one after another, and
     their number per document. A document with fewer words has its whole sequence as one shingle;
     without words it has none."""
-    words, counts = word_hashes(raw, off)
+    return in_runs(_shingle_hashes, raw, off, k)
+
+
+def _shingle_hashes(raw: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    words, counts = _word_hashes(raw, off)
     n_docs = len(counts)
     n_sh = np.where(counts >= k, counts - k + 1, np.minimum(counts, 1))
     first = np.concatenate([[0], np.cumsum(counts)])[:-1]

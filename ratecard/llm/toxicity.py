@@ -11,24 +11,30 @@ a logistic curve turns it into a score. The counts come from all labelled rows o
 fold; D and the curve are fitted on one further fold (at most ``CURVE_ROWS`` of its rows) with counts
 from the other folds.
 
-Words are counted in ``SLOTS`` slots by hash, so that the model sent to the tasks has a fixed size
-whatever the vocabulary.
+Words are counted in 2^SLOT_BITS slots by hash, so that the model has a fixed size whatever the
+vocabulary. The counts lie in the shared folder, where every worker reads them once; the driver never
+holds them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, likely_in, stored
+from .common import buffers, likely_in, shared_path, stored
 from .shingles import MULT, mix, word_hashes
 
-SLOT_BITS = 22
+SLOT_BITS = 21
+BROADCAST_ROWS = 1_000_000  # labels beyond this are joined by a shuffle
 FOLDS, HELD_OUT, CURVE_FOLD = 5, 0, 1
 CURVE_ROWS = 20_000
 DISCOUNTS = (0.75, 1.5, 2.0, 3.0, 5.0)
@@ -54,11 +60,11 @@ def slots_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def log_ratio(toxic: np.ndarray, ordinary: np.ndarray, discount: float) -> np.ndarray:
     """Per slot the log-ratio of the toxic and the ordinary probability, from continuation counts."""
-    shared = (toxic + ordinary) / max(1.0, (toxic + ordinary).sum())
+    shared = (toxic + ordinary) / max(1.0, (toxic + ordinary).sum(dtype=np.float64))
     p = []
     for counts in (toxic, ordinary):
         cut = np.maximum(counts - discount, 0.0)
-        total = cut.sum()
+        total = cut.sum(dtype=np.float64)
         p.append((1 - BACKOFF) * cut / total + BACKOFF * shared if total else shared)
     ratio = np.divide(p[0], p[1], out=np.ones_like(shared), where=p[1] > 0)
     return np.log1p(TOXIC_SHARE * (ratio - 1.0)).astype(np.float32)
@@ -71,7 +77,7 @@ def evidence(words: pa.Array, ratios: list[np.ndarray]) -> list[np.ndarray]:
     return [np.bincount(doc, r[slot], len(counts)) / np.maximum(counts, 1) for r in ratios]
 
 
-def continuation_counts(labelled: DataFrame) -> pd.DataFrame:
+def continuation_counts(labelled: DataFrame) -> DataFrame:
     """Per slot: the distinct predecessors of its words in toxic and ordinary rows (``toxic``,
     ``ordinary``), and the same without the curve fold (``toxic_rest``, ``ordinary_rest``).
     ``labelled``: words, toxic, fold. At most 2^SLOT_BITS rows."""
@@ -85,21 +91,23 @@ def continuation_counts(labelled: DataFrame) -> pd.DataFrame:
             before[first[counts > 0]] = 0
             toxic = np.repeat(b.column("toxic").to_numpy(zero_copy_only=False), counts).astype(np.uint64)
             curve = np.repeat(b.column("fold").to_numpy(zero_copy_only=False) == CURVE_FOLD, counts)
-            pair = mix(mix(before * MULT + hashes) * MULT + toxic)
-            # one row per pair and part of this batch
-            key = (pair & ~np.uint64(1)) | curve.astype(np.uint64)
-            _, at = np.unique(key, return_index=True)
-            yield pa.record_batch({
-                "pair": pair[at].view(np.int64), "slot": slot[at].astype(np.int32),
-                "toxic": toxic[at].astype(np.int8), "part": np.where(curve[at], 1, 2).astype(np.int8)})
-
-    seen = labelled.mapInArrow(pairs, "pair long, slot int, toxic tinyint, part tinyint")
-    distinct = seen.groupBy("pair", "slot", "toxic").agg(F.bit_or("part").alias("parts"))
-    count = lambda toxic, rest: F.sum(
-        ((F.col("toxic") == toxic) & ((F.col("parts") >= 2) | F.lit(not rest))).cast("long"))
+            # one number: the word's slot, a hash of the pair, the class; then the part
+            key = slot.astype(np.uint64) << np.uint64(64 - SLOT_BITS)
+            key |= (mix(before * MULT + hashes) >> np.uint64(SLOT_BITS)) & ~np.uint64(3)
+            key |= toxic << np.uint64(1) | curve.astype(np.uint64)
+            key = np.unique(key)
+            yield pa.record_batch({"pair": (key & ~np.uint64(1)).view(np.int64),
+                                   "part": np.where(key & np.uint64(1), 1, 2).astype(np.int8)})
+
+    seen = labelled.mapInArrow(pairs, "pair long, part tinyint")
+    distinct = seen.groupBy("pair").agg(F.bit_or("part").alias("parts")).select(
+        F.shiftrightunsigned("pair", 64 - SLOT_BITS).cast("int").alias("slot"),
+        F.col("pair").bitwiseAND(F.lit(2)) > 0, F.col("parts") >= 2).toDF("slot", "is_toxic", "in_rest")
+    count = lambda test: F.sum(F.expr(test).cast("int")).cast("int")
     return distinct.groupBy("slot").agg(
-        count(1, False).alias("toxic"), count(0, False).alias("ordinary"),
-        count(1, True).alias("toxic_rest"), count(0, True).alias("ordinary_rest")).toPandas()
+        count("is_toxic").alias("toxic"), count("NOT is_toxic").alias("ordinary"),
+        count("is_toxic AND in_rest").alias("toxic_rest"),
+        count("NOT is_toxic AND in_rest").alias("ordinary_rest"))
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
@@ -118,16 +126,32 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return w[0] / scale, w[1], float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
 
 
+@lru_cache(maxsize=len(DISCOUNTS) + 1)
+def ratio_table(folder: str, part: str, discount: float) -> np.ndarray:
+    """``log_ratio`` of the counts in ``folder``: of all folds (part "") or without the curve's."""
+    place, base = fs.FileSystem.from_uri(folder)
+    names = ["toxic" + part, "ordinary" + part]
+    rows = pq.read_table(base, columns=["slot", *names], filesystem=place)
+    counts = np.zeros((2, 1 << SLOT_BITS), np.float32)
+    for c, name in zip(counts, names):
+        c[rows.column("slot").to_numpy()] = rows.column(name).to_numpy()
+    return log_ratio(*counts, discount)
+
+
+@dataclass(frozen=True)
 class Model:
-    """Ratios per slot and the curve, or a constant score where one class has no rows."""
+    """Where the counts are, the discount and the curve; a constant score if there is no folder."""
 
-    def __init__(self, ratio: np.ndarray | None, slope: float, offset: float, constant: float = 0.0):
-        self.ratio, self.slope, self.offset, self.constant = ratio, slope, offset, constant
+    folder: str | None
+    discount: float = 0.0
+    slope: float = 0.0
+    offset: float = 0.0
+    constant: float = 0.0
 
     def score(self, words: pa.Array) -> np.ndarray:
-        if self.ratio is None:
+        if self.folder is None:
             return np.full(len(words), self.constant)
-        x = evidence(words, [self.ratio])[0]
+        x = evidence(words, [ratio_table(self.folder, "", self.discount)])[0]
         return 1 / (1 + np.exp(-np.clip(self.slope * x + self.offset, -500, 500)))
 
 
@@ -141,35 +165,32 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
              .groupBy("id", "fold").agg(F.max("toxic").alias("toxic")))
     known = stored(known, "labels")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    labelled = stored(likely_in(rows, known, ["id"]).join(known, "id")
-                      .select("id", words_of("text").alias("words"), "toxic", "fold"), "labelled")
-    got = continuation_counts(labelled)
-    tables = {}
-    for name in ("toxic", "ordinary", "toxic_rest", "ordinary_rest"):
-        tables[name] = np.zeros(1 << SLOT_BITS)
-        tables[name][got["slot"].to_numpy(np.int64)] = got[name].to_numpy(float)
-    if not tables["toxic"].any() or not tables["ordinary"].any():
-        return Model(None, 0.0, 0.0, float(tables["toxic"].any()))
-
-    ratios = [log_ratio(tables["toxic_rest"], tables["ordinary_rest"], d) for d in DISCOUNTS]
-    sent = docs.sparkSession.sparkContext.broadcast(ratios)  # fixed size: 2^SLOT_BITS floats each
+    if known.count() <= BROADCAST_ROWS:
+        joined = rows.join(F.broadcast(known), "id")
+    else:
+        joined = likely_in(rows, known, ["id"]).join(known.hint("merge"), "id")
+    labelled = stored(joined.select("id", words_of("text").alias("words"), "toxic", "fold"), "labelled")
+    folder = shared_path(docs.sparkSession, "counts")
+    continuation_counts(labelled).write.parquet(folder)
+    toxic, ordinary = docs.sparkSession.read.parquet(folder).agg(F.sum("toxic"), F.sum("ordinary")).first()
+    if not toxic or not ordinary:
+        return Model(None, constant=float(bool(toxic)))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = evidence(b.column("words"), sent.value)
+            x = evidence(b.column("words"), [ratio_table(folder, "_rest", d) for d in DISCOUNTS])
             yield pa.record_batch({"toxic": b.column("toxic"), **{f"x{i}": v for i, v in enumerate(x)}})
 
     schema = "toxic int, " + ", ".join(f"x{i} double" for i in range(len(DISCOUNTS)))
     curve = (labelled.filter(f"fold = {CURVE_FOLD}").orderBy(F.xxhash64("id"), "id").limit(CURVE_ROWS)
              .select("words", "toxic").mapInArrow(measured, schema).toPandas())
-    sent.unpersist()
     y = curve["toxic"].to_numpy(float)
     if 0 < y.sum() < len(y):
         slope, offset, _, discount = min((logistic(curve[f"x{i}"].to_numpy(), y) + (d,)
                                           for i, d in enumerate(DISCOUNTS)), key=lambda f: f[2])
     else:  # too few rows to fit a curve: equal likelihoods score 0.5
         slope, offset, discount = 100.0, 0.0, DISCOUNTS[0]
-    return Model(log_ratio(tables["toxic"], tables["ordinary"], discount), slope, offset)
+    return Model(folder, discount, float(slope), float(offset))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,11 +199,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     Null and empty texts get the score of no evidence. Rows are independent: repeated rows score
     alike, a row with a null id is scored and not held out; an empty table gives an empty result;
     other columns are never read."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch({"id": b.column("id"), "score": sent.value.score(b.column("words"))})
+            yield pa.record_batch({"id": b.column("id"), "score": model.score(b.column("words"))})
 
     kind = docs.schema[id_col].dataType.simpleString()
     return (docs.select(F.col(id_col).alias("id"), words_of(text_col).alias("words"))
@@ -194,10 +213,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def keep_ordinary(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows predicted toxic, all columns unchanged."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
     @F.pandas_udf("boolean")
     def ordinary(words: pd.Series) -> pd.Series:
-        return pd.Series(sent.value.score(pa.array(words, pa.string())) < 0.5)
+        return pd.Series(model.score(pa.array(words, pa.string())) < 0.5)
 
     return docs.filter(ordinary(words_of(text_col)))

@@ -49,7 +49,7 @@ def test_held_out_accuracy_and_odd_rows(spark):
 def test_continuation_counts(spark):
     rows = [(1, "a b a b", 1, 2), (2, "a b c", 0, 1), (3, "b c b", 0, 3), (4, "", 1, 1)]
     frame = spark.createDataFrame([(t, y, f) for _, t, y, f in rows], "words string, toxic int, fold long")
-    got = toxicity.continuation_counts(frame).set_index("slot")
+    got = toxicity.continuation_counts(frame).toPandas().set_index("slot")
     slot = dict(zip("abc", toxicity.slots_of(pa.array(["a b c"]))[1].tolist()))
     pairs = {(y, p, w, f != 1) for _, t, y, f in rows for p, w in zip([""] + t.split(), t.split())}
     for w, s in slot.items():
