@@ -108,6 +108,12 @@ def fit_logistic(train: DataFrame, cat_cols, num_cols, label_col: str, weight_co
     return Pipeline(stages=[*_prep_stages(cat_cols, num_cols, True), lr]).fit(train)
 
 
+def by_rows(train: DataFrame, rows: int = 50_000) -> DataFrame:
+    """Training rows in partitions of about ``rows``. Boosting runs several
+    short jobs per tree, so a small table must not pay for many tasks."""
+    return train.coalesce(max(1, -(-train.count() // rows)))
+
+
 def fit_gbt(train: DataFrame, cat_cols, num_cols, label_col: str, max_depth: int = 4,
             step: float = 0.06, max_iter: int = 300, seed: int = 42):
     """Gradient-boosted trees (tree training rejects NaN: impute first)."""
@@ -115,8 +121,8 @@ def fit_gbt(train: DataFrame, cat_cols, num_cols, label_col: str, max_depth: int
     from pyspark.ml.classification import GBTClassifier
     gbt = GBTClassifier(featuresCol="features", labelCol=label_col, maxDepth=max_depth,
                         stepSize=step, maxIter=max_iter, maxBins=255, seed=seed,
-                        checkpointInterval=10)
-    return Pipeline(stages=[*_prep_stages(cat_cols, num_cols, False), gbt]).fit(train)
+                        checkpointInterval=25)
+    return Pipeline(stages=[*_prep_stages(cat_cols, num_cols, False), gbt]).fit(by_rows(train))
 
 
 def positive_probability(model, df: DataFrame, out: str = "score") -> DataFrame:

@@ -177,7 +177,7 @@ def gbt_model(train_features: DataFrame, max_iter: int = 250, seed: int = 42):
               VectorAssembler(inputCols=["_seg_oh", *FEATURE_COLS], outputCol="features",
                               handleInvalid="keep"),
               GBTRegressor(featuresCol="features", labelCol="target", maxDepth=3, stepSize=0.07,
-                           maxIter=max_iter, maxBins=255, seed=seed, checkpointInterval=10)]
+                           maxIter=max_iter, maxBins=255, seed=seed, checkpointInterval=25)]
     model = Pipeline(stages=stages).fit(train_features)
 
     def predict(feats: DataFrame) -> DataFrame:
