@@ -10,7 +10,6 @@ functions  column-expression helpers (statistics, calendar, rounding)
 operators  the analytic operators (features, ranking, segments, pricing,
            churn, experiment, forecast)
 plans      the registered queries and their DuckDB oracle SQL
-streaming  incremental (Structured Streaming) form of the revenue roll-up
 """
 
 from ratecard.params import AnalysisParams, TESTDATA_PARAMS  # noqa: F401

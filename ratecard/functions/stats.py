@@ -2,10 +2,9 @@
 
 Spark has no ``erf``; the complementary error function below is the
 Chebyshev fit published by Press et al. (Numerical Recipes, ``erfcc``),
-fractional error below 1.2e-7 everywhere, written as a Column expression
-so p-values are computed in whole-stage codegen. The Student-t tail for
-Welch's test needs the incomplete beta function and runs as an Arrow
-``pandas_udf`` over the (few) aggregated rows only.
+fractional error below 1.2e-7 everywhere, written as a Column expression for row-level
+use. The p-values of tests are exact: the normal and the Student-t tail run
+as Arrow ``pandas_udf`` over the (few) aggregated rows only.
 """
 
 from __future__ import annotations
@@ -39,23 +38,19 @@ def erfc(x) -> Column:
     return F.when(x >= 0, ans).otherwise(F.lit(2.0) - ans)
 
 
-def erfc_sql(x: str) -> str:
-    """The same expression as DuckDB SQL text (for the oracle)."""
-    z = f"abs({x})"
-    t = f"(1.0 / (1.0 + 0.5 * {z}))"
-    poly = repr(ERFC_COEFFS[-1])
-    for coef in reversed(ERFC_COEFFS[:-1]):
-        poly = f"({coef!r} + {t} * {poly})"
-    ans = f"({t} * exp(-{z} * {z} + {poly}))"
-    return f"(CASE WHEN ({x}) >= 0 THEN {ans} ELSE 2.0 - {ans} END)"
-
-
 def normal_cdf(x) -> Column:
     return F.lit(0.5) * erfc(-_c(x) / F.lit(math.sqrt(2.0)))
 
 
+@F.pandas_udf(T.DoubleType())
+def _normal_p(z: pd.Series) -> pd.Series:
+    return z.map(lambda x: None if pd.isna(x) else math.erfc(abs(x) / math.sqrt(2.0))).astype("float64")
+
+
 def two_sided_normal_p(z) -> Column:
-    return erfc(F.abs(_c(z)) / F.lit(math.sqrt(2.0)))
+    """Two-sided normal p-value to double precision, for aggregated rows (an
+    Arrow UDF over a few rows; ``erfc`` is the JVM-side approximation)."""
+    return _normal_p(_c(z))
 
 
 def logistic(x) -> Column:

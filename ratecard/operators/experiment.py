@@ -200,7 +200,7 @@ def sample_size(quotes: DataFrame, window_quotes: DataFrame, mde: float, alpha:
 
 
 def summary(exp: DataFrame, quotes: DataFrame, drop: float, min_rows: int) -> DataFrame:
-    """One-row experiment summary (the Welch p-value is in ``welch_pvalue``)."""
+    """One-row experiment summary."""
     w = _wide(arm_stats(segment_arm_stats(exp)), [])
     zc = {c: col for c, col in zip(("ac", "at", "ad", "z", "pv"), ztest_columns())}
     wc = welch_columns()
@@ -208,10 +208,11 @@ def summary(exp: DataFrame, quotes: DataFrame, drop: float, min_rows: int) -> Da
                 .agg(F.max((F.col("accept_diff") < F.lit(-drop)).cast("int"))).scalar())
     vol = annual_volume(quotes)
     mc, mt = _mean("s1_c", "n_c"), _mean("s1_t", "n_t")
-    return w.select(zc["ac"], zc["at"], zc["pv"], wc[0], wc[1], wc[2], wc[3],
-                    (mt / F.nullif(mc, F.lit(0.0)) - 1).alias("rel_revenue_lift"),
-                    ((mt - mc) * vol).alias("projected_annual_impact"),
-                    (F.coalesce(breached, F.lit(0)) == 1).alias("guardrail_breached"))
+    out = w.select(zc["ac"], zc["at"], zc["pv"], *wc,
+                   (mt / F.nullif(mc, F.lit(0.0)) - 1).alias("rel_revenue_lift"),
+                   ((mt - mc) * vol).alias("projected_annual_impact"),
+                   (F.coalesce(breached, F.lit(0)) == 1).alias("guardrail_breached"))
+    return out.withColumn("rev_pval", t_two_sided_p(F.col("rev_t"), F.col("rev_df")))
 
 
 def decisions(effects: DataFrame, recs: DataFrame, drop: float) -> DataFrame:

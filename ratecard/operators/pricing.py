@@ -92,6 +92,17 @@ def demand_curve(typical: DataFrame, support: DataFrame, score: Callable[[DataFr
             .withColumn("well_supported", F.col("price_ratio") <= F.col("support_upper")))
 
 
+def unsupported_tail(curves: DataFrame) -> DataFrame:
+    """The curve beyond the supported range, joined to it: the last supported
+    point (``is_edge``) and all points after it, for segments that have any."""
+    w = Window.partitionBy("segment")   # grid points of one segment
+    sup = F.col("well_supported")
+    marked = (curves.withColumn("_edge", F.max(F.when(sup, F.col("price_ratio"))).over(w))
+              .withColumn("_beyond", F.count(F.when(~sup, F.lit(1))).over(w)))
+    return (marked.where(~sup | ((F.col("_beyond") > 0) & (F.col("price_ratio") == F.col("_edge"))))
+            .select("segment", "price_ratio", "expected_revenue", sup.alias("is_edge")))
+
+
 def current_ratio(quotes: DataFrame) -> DataFrame:
     return quotes.groupBy("segment").agg(dec_avg("price_ratio").alias("_current"))
 

@@ -264,6 +264,12 @@ def threshold_points(df: DataFrame, score_col: str, label_col: str,
         (F.col("tp") / n_pos).alias("recall"))
 
 
+def curve_with_ends(points: DataFrame, x: str, y: str, start: tuple[float, float]) -> DataFrame:
+    """A curve's (x, y) with its first point, at which nothing is predicted positive."""
+    first = points.sparkSession.createDataFrame([start], f"{x} double, {y} double")
+    return points.select(x, y).unionByName(first)
+
+
 def log_loss_brier(df: DataFrame, prob_col: str, label_col: str) -> DataFrame:
     eps = 2.220446049250313e-16
     p = F.least(F.greatest(F.col(prob_col), F.lit(eps)), F.lit(1 - eps))

@@ -92,13 +92,15 @@ def cluster_profile(feat: DataFrame, tier_order, cluster_col: str = "cluster",
         F.count(F.lit(1)).alias("n_customers"))
     prof = prof.join(dominant_tier(feat, cluster_col, tier_col, tier_order), cluster_col)
     # k rows: ordered windows over the whole (tiny) profile are bounded
-    by_money = Window.orderBy(F.col("monetary_per_year").desc(), F.col(cluster_col))
+    # names go by the profile as published, i.e. rounded to two decimals
+    by_money = Window.orderBy(F.round("monetary_per_year", 2).desc(), F.col(cluster_col))
     allw = Window.partitionBy(F.lit(1))
     prof = (prof.withColumn("_rk", F.row_number().over(by_money))
             .withColumn("_k", F.count(F.lit(1)).over(allw)))
     middle = (F.col("_rk") > 1) & (F.col("_rk") < F.col("_k"))
-    weakest_acc = F.min(F.when(middle, F.col("acceptance_rate"))).over(allw)
-    first_weak = F.min(F.when(middle & (F.col("acceptance_rate") == weakest_acc),
+    rate = F.round("acceptance_rate", 2)
+    weakest_acc = F.min(F.when(middle, rate)).over(allw)
+    first_weak = F.min(F.when(middle & (rate == weakest_acc),
                               F.col("_rk"))).over(allw)
     name = (F.when(F.col("_rk") == F.col("_k"), NAME_BOTTOM)
             .when(F.col("_rk") == 1, NAME_TOP)
@@ -116,6 +118,15 @@ def misfiled_accounts(feat: DataFrame, profile: DataFrame, cluster_col: str = "c
             .groupBy(tier_col, "cluster_name").agg(F.count(F.lit(1)).alias("n_accounts")))
 
 
+def misfiled_share(feat: DataFrame, profile: DataFrame, cluster_col: str = "cluster",
+                   tier_col: str = "true_segment") -> DataFrame:
+    """How many accounts sit in a cluster dominated by another tier, of all."""
+    tagged = feat.join(profile.select(cluster_col, "dominant_tier"), cluster_col)
+    wrong = F.count(F.when(F.col(tier_col) != F.col("dominant_tier"), F.lit(1)))
+    return (tagged.agg(F.count(F.lit(1)).alias("n_accounts"), wrong.alias("n_misfiled"))
+            .withColumn("share", F.col("n_misfiled") / F.col("n_accounts")))
+
+
 # ---- model path (Spark ML) --------------------------------------------------
 
 def _scaled(rfm: DataFrame, cols=SEGMENT_FEATURES):

@@ -2,18 +2,55 @@
 
 The driver registers the raw testdata tables as views; each statement
 rebuilds the logical tables as CTEs and recomputes the result from scratch
-with plain SQL (no Spark code involved). Aliases equal the Spark columns.
+with plain SQL. Nothing but the parameters is imported from the engine: the
+table mapping and window dates are written out here, and p-values come from
+numerical integration. Aliases equal the Spark columns.
 """
 
 from __future__ import annotations
 
-from ratecard.functions.calendar import add_months
-from ratecard.operators.features import churn_windows
+import datetime as _dt
+import math as _math
+from statistics import NormalDist
+
 from ratecard.params import TESTDATA_PARAMS as P
-from ratecard.sources.testdata import ACCOUNTS_SQL, QUOTES_SQL
 
 ORACLE_SQL: dict[str, str] = {}
 
+# ---- the logical tables -------------------------------------------------------
+
+ACCOUNTS_SQL = """
+accounts AS (
+  SELECT c.c_custkey AS customer_id, c.c_mktsegment AS true_segment, f.signup_date,
+         n.n_name AS industry, r.r_name AS region,
+         CASE WHEN c.c_acctbal >= 5000 THEN 'Contract' ELSE 'Spot' END AS contract_type
+  FROM customer c
+  JOIN nation n ON c.c_nationkey = n.n_nationkey
+  JOIN region r ON n.n_regionkey = r.r_regionkey
+  LEFT JOIN (SELECT o_custkey, CAST(MIN(o_orderdate) AS DATE) AS signup_date
+        FROM orders GROUP BY o_custkey) f ON f.o_custkey = c.c_custkey
+)"""
+
+_SQL_RATIO = ("(1 - CAST(l.l_discount AS DECIMAL(4,2))) * (1 + CAST(l.l_tax AS DECIMAL(4,2)))")
+
+QUOTES_SQL = f"""
+quotes AS (
+  SELECT o.o_custkey AS customer_id, c.c_mktsegment AS segment,
+         CAST(o.o_orderdate AS DATE) AS quote_date, p.p_type AS mode,
+         CASE WHEN o.o_orderpriority IN ('1-URGENT','2-HIGH') THEN 'Express' ELSE 'Standard' END
+           AS service_level,
+         l.l_quantity AS weight_kg, CAST(p.p_size AS DOUBLE) AS distance_km,
+         l.l_extendedprice AS competitor_price,
+         CAST({_SQL_RATIO} AS DOUBLE) AS price_ratio,
+         CAST(ROUND(CAST(l.l_extendedprice AS DECIMAL(15,2)) * {_SQL_RATIO}, 2) AS DOUBLE)
+           AS quoted_price,
+         CASE WHEN l.l_returnflag <> 'R' THEN 1 ELSE 0 END AS accepted
+  FROM lineitem l
+  JOIN orders o ON l.l_orderkey = o.o_orderkey
+  JOIN customer c ON c.c_custkey = o.o_custkey
+  JOIN part p ON p.p_partkey = l.l_partkey
+)"""
+
 
 def D(d) -> str:
     return f"DATE '{d.isoformat()}'"
@@ -38,7 +75,10 @@ def with_(*ctes: str) -> str:
 
 
 BASE = (ACCOUNTS_SQL, QUOTES_SQL)
-W = churn_windows(P)
+# The churn windows of the snapshot date 2001-08-02.
+W = {"prior_start": _dt.date(1999, 8, 2), "early_end": _dt.date(1999, 11, 2),
+     "late_start": _dt.date(2000, 5, 2), "cutoff": _dt.date(2000, 8, 2),
+     "label_end": _dt.date(2001, 2, 2)}
 OPEN_MONTH = P.as_of.replace(day=1)
 
 MONTHLY_CTE = f"""
@@ -137,6 +177,12 @@ rfm AS (
 ORACLE_SQL["monthly_revenue"] = with_(*BASE, MONTHLY_CTE) + "\nSELECT * FROM monthly"
 ORACLE_SQL["open_month_dropped"] = with_(*BASE, MONTHLY_CTE, PANEL_CTE) + "\nSELECT * FROM panel"
 
+ORACLE_SQL["holdout_month_labels"] = with_(*BASE, MONTHLY_CTE, PANEL_CTE) + f"""
+SELECT DISTINCT strftime(month, '%Y-%m') AS label, month FROM panel
+WHERE month > (SELECT MAX(month) FROM panel) - INTERVAL {P.holdout_months} MONTH"""
+
+ORACLE_SQL["accounts_from_csv"] = with_(*BASE) + "\nSELECT * FROM accounts"
+
 # ---- churn labels / RFM / KPIs ---------------------------------------------
 
 ORACLE_SQL["churn_labels"] = with_(*BASE, CHURN_CTE) + "\nSELECT * FROM churn"
@@ -230,13 +276,14 @@ dom AS (
 ),
 ranked AS (
   SELECT p.*, d.dominant_tier,
-         ROW_NUMBER() OVER (ORDER BY p.monetary_per_year DESC, p.cluster) AS rk,
+         ROW_NUMBER() OVER (ORDER BY {rnd('p.monetary_per_year', 2)} DESC, p.cluster) AS rk,
          COUNT(*) OVER () AS k
   FROM prof p JOIN dom d ON p.cluster = d.cluster
 ),
-w1 AS (SELECT *, MIN(CASE WHEN rk > 1 AND rk < k THEN acceptance_rate END) OVER () AS wacc
-       FROM ranked),
-w2 AS (SELECT *, MIN(CASE WHEN rk > 1 AND rk < k AND acceptance_rate = wacc THEN rk END)
+w0 AS (SELECT *, {rnd('acceptance_rate', 2)} AS acc2 FROM ranked),
+w1 AS (SELECT *, MIN(CASE WHEN rk > 1 AND rk < k THEN acc2 END) OVER () AS wacc
+       FROM w0),
+w2 AS (SELECT *, MIN(CASE WHEN rk > 1 AND rk < k AND acc2 = wacc THEN rk END)
                    OVER () AS fw FROM w1),
 named AS (
   SELECT *, CASE WHEN rk = k THEN 'Low-Engagement / Occasional'
@@ -257,6 +304,14 @@ FROM rc r JOIN named n ON r.cluster = n.cluster
 WHERE r.true_segment <> n.dominant_tier
 GROUP BY r.true_segment, n.cluster_name"""
 
+ORACLE_SQL["misfiled_share"] = with_(*BASE, RFM_CTE, RULE_CTE, PROFILE_CTE) + """
+SELECT COUNT(*) AS n_accounts,
+       CAST(COUNT(*) FILTER (WHERE r.true_segment <> n.dominant_tier) AS BIGINT) AS n_misfiled,
+       CAST(COUNT(*) FILTER (WHERE r.true_segment <> n.dominant_tier) AS DOUBLE) / COUNT(*) AS share
+FROM rc r JOIN named n ON r.cluster = n.cluster"""
+ORACLE_SQL["misfiled_top10"] = ORACLE_SQL["misfiled_accounts"] + """
+ORDER BY n_accounts DESC, r.true_segment, n.cluster_name LIMIT 10"""
+
 # ---- ranking metrics on the fixed arithmetic churn score -------------------
 
 SCORED_CTE = f"""
@@ -300,6 +355,13 @@ SELECT score AS threshold, CAST(tp AS DOUBLE) / CAST(tp + fp AS DOUBLE) AS preci
        CAST(tp AS DOUBLE) / {_tot[0]} AS recall
 FROM dc"""
 
+ORACLE_SQL["roc_curve"] = with_(*BASE, CHURN_CTE, SCORED_CTE, DESC_CTE) + f"""
+SELECT CAST(tp AS DOUBLE) / {_tot[0]} AS tpr, CAST(fp AS DOUBLE) / {_tot[1]} AS fpr FROM dc
+UNION ALL SELECT 0.0, 0.0"""
+ORACLE_SQL["pr_curve"] = with_(*BASE, CHURN_CTE, SCORED_CTE, DESC_CTE) + f"""
+SELECT CAST(tp AS DOUBLE) / CAST(tp + fp AS DOUBLE) AS precision, CAST(tp AS DOUBLE) / {_tot[0]} AS recall
+FROM dc UNION ALL SELECT 1.0, 0.0"""
+
 ORACLE_SQL["decile_lift"] = with_(*BASE, CHURN_CTE, SCORED_CTE) + """,
 r AS (SELECT churned, ROW_NUMBER() OVER (ORDER BY score, customer_id) AS rn, COUNT(*) OVER () AS n
       FROM scored),
@@ -357,11 +419,6 @@ JOIN customer c ON c.c_custkey = o.o_custkey"""
 
 # ---- pricing ------------------------------------------------------------------
 
-import datetime as _dt  # noqa: E402
-import math as _math  # noqa: E402
-
-from ratecard.functions.stats import erfc_sql, z_quantile  # noqa: E402
-
 QC_CTE = f"""
 qc AS (SELECT q.*, a.contract_type FROM quotes q LEFT JOIN accounts a ON q.customer_id = a.customer_id),
 cut AS (SELECT CAST(MAX(quote_date) - INTERVAL {P.holdout_months} MONTH AS DATE) AS cutoff FROM quotes)"""
@@ -434,6 +491,13 @@ curves AS (
 ORACLE_SQL["demand_curve_stub"] = with_(*BASE, QC_CTE, TYPICAL_CTE, SUPPORT_CTE, CURVE_CTE) + """
 SELECT * FROM curves"""
 
+ORACLE_SQL["demand_curve_tail"] = with_(*BASE, QC_CTE, TYPICAL_CTE, SUPPORT_CTE, CURVE_CTE) + """,
+lim AS (SELECT segment, MAX(price_ratio) FILTER (WHERE well_supported) AS edge,
+               COUNT(*) FILTER (WHERE NOT well_supported) AS beyond FROM curves GROUP BY segment)
+SELECT c.segment, c.price_ratio, c.expected_revenue, c.well_supported AS is_edge
+FROM curves c JOIN lim l ON c.segment = l.segment
+WHERE NOT c.well_supported OR (l.beyond > 0 AND c.price_ratio = l.edge)"""
+
 RECO_CTE = f"""
 best AS (
   SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY segment
@@ -481,7 +545,6 @@ FROM stest GROUP BY 1"""
 # ---- experiment ------------------------------------------------------------------
 
 _START = P.as_of - _dt.timedelta(days=P.experiment_days)
-_SQRT2 = repr(_math.sqrt(2.0))
 
 EXP_CTE = f"""
 samp AS (
@@ -532,6 +595,24 @@ swide AS (
 )"""
 
 
+def _two_sided_p(x: str, density: str) -> str:
+    """1 - 2 * the integral of a symmetric density (of u) from 0 to |x|, by
+    Simpson's rule with 2000 steps."""
+    u = f"(abs({x}) * i / CAST(2000.0 AS DOUBLE))"
+    weight = "CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return (f"(1 - 2 * (SELECT SUM({weight} * {density.replace('{u}', u)}) FROM range(0, 2001) AS g(i))"
+            f" * abs({x}) / CAST(6000.0 AS DOUBLE))")
+
+
+def _normal_p(z: str) -> str:
+    return _two_sided_p(z, "(exp(-0.5 * {u} * {u}) / sqrt(2 * pi()))")
+
+
+def _student_p(t: str, v: str) -> str:
+    return _two_sided_p(t, f"(exp(lgamma(({v} + 1) / 2) - lgamma({v} / 2)) / sqrt({v} * pi())"
+                           f" * pow(1 + {{u}} * {{u}} / {v}, -({v} + 1) / 2))")
+
+
 def _z_cols():
     p1 = "(CAST(x_c AS DOUBLE) / n_c)"
     p2 = "(CAST(x_t AS DOUBLE) / n_t)"
@@ -539,9 +620,9 @@ def _z_cols():
     se = (f"sqrt({pbar} * (1 - {pbar}) * (CAST(1.0 AS DOUBLE) / n_c + CAST(1.0 AS DOUBLE) / n_t))")
     z = f"(({p2} - {p1}) / {se})"
     se_diff = f"sqrt({p1} * (1 - {p1}) / n_c + {p2} * (1 - {p2}) / n_t)"
-    pval = erfc_sql(f"abs({z}) / {_SQRT2}")
+    pval = _normal_p(z)
     return dict(accept_control=p1, accept_treatment=p2, accept_diff=f"({p2} - {p1})", z=z,
-                accept_pval=rnd(pval, 12),
+                accept_pval=rnd(pval, 9),
                 ci_low=f"(({p2} - {p1}) - CAST(1.96 AS DOUBLE) * {se_diff})",
                 ci_high=f"(({p2} - {p1}) + CAST(1.96 AS DOUBLE) * {se_diff})")
 
@@ -587,6 +668,11 @@ SELECT n_c AS n_control, n_t AS n_treatment, {_WC['rev_control']} AS rev_control
        {_WC['rev_treatment']} AS rev_treatment, {rnd(_WC['rev_t'], 9)} AS rev_t,
        {rnd(_WC['rev_df'], 6)} AS rev_df
 FROM wide"""
+ORACLE_SQL["ab_welch_pvalue"] = with_(*BASE, EXP_CTE) + f"""
+SELECT n_c AS n_control, n_t AS n_treatment, {_WC['rev_control']} AS rev_control,
+       {_WC['rev_treatment']} AS rev_treatment, {rnd(_WC['rev_t'], 9)} AS rev_t,
+       {rnd(_WC['rev_df'], 6)} AS rev_df, {rnd(_student_p(_WC['rev_t'], _WC['rev_df']), 9)} AS rev_pval
+FROM wide"""
 ORACLE_SQL["ab_error_bars"] = with_(*BASE, EXP_CTE) + f"""
 SELECT arm, n, CAST(x AS DOUBLE) / n AS accept_rate,
        {rnd('CAST(1.96 AS DOUBLE) * sqrt((CAST(x AS DOUBLE) / n) * (1 - CAST(x AS DOUBLE) / n) / n)', 12)}
@@ -616,7 +702,7 @@ SELECT {_lift} AS rev_lift_per_quote, {VOLUME_SQL} AS annual_quote_volume,
        {_lift} * {VOLUME_SQL} AS projected_annual_impact
 FROM wide"""
 
-_za, _zb = repr(z_quantile(1 - P.alpha / 2)), repr(z_quantile(P.power))
+_za, _zb = repr(NormalDist().inv_cdf(1 - P.alpha / 2)), repr(NormalDist().inv_cdf(P.power))
 _p1 = "baseline_rate"
 _p2 = f"(baseline_rate + CAST({P.baseline_mde!r} AS DOUBLE))"
 _pbar = f"(({_p1} + {_p2}) / 2)"
@@ -638,6 +724,7 @@ SELECT {_ZC['accept_control']} AS accept_control, {_ZC['accept_treatment']} AS a
        {_ZC['accept_pval']} AS accept_pval,
        {_WC['rev_control']} AS rev_control, {_WC['rev_treatment']} AS rev_treatment,
        {rnd(_WC['rev_t'], 9)} AS rev_t, {rnd(_WC['rev_df'], 6)} AS rev_df,
+       {rnd(_student_p(_WC['rev_t'], _WC['rev_df']), 9)} AS rev_pval,
        {_mean_sql('s1_t', 'n_t')} / NULLIF({_mean_sql('s1_c', 'n_c')}, 0) - 1 AS rel_revenue_lift,
        {_lift} * {VOLUME_SQL} AS projected_annual_impact,
        COALESCE((SELECT MAX(CASE WHEN accept_diff < CAST({-P.guardrail_drop!r} AS DOUBLE) THEN 1 ELSE 0 END)

@@ -7,6 +7,7 @@ those of the matching oracle SQL in ``ratecard.plans.oracle``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 
 from ratecard.operators import features as fe
 from ratecard.plans.context import Tables
-from ratecard.session import freeze
+from ratecard.session import ensure_checkpoint_dir, freeze
 from ratecard.sources.conformed import source_key
+from ratecard.sources.io import ACCOUNT_SCHEMA, read_table, write_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 # queries whose result comes from a fitted model / iterative algorithm:
@@ -52,6 +54,25 @@ def q_open_month_dropped(spark, sf_dir):
                               t.p.as_of)
 
 
+@query("holdout_month_labels")
+def q_holdout_month_labels(spark, sf_dir):
+    """The months of the forecast holdout with their printed label."""
+    t = Tables(spark, sf_dir)
+    panel = fe.drop_open_month(fe.monthly_revenue(t.quotes(with_part=False), t.p.panel_start), t.p.as_of)
+    months = panel.select("month").distinct()
+    cut = F.add_months(months.agg(F.max("month")).scalar(), -t.p.holdout_months)
+    return months.where(F.col("month") > cut).select(
+        F.date_format("month", "yyyy-MM").alias("label"), "month")
+
+
+@query("accounts_from_csv")
+def q_accounts_from_csv(spark, sf_dir):
+    """The account table written as CSV and read back with its declared schema."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/accounts-csv-{uuid.uuid4().hex}"
+    write_table(Tables(spark, sf_dir).accounts(), path, fmt="csv")
+    return read_table(spark, path, ACCOUNT_SCHEMA, fmt="csv")
+
+
 # ---- churn labels / RFM / KPIs ---------------------------------------------
 
 def churn_labels_of(t: Tables) -> DataFrame:
@@ -137,6 +158,20 @@ def q_misfiled_accounts(spark, sf_dir):
     return sg.misfiled_accounts(feat, sg.cluster_profile(feat, t.p.tier_order))
 
 
+@query("misfiled_share")
+def q_misfiled_share(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    feat = rule_clusters_of(t)
+    return sg.misfiled_share(feat, sg.cluster_profile(feat, t.p.tier_order))
+
+
+@query("misfiled_top10")
+def q_misfiled_top10(spark, sf_dir):
+    """The ten most frequent (tier, cluster) pairs of misfiled accounts."""
+    return (q_misfiled_accounts(spark, sf_dir)
+            .orderBy(F.col("n_accounts").desc(), "true_segment", "cluster_name").limit(10))
+
+
 @query("kmeans_segments", rows_only=True)
 def q_kmeans_segments(spark, sf_dir):
     t = Tables(spark, sf_dir)
@@ -195,6 +230,18 @@ def q_pr_points(spark, sf_dir):
     return pts.select("threshold", "precision", "recall")
 
 
+@query("roc_curve")
+def q_roc_curve(spark, sf_dir):
+    pts = rk.threshold_points(stub_scored(Tables(spark, sf_dir)), "score", "churned")
+    return rk.curve_with_ends(pts, "fpr", "tpr", (0.0, 0.0))
+
+
+@query("pr_curve")
+def q_pr_curve(spark, sf_dir):
+    pts = rk.threshold_points(stub_scored(Tables(spark, sf_dir)), "score", "churned")
+    return rk.curve_with_ends(pts, "recall", "precision", (0.0, 1.0))
+
+
 @query("decile_lift")
 def q_decile_lift(spark, sf_dir):
     return rk.decile_lift(stub_scored(Tables(spark, sf_dir)), "score", "churned", "customer_id")
@@ -300,6 +347,11 @@ def q_demand_curve_stub(spark, sf_dir):
                     "expected_revenue", "well_supported")
 
 
+@query("demand_curve_tail")
+def q_demand_curve_tail(spark, sf_dir):
+    return pr.unsupported_tail(stub_curves(Tables(spark, sf_dir)))
+
+
 @query("price_recommendation_stub")
 def q_price_recommendation_stub(spark, sf_dir):
     return stub_recommendation(Tables(spark, sf_dir))
@@ -448,7 +500,7 @@ def q_ab_arm_rollup(spark, sf_dir):
 @query("ab_ztest")
 def q_ab_ztest(spark, sf_dir):
     z = ex.ztest(experiment_of(Tables(spark, sf_dir)))
-    return z.select(*[R(c, 12).alias(c) if c == "accept_pval" else F.col(c) for c in z.columns])
+    return z.select(*[R(c, 9).alias(c) if c == "accept_pval" else F.col(c) for c in z.columns])
 
 
 @query("ab_welch")
@@ -458,9 +510,11 @@ def q_ab_welch(spark, sf_dir):
                     R("rev_t", 9).alias("rev_t"), R("rev_df", 6).alias("rev_df"))
 
 
-@query("ab_welch_pvalue", rows_only=True)
+@query("ab_welch_pvalue")
 def q_ab_welch_pvalue(spark, sf_dir):
-    return ex.welch_pvalue(experiment_of(Tables(spark, sf_dir)))
+    w = ex.welch_pvalue(experiment_of(Tables(spark, sf_dir)))
+    return w.select("n_control", "n_treatment", "rev_control", "rev_treatment", R("rev_t", 9).alias("rev_t"),
+                    R("rev_df", 6).alias("rev_df"), R("rev_pval", 9).alias("rev_pval"))
 
 
 @query("ab_error_bars")
@@ -477,7 +531,7 @@ def effects_of(t: Tables) -> DataFrame:
 @query("ab_segment_effects")
 def q_ab_segment_effects(spark, sf_dir):
     e = effects_of(Tables(spark, sf_dir))
-    return e.select(*[R(c, 12).alias(c) if c == "accept_pval" else F.col(c) for c in e.columns])
+    return e.select(*[R(c, 9).alias(c) if c == "accept_pval" else F.col(c) for c in e.columns])
 
 
 @query("ab_guardrail")
@@ -504,8 +558,8 @@ def q_ab_sample_size(spark, sf_dir):
 def q_ab_summary(spark, sf_dir):
     t = Tables(spark, sf_dir)
     s = ex.summary(experiment_of(t), t.quotes(with_part=False), t.p.guardrail_drop, t.p.min_arm_rows)
-    return s.select(*[R(c, 12).alias(c) if c == "accept_pval"
-                      else R(c, 9).alias(c) if c == "rev_t"
+    return s.select(*[R(c, 9).alias(c) if c == "accept_pval"
+                      else R(c, 9).alias(c) if c in ("rev_t", "rev_pval")
                       else R(c, 6).alias(c) if c == "rev_df" else F.col(c) for c in s.columns])
 
 
@@ -531,16 +585,17 @@ def dense_of(t: Tables) -> DataFrame:
     return fc.dense_panel(panel).repartition(1)
 
 
-def backtest_of(t: Tables) -> DataFrame:
-    """Holdout rows with actual, seasonal-naive, trend and recursive-stub
-    forecasts."""
+def backtest_of(t: Tables, boosted: bool = False) -> DataFrame:
+    """Holdout rows with actual, seasonal-naive, trend and recursive
+    forecasts (of the arithmetic stand-in, or of the boosted model)."""
     dense = dense_of(t).persist()    # small panel reused by every branch
     cut = fc.holdout_start(dense, t.p.holdout_months)
     tidx = fc.with_time_index(dense)
     coefs = fc.fit_trend(tidx.where(F.col("month") < cut))
     test = tidx.where(F.col("month") >= cut)
     trend = fc.predict_trend(test, coefs).select("segment", "month", "revenue", "trend_forecast")
-    rec = fc.recursive_forecast(dense, cut, t.p.holdout_months, fc.stub_recursive_model)
+    step = forecast_model(t, dense, cut) if boosted else fc.stub_recursive_model
+    rec = fc.recursive_forecast(dense, cut, t.p.holdout_months, step)
     bt = fc.seasonal_naive(dense, trend).join(rec, ["segment", "month"], "left")
     return bt.select("segment", "month", "revenue", "naive_forecast", "trend_forecast", "forecast")
 
@@ -627,7 +682,7 @@ def q_bottom_up_total(spark, sf_dir):
                                   R(F.sum("blended_forecast"), 4).alias("blended_forecast"))
 
 
-def forward_of(t: Tables) -> DataFrame:
+def forward_of(t: Tables, boosted: bool = False) -> DataFrame:
     """Refit on the full history, roll ``forecast_horizon`` months forward
     with both methods and keep each segment's backtest winner."""
     dense = dense_of(t).persist()
@@ -638,9 +693,10 @@ def forward_of(t: Tables) -> DataFrame:
            .select("segment", F.add_months("_m", F.col("_k")).alias("month"),
                    (F.col("_i") + F.col("_k")).alias("time_idx")))
     trend = fc.predict_trend(fut, coefs)
-    rec = fc.recursive_forecast(dense, None, t.p.forecast_horizon, fc.stub_recursive_model)
+    step = forecast_model(t, dense) if boosted else fc.stub_recursive_model
+    rec = fc.recursive_forecast(dense, None, t.p.forecast_horizon, step)
     fwd = rec.join(trend.select("segment", "month", "trend_forecast"), ["segment", "month"])
-    winners = metrics_of(backtest_of(t)).select("segment", "best_method")
+    winners = metrics_of(backtest_of(t, boosted)).select("segment", "best_method")
     return (fwd.join(winners, "segment", "left")
             .withColumn("blended_forecast",
                         F.when(F.col("best_method") == "trend_seasonal", F.col("trend_forecast"))
@@ -776,3 +832,57 @@ def q_logit_metrics(spark, sf_dir):
 def q_gbt_metrics(spark, sf_dir):
     """The same metrics for the boosted acceptance model."""
     return _pricing_single_model(spark, sf_dir, "Gradient Boosting")
+
+
+@query("gbt_backtest_table", rows_only=True)
+def q_gbt_backtest_table(spark, sf_dir):
+    """Backtest with the boosted forecaster, blended by its own winners."""
+    bt = backtest_of(Tables(spark, sf_dir), boosted=True)
+    return _r4(fc.blend(bt, metrics_of(bt)), _FC)
+
+
+@query("gbt_bottom_up_total", rows_only=True)
+def q_gbt_bottom_up_total(spark, sf_dir):
+    b = q_gbt_backtest_table(spark, sf_dir)
+    return b.groupBy("month").agg(F.sum("revenue").alias("actual"),
+                                  F.sum("blended_forecast").alias("blended_forecast"))
+
+
+@query("gbt_forward", rows_only=True)
+def q_gbt_forward(spark, sf_dir):
+    """Forward forecast with the boosted model refitted on all history."""
+    return _r4(forward_of(Tables(spark, sf_dir), boosted=True), _FC)
+
+
+def _curve_tables(models: dict, test: DataFrame, label: str, table) -> DataFrame:
+    """One table per fitted model, stacked under the model's name."""
+    parts = [table(freeze(ch.positive_probability(m, test, "p").select(label, "p")))
+             .withColumn("model", F.lit(name)) for name, m in models.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("churn_model_curves", rows_only=True)
+def q_churn_model_curves(spark, sf_dir):
+    """ROC and precision-recall points of both churn models."""
+    t = Tables(spark, sf_dir)
+    return _curve_tables({w: churn_model(t, w) for w in MODELS}, churn_frame(t).where("split = 'test'"),
+                         "churned", lambda s: rk.threshold_points(s, "p", "churned"))
+
+
+@query("pricing_model_curves", rows_only=True)
+def q_pricing_model_curves(spark, sf_dir):
+    """ROC and precision-recall points of both acceptance models."""
+    t = Tables(spark, sf_dir)
+    return _curve_tables({w: pricing_model(t, w) for w in MODELS}, pricing_split(t).where("split = 'test'"),
+                         "accepted", lambda s: rk.threshold_points(s, "p", "accepted"))
+
+
+@query("pricing_model_calibration", rows_only=True)
+def q_pricing_model_calibration(spark, sf_dir):
+    """Reliability table of both acceptance models."""
+    t = Tables(spark, sf_dir)
+    return _curve_tables({w: pricing_model(t, w) for w in MODELS}, pricing_split(t).where("split = 'test'"),
+                         "accepted", lambda s: rk.calibration_bins(s, "p", "accepted"))

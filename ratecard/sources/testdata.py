@@ -138,38 +138,3 @@ def load_quotes(spark: SparkSession, sf_dir: str, start: dt.date | None = None,
                  if c not in ("l_quantity", "l_extendedprice", "l_partkey")]
         cols.append(F.col("l_partkey"))
     return q.select(*cols)
-
-
-# ---- the same mapping as DuckDB SQL (used by the oracle) -------------------
-
-ACCOUNTS_SQL = """
-accounts AS (
-  SELECT c.c_custkey AS customer_id, c.c_mktsegment AS true_segment, f.signup_date,
-         n.n_name AS industry, r.r_name AS region,
-         CASE WHEN c.c_acctbal >= 5000 THEN 'Contract' ELSE 'Spot' END AS contract_type
-  FROM customer c
-  JOIN nation n ON c.c_nationkey = n.n_nationkey
-  JOIN region r ON n.n_regionkey = r.r_regionkey
-  LEFT JOIN (SELECT o_custkey, CAST(MIN(o_orderdate) AS DATE) AS signup_date
-        FROM orders GROUP BY o_custkey) f ON f.o_custkey = c.c_custkey
-)"""
-
-_SQL_RATIO = ("(1 - CAST(l.l_discount AS DECIMAL(4,2))) * (1 + CAST(l.l_tax AS DECIMAL(4,2)))")
-
-QUOTES_SQL = f"""
-quotes AS (
-  SELECT o.o_custkey AS customer_id, c.c_mktsegment AS segment,
-         CAST(o.o_orderdate AS DATE) AS quote_date, p.p_type AS mode,
-         CASE WHEN o.o_orderpriority IN ('1-URGENT','2-HIGH') THEN 'Express' ELSE 'Standard' END
-           AS service_level,
-         l.l_quantity AS weight_kg, CAST(p.p_size AS DOUBLE) AS distance_km,
-         l.l_extendedprice AS competitor_price,
-         CAST({_SQL_RATIO} AS DOUBLE) AS price_ratio,
-         CAST(ROUND(CAST(l.l_extendedprice AS DECIMAL(15,2)) * {_SQL_RATIO}, 2) AS DOUBLE)
-           AS quoted_price,
-         CASE WHEN l.l_returnflag <> 'R' THEN 1 ELSE 0 END AS accepted
-  FROM lineitem l
-  JOIN orders o ON l.l_orderkey = o.o_orderkey
-  JOIN customer c ON c.c_custkey = o.o_custkey
-  JOIN part p ON p.p_partkey = l.l_partkey
-)"""
