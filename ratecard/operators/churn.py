@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratecard.operators.ranking import exact_quantiles, group_sequence
+from ratecard.operators.ranking import exact_quantiles, group_sequence, with_group_size
 
 # The names of the model's columns.
 NUM_FEATURES = ("tenure_days_at_cutoff", "n_quotes_12m", "n_accepted_12m", "acceptance_rate_12m",
@@ -37,8 +37,7 @@ def stratified_split(df: DataFrame, strata_col: str, id_col: str, test_fraction:
     """
     keyed = df.withColumn("_h", hash_key(id_col, salt))
     ranked = group_sequence(keyed, [strata_col], ["_h"], "_rn")
-    sizes = df.groupBy(strata_col).agg(F.count(F.lit(1)).alias("_ns"))
-    return (ranked.join(sizes, strata_col)
+    return (with_group_size(ranked, [strata_col], "_rn", "_ns")
             .withColumn("split", F.when(F.col("_rn") <= F.ceil(F.col("_ns") * test_fraction),
                                         "test").otherwise("train"))
             .drop("_h", "_rn", "_ns"))

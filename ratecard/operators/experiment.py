@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ratecard.functions.stats import t_two_sided_p, two_sided_normal_p, z_quantile
 from ratecard.operators.churn import hash_key
-from ratecard.operators.ranking import group_sequence, sequence_id
+from ratecard.operators.ranking import group_sequence, sequence_id, with_group_size
 
 Z95 = 1.96  # fixed value: half-width multiplier of the reported 95% intervals
 
@@ -26,7 +26,7 @@ def sample_accounts(accounts: DataFrame, fraction: float, salt: str) -> DataFram
     md5(salt||id) order (a global order computed without one task)."""
     keyed = accounts.withColumn("_h", hash_key("customer_id", salt + ":sample"))
     ranked = sequence_id(keyed, ["_h"], "_rk")
-    n = accounts.agg(F.count(F.lit(1))).scalar()
+    n = ranked.agg(F.max("_rk")).scalar()
     return ranked.where(F.col("_rk") <= F.ceil(n * F.lit(fraction))).drop("_h", "_rk")
 
 
@@ -35,8 +35,7 @@ def assign_arms(accounts: DataFrame, salt: str, segment_col: str = "true_segment
     md5(salt||id) order are control (control gets the smaller half)."""
     keyed = accounts.withColumn("_h", hash_key("customer_id", salt))
     ranked = group_sequence(keyed, [segment_col], ["_h"], "_rn")
-    sizes = accounts.groupBy(segment_col).agg(F.count(F.lit(1)).alias("_ns"))
-    return (ranked.join(sizes, segment_col)
+    return (with_group_size(ranked, [segment_col], "_rn", "_ns")
             .withColumn("arm", F.when(F.col("_rn") <= F.floor(F.col("_ns") / 2), "control")
                         .otherwise("treatment"))
             .drop("_h", "_rn", "_ns"))

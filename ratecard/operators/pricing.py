@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ratecard.functions.exact import dec_avg
 from ratecard.functions.stats import isclose, logistic
 from ratecard.operators.ranking import exact_quantiles
+from ratecard.session import freeze
 
 # The names of the model's columns.
 NUM_FEATURES = ("price_ratio", "weight_kg", "distance_km", "competitor_price")
@@ -38,19 +39,24 @@ def time_split(quotes: DataFrame, months: int) -> DataFrame:
 
 
 def support_bound(quotes: DataFrame, q: float = 0.97) -> DataFrame:
-    """Per-segment exact quantile of price_ratio (linear interpolation).
-
-    ``percentile`` keeps one counter per distinct value; price ratios have
-    4 decimals in a narrow band, so the state per group is bounded."""
-    return quotes.groupBy("segment").agg(F.percentile("price_ratio", q).alias("support_upper"))
+    """Per-segment exact quantile of price_ratio (linear interpolation), by
+    distributed running counts: no task holds a segment's distinct ratios."""
+    return exact_quantiles(quotes, ["segment"], "price_ratio", [q]).select(
+        "segment", F.col("value").alias("support_upper"))
 
 
 def typical_shipment(test: DataFrame, train: DataFrame) -> DataFrame:
     """Per segment: medians of the numeric shipment columns and modes
     (smallest value on ties) of the categorical ones, from the test rows,
-    falling back to the training rows for segments absent from test."""
-    fallback = train.join(test.select("segment").distinct(), "segment", "left_anti")
-    rows = test.unionByName(fallback, allowMissingColumns=True)
+    falling back to the training rows for segments absent from test. The
+    test rows are written once, with these columns only; training rows are
+    read beyond their segment only if a segment is absent."""
+    cols = ["segment", *TYPICAL_NUM, *TYPICAL_CAT]
+    rows = freeze(test.select(*cols))
+    absent = freeze(train.select("segment").distinct()
+                    .join(rows.select("segment").distinct(), "segment", "left_anti"))
+    if not absent.isEmpty():
+        rows = rows.unionByName(freeze(train.select(*cols).join(absent, "segment", "left_semi")))
     long = rows.select("segment", F.inline(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v"))
         for c in TYPICAL_NUM])))

@@ -125,6 +125,14 @@ def group_sequence(df: DataFrame, group_cols: Sequence[str], order_by: Sequence,
     return group_running_totals(df, group_cols, order_by, {name: F.lit(1)}, n_buckets)
 
 
+def with_group_size(ranked: DataFrame, group_cols: Sequence[str], rank: str, name: str) -> DataFrame:
+    """Rows ranked by ``group_sequence`` with their group's size (its last
+    rank); few groups are broadcast, so a hot group is not shuffled."""
+    g = list(group_cols)
+    sizes = freeze(ranked.groupBy(*g).agg(F.max(rank).alias(name)))
+    return ranked.join(F.broadcast(sizes) if few_groups(sizes) else sizes, g)
+
+
 def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
                     qs: Sequence[float], n_buckets: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (numpy default / SQL

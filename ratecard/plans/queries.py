@@ -283,10 +283,9 @@ def q_zscore_features(spark, sf_dir):
 def q_quote_sequence(spark, sf_dir):
     t = Tables(spark, sf_dir)
     q = t.quotes(with_part=False, keep_line_columns=True)
-    order = ["customer_id", "quote_date", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
-             "weight_kg", "competitor_price", "l_discount", "l_tax", "l_returnflag",
-             "l_linestatus", "l_shipdate"]
-    seq = rk.sequence_id(q, order, "quote_id")
+    # these name a line item; only they are sorted and carried
+    order = ["customer_id", "quote_date", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+    seq = rk.sequence_id(q.select(*order), order, "quote_id")
     return seq.select("quote_id", "customer_id", "quote_date", "l_orderkey", "l_linenumber")
 
 
