@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +74,13 @@ def likely_in(df: DataFrame, keys: DataFrame, on: list[str], slots: int = 1 << 2
     return df.withColumn("_slot", slot).join(F.broadcast(taken), "_slot", kind).drop("_slot")
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, so that arrays per word stay small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def buffers(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes and the offsets (from 0) of an Arrow string or binary array, without a copy.
     A null has no bytes."""

@@ -19,13 +19,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, likely_in, stored
+from .common import buffers, likely_in, shared_path, small, stored
 from .graph import components
 from .shingles import MULT, mix, runs_of_documents, shingle_hashes
 
@@ -77,7 +80,7 @@ def list_array(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
 def with_signatures(rows: DataFrame, k: int, a: int) -> DataFrame:
     """``rows`` (id, text) with n, fp1, fp2 and the hash collections a and b."""
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             n, prints, hashes = signatures(*buffers(batch.column("text")), k, a)
             prints, hashes = prints.view(np.int64), hashes.view(np.int64)
             each = np.full(len(n), a)
@@ -91,7 +94,7 @@ def with_signatures(rows: DataFrame, k: int, a: int) -> DataFrame:
 def with_sets(rows: DataFrame) -> DataFrame:
     """``rows`` (id, text) with the shingle set as sorted hashes."""
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             raw, off = buffers(batch.column("text"))
             for lo, hi in runs_of_documents(off):
                 h, counts = shingle_hashes(raw[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], SHINGLE)
@@ -124,24 +127,32 @@ def sizes_allow(percent: int):
     return F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent
 
 
+@lru_cache(maxsize=1)
+def rarity(folder: str) -> np.ndarray:
+    """Occurrences per slot, read once per worker."""
+    place, base = fs.FileSystem.from_uri(folder)
+    rows = pq.read_table(base, filesystem=place)
+    often = np.zeros(1 << SLOT_BITS, np.int32)
+    often[rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
+    return often
+
+
 def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
     """Prefixes of ``sets`` (node, comp, n, hashes): the shingles of which two sets at the threshold
     share at least one, rarest first, with their positions. Rarity is counted in 2^SLOT_BITS slots, a
     table of fixed size; any fixed order of shingles is exact, a rough one only costs time."""
     slot = F.shiftrightunsigned(F.col("hash"), 64 - SLOT_BITS).cast("int").alias("slot")
-    counted = (sets.select(F.explode("hashes").alias("hash")).select(slot).groupBy("slot")
-               .agg(F.least(F.count(F.lit(1)), F.lit(2**31 - 1)).cast("int").alias("n")).toPandas())
-    often = np.zeros(1 << SLOT_BITS, np.int32)
-    often[counted["slot"]] = counted["n"]
-    sent = sets.sparkSession.sparkContext.broadcast(often)
+    folder = shared_path(sets.sparkSession, "rarity")
+    (sets.select(F.explode("hashes").alias("hash")).select(slot).groupBy("slot")
+     .agg(F.least(F.count(F.lit(1)), F.lit(2**31 - 1)).cast("int").alias("n")).write.parquet(folder))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             n = batch.column("n").to_numpy()
             off = batch.column("hashes").offsets.to_numpy().astype(np.int64)
             h = batch.column("hashes").values.to_numpy()[off[0]:off[-1]]
             doc = np.repeat(np.arange(len(n)), np.diff(off))
-            f = sent.value[(h.view(np.uint64) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+            f = rarity(folder)[(h.view(np.uint64) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
             order = np.lexsort((h, f, doc))
             at = np.arange(len(h)) - (off[:-1] - off[0])[doc]
             length = n - -(-n * percent // 100) + 1
