@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import calendar
 import datetime as dt
-import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,21 +18,3 @@ def add_months(d: dt.date, n: int) -> dt.date:
 
 def month_start(c) -> Column:
     return F.trunc(F.col(c) if isinstance(c, str) else c, "month")
-
-
-def half_open(c, start, end) -> Column:
-    """start <= c < end (either bound may be None)."""
-    col = F.col(c) if isinstance(c, str) else c
-    cond = F.lit(True)
-    if start is not None:
-        cond = cond & (col >= F.lit(start))
-    if end is not None:
-        cond = cond & (col < F.lit(end))
-    return cond
-
-
-def cyclic_month(c) -> tuple[Column, Column]:
-    """sin/cos of 2*pi*month/12."""
-    col = F.col(c) if isinstance(c, str) else c
-    angle = F.lit(2 * math.pi) * F.month(col) / F.lit(12.0)
-    return F.sin(angle), F.cos(angle)

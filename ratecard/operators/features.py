@@ -12,10 +12,6 @@ from ratecard.functions.exact import dec_sum, money_sum
 from ratecard.params import AnalysisParams
 
 
-def realised_revenue(q: DataFrame) -> F.Column:
-    return F.when(F.col("accepted") == 1, F.col("quoted_price")).otherwise(F.lit(0.0))
-
-
 # ---- B2 / B3: monthly revenue panel ---------------------------------------
 
 def monthly_revenue(quotes: DataFrame, start: dt.date | None = None) -> DataFrame:

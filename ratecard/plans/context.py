@@ -27,8 +27,7 @@ class Tables:
     def accounts(self) -> DataFrame:
         return conformed_tables(self.spark, self.sf_dir)[0]
 
-    def quotes(self, start: dt.date | None = None, end: dt.date | None = None,
-               with_part: bool = True, keep_line_columns: bool = False) -> DataFrame:
+    def quotes(self, start: dt.date | None = None, end: dt.date | None = None) -> DataFrame:
         """The conformed quote table, optionally restricted to [start, end)
         (it also carries the raw line-item key columns)."""
         q = conformed_tables(self.spark, self.sf_dir)[1]

@@ -44,13 +44,13 @@ def R(c, n: int):
 @query("monthly_revenue")
 def q_monthly_revenue(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return fe.monthly_revenue(t.quotes(with_part=False), t.p.panel_start)
+    return fe.monthly_revenue(t.quotes(), t.p.panel_start)
 
 
 @query("open_month_dropped")
 def q_open_month_dropped(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return fe.drop_open_month(fe.monthly_revenue(t.quotes(with_part=False), t.p.panel_start),
+    return fe.drop_open_month(fe.monthly_revenue(t.quotes(), t.p.panel_start),
                               t.p.as_of)
 
 
@@ -58,7 +58,7 @@ def q_open_month_dropped(spark, sf_dir):
 def q_holdout_month_labels(spark, sf_dir):
     """The months of the forecast holdout with their printed label."""
     t = Tables(spark, sf_dir)
-    panel = fe.drop_open_month(fe.monthly_revenue(t.quotes(with_part=False), t.p.panel_start), t.p.as_of)
+    panel = fe.drop_open_month(fe.monthly_revenue(t.quotes(), t.p.panel_start), t.p.as_of)
     months = panel.select("month").distinct()
     cut = F.add_months(months.agg(F.max("month")).scalar(), -t.p.holdout_months)
     return months.where(F.col("month") > cut).select(
@@ -76,7 +76,7 @@ def q_accounts_from_csv(spark, sf_dir):
 # ---- churn labels / RFM / KPIs ---------------------------------------------
 
 def churn_labels_of(t: Tables) -> DataFrame:
-    return fe.churn_labels(t.accounts(), t.quotes(with_part=False), t.p)
+    return fe.churn_labels(t.accounts(), t.quotes(), t.p)
 
 
 @query("churn_labels")
@@ -113,7 +113,7 @@ def q_rfm_summary(spark, sf_dir):
 @query("overview_kpis")
 def q_overview_kpis(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return fe.overview_kpis(t.accounts(), t.quotes(with_part=False), churn_labels_of(t))
+    return fe.overview_kpis(t.accounts(), t.quotes(), churn_labels_of(t))
 
 
 # ---- segmentation (rule clusters: SQL-checkable) ---------------------------
@@ -282,7 +282,7 @@ def q_zscore_features(spark, sf_dir):
 @query("quote_sequence")
 def q_quote_sequence(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    q = t.quotes(with_part=False, keep_line_columns=True)
+    q = t.quotes()
     # these name a line item; only they are sorted and carried
     order = ["customer_id", "quote_date", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
     seq = rk.sequence_id(q.select(*order), order, "quote_id")
@@ -314,13 +314,13 @@ def stub_curves(t: Tables) -> DataFrame:
 
 
 def stub_recommendation(t: Tables) -> DataFrame:
-    return pr.recommend_price(stub_curves(t), t.quotes(with_part=False))
+    return pr.recommend_price(stub_curves(t), t.quotes())
 
 
 @query("time_split_counts")
 def q_time_split_counts(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    s = pr.time_split(t.quotes(with_part=False), t.p.holdout_months)
+    s = pr.time_split(t.quotes(), t.p.holdout_months)
     return s.groupBy("split", "cutoff").agg(
         F.count(F.lit(1)).alias("n_quotes"), F.sum("accepted").cast("long").alias("n_accepted"),
         (F.sum("accepted") / F.count(F.lit(1))).alias("acceptance_rate"))
@@ -329,7 +329,7 @@ def q_time_split_counts(spark, sf_dir):
 @query("price_support_p97")
 def q_price_support_p97(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    s = pr.support_bound(t.quotes(with_part=False), t.p.support_quantile)
+    s = pr.support_bound(t.quotes(), t.p.support_quantile)
     return s.select("segment", R("support_upper", 10).alias("support_upper"))
 
 
@@ -357,7 +357,7 @@ def q_price_recommendation_stub(spark, sf_dir):
 
 
 def stub_test_scores(t: Tables) -> DataFrame:
-    s = pr.time_split(t.quotes(with_part=False), t.p.holdout_months).where("split = 'test'")
+    s = pr.time_split(t.quotes(), t.p.holdout_months).where("split = 'test'")
     return s.select("accepted", pr.stub_accept_prob(s).alias("p"))
 
 
@@ -456,7 +456,7 @@ def assigned_of(t: Tables) -> DataFrame:
 
 def experiment_of(t: Tables) -> DataFrame:
     start, end = window_of(t)
-    return ex.experiment_rows(t.quotes(start, end, with_part=False), assigned_of(t), start, end)
+    return ex.experiment_rows(t.quotes(start, end), assigned_of(t), start, end)
 
 
 @query("ab_sample")
@@ -542,21 +542,21 @@ def q_ab_guardrail(spark, sf_dir):
 @query("ab_annual_impact")
 def q_ab_annual_impact(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return ex.annual_impact(experiment_of(t), t.quotes(with_part=False))
+    return ex.annual_impact(experiment_of(t), t.quotes())
 
 
 @query("ab_sample_size")
 def q_ab_sample_size(spark, sf_dir):
     t = Tables(spark, sf_dir)
     start, end = window_of(t)
-    return ex.sample_size(t.quotes(with_part=False), t.quotes(start, end, with_part=False),
+    return ex.sample_size(t.quotes(), t.quotes(start, end),
                           t.p.baseline_mde, t.p.alpha, t.p.power)
 
 
 @query("ab_summary")
 def q_ab_summary(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    s = ex.summary(experiment_of(t), t.quotes(with_part=False), t.p.guardrail_drop, t.p.min_arm_rows)
+    s = ex.summary(experiment_of(t), t.quotes(), t.p.guardrail_drop, t.p.min_arm_rows)
     return s.select(*[R(c, 9).alias(c) if c == "accept_pval"
                       else R(c, 9).alias(c) if c in ("rev_t", "rev_pval")
                       else R(c, 6).alias(c) if c == "rev_df" else F.col(c) for c in s.columns])
@@ -579,7 +579,7 @@ def dense_of(t: Tables) -> DataFrame:
     the calendar, not by the quote volume -- so it is kept in one partition:
     the forecasting windows then run one task per stage instead of
     ``spark.sql.shuffle.partitions`` near-empty ones."""
-    panel = fe.drop_open_month(fe.monthly_revenue(t.quotes(with_part=False), t.p.panel_start),
+    panel = fe.drop_open_month(fe.monthly_revenue(t.quotes(), t.p.panel_start),
                                t.p.as_of)
     return fc.dense_panel(panel).repartition(1)
 
