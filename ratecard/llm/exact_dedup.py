@@ -47,7 +47,7 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     single = digit.select("id", "len", "chunk", sha).join(groups, ["len", "chunk"], "left_anti")
     out = [single.select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
                          "text_sha256")]
-    active = stored(likely_in(digit, groups, ["len", "chunk"]).join(groups, ["len", "chunk"])
+    active = stored(likely_in(digit, groups, ["len", "chunk"]).join(groups.hint("merge"), ["len", "chunk"])
                     .select("id", "len", "grp", "n", sha,
                             F.expr(f"substring(norm, {FIRST + 1})").alias("rest")), "radix-rows")
     at, width = FIRST, FIRST * GROWTH
@@ -86,15 +86,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     the kept id and text, one stays; rows with a null id all stay."""
     classes = exact_classes(docs, id_col, text_col)
     # (id, text) names a row; sha256 only tells apart texts that share one id
-    named = classes.select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"), "kept",
-                           "group_size").filter("_id IS NOT NULL")
-    gone = stored(named.filter("NOT kept").select("_id", "_sha").distinct(), "radix-gone")
-    again = stored(named.filter("kept AND group_size > 1").groupBy("_id", "_sha")
-                   .agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n"), "radix-again")
+    named = classes.select(F.col(id_col).alias("__radix_id"), F.col("text_sha256").alias("__radix_sha"), "kept",
+                           "group_size").filter("__radix_id IS NOT NULL")
+    gone = stored(named.filter("NOT kept").select("__radix_id", "__radix_sha").distinct(), "radix-gone")
+    again = stored(named.filter("kept AND group_size > 1").groupBy("__radix_id", "__radix_sha")
+                   .agg(F.count(F.lit(1)).alias("__radix_n")).filter("__radix_n > 1").drop("__radix_n"), "radix-again")
     sha = F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER).cast("binary"), 256)
-    left = (docs.withColumn("_sha", sha).withColumn("_id", F.col(id_col))
-            .join(gone, ["_id", "_sha"], "left_anti"))
+    marked = docs.withColumn("__radix_sha", sha).withColumn("__radix_id", F.col(id_col))
+    # only rows that may go are shuffled
+    left = likely_in(marked, gone, ["__radix_id"], others=True).unionByName(
+        likely_in(marked, gone, ["__radix_id"]).join(gone.hint("merge"), ["__radix_id", "__radix_sha"], "left_anti"))
     if not again.isEmpty():
-        twice = left.join(again, ["_id", "_sha"], "left_semi").dropDuplicates(["_id", "_sha"])
-        left = left.join(again, ["_id", "_sha"], "left_anti").unionByName(twice)
+        twice = left.join(again, ["__radix_id", "__radix_sha"], "left_semi").dropDuplicates(["__radix_id", "__radix_sha"])
+        left = left.join(again, ["__radix_id", "__radix_sha"], "left_anti").unionByName(twice)
     return left.select(*docs.columns)
