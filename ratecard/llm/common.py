@@ -74,11 +74,12 @@ def likely_in(df: DataFrame, keys: DataFrame, on: list[str], slots: int = 1 << 2
     return df.withColumn("_slot", slot).join(F.broadcast(taken), "_slot", kind).drop("_slot")
 
 
-def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+def small(batches: Iterator[pa.RecordBatch], rows: int = 300) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``rows``, so that arrays per word stay small."""
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+    pa.default_memory_pool().release_unused()  # workers are reused by later stages
 
 
 def buffers(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -34,7 +34,7 @@ PLAIN_WORD = re.compile("[!-~¡-¬®-ɏ]{1,200}")
 # Fixed value: the pieces into which the tokenizer file splits normalised text.
 WORD_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 WORD_END = b"\xff"  # no UTF-8 text holds this byte
-CACHE = 300_000
+CACHE = 120_000
 
 
 class WordBpe:
