@@ -20,6 +20,7 @@ from ratecard.llm.common import stored, table
 
 NEAR_PERCENT = 80  # similarity, in per cent, from which documents are near copies
 SEQUENCE = 2048
+WORD_CACHE = 120_000  # the workers serve all stages, so packing keeps fewer words than on its own
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +47,7 @@ def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of at most SEQUENCE tokens."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), SEQUENCE)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), SEQUENCE, cache=WORD_CACHE)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -34,7 +34,7 @@ PLAIN_WORD = re.compile("[!-~¡-¬®-ɏ]{1,200}")
 # Fixed value: the pieces into which the tokenizer file splits normalised text.
 WORD_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 WORD_END = b"\xff"  # no UTF-8 text holds this byte
-CACHE = 120_000
+CACHE = 300_000  # recent distinct words that a worker keeps, twice
 
 
 class WordBpe:
@@ -44,7 +44,8 @@ class WordBpe:
     characters go through the file's merges directly; all others, and words that might hold a special
     token, through the library."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
+        self.cache = cache
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.library = Tokenizer.from_file(path)
@@ -74,7 +75,7 @@ class WordBpe:
         if got is None:
             got = self.word(raw)
         if len(raw) <= 64:
-            if len(self.young) >= CACHE:
+            if len(self.young) >= self.cache:
                 self.old, self.young = self.young, {}
             self.young[raw] = got
         return got
@@ -93,17 +94,17 @@ class WordBpe:
 
 
 @lru_cache(maxsize=2)
-def load(path: str) -> WordBpe:
+def load(path: str, cache: int = CACHE) -> WordBpe:
     """The tokenizer, once per worker."""
-    return WordBpe(path)
+    return WordBpe(path, cache)
 
 
 def token_pieces(docs: DataFrame, path: str, size: int, with_ids: bool = False,
-                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                 id_col: str = "doc_id", text_col: str = "text", cache: int = CACHE) -> DataFrame:
     """Every document's ids, END_ID included, cut into pieces of at most ``size``: id, start, length,
     CRC-32 of the ids and the document's number of ids (and the ids themselves if ``with_ids``)."""
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = load(path)
+        model = load(path, cache)
         names = ["id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
         for batch in batches:
             rows = []
@@ -149,13 +150,13 @@ def shortest_pack_first(histogram: dict[int, int], size: int) -> list[tuple[int,
 
 
 def pack(docs: DataFrame, path: str, size: int = 2048, with_ids: bool = False,
-         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+         id_col: str = "doc_id", text_col: str = "text", cache: int = CACHE) -> DataFrame:
     """Per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
     A null or empty text has the single id END_ID. Repeated rows are packed as often as they occur;
     rows with a null id are packed too; an empty table gives an empty result; other columns are
     ignored. Sequences hold at most ``size`` ids, gapless from offset 0."""
-    pieces = stored(token_pieces(docs, path, size, with_ids, id_col, text_col), "pieces")
+    pieces = stored(token_pieces(docs, path, size, with_ids, id_col, text_col, cache), "pieces")
     histogram = {r["length"]: r["n"] for r in
                  pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # <= size rows
     patterns = shortest_pack_first(histogram, size)
