@@ -8,7 +8,7 @@ with some toxic expressions in it, so their model is in turn a mixture with the
 
 A document's evidence is the difference of its two log-likelihoods divided by its number of words;
 a logistic curve turns it into a score. The counts come from all labelled rows outside the held-out
-fold; D and the curve are fitted on one further fold (at most ``CURVE_ROWS`` of its rows) with counts
+fold; D and the curve are fitted on one further fold (about ``CURVE_ROWS`` of its rows) with counts
 from the other folds.
 
 Words are counted in 2^SLOT_BITS slots by hash, so that the model has a fixed size whatever the
@@ -30,7 +30,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, likely_in, shared_path, stored
+from .common import buffers, likely_in, shared_path, small, stored
 from .shingles import MULT, mix, word_hashes
 
 SLOT_BITS = 21
@@ -71,10 +71,14 @@ def log_ratio(toxic: np.ndarray, ordinary: np.ndarray, discount: float) -> np.nd
 
 
 def evidence(words: pa.Array, ratios: list[np.ndarray]) -> list[np.ndarray]:
-    """Per document the length-normalised difference of log-likelihoods, for each table of ratios."""
-    _, slot, counts = slots_of(words)
-    doc = np.repeat(np.arange(len(counts)), counts)
-    return [np.bincount(doc, r[slot], len(counts)) / np.maximum(counts, 1) for r in ratios]
+    """Per document the length-normalised difference of log-likelihoods, for each table of ratios.
+    Two hundred documents at a time, so arrays per word stay small."""
+    parts = []
+    for at in range(0, len(words), 200):
+        _, slot, counts = slots_of(words.slice(at, 200))
+        doc = np.repeat(np.arange(len(counts)), counts)
+        parts.append([np.bincount(doc, r[slot], len(counts)) / np.maximum(counts, 1) for r in ratios])
+    return [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0) for _ in ratios]
 
 
 def continuation_counts(labelled: DataFrame) -> DataFrame:
@@ -82,7 +86,7 @@ def continuation_counts(labelled: DataFrame) -> DataFrame:
     ``ordinary``), and the same without the curve fold (``toxic_rest``, ``ordinary_rest``).
     ``labelled``: words, toxic, fold. At most 2^SLOT_BITS rows."""
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             hashes, slot, counts = slots_of(b.column("words"))
             if not len(hashes):
                 continue
@@ -126,7 +130,7 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return w[0] / scale, w[1], float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
 
 
-@lru_cache(maxsize=len(DISCOUNTS) + 1)
+@lru_cache(maxsize=1)
 def ratio_table(folder: str, part: str, discount: float) -> np.ndarray:
     """``log_ratio`` of the counts in ``folder``: of all folds (part "") or without the curve's."""
     place, base = fs.FileSystem.from_uri(folder)
@@ -177,12 +181,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Model(None, constant=float(bool(toxic)))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = evidence(b.column("words"), [ratio_table(folder, "_rest", d) for d in DISCOUNTS])
+        ratios = [ratio_table(folder, "_rest", d) for d in DISCOUNTS]
+        for b in small(batches):
+            x = evidence(b.column("words"), ratios)
             yield pa.record_batch({"toxic": b.column("toxic"), **{f"x{i}": v for i, v in enumerate(x)}})
 
     schema = "toxic int, " + ", ".join(f"x{i} double" for i in range(len(DISCOUNTS)))
-    curve = (labelled.filter(f"fold = {CURVE_FOLD}").orderBy(F.xxhash64("id"), "id").limit(CURVE_ROWS)
+    # a bounded sample by a hash of the id: what a task sends does not grow with the number of tasks
+    rows = known.filter(f"fold = {CURVE_FOLD}").count()
+    curve = (labelled.filter(f"fold = {CURVE_FOLD}")
+             .filter(F.pmod(F.xxhash64("id"), F.lit(max(CURVE_ROWS, rows))) < CURVE_ROWS)
              .select("words", "toxic").mapInArrow(measured, schema).toPandas())
     y = curve["toxic"].to_numpy(float)
     if 0 < y.sum() < len(y):
@@ -200,7 +208,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     alike, a row with a null id is scored and not held out; an empty table gives an empty result;
     other columns are never read."""
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             yield pa.record_batch({"id": b.column("id"), "score": model.score(b.column("words"))})
 
     kind = docs.schema[id_col].dataType.simpleString()
