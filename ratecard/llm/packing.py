@@ -3,9 +3,9 @@
 Documents become token ids; each is cut into pieces of exactly ``size`` ids and a shorter rest. The
 piece lengths are counted (a table of at most ``size`` rows, whatever the input), and lengths are
 placed longest first: all pieces of one length go, as counts, to the packing patterns with the most
-room left, that is to the shortest packs. Only patterns and counts are handled there, never
-documents. Every pattern then owns a run of ranks of each length it holds, and pieces find their
-sequence and offset by their rank within their length.
+room left, that is to the shortest packs, several to a pattern where they fit. Only patterns and counts
+are handled there, never documents. Every pattern then owns a run of ranks of each length it holds,
+and pieces find their sequence and offset by their rank within their length.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -126,27 +127,30 @@ def token_pieces(docs: DataFrame, path: str, size: int, with_ids: bool = False,
 def shortest_pack_first(histogram: dict[int, int], size: int) -> list[tuple[int, tuple[int, ...]]]:
     """Packing patterns as (count, lengths) for a histogram of lengths.
 
-    Lengths are placed longest first. All pieces of a length go to the open patterns with the most
-    room, as many as there are of them; what finds no room opens a pattern of its own."""
-    open_patterns: dict[int, list[tuple[int, tuple[int, ...]]]] = defaultdict(list)  # by room left
+    Lengths are placed longest first. Each piece goes to the pattern with the most room, also if that
+    already holds pieces of its length; what finds no room opens patterns that are filled with as many
+    pieces of the length as fit, and one for the remainder."""
+    open_patterns: dict[int, list[tuple[int, tuple[tuple[int, int], ...]]]] = defaultdict(list)  # by room left
     for length in sorted(histogram, reverse=True):
         left, room = histogram[length], size
-        placed = []
         while left and room >= length:
             if not open_patterns.get(room):
                 room -= 1
                 continue
-            count, lengths = open_patterns[room].pop()
+            count, held = open_patterns[room].pop()
             used = min(count, left)
             left -= used
             if count > used:
-                open_patterns[room].append((count - used, lengths))
-            placed.append((room - length, used, (*lengths, length)))
-        if left:
-            placed.append((size - length, left, (length,)))
-        for room_left, used, lengths in placed:
-            open_patterns[room_left].append((used, lengths))
-    return [p for room in sorted(open_patterns) for p in open_patterns[room]]
+                open_patterns[room].append((count - used, held))
+            same = held[-1][1] if held[-1][0] == length else 0
+            # less room now: met again further down, as long as it has room
+            open_patterns[room - length].append((used, (*(held[:-1] if same else held), (length, same + 1))))
+        full, rest = divmod(left, size // length)
+        for count, copies in ((full, size // length), (1, rest)):
+            if count and copies:
+                open_patterns[size - length * copies].append((count, ((length, copies),)))
+    return [(count, tuple(length for length, copies in held for _ in range(copies)))
+            for room in sorted(open_patterns) for count, held in open_patterns[room]]
 
 
 def pack(docs: DataFrame, path: str, size: int = 2048, with_ids: bool = False,
@@ -160,17 +164,19 @@ def pack(docs: DataFrame, path: str, size: int = 2048, with_ids: bool = False,
     histogram = {r["length"]: r["n"] for r in
                  pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # <= size rows
     patterns = shortest_pack_first(histogram, size)
-    # runs of ranks: of its length, ranks from lo on lie in the sequences from seq on, at offset
+    # runs of ranks: of its length, ranks from lo on lie in the sequences from seq on, from offset on,
+    # as many next to each other as there are copies
     runs, sequence, used = [], 0, defaultdict(int)
     for count, lengths in patterns:
         offset = 0
-        for length in lengths:
-            runs.append((length, used[length], sequence, offset))
-            used[length] += count
-            offset += length
+        for length, same in groupby(lengths):
+            copies = len(list(same))
+            runs.append((length, used[length], sequence, offset, copies))
+            used[length] += count * copies
+            offset += length * copies
         sequence += count
     runs.sort()
-    runs = np.array(runs, np.int64).reshape(-1, 4)
+    runs = np.array(runs, np.int64).reshape(-1, 5)
     ranks = ranked(pieces, ["length"], ["id", "start", "ids_crc32"], "rank")
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,8 +187,9 @@ def pack(docs: DataFrame, path: str, size: int = 2048, with_ids: bool = False,
                 lo, hi = np.searchsorted(runs[:, 0], [n, n + 1])
                 mine = length == n
                 at[mine] = lo + np.searchsorted(runs[lo:hi, 1], rank[mine], side="right") - 1
-            b["sequence_id"] = runs[at, 2] + rank - runs[at, 1]
-            b["offset"] = runs[at, 3]
+            nth, copies = rank - runs[at, 1], runs[at, 4]
+            b["sequence_id"] = runs[at, 2] + nth // copies
+            b["offset"] = runs[at, 3] + nth % copies * length
             yield b.drop(columns="rank")
 
     columns = [*pieces.columns, "rank"]

@@ -66,3 +66,23 @@ def test_sequences(spark):
             at += r["length"]
         assert at <= 16
     assert packing.pack(docs.limit(0), PATH).count() == 0
+
+
+def test_a_hot_length_fills_its_patterns():
+    assert sum(c for c, _ in packing.shortest_pack_first({100: 1000}, 2048)) == 50
+    rng = random.Random(6)
+    usual = [min(2048, max(1, int(rng.lognormvariate(5.2, 1)))) for _ in range(4000)]
+    for hot in (1, 60, 300):
+        lengths = usual + [hot] * 2000
+        patterns = packing.shortest_pack_first({n: lengths.count(n) for n in set(lengths)}, 2048)
+        assert all(sum(p) <= 2048 for _, p in patterns)
+        assert sum(c * p.count(hot) for c, p in patterns) == lengths.count(hot)
+        assert sum(c for c, _ in patterns) <= 1.02 * sum(lengths) / 2048 + 1
+
+
+def test_copies_lie_side_by_side(spark):
+    docs = spark.createDataFrame([(i, "a b") for i in range(50)] + [(99, "a b c d e")], "doc_id long, text string")
+    got = packing.pack(docs, PATH, size=16).collect()
+    places = {(r["sequence_id"], r["offset"] + k) for r in got for k in range(r["length"])}
+    assert len(places) == sum(r["length"] for r in got) and max(p for _, p in places) < 16
+    assert len({s for s, _ in places}) == 11  # five copies of three ids to a sequence, the long text beside three
