@@ -1,12 +1,16 @@
 """Sharding by balanced label propagation.
 
 Documents of equal text are linked. Every document starts in a shard given by a hash of its id.
-In each round a linked document counts its neighbours per shard (one aggregated row per group and
-shard, never a list of neighbours) and wants to move to where most of them are. A shard takes in only
-as many as its quota leaves room for beside the linked documents that stay; within the quota larger
-groups come first, whole groups before parts of groups. The rounds stop when the cut no longer falls.
-At the end, documents beyond a shard's size, unlinked ones first, fill the shards that have room, so
-that the numbers of rows differ by at most one (law ``rows``).
+Neighbours are counted per shard (one aggregated row per group and shard, never a list of neighbours).
+Groups beyond a ``LARGE``-th of a shard's quota, of which there are at most LARGE for each shard, are
+placed first, one after the other by size: in the shard with room that holds most of them, else in the
+emptiest; one that no shard has room for is dealt out over the emptiest. All others move in rounds.
+In each round a group wants the shard that holds most of it among those with room for all of it (if
+there is none, any other with room), and every shard takes in larger groups first, as far as its room
+goes. The rounds stop when nothing moves: then no shard has room for any group that is left, and those
+fill the last places in order, so that each shard's border parts one group at most. At the end,
+unlinked documents beyond a shard's size fill the shards that have room, so that the numbers of rows
+differ by at most one (law ``rows``).
 
 Every order that decides who moves is a distributed rank (``common.ranked``): no shard, group or
 quota is ever gathered in one task, and a group larger than a shard is spread over several.
@@ -20,40 +24,89 @@ from pyspark.sql.window import Window
 
 from .common import ranked, stored, text_bytes
 
-ROUNDS = 4
-
-
-def cut_pairs(nodes: DataFrame) -> int:
-    """Pairs of linked documents in different shards, from group counts."""
-    per = nodes.groupBy("grp", "shard").agg(F.count(F.lit(1)).cast("decimal(38,0)").alias("n"))
-    row = per.groupBy("grp").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same")) \
-        .agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
-    return int(row[0] or 0)
-
-
-def propagate(nodes: DataFrame, shards: int, quota: int) -> DataFrame:
-    """One round. ``nodes``: row, grp, shard, for linked documents only. A document moves to the shard
-    that holds most of its group as far as quotas allow."""
-    per = nodes.groupBy("grp", "shard").agg(F.count(F.lit(1)).alias("n"))
-    # a group wants its fullest shard
-    by = Window.partitionBy("grp").orderBy(F.desc("n"), F.xxhash64("grp", "shard"))
-    wish = (per.withColumn("at", F.row_number().over(by))
-            .withColumn("size", F.sum("n").over(Window.partitionBy("grp"))))
-    wish = wish.filter("at = 1").select("grp", F.col("shard").alias("want"), "size")
-    wished = stored(nodes.join(wish, "grp"), "wishes")
-    staying = wished.filter("shard = want").groupBy(F.col("want").alias("to")).agg(F.count(F.lit(1)).alias("stay"))
-    # larger groups first: a group's movers stand together in the order, by (size, group)
-    movers = wished.filter("shard <> want").withColumn("first", -F.col("size"))
-    groups = stored(movers.groupBy("want", "first", "grp").agg(F.count(F.lit(1)).alias("n")), "moves")
-    before = running(groups, ["want"], ["first", "grp"], "n", "before")
-    room = before.join(F.broadcast(staying.select(F.col("to").alias("want"), "stay")), "want", "left") \
-        .select("want", "grp", F.greatest(F.lit(0), F.lit(quota) - F.coalesce("stay", F.lit(0)) - F.col("before"))
-                .alias("room"))
-    inside = ranked(stored(movers.select("row", "grp", "shard", "want"), "movers"), ["grp"], ["row"], "nth")
-    decided = (inside.join(room, ["want", "grp"])
-               .select("row", "grp", F.when(F.col("nth") < F.col("room"), F.col("want")).otherwise(F.col("shard"))
-                       .alias("shard")))
-    return stored(wished.filter("shard = want").select("row", "grp", "shard").unionByName(decided), "nodes")
+LARGE = 64
+
+
+def place_large(counts: dict[bytes, dict[int, int]], free: list[int]) -> list[tuple[bytes, int, int, int]]:
+    """Places of the large groups, given as counts per shard: (group, first, end, shard) for runs of
+    ranks in the group. ``free`` holds the shards' room and is reduced."""
+    runs = []
+    for grp in sorted(counts, key=lambda g: (-sum(counts[g].values()), g)):
+        at, size = 0, sum(counts[grp].values())
+        while at < size and max(free) > 0:
+            near = [s for s in counts[grp] if free[s] >= size - at]
+            to = (max(near, key=lambda s: (counts[grp][s], free[s], -s)) if near
+                  else max(range(len(free)), key=lambda s: (free[s], -s)))
+            n = min(size - at, free[to])
+            runs.append((grp, at, at + n, to))
+            at, free[to] = at + n, free[to] - n
+    return runs
+
+
+def propagate(groups: DataFrame, free: list[int], nth: int) -> tuple[DataFrame, DataFrame, int]:
+    """One round. ``groups``: grp, size, held (an array of n and shard). Returns the groups that move
+    (grp, shard), those that are left, and how many moved; ``free`` is reduced."""
+    room = F.array(*[F.lit(n).cast("long") for n in free])
+    has_room = lambda shard: F.element_at(room, shard + 1) >= F.col("size")
+    tie = lambda shard: F.xxhash64("grp", shard, F.lit(nth))
+    near = F.transform(F.filter("held", lambda x: has_room(x["shard"])),
+                       lambda x: F.struct(x["n"].alias("n"), tie(x["shard"]).alias("tie"), x["shard"].alias("shard")))
+    # the others are dealt to shards in proportion to their room
+    share = lambda x: F.log((F.pmod(tie(x), F.lit(1 << 20)) + 1) / (1 << 20)) / F.element_at(room, x + 1)
+    far = F.transform(F.filter(F.array(*[F.lit(s) for s in range(len(free))]), has_room),
+                      lambda x: F.struct(share(x).alias("share"), x.alias("shard")))
+    wished = stored(groups.withColumn("want", F.coalesce(F.array_max(near)["shard"], F.array_max(far)["shard"]))
+                    .withColumn("first", -F.col("size")), "wishes")
+    before = running(wished.filter("want IS NOT NULL").select("want", "first", "grp", "size"),
+                     ["want"], ["first", "grp"], "size", "before")
+    moves = stored(before.filter(F.col("before") + F.col("size") <= F.element_at(room, F.col("want") + 1))
+                   .select("grp", F.col("want").alias("shard"), "size"), "moves")
+    moved = 0
+    for r in moves.groupBy("shard").agg(F.sum("size").alias("rows"), F.count(F.lit(1)).alias("n")).collect():
+        free[r["shard"]] -= r["rows"]
+        moved += r["n"]
+    left = wished.join(moves.select("grp"), "grp", "left_anti").select("grp", "size", "held")
+    return moves.select("grp", "shard"), stored(left, "groups"), moved
+
+
+def settled(nodes: DataFrame, shards: int, quota: int) -> DataFrame:
+    """``nodes`` (row, grp, n, shard, linked documents only) in their last shards: row, shard. No shard
+    gets more than ``quota``; documents beyond all quotas are left out."""
+    spark, free = nodes.sparkSession, [quota] * shards
+    is_large = F.col("n") > quota // LARGE
+    counts: dict[bytes, dict[int, int]] = {}
+    for r in nodes.filter(is_large).groupBy("grp", "shard").agg(F.count(F.lit(1)).alias("n")).collect():
+        counts.setdefault(bytes(r["grp"]), {})[r["shard"]] = r["n"]  # at most LARGE * shards * shards rows
+    parts = []
+    if counts:
+        runs = spark.createDataFrame(place_large(counts, free), "g binary, first long, end long, to int")
+        large = ranked(stored(nodes.filter(is_large).select("row", "grp"), "large"), ["grp"], ["row"], "nth")
+        inside = (F.col("grp") == F.col("g")) & (F.col("nth") >= F.col("first")) & (F.col("nth") < F.col("end"))
+        parts.append(large.join(F.broadcast(runs), inside).select("row", F.col("to").alias("shard")))
+    others = nodes.filter(~is_large)
+    per = others.groupBy("grp", "shard").agg(F.count(F.lit(1)).alias("n"))
+    groups = stored(per.groupBy("grp").agg(F.sum("n").alias("size"), F.collect_list(F.struct("n", "shard")).alias("held")),
+                    "groups")
+    places, moved = [], 1
+    while moved and (left := groups.count()):
+        moves, groups, moved = propagate(groups, free, len(places))
+        places.append(moves)
+        left = left - moved
+    for moves in places:
+        parts.append(others.join(moves.withColumnRenamed("shard", "to"), "grp").select("row", F.col("to").alias("shard")))
+    if places and left:
+        order = running(groups.select(F.lit(0).alias("all"), "grp", "size"), ["all"], ["grp"], "size", "before")
+        rest = ranked(stored(others.join(groups.select("grp"), "grp", "left_semi").select("row", "grp"), "rest"),
+                      ["grp"], ["row"], "nth")
+        rest = rest.join(order.select("grp", "before"), "grp").withColumn("nth", F.col("before") + F.col("nth"))
+        to, at = F.lit(None).cast("int"), 0
+        for s, n in enumerate(free):
+            to, at = F.when(F.col("nth") >= at, F.lit(s)).otherwise(to) if n else to, at + n
+        parts.append(rest.filter(F.col("nth") < at).select("row", to.alias("shard")))
+    out = parts[0] if parts else nodes.select("row", "shard").limit(0)
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def running(df: DataFrame, group: list[str], order: list[str], value: str, out: str) -> DataFrame:
@@ -72,7 +125,7 @@ def running(df: DataFrame, group: list[str], order: list[str], value: str, out:
             .join(starts, [*group, *keys]).withColumn(out, F.col("_s") + F.col("_p")).drop("_b", "_s", "_p"))
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = ROUNDS, id_col: str = "doc_id",
+def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """Per row: the id, ``size`` (UTF-8 bytes and 8), ``text_crc32``, ``law`` (``rows``), ``shard``,
     ``slot`` (gapless from 0 in each shard) and ``grown_shard`` (null under this law).
@@ -91,22 +144,11 @@ def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = ROUNDS, id_
     least, more = divmod(total, shards)
     linked = base.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     nodes = stored(base.join(linked, "grp").select("row", "grp", "n", F.col("start").alias("shard")), "nodes")
-    # groups beyond a quota are dealt into parts
-    large = ranked(stored(nodes.filter(F.col("n") > least), "large"), ["grp"], ["row"], "nth")
-    part = F.concat(F.col("grp"), F.floor(F.col("nth") / max(1, least)).cast("string").cast("binary"))
-    nodes = stored(nodes.filter(F.col("n") <= least).select("row", "grp", "shard")
-                   .unionByName(large.select("row", part.alias("grp"), "shard")), "nodes")
-    cut = cut_pairs(nodes)
-    for _ in range(rounds):
-        moved = propagate(nodes, shards, least)
-        now = cut_pairs(moved)
-        if now >= cut:
-            break
-        nodes, cut = moved, now
-    placed = stored(base.join(nodes.withColumnRenamed("shard", "moved").drop("grp"), "row", "left")
+    nodes = settled(nodes, shards, least)
+    placed = stored(base.join(nodes.withColumnRenamed("shard", "moved"), "row", "left")
                     .select("row", "id", "size", "crc", F.coalesce("moved", "start").alias("shard"),
                             F.col("moved").isNull().cast("int").alias("single")), "placed")
-    # linked documents first: what exceeds a shard is unlinked, unless linked ones alone exceed it
+    # settled documents first: they never exceed a shard
     ranks = stored(ranked_linked_first(placed), "ranks")
     counts = {r["shard"]: r["n"] for r in placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
     # the fullest shards keep the extra rows

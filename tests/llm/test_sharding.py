@@ -50,3 +50,31 @@ def test_hot_group_and_odd_rows(spark):
     assert sorted(spread.values())[-3:][0] >= 55  # in as few shards as quotas allow, not an eighth in each
     check(rows[:3], sharding.shard_documents(spark.createDataFrame(rows[:3], docs.schema), 8).collect(), 8)
     assert sharding.shard_documents(docs.limit(0), 8).count() == 0
+
+
+def test_groups_beside_a_hot_one(spark):
+    rng = random.Random(8)
+    texts = ["hot"] * 1700 + [f"single {i}" for i in range(1500)]
+    for g in range(500):
+        texts += [f"group {g}"] * rng.choice([2, 3, 4, 5, 6])
+    rng.shuffle(texts)
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, shard string")
+    got = sharding.shard_documents(docs, 12).collect()
+    check([(i, t, None) for i, t in enumerate(texts)], got, 12)
+    shards = defaultdict(set)
+    for r in got:
+        shards[texts[r["doc_id"]]].add(r["shard"])
+    assert all(len(s) == 1 for t, s in shards.items() if t != "hot")
+    assert len(shards["hot"]) == -(-1700 // (len(texts) // 12))
+
+
+def test_linked_documents_only(spark):
+    rng = random.Random(9)
+    texts = [f"group {g}" for g in range(300) for _ in range(rng.choice([2, 3, 5, 9, 40]))]
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, shard string")
+    got = sharding.shard_documents(docs, 6).collect()
+    check([(i, t, None) for i, t in enumerate(texts)], got, 6)
+    shards = defaultdict(set)
+    for r in got:
+        shards[texts[r["doc_id"]]].add(r["shard"])
+    assert sum(len(s) > 1 for s in shards.values()) <= 2 * 6  # a border of a shard, or one of the last rows
