@@ -32,19 +32,34 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*+>.*?(?:</\1\s*+>|\
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 # HTML's void and inline elements, elements that are never part of an article's text,
-# and words in class, id or role that mark such elements.
+# words in class, id or role that mark such elements, and words that only say where or what box it is.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span "
              "strike strong sub sup time tt u var img wbr".split())
 NEVER = set("nav footer aside form script style noscript template iframe button select option textarea svg "
             "canvas object dialog menu head title".split())
-MARKED = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|popup|"
-                    r"modal|newsletter|subscri\w+|share|sharing|social|related|recommend\w*|sidebar|widget|menu|nav|"
-                    r"navigation|navbar|breadcrumbs?|pagination|comments?|replies|reply|disqus|footer|masthead|"
-                    r"topbar|login|signup|complementary|contentinfo|search)(?=$|[\s_-])", re.I)
+MARKS = (r"(?:ad|ads|adv|advert[^\W_]*|sponsor[^\W_]*|promo[^\W_]*|banner|cookies?|consent|notices?|popup|"
+         r"modal|newsletter|subscri[^\W_]+|share|sharing|social|related|recommend[^\W_]*|sidebar|widget|menu|nav|"
+         r"navigation|navbar|breadcrumbs?|pagination|comments?|replies|reply|disqus|footer|masthead|"
+         r"topbar|login|signup|complementary|contentinfo|search)")
+BOXES = (r"(?:article|post|posts|entry|page|site|inline|in|top|bottom|left|right|bar|box|block|area|list|items?|links?|"
+         r"buttons?|icons?|section|wrap|wrapper|container|inner|outer|panel|slot|unit|form|thread|[0-9x]+)")
+MARKED = re.compile(rf"(?:^|[\s_-]){MARKS}(?=$|[\s_-])", re.I)
+# a whole token of such words: the slug of a heading ("search-algorithms") holds others
+ALL_MARKED = re.compile(rf"(?:^|\s)(?:{BOXES}[_-]+)*+{MARKS}(?:[_-]+(?:{MARKS}|{BOXES}))*+(?=$|\s)", re.I)
+TITLED = set("h1 h2 h3 h4 h5 h6 p".split())  # their id is a name of the text
 SECTIONS = set("nav header footer aside article main form section div body".split())
 
 
+def marked(name: str, attributes: list[tuple[str, str]], inner: bool) -> bool:
+    """Do class, id or role say that the element is never content? ``inner``: inside an article or main
+    element, where a part of an id or class may as well come from a title."""
+    if name in ("body", "html", "article", "main"):
+        return False
+    return any((ALL_MARKED if inner and kind != "role" else MARKED).search(value)
+               for kind, value in attributes if not (kind == "id" and name in TITLED))
+
+
 class Token:
     """A run of text or a tag. ``key``: the tag, or the surroundings of the text; ``skip``: inside an
     element that is never content."""
@@ -58,7 +73,7 @@ class Token:
 def tokens(page: str) -> Iterator[Token]:
     """The page's tokens in order; ``inside``: within an article element."""
     stack: list[tuple[str, str, bool]] = []  # name, key, never content
-    skips = articles = at = 0
+    skips = articles = mains = at = 0
 
     def text(piece):
         block = next((n for n, _, _ in reversed(stack) if n not in INLINE), "")
@@ -66,10 +81,11 @@ def tokens(page: str) -> Iterator[Token]:
         return Token(piece, (section, block), articles > 0, skips > 0, False)
 
     def leave(to):
-        nonlocal skips, articles
+        nonlocal skips, articles, mains
         for n, _, never in stack[to:]:
             skips -= never
             articles -= n == "article"
+            mains -= n == "main"
         del stack[to:]
 
     for m in TOKEN.finditer(page):
@@ -89,15 +105,17 @@ def tokens(page: str) -> Iterator[Token]:
             if to is not None:
                 leave(to)
             continue
-        marks = " ".join(filter(None, (a[2] or a[3] or a[4] for a in ATTRIBUTE.finditer(m[4])))) if m[4] else ""
+        values = [(x[1].lower(), x[2] or x[3] or x[4]) for x in ATTRIBUTE.finditer(m[4]) if x[2] or x[3] or x[4]]
+        marks = " ".join(v for _, v in values)
         key = f"{name}.{marks.lower().split()[0]}" if marks.strip() else name
-        never = name in NEVER or bool(marks and MARKED.search(marks)) and name not in ("body", "html", "article", "main")
+        never = name in NEVER or marked(name, values, articles + mains > 0)
         never = never or name == "header" and not articles
         yield Token(None, key, articles > 0, skips > 0 or never, name not in INLINE)
         if name not in VOID and not m[4].endswith("/"):
             stack.append((name, key, never))
             skips += never
             articles += name == "article"
+            mains += name == "main"
     if at < len(page):
         yield text(page[at:])
 

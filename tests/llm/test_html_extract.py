@@ -38,6 +38,20 @@ def test_pages():
     assert h.main_text("<p>no article here but words</p>", h.Weights([])) == "no article here but words"
 
 
+def test_slugs_of_titles_are_content():
+    w = h.Weights(page(i)[0] for i in range(60))
+    inner = ('<body><article><p>a first paragraph of several words</p><h2 id="search-algorithms">one</h2><section id="social-history"><p>two three</p></section>'
+             '<h2 id="related_work">four</h2><h3 id=comments>five</h3><p class="informed-consent">six</p>'
+             '<section id="comments"><p>no</p></section><div class="x cookie-banner">no</div><div id="ad-2">no</div>'
+             '<div class="post-share-buttons">no</div><div role="search">no</div><p>seven</p></article>')
+    want = "a first paragraph of several words\none\ntwo three\nfour\nfive\nsix\nseven"
+    assert h.main_text(inner, w) == want
+    in_main = list(h.tokens(inner.replace("article>", "main>")))
+    assert "\n".join(t.text for t in in_main if t.text and not t.skip) == want
+    page_without = '<h2 id="search-algorithms">these are eight words so that they count</h2>'
+    assert h.main_text(page_without, h.Weights([])) == "these are eight words so that they count"
+
+
 def test_rows(spark):
     rows = [(i, "u", page(i)[0], "x") for i in range(50)] + [(None, None, None, None), (3, "u", page(3)[0], "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
