@@ -11,9 +11,9 @@ a logistic curve turns it into a score. The counts come from all labelled rows o
 fold; D and the curve are fitted on one further fold (about ``CURVE_ROWS`` of its rows) with counts
 from the other folds.
 
-Words are counted in 2^SLOT_BITS slots by hash, so that the model has a fixed size whatever the
-vocabulary. The counts lie in the shared folder, where every worker reads them once; the driver never
-holds them.
+Words are counted by their full 64-bit hash, so that the model grows with the vocabulary. The counts lie
+in the shared folder, where every worker reads them once and keeps the words that have evidence (12
+bytes each for scoring); the driver never holds them.
 """
 
 from __future__ import annotations
@@ -33,7 +33,6 @@ from pyspark.sql import functions as F
 from .common import buffers, likely_in, shared_path, small, stored
 from .shingles import MULT, mix, word_hashes
 
-SLOT_BITS = 21
 BROADCAST_ROWS = 1_000_000  # labels beyond this are joined by a shuffle
 FOLDS, HELD_OUT, CURVE_FOLD = 5, 0, 1
 CURVE_ROWS = 20_000
@@ -53,13 +52,14 @@ def fold_of(id_col: str = "doc_id"):
 
 
 def slots_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a batch: the words' hashes, their slots, and the number of words per document."""
+    """Of a batch: the words' hashes, the same as signed numbers (slots), and the number of words per
+    document."""
     hashes, counts = word_hashes(*buffers(words))
-    return hashes, (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64), counts
+    return hashes, hashes.view(np.int64), counts
 
 
 def log_ratio(toxic: np.ndarray, ordinary: np.ndarray, discount: float) -> np.ndarray:
-    """Per slot the log-ratio of the toxic and the ordinary probability, from continuation counts."""
+    """Per word the log-ratio of the toxic and the ordinary probability, from continuation counts."""
     shared = (toxic + ordinary) / max(1.0, (toxic + ordinary).sum(dtype=np.float64))
     p = []
     for counts in (toxic, ordinary):
@@ -70,21 +70,24 @@ def log_ratio(toxic: np.ndarray, ordinary: np.ndarray, discount: float) -> np.nd
     return np.log1p(TOXIC_SHARE * (ratio - 1.0)).astype(np.float32)
 
 
-def evidence(words: pa.Array, ratios: list[np.ndarray]) -> list[np.ndarray]:
-    """Per document the length-normalised difference of log-likelihoods, for each table of ratios.
-    Two hundred documents at a time, so arrays per word stay small."""
+def evidence(words: pa.Array, keys: np.ndarray, ratios: list[np.ndarray]) -> list[np.ndarray]:
+    """Per document the length-normalised difference of log-likelihoods, for each table of ratios
+    (of the words ``keys``, sorted, the last one larger than any; other words say nothing). Two hundred documents at a time, so arrays per word stay small."""
     parts = []
     for at in range(0, len(words), 200):
         _, slot, counts = slots_of(words.slice(at, 200))
         doc = np.repeat(np.arange(len(counts)), counts)
-        parts.append([np.bincount(doc, r[slot], len(counts)) / np.maximum(counts, 1) for r in ratios])
+        at_key = np.searchsorted(keys, slot)
+        known = np.flatnonzero(keys[at_key] == slot)
+        doc, at_key = doc[known], at_key[known]
+        parts.append([np.bincount(doc, r[at_key], len(counts)) / np.maximum(counts, 1) for r in ratios])
     return [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0) for _ in ratios]
 
 
 def continuation_counts(labelled: DataFrame) -> DataFrame:
-    """Per slot: the distinct predecessors of its words in toxic and ordinary rows (``toxic``,
+    """Per word (``slot``, its hash): its distinct predecessors in toxic and ordinary rows (``toxic``,
     ``ordinary``), and the same without the curve fold (``toxic_rest``, ``ordinary_rest``).
-    ``labelled``: words, toxic, fold. At most 2^SLOT_BITS rows."""
+    ``labelled``: words, toxic, fold."""
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
             hashes, slot, counts = slots_of(b.column("words"))
@@ -95,18 +98,17 @@ def continuation_counts(labelled: DataFrame) -> DataFrame:
             before[first[counts > 0]] = 0
             toxic = np.repeat(b.column("toxic").to_numpy(zero_copy_only=False), counts).astype(np.uint64)
             curve = np.repeat(b.column("fold").to_numpy(zero_copy_only=False) == CURVE_FOLD, counts)
-            # one number: the word's slot, a hash of the pair, the class; then the part
-            key = slot.astype(np.uint64) << np.uint64(64 - SLOT_BITS)
-            key |= (mix(before * MULT + hashes) >> np.uint64(SLOT_BITS)) & ~np.uint64(3)
-            key |= toxic << np.uint64(1) | curve.astype(np.uint64)
-            key = np.unique(key)
-            yield pa.record_batch({"pair": (key & ~np.uint64(1)).view(np.int64),
-                                   "part": np.where(key & np.uint64(1), 1, 2).astype(np.int8)})
-
-    seen = labelled.mapInArrow(pairs, "pair long, part tinyint")
-    distinct = seen.groupBy("pair").agg(F.bit_or("part").alias("parts")).select(
-        F.shiftrightunsigned("pair", 64 - SLOT_BITS).cast("int").alias("slot"),
-        F.col("pair").bitwiseAND(F.lit(2)) > 0, F.col("parts") >= 2).toDF("slot", "is_toxic", "in_rest")
+            # the word, and one number: a hash of the pair, the class; the part
+            pair = (mix(before * MULT + hashes) >> np.uint64(16)) & ~np.uint64(3)  # 48 bits: they compress
+            pair |= toxic << np.uint64(1) | curve.astype(np.uint64)
+            _, at = np.unique(pair ^ hashes, return_index=True)
+            pair = pair[at]
+            yield pa.record_batch({"slot": slot[at], "pair": (pair & ~np.uint64(1)).view(np.int64),
+                                   "part": np.where(pair & np.uint64(1), 1, 2).astype(np.int8)})
+
+    seen = labelled.mapInArrow(pairs, "slot long, pair long, part tinyint")
+    distinct = seen.groupBy("slot", "pair").agg(F.bit_or("part").alias("parts")).select(
+        "slot", F.col("pair").bitwiseAND(F.lit(2)) > 0, F.col("parts") >= 2).toDF("slot", "is_toxic", "in_rest")
     count = lambda test: F.sum(F.expr(test).cast("int")).cast("int")
     return distinct.groupBy("slot").agg(
         count("is_toxic").alias("toxic"), count("NOT is_toxic").alias("ordinary"),
@@ -131,15 +133,21 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 
 
 @lru_cache(maxsize=1)
-def ratio_table(folder: str, part: str, discount: float) -> np.ndarray:
-    """``log_ratio`` of the counts in ``folder``: of all folds (part "") or without the curve's."""
+def ratio_table(folder: str, part: str, discounts: tuple[float, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """``log_ratio`` for each discount, of the counts in ``folder``: of all folds (part "") or without
+    the curve's. Sorted words and their ratios, as ``evidence`` takes them; words whose ratios are all 0
+    are left out, as they say nothing."""
     place, base = fs.FileSystem.from_uri(folder)
     names = ["toxic" + part, "ordinary" + part]
     rows = pq.read_table(base, columns=["slot", *names], filesystem=place)
-    counts = np.zeros((2, 1 << SLOT_BITS), np.float32)
-    for c, name in zip(counts, names):
-        c[rows.column("slot").to_numpy()] = rows.column(name).to_numpy()
-    return log_ratio(*counts, discount)
+    keys = rows.column("slot").to_numpy()
+    counts = [rows.column(name).to_numpy().astype(np.float32) for name in names]
+    del rows
+    ratios = [log_ratio(*counts, d) for d in discounts]
+    keep = np.flatnonzero(np.any([r != 0 for r in ratios], axis=0))
+    keep = keep[np.argsort(keys[keep])]
+    return (np.append(keys[keep], np.iinfo(np.int64).max),
+            [np.append(r[keep], np.float32(0)) for r in ratios])
 
 
 @dataclass(frozen=True)
@@ -155,7 +163,7 @@ class Model:
     def score(self, words: pa.Array) -> np.ndarray:
         if self.folder is None:
             return np.full(len(words), self.constant)
-        x = evidence(words, [ratio_table(self.folder, "", self.discount)])[0]
+        x = evidence(words, *ratio_table(self.folder, "", (self.discount,)))[0]
         return 1 / (1 + np.exp(-np.clip(self.slope * x + self.offset, -500, 500)))
 
 
@@ -181,9 +189,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Model(None, constant=float(bool(toxic)))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratios = [ratio_table(folder, "_rest", d) for d in DISCOUNTS]
+        ratios = ratio_table(folder, "_rest", DISCOUNTS)
         for b in small(batches):
-            x = evidence(b.column("words"), ratios)
+            x = evidence(b.column("words"), *ratios)
             yield pa.record_batch({"toxic": b.column("toxic"), **{f"x{i}": v for i, v in enumerate(x)}})
 
     schema = "toxic int, " + ", ".join(f"x{i} double" for i in range(len(DISCOUNTS)))

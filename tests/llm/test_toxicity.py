@@ -56,3 +56,20 @@ def test_continuation_counts(spark):
         for y, name in ((1, "toxic"), (0, "ordinary")):
             assert got.loc[s, name] == len({p for c, p, x, _ in pairs if (c, x) == (y, w)})
             assert got.loc[s, name + "_rest"] == len({p for c, p, x, r in pairs if (c, x) == (y, w) and r})
+
+
+def test_words_with_equal_leading_bits_are_apart(spark):
+    words = pa.array([" ".join(a + b + c for a in WORDS for b in WORDS for c in WORDS[:6])])
+    text = words[0].as_py().split()
+    lead = {}
+    for w, h in zip(text, toxicity.slots_of(words)[0].tolist()):
+        if (other := lead.setdefault(h >> 43, w)) != w:  # the first 21 bits
+            break
+    else:
+        raise AssertionError("no such pair")
+    rows = [(f"{other} x", 0, 2)] * 2 + [(f"{w} x", 1, 2)]
+    frame = spark.createDataFrame(rows, "words string, toxic int, fold long")
+    got = toxicity.continuation_counts(frame).toPandas().set_index("slot")
+    mine, theirs = toxicity.slots_of(pa.array([f"{w} {other}"]))[1].tolist()
+    assert got.loc[mine, ["toxic", "ordinary"]].tolist() == [1, 0]
+    assert got.loc[theirs, ["toxic", "ordinary"]].tolist() == [0, 1]
