@@ -95,13 +95,15 @@ def _prep_stages(cat_cols, num_cols, scale: bool):
 
 
 def fit_logistic(train: DataFrame, cat_cols, num_cols, label_col: str, weight_col=None,
-                 max_iter: int = 200):
-    """One-hot + standardise + L2 logistic regression (C=1 <=> regParam=1/n)."""
+                 max_iter: int = 200, tol: float = 1e-8):
+    """One-hot + standardise + L2 logistic regression (C=1 <=> regParam=1/n), run until the gradient
+    is 0 for practical purposes (``inspection.logistic_gradient`` shows it)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     n = train.count()
     lr = LogisticRegression(featuresCol="features", labelCol=label_col, regParam=1.0 / max(n, 1),
-                            elasticNetParam=0.0, standardization=False, maxIter=max_iter)
+                            elasticNetParam=0.0, standardization=False, maxIter=max_iter,
+                            tol=tol)
     if weight_col:
         lr.setWeightCol(weight_col)
     return Pipeline(stages=[*_prep_stages(cat_cols, num_cols, True), lr]).fit(train)
@@ -145,57 +147,6 @@ def churn_model_frame(labels: DataFrame, salt: str, test_fraction: float) -> Dat
             .withColumn("class_weight", w))
 
 
-# ---- model inspection ---------------------------------------------------------
-
-def permutation_importance(score: "callable", test: DataFrame, features, label_col: str,
-                           id_col: str, n_repeats: int = 8, seed: int = 42) -> DataFrame:
-    """AUC drop when one feature's values are permuted across the test rows.
-
-    All (feature, repeat) replicas are scored in ONE model pass. Each
-    replica's permutation pairs the row at position k in id order with the
-    row at position k in hash(id, feature, repeat) order; positions come
-    from the distributed sequence helper and the pairing is an equi-join,
-    so no group is gathered into one task.
-    """
-    from ratecard.operators.ranking import group_sequence, roc_auc, roc_auc_by
-    feats = list(features)
-    reps = F.array(*[F.struct(F.lit(f).alias("_f"), F.lit(r).alias("_r"))
-                     for f in feats for r in range(n_repeats)])
-    base_cols = [id_col, label_col, *feats]
-    rep = test.select(*base_cols).select("*", F.inline(reps))
-    dst = group_sequence(rep, ["_f", "_r"], [id_col], "_k")
-    src_key = F.xxhash64(F.col(id_col), F.col("_f"), F.col("_r"), F.lit(seed))
-    src = group_sequence(rep.withColumn("_h", src_key), ["_f", "_r"], ["_h", id_col], "_k")
-    src = src.select("_f", "_r", "_k", F.struct(*feats).alias("_src"))
-    joined = dst.join(src, ["_f", "_r", "_k"])
-    permuted = joined.select(id_col, label_col, "_f", "_r", *[
-        F.when(F.col("_f") == f, F.col("_src")[f]).otherwise(F.col(f)).alias(f) for f in feats])
-    scored = score(permuted)
-    aucs = roc_auc_by(scored, ["_f", "_r"], "score", label_col)
-    base = roc_auc(score(test.select(*base_cols)), "score", label_col).agg(
-        F.first("roc_auc")).scalar()
-    return (aucs.groupBy(F.col("_f").alias("feature"))
-            .agg((base - F.avg("roc_auc")).alias("importance_mean"),
-                 F.stddev_pop("roc_auc").alias("importance_std")))
-
-
-def partial_dependence(score: "callable", test: DataFrame, feature: str, points: int = 100,
-                       lo_q: float = 0.05, hi_q: float = 0.95) -> DataFrame:
-    """Average prediction with ``feature`` set to each of ``points`` values
-    spread evenly between its 5th and 95th percentiles (a bounded grid per
-    test row, one scoring pass)."""
-    q = exact_quantiles(test, [], feature, [lo_q, hi_q])
-    lo = q.where(F.col("q_idx") == 0).agg(F.first("value")).scalar()
-    hi = q.where(F.col("q_idx") == 1).agg(F.first("value")).scalar()
-    grid = test.withColumn("_lo", lo).withColumn("_hi", hi).withColumn(
-        "_g", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    grid = grid.withColumn(feature, F.col("_lo") + (F.col("_hi") - F.col("_lo"))
-                           * F.col("_g") / F.lit(points - 1)).drop("_lo", "_hi")
-    return (score(grid).groupBy(F.col(feature).alias("grid_value"))
-            .agg(F.avg("score").alias("avg_prediction"))
-            .withColumn("feature", F.lit(feature)))
-
-
 def fit_churn_model(train: DataFrame, which: str, gbt_iter: int = 300, seed: int = 42):
     """One churn model: ``Logistic Regression`` or ``Gradient Boosting``."""
     if which == "Logistic Regression":

@@ -177,6 +177,46 @@ def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
     return picked.select(*g, "q_idx", "q", val.cast("double").alias("value"))
 
 
+def approx_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
+                     qs: Sequence[float], accuracy: int = 10_000) -> DataFrame:
+    """Quantiles per group from a mergeable summary, for groups too large to order.
+
+    One aggregation: every task summarises its rows, the summaries are merged. The value returned for
+    q is one of the group's values, and its rank among the group's n values is within n / accuracy of
+    q * n. Same columns as ``exact_quantiles``; a group without values gives no rows."""
+    g = list(group_cols)
+    v = F.col(value_col).cast("double")
+    got = (df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*g)
+           .agg(F.percentile_approx(v, [float(q) for q in qs], accuracy).alias("_v")))
+    lines = F.array(*[F.struct(F.lit(i).alias("q_idx"), F.lit(float(q)).alias("q"), F.get("_v", F.lit(i)).alias("value"))
+                      for i, q in enumerate(qs)])
+    return got.where("_v IS NOT NULL").select(*g, F.inline(lines))
+
+
+def quantile_rank_check(df: DataFrame, group_cols: Sequence[str], value_col: str,
+                        qs: Sequence[float], accuracy: int) -> DataFrame:
+    """Per group and quantile: n, and whether the approximate value's true rank (any of its equal
+    values') is within the error that ``approx_quantiles`` states (and one rank for rounding)."""
+    g = list(group_cols)
+    v = F.col(value_col).cast("double")
+    rows = df.where(v.isNotNull() & ~F.isnan(v)).select(*g, v.alias("_x"))
+    got = approx_quantiles(rows, g, "_x", qs, accuracy)
+    values = got.groupBy(*g).agg(F.transform(F.sort_array(F.collect_list(F.struct("q_idx", "value"))),
+                                             lambda s: s["value"]).alias("_v"))
+    # one row per group; a plain join unless there are few
+    values = freeze(values)
+    counted = rows.join(F.broadcast(values) if few_groups(values) else values, g).groupBy(*g).agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum((F.col("_x") < F.get("_v", F.lit(i))).cast("long")).alias(f"_b{i}")
+                                        for i in range(len(qs))],
+        *[F.sum((F.col("_x") <= F.get("_v", F.lit(i))).cast("long")).alias(f"_a{i}") for i in range(len(qs))])
+    slack = F.col("n") / accuracy + 1
+    lines = F.array(*[F.struct(F.lit(float(q)).alias("q"),
+                               ((F.col(f"_b{i}") - slack <= F.lit(float(q)) * F.col("n"))
+                                & (F.lit(float(q)) * F.col("n") <= F.col(f"_a{i}") + slack)).alias("rank_in_bound"))
+                      for i, q in enumerate(qs)])
+    return counted.select(*g, "n", F.inline(lines))
+
+
 def decile_assign(scored: DataFrame, score_col: str, id_col: str, n_bins: int = 10,
                   n_buckets: int | None = None) -> DataFrame:
     """Equal-count bins from first-come ranks, 1 = highest score.
@@ -319,3 +359,113 @@ def roc_auc_by(df: DataFrame, group_cols: Sequence[str], score_col: str, label_c
     return agg.select(*g, (F.col("_num2").cast("double")
                            / (F.lit(2.0) * F.col("_p").cast("double") * F.col("_n").cast("double")))
                       .alias("roc_auc"))
+
+
+# ---- metrics without a range exchange ----------------------------------------
+
+BAND_ROWS = 100_000
+
+
+def score_edges(scored: DataFrame, score_col: str, band_rows: int = BAND_ROWS) -> list[float]:
+    """Scores that cut ``scored`` into bands of about ``band_rows`` rows; none for fewer rows. One
+    number per band goes to the driver. Any edges give exact results: they only size the bands."""
+    bands = -(-scored.count() // band_rows)
+    if bands < 2:
+        return []
+    cuts = [i / bands for i in range(1, bands)]
+    edges = scored.agg(F.percentile_approx(score_col, cuts, 10 * bands).alias("e")).first()["e"]
+    return sorted(set(edges))
+
+
+def banded_auc_by(df: DataFrame, group_cols: Sequence[str], score_col: str, label_col: str,
+                  edges: Sequence[float] = ()) -> DataFrame:
+    """Exact ROC-AUC per group, ties counted 1/2, from hash exchanges alone.
+
+    Rows merge to (group, score, pos, neg); a score's band is the number of edges below it. Inside a
+    (group, band) negatives are counted up in order of score; what lies below a band is added from
+    the band totals, of which a group has at most ``len(edges) + 1``."""
+    g = list(group_cols)
+    y = F.col(label_col).cast("long")
+    score = F.col(score_col)
+    freq = df.groupBy(*g, score.alias("score")).agg(F.sum(y).alias("pos"), F.sum(F.lit(1) - y).alias("neg"))
+    cuts = F.array(*[F.lit(float(e)) for e in edges]) if edges else F.array().cast("array<double>")
+    freq = freq.withColumn("_band", F.size(F.filter(cuts, lambda e: e < F.col("score"))))
+    inside = (Window.partitionBy(*g, "_band").orderBy("score")
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    freq = freq.withColumn("_below", F.sum("neg").over(inside) - F.col("neg"))
+    bands = freq.groupBy(*g, "_band").agg(F.sum(_auc_term(F.col("_below"))).alias("_num2"),
+                                          F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    lower = Window.partitionBy(*g).orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
+    wide = "decimal(19,0)"
+    before = F.coalesce(F.sum("neg").over(lower), F.lit(0)).cast(wide)
+    bands = bands.withColumn("_num2", F.col("_num2") + (F.col("pos").cast(wide) * before * 2).cast("decimal(38,0)"))
+    return bands.groupBy(*g).agg(
+        (F.sum("_num2").cast("double") / (F.lit(2.0) * F.sum("pos").cast("double") * F.sum("neg").cast("double")))
+        .alias("roc_auc"))
+
+
+# ---- all metrics of several models from one table of scores --------------------
+
+def cumulative_scores(scored: DataFrame, model_col: str, score_col: str, label_col: str,
+                      n_buckets: int | None = None) -> DataFrame:
+    """(model, score, pos, neg, tp, fp) for every distinct score of every model, in one global
+    ordering of all models: ``tp`` and ``fp`` count the rows scored at least so high. Frozen, so that
+    every metric below reads the same table and no model or ordering runs again."""
+    y = F.col(label_col).cast("long")
+    freq = scored.groupBy(F.col(model_col).alias("model"), F.col(score_col).alias("score")).agg(
+        F.sum(y).alias("pos"), F.sum(F.lit(1) - y).alias("neg"))
+    return freeze(group_running_totals(freq, ["model"], [F.col("score").desc()],
+                                       {"tp": F.col("pos"), "fp": F.col("neg")}, n_buckets))
+
+
+def metrics_of_scores(cum: DataFrame) -> DataFrame:
+    """Per model AUC, average precision, log-loss and Brier score from ``cumulative_scores``."""
+    pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
+    eps = 2.220446049250313e-16
+    p = F.least(F.greatest(F.col("score"), F.lit(eps)), F.lit(1 - eps))
+    wide = "decimal(19,0)"
+    # 2 * pos * (negatives scored higher) + pos * (negatives scored alike)
+    above = (F.col("pos").cast(wide) * (F.col("fp").cast(wide) * 2 - F.col("neg").cast(wide))).cast("decimal(38,0)")
+    agg = cum.groupBy("model").agg(
+        F.sum("pos").alias("_p"), F.sum("neg").alias("_n"), F.sum(above).alias("_above"),
+        F.sum(pos * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("_ap"),
+        F.sum(-(pos * F.log(p) + neg * F.log(F.lit(1.0) - p))).alias("_ll"),
+        F.sum(pos * (1 - F.col("score")) ** 2 + neg * F.col("score") ** 2).alias("_b"))
+    n_pos, n_neg = F.col("_p").cast("double"), F.col("_n").cast("double")
+    return agg.select(
+        "model", (F.lit(1.0) - F.col("_above").cast("double") / (2 * n_pos * n_neg)).alias("roc_auc"),
+        (F.col("_ap") / n_pos).alias("average_precision"),
+        (F.col("_ll") / (n_pos + n_neg)).alias("log_loss"), (F.col("_b") / (n_pos + n_neg)).alias("brier"),
+        (F.col("_p") + F.col("_n")).cast("long").alias("n"))
+
+
+METRICS = ("roc_auc", "average_precision", "log_loss", "brier")
+
+
+def long_metrics(wide: DataFrame) -> DataFrame:
+    """(model, metric, value): a row per model and metric."""
+    return wide.select("model", F.inline(F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in METRICS])))
+
+
+def curves_of_scores(cum: DataFrame, points: int | None = None) -> DataFrame:
+    """ROC and precision-recall points per model from ``cumulative_scores``.
+
+    With ``points`` = q a model keeps the scores at which its rows, counted from the highest score,
+    reach or cross one of q equal steps, and its first (at most q + 1 points). What a gap skips is
+    fewer than n / q rows before the kept score's own ties, so the area under the straight lines is
+    off by at most 5 n^2 / (8 q P N) (P positive, N negative of n rows)."""
+    # the last row of a model holds its totals
+    totals = cum.groupBy("model").agg(F.max("tp").alias("_p"), F.max("fp").alias("_n"))
+    out = cum.join(F.broadcast(totals) if few_groups(totals) else totals, "model")
+    seen = F.col("tp") + F.col("fp")
+    if points is not None:
+        rows = F.col("_p") + F.col("_n")
+        band = lambda c: F.floor(c * F.lit(points) / rows)
+        crosses = band(seen) > band(seen - F.col("pos") - F.col("neg"))
+        first = seen == F.col("pos") + F.col("neg")
+        out = out.where(crosses | first)
+    return out.select("model", F.col("score").alias("threshold"), F.col("tp").cast("long").alias("tp"),
+                      F.col("fp").cast("long").alias("fp"), (F.col("tp") / F.col("_p")).alias("tpr"),
+                      (F.col("fp") / F.col("_n")).alias("fpr"), (F.col("tp") / seen).alias("precision"),
+                      (F.col("tp") / F.col("_p")).alias("recall"))

@@ -142,7 +142,8 @@ def _best_kmeans(data: DataFrame, k: int, seed: int, restarts: int, max_iter: in
     from pyspark.ml.clustering import KMeans
     best = None
     for r in range(restarts):
-        m = KMeans(k=k, seed=seed + r, maxIter=max_iter, featuresCol="features",
+        # so small a tolerance stops only at a fixed point
+        m = KMeans(k=k, seed=seed + r, maxIter=max_iter, tol=1e-7, featuresCol="features",
                    predictionCol="cluster").fit(data)
         if best is None or m.summary.trainingCost < best.summary.trainingCost:
             best = m
@@ -187,13 +188,18 @@ def kmeans_k_sweep(rfm: DataFrame, ks, seed: int = 42, restarts: int = 10,
         rows, "k int, inertia double, silhouette_sq_euclidean double")
 
 
+def pca_fit(rfm: DataFrame, k: int = 2):
+    """The fitted components and the standardised features."""
+    from pyspark.ml.feature import PCA
+    data = _scaled(rfm)
+    return PCA(k=k, inputCol="features", outputCol="_pc").fit(data), data
+
+
 def pca_2d(rfm: DataFrame) -> DataFrame:
     """Two principal components of the standardised features, with the
     explained-variance ratio of each as columns."""
-    from pyspark.ml.feature import PCA
     from pyspark.ml.functions import vector_to_array
-    data = _scaled(rfm)
-    model = PCA(k=2, inputCol="features", outputCol="_pc").fit(data)
+    model, data = pca_fit(rfm)
     ev = [float(x) for x in model.explainedVariance]
     out = model.transform(data).withColumn("_a", vector_to_array("_pc"))
     return out.select("customer_id", F.col("_a")[0].alias("pc1"), F.col("_a")[1].alias("pc2"),

@@ -362,6 +362,39 @@ ORACLE_SQL["pr_curve"] = with_(*BASE, CHURN_CTE, SCORED_CTE, DESC_CTE) + f"""
 SELECT CAST(tp AS DOUBLE) / CAST(tp + fp AS DOUBLE) AS precision, CAST(tp AS DOUBLE) / {_tot[0]} AS recall
 FROM dc UNION ALL SELECT 1.0, 0.0"""
 
+# two arithmetic scores of the churn rows as two models, in one table
+MODELS_CTE = f"""
+two AS (
+  SELECT 'risk' AS model, churned, score AS p FROM scored
+  UNION ALL
+  SELECT 'tenure', churned, {rnd("CAST(1 AS DOUBLE) / (1 + tenure_days_at_cutoff / CAST(365 AS DOUBLE))", 3)}
+  FROM churn
+),
+mf AS (SELECT model, p, SUM(churned) AS pos, SUM(1 - churned) AS neg FROM two GROUP BY model, p),
+mc AS (
+  SELECT *, SUM(pos) OVER w AS tp, SUM(neg) OVER w AS fp,
+         SUM(pos) OVER (PARTITION BY model) AS np, SUM(neg) OVER (PARTITION BY model) AS nn
+  FROM mf WINDOW w AS (PARTITION BY model ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+)"""
+_clip = ("least(greatest(p, CAST(2.220446049250313e-16 AS DOUBLE)), "
+         "CAST(1 AS DOUBLE) - CAST(2.220446049250313e-16 AS DOUBLE))")
+ORACLE_SQL["model_comparison_stub"] = with_(*BASE, CHURN_CTE, SCORED_CTE, MODELS_CTE) + f"""
+SELECT model, {rnd("CAST(SUM(pos * (2 * (nn - fp) + neg)) AS DOUBLE) / (2 * CAST(MAX(np) AS DOUBLE) * MAX(nn))", 9)}
+         AS roc_auc,
+       {rnd("SUM(CAST(pos * tp AS DOUBLE) / CAST(tp + fp AS DOUBLE)) / CAST(MAX(np) AS DOUBLE)", 9)}
+         AS average_precision,
+       {rnd(f"SUM(-(pos * ln({_clip}) + neg * ln(1 - {_clip}))) / CAST(SUM(pos + neg) AS DOUBLE)", 9)} AS log_loss,
+       {rnd("SUM(pos * (1 - p) * (1 - p) + neg * p * p) / CAST(SUM(pos + neg) AS DOUBLE)", 9)} AS brier,
+       CAST(SUM(pos + neg) AS BIGINT) AS n
+FROM mc GROUP BY model"""
+ORACLE_SQL["curves_thinned_stub"] = with_(*BASE, CHURN_CTE, SCORED_CTE, MODELS_CTE) + """
+SELECT model, p AS threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp,
+       CAST(tp AS DOUBLE) / CAST(np AS DOUBLE) AS tpr, CAST(fp AS DOUBLE) / CAST(nn AS DOUBLE) AS fpr,
+       CAST(tp AS DOUBLE) / CAST(tp + fp AS DOUBLE) AS precision, CAST(tp AS DOUBLE) / CAST(np AS DOUBLE) AS recall
+FROM mc
+WHERE tp + fp = pos + neg
+   OR floor(CAST((tp + fp) * 20 AS DOUBLE) / (np + nn)) > floor(CAST((tp + fp - pos - neg) * 20 AS DOUBLE) / (np + nn))"""
+
 ORACLE_SQL["decile_lift"] = with_(*BASE, CHURN_CTE, SCORED_CTE) + """,
 r AS (SELECT churned, ROW_NUMBER() OVER (ORDER BY score, customer_id) AS rn, COUNT(*) OVER () AS n
       FROM scored),
@@ -437,6 +470,11 @@ support AS (SELECT segment, quantile_cont(price_ratio, {P.support_quantile!r}) A
 ORACLE_SQL["price_support_p97"] = with_(*BASE, SUPPORT_CTE) + f"""
 SELECT segment, {rnd('support_upper', 10)} AS support_upper FROM support"""
 
+ORACLE_SQL["price_support_approx"] = with_(*BASE) + f"""
+SELECT segment, COUNT(*) AS n, q, TRUE AS rank_in_bound
+FROM quotes, (VALUES (CAST(0.5 AS DOUBLE)), (CAST({P.support_quantile!r} AS DOUBLE))) v(q)
+WHERE price_ratio IS NOT NULL GROUP BY segment, q"""
+
 _mode_sql = lambda c: f"""
 m_{c} AS (SELECT segment, v AS "{c}" FROM (
   SELECT segment, "{c}" AS v, ROW_NUMBER() OVER (PARTITION BY segment ORDER BY COUNT(*) DESC, "{c}") AS r
@@ -933,3 +971,41 @@ FROM fwd"""
 ORACLE_SQL["forward_pivot"] = _FWD + "\nSELECT month, " + ", ".join(
     f"{rnd(f'MAX(CASE WHEN segment = {chr(39)}{t}{chr(39)} THEN blended_forecast END)', 4)} AS {t}"
     for t in P.tier_order) + " FROM fwd GROUP BY month"
+
+# ---- certificates of the fitted models: what holds at an optimum ----------------
+
+_CHURN_CATS = ("true_segment", "industry", "region", "contract_type")
+_CHURN_NUMS = ("tenure_days_at_cutoff", "n_quotes_12m", "n_accepted_12m", "acceptance_rate_12m",
+               "avg_price_ratio_12m", "revenue_12m", "express_share_12m", "price_ratio_trend", "trend_missing")
+_PRICE_CATS = ("segment", "service_level", "mode", "contract_type")
+_PRICE_NUMS = ("price_ratio", "weight_kg", "distance_km", "competitor_price")
+
+
+def _levels(rows: str, col: str) -> str:
+    name = "segment" if col == "true_segment" else col
+    return f"SELECT DISTINCT '{name}=' || {col} AS coefficient FROM {rows} UNION ALL SELECT '{name}=__unknown'"
+
+
+def _coefficients(model: str, rows: str, cats, nums) -> str:
+    parts = [_levels(rows, c) for c in cats] + [f"SELECT '{c}'" for c in (*nums, "intercept")]
+    return f"SELECT '{model}' AS model, coefficient, CAST(0 AS DOUBLE) AS gradient FROM ({' UNION ALL '.join(parts)})"
+
+
+ORACLE_SQL["logistic_certificate"] = with_(*BASE, CHURN_CTE, SPLIT_CTE, QC_CTE, """
+ctrain AS (SELECT c.* FROM churn c JOIN split s ON s.customer_id = c.customer_id WHERE s.split = 'train'),
+ptrain AS (SELECT * FROM qc WHERE quote_date < (SELECT cutoff FROM cut))""") + (
+    "\n" + _coefficients("churn", "ctrain", _CHURN_CATS, _CHURN_NUMS)
+    + "\nUNION ALL\n" + _coefficients("pricing", "ptrain", _PRICE_CATS, _PRICE_NUMS))
+
+ORACLE_SQL["kmeans_certificate"] = f"""
+SELECT range AS cluster, CAST(0 AS BIGINT) AS nearer_elsewhere, CAST(0 AS DOUBLE) AS centre_gap
+FROM range({P.k})"""
+
+ORACLE_SQL["pca_certificate"] = """
+SELECT CAST(range AS INTEGER) AS component, CAST(0 AS DOUBLE) AS residual, CAST(1 AS DOUBLE) AS length,
+       CAST(0 AS DOUBLE) AS product_with_next
+FROM range(1, 3)"""
+
+ORACLE_SQL["boosting_certificate"] = f"""
+SELECT model, CAST({P.gbt_iter} AS BIGINT) AS rounds, CAST(0 AS BIGINT) AS rises, TRUE AS falls
+FROM (VALUES ('churn'), ('pricing')) v(model)"""

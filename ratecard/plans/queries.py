@@ -199,6 +199,7 @@ def q_pca_2d(spark, sf_dir):
 # ---- churn preparation and ranking metrics (fixed arithmetic score) --------
 
 from ratecard.operators import churn as ch  # noqa: E402
+from ratecard.operators import inspection as ins  # noqa: E402
 from ratecard.operators import ranking as rk  # noqa: E402
 
 
@@ -374,23 +375,47 @@ def q_calibration_bins(spark, sf_dir):
                     R("fraction_positive", 9).alias("fraction_positive"))
 
 
+def _scores_of(models: dict, test: DataFrame, label: str) -> DataFrame:
+    """(model, p, label) of all models, one under the other."""
+    parts = [ch.positive_probability(m, test, "p").select(F.lit(name).alias("model"), "p", label)
+             for name, m in models.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def _model_metrics(models: dict, test: DataFrame, label: str) -> DataFrame:
-    """Long table (model, metric, value): one union of one-row frames."""
-    from functools import reduce
-    parts = []
-    for name, m in models.items():
-        # written once: every metric reads the same scores, and no model runs again
-        sc = freeze(ch.positive_probability(m, test, "p").select(label, "p"))
-        frames = [rk.roc_auc(sc, "p", label).select(F.lit("roc_auc").alias("metric"),
-                                                     F.col("roc_auc").alias("value")),
-                  rk.average_precision(sc, "p", label).select(
-                      F.lit("average_precision").alias("metric"),
-                      F.col("average_precision").alias("value"))]
-        ll = rk.log_loss_brier(sc, "p", label)
-        frames += [ll.select(F.lit("log_loss").alias("metric"), F.col("log_loss").alias("value")),
-                   ll.select(F.lit("brier").alias("metric"), F.col("brier").alias("value"))]
-        parts += [f.select(F.lit(name).alias("model"), "metric", "value") for f in frames]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    """Long table (model, metric, value) from one scoring pass and one ordering of all models' scores."""
+    return rk.long_metrics(rk.metrics_of_scores(
+        rk.cumulative_scores(_scores_of(models, test, label), "model", "p", label)))
+
+
+def stub_models(t: Tables) -> DataFrame:
+    """Two fixed arithmetic scores of the churn rows, as two models."""
+    lab = churn_labels_of(t)
+    scores = F.array(F.struct(F.lit("risk").alias("model"), ch.stub_risk_score(lab).alias("p")),
+                     F.struct(F.lit("tenure").alias("model"),
+                              F.round(F.lit(1.0) / (1 + F.col("tenure_days_at_cutoff") / F.lit(365.0)), 3).alias("p")))
+    return lab.select("churned", F.inline(scores))
+
+
+@query("model_comparison_stub")
+def q_model_comparison_stub(spark, sf_dir):
+    """AUC, average precision, log-loss and Brier of two scores from one table."""
+    m = rk.metrics_of_scores(rk.cumulative_scores(stub_models(Tables(spark, sf_dir)), "model", "p", "churned"))
+    return m.select("model", *[R(c, 9).alias(c) for c in rk.METRICS], "n")
+
+
+CURVE_POINTS = 20
+SUPPORT_ACCURACY = 200
+
+
+@query("curves_thinned_stub")
+def q_curves_thinned_stub(spark, sf_dir):
+    """ROC and precision-recall points of two scores, thinned to CURVE_POINTS steps."""
+    cum = rk.cumulative_scores(stub_models(Tables(spark, sf_dir)), "model", "p", "churned")
+    return rk.curves_of_scores(cum, CURVE_POINTS)
 
 
 # fitted models by (source state, parameters, name): the queries of one
@@ -429,6 +454,15 @@ def q_pricing_model_metrics(spark, sf_dir):
     return _model_metrics(models, pricing_split(t).where("split = 'test'"), "accepted")
 
 
+@query("price_support_approx")
+def q_price_support_approx(spark, sf_dir):
+    """The support quantile from a mergeable summary, with its rank beside the exact one: per segment
+    whether the share of quotes at or below it is within the stated error."""
+    t = Tables(spark, sf_dir)
+    q = t.quotes().select("segment", "price_ratio")
+    return rk.quantile_rank_check(q, ["segment"], "price_ratio", [0.5, t.p.support_quantile], SUPPORT_ACCURACY)
+
+
 @query("gbt_demand_curve", rows_only=True)
 def q_gbt_demand_curve(spark, sf_dir):
     t = Tables(spark, sf_dir)
@@ -772,26 +806,82 @@ def q_churn_decile_lift_model(spark, sf_dir):
     return rk.decile_lift(test.select("customer_id", "churned", "score"), "score", "churned", "customer_id")
 
 
-def _importance(t: Tables, n_repeats: int = 8) -> DataFrame:
-    test = churn_frame(t).where("split = 'test'").select("customer_id", "churned", *ch.NUM_FEATURES,
-                                             *ch.CAT_FEATURES)
-    return ch.permutation_importance(ch.scorer(churn_model(t, "Gradient Boosting")), test,
-                                     [*ch.NUM_FEATURES, *ch.CAT_FEATURES], "churned",
-                                     "customer_id", n_repeats, t.p.seed)
+def churn_importance(t: Tables) -> DataFrame:
+    def make():
+        test = churn_frame(t).where("split = 'test'")
+        return freeze(ins.permutation_importance(
+            ch.scorer(churn_model(t, "Gradient Boosting")), test, [*ch.NUM_FEATURES, *ch.CAT_FEATURES],
+            "churned", ["customer_id"], seed=t.p.seed))
+    return fitted(t, "churn importance", make)
 
 
 @query("permutation_importance", rows_only=True)
 def q_permutation_importance(spark, sf_dir):
-    return _importance(Tables(spark, sf_dir))
+    return churn_importance(Tables(spark, sf_dir))
+
+
+@query("pricing_permutation_importance", rows_only=True)
+def q_pricing_permutation_importance(spark, sf_dir):
+    """The same for the boosted acceptance model; a quote is named by its order line."""
+    t = Tables(spark, sf_dir)
+    return ins.permutation_importance(
+        ch.scorer(pricing_model(t, "Gradient Boosting")), pricing_split(t).where("split = 'test'"),
+        [*pr.NUM_FEATURES, *pr.CAT_FEATURES], "accepted", ["l_orderkey", "l_linenumber"], seed=t.p.seed)
 
 
 @query("partial_dependence", rows_only=True)
 def q_partial_dependence(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    imp = _importance(t).where(F.col("feature").isin(*ch.NUM_FEATURES)).checkpoint()
+    imp = churn_importance(t).where(F.col("feature").isin(*ch.NUM_FEATURES))
     top = imp.orderBy(F.col("importance_mean").desc(), "feature").first()["feature"]  # M25: top-1
-    test = churn_frame(t).where("split = 'test'")
-    return ch.partial_dependence(ch.scorer(churn_model(t, "Gradient Boosting")), test, top, t.p.dependence_points)
+    return ins.partial_dependence(churn_model(t, "Gradient Boosting"), churn_frame(t).where("split = 'test'"),
+                                  top, t.p.dependence_points)
+
+
+# ---- certificates: the fits are optimal (checked against constants) --------------
+
+@query("logistic_certificate")
+def q_logistic_certificate(spark, sf_dir):
+    """The penalised gradient of both logistic models, a row per coefficient."""
+    t = Tables(spark, sf_dir)
+    fits = (("churn", churn_model(t, "Logistic Regression"), churn_frame(t).where("split = 'train'"), "churned",
+             ch.NUM_FEATURES, "class_weight"),
+            ("pricing", pricing_model(t, "Logistic Regression"), pricing_split(t).where("split = 'train'"),
+             "accepted", pr.NUM_FEATURES, None))
+    parts = [ins.logistic_gradient(m, train, label, num, weight).withColumn("model", F.lit(name))
+             for name, m, train, label, num, weight in fits]
+    out = parts[0].unionByName(parts[1])
+    # + 0.0 turns a negative zero into zero
+    return out.select("model", "coefficient", (R("gradient", 5) + F.lit(0.0)).alias("gradient"))
+
+
+@query("kmeans_certificate")
+def q_kmeans_certificate(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    model, data = sg.kmeans_fit(rfm_of(t), t.p.k, t.p.seed)
+    c = ins.kmeans_certificate(model, data)
+    return c.select("cluster", "nearer_elsewhere", R("centre_gap", 6).alias("centre_gap"))
+
+
+@query("pca_certificate")
+def q_pca_certificate(spark, sf_dir):
+    model, data = sg.pca_fit(rfm_of(Tables(spark, sf_dir)))
+    c = ins.pca_certificate(model.pc.toArray(), [float(x) for x in model.explainedVariance], data)
+    return c.select("component", R("residual", 9).alias("residual"), R("length", 9).alias("length"),
+                    F.abs(R("product_with_next", 9)).alias("product_with_next"))
+
+
+@query("boosting_certificate")
+def q_boosting_certificate(spark, sf_dir):
+    """Boosting rounds of both boosted classifiers, and in how many the training loss rose."""
+    t = Tables(spark, sf_dir)
+    fits = (("churn", churn_model(t, "Gradient Boosting"), churn_frame(t).where("split = 'train'"), "churned"),
+            ("pricing", pricing_model(t, "Gradient Boosting"), pricing_split(t).where("split = 'train'"), "accepted"))
+    rows = []
+    for name, model, train, label in fits:
+        losses = ins.boosting_losses(model, train, label)
+        rows.append((name, len(losses), ins.loss_rises(losses), losses[-1] < losses[0]))
+    return spark.createDataFrame(rows, "model string, rounds long, rises long, falls boolean")
 
 
 @query("gbt_backtest_metrics", rows_only=True)

@@ -76,7 +76,7 @@ def test_hot_group_stays_spread(spark):
 def test_replaced_source_is_noticed(spark, tmp_path):
     from ratecard.sources.conformed import conformed_tables
     for name in ("region", "nation", "customer", "part", "orders", "lineitem"):
-        shutil.copy(f"{SF_SMALL}/{name}.parquet", tmp_path / f"{name}.parquet")
+        shutil.copyfile(f"{SF_SMALL}/{name}.parquet", tmp_path / f"{name}.parquet")
     n = conformed_tables(spark, str(tmp_path))[1].count()
     half = pq.read_table(tmp_path / "lineitem.parquet").slice(0, n // 2)
     pq.write_table(half, tmp_path / "lineitem.parquet")
@@ -95,7 +95,7 @@ def test_quotes_spread_beyond_their_dates(spark):
 @pytest.mark.skipif(not os.path.exists(SF_SMALL), reason="testdata missing")
 def test_accounts_without_orders_stay(spark, tmp_path):
     for name in ("region", "nation", "customer"):
-        shutil.copy(f"{SF_SMALL}/{name}.parquet", tmp_path / f"{name}.parquet")
+        shutil.copyfile(f"{SF_SMALL}/{name}.parquet", tmp_path / f"{name}.parquet")
     spark.read.parquet(f"{SF_SMALL}/orders.parquet").where("o_custkey > 10").write.parquet(str(tmp_path / "orders.parquet"))
     accounts = load_accounts(spark, str(tmp_path))
     assert accounts.count() == spark.read.parquet(f"{SF_SMALL}/customer.parquet").count()
