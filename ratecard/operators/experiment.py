@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ratecard.functions.stats import t_two_sided_p, two_sided_normal_p, z_quantile
 from ratecard.operators.churn import hash_key
 from ratecard.operators.ranking import group_sequence, sequence_id, with_group_size
+from ratecard.session import freeze
 
 Z95 = 1.96  # fixed value: half-width multiplier of the reported 95% intervals
 
@@ -149,7 +150,11 @@ def error_bars(exp: DataFrame) -> DataFrame:
 def segment_effects(exp: DataFrame, min_rows: int = 5) -> DataFrame:
     """Per-segment effects from the same pass; segments with fewer than
     ``min_rows`` quotes in either arm are dropped."""
-    w = _wide(segment_arm_stats(exp), ["segment"])
+    return effects_of_stats(segment_arm_stats(exp), min_rows)
+
+
+def effects_of_stats(stats: DataFrame, min_rows: int = 5) -> DataFrame:
+    w = _wide(stats, ["segment"])
     w = w.where((F.col("n_c") >= min_rows) & (F.col("n_t") >= min_rows))
     zc = ztest_columns()
     mc, mt = _mean("s1_c", "n_c"), _mean("s1_t", "n_t")
@@ -199,11 +204,13 @@ def sample_size(quotes: DataFrame, window_quotes: DataFrame, mde: float, alpha:
 
 
 def summary(exp: DataFrame, quotes: DataFrame, drop: float, min_rows: int) -> DataFrame:
-    """One-row experiment summary."""
-    w = _wide(arm_stats(segment_arm_stats(exp)), [])
+    """One-row experiment summary. The experiment rows are read once: their sums (two rows a tier)
+    are written while the plan is built, and both parts of the summary start from them."""
+    stats = freeze(segment_arm_stats(exp))
+    w = _wide(arm_stats(stats), [])
     zc = {c: col for c, col in zip(("ac", "at", "ad", "z", "pv"), ztest_columns())}
     wc = welch_columns()
-    breached = (segment_effects(exp, min_rows)
+    breached = (effects_of_stats(stats, min_rows)
                 .agg(F.max((F.col("accept_diff") < F.lit(-drop)).cast("int"))).scalar())
     vol = annual_volume(quotes)
     mc, mt = _mean("s1_c", "n_c"), _mean("s1_t", "n_t")

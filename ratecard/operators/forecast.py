@@ -88,12 +88,13 @@ def fit_trend(train: DataFrame) -> DataFrame:
                      F.col("revenue").alias("y"))
     x = x.withColumnRenamed("month_sin", "s").withColumnRenamed("month_cos", "c")
     means = x.groupBy("segment").agg(*[F.avg(c).alias(f"m_{c}") for c in ("t", "s", "c", "y")])
-    means = means.persist()   # one row per segment, reused twice below
+    means = means.persist()   # one row per segment, held while the sums are taken
     cen = x.join(means, "segment").select(
         "segment", *[(F.col(c) - F.col(f"m_{c}")).alias(c) for c in ("t", "s", "c", "y")])
     pairs = [("t", "t"), ("t", "s"), ("t", "c"), ("s", "s"), ("s", "c"), ("c", "c"),
              ("t", "y"), ("s", "y"), ("c", "y")]
     S = cen.agg(*[F.sum(F.col(a) * F.col(b)).alias(a + b) for a, b in pairs]).first()
+    means.unpersist()
     A = np.array([[S.tt, S.ts, S.tc], [S.ts, S.ss, S.sc], [S.tc, S.sc, S.cc]], dtype=float)
     b = np.array([S.ty, S.sy, S.cy], dtype=float)
     bt, bs, bc = (float(v) for v in np.linalg.solve(A, b))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ratecard.functions.exact import dec_avg
 from ratecard.functions.stats import isclose, logistic
-from ratecard.operators.ranking import exact_quantiles
+from ratecard.operators.selection import selected_quantiles
 from ratecard.session import freeze
 
 # The names of the model's columns.
@@ -40,8 +40,9 @@ def time_split(quotes: DataFrame, months: int) -> DataFrame:
 
 def support_bound(quotes: DataFrame, q: float = 0.97) -> DataFrame:
     """Per-segment exact quantile of price_ratio (linear interpolation), by
-    distributed running counts: no task holds a segment's distinct ratios."""
-    return exact_quantiles(quotes, ["segment"], "price_ratio", [q]).select(
+    radix selection: the ratios are neither sorted nor exchanged. The quotes
+    are read a few times: they should be a stored table."""
+    return selected_quantiles(quotes, ["segment"], ["price_ratio"], [q], written=True).select(
         "segment", F.col("value").alias("support_upper"))
 
 
@@ -57,14 +58,13 @@ def typical_shipment(test: DataFrame, train: DataFrame) -> DataFrame:
                     .join(rows.select("segment").distinct(), "segment", "left_anti"))
     if not absent.isEmpty():
         rows = rows.unionByName(freeze(train.select(*cols).join(absent, "segment", "left_semi")))
-    long = rows.select("segment", F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v"))
-        for c in TYPICAL_NUM])))
-    med = (exact_quantiles(long, ["segment", "feature"], "v", [0.5])
-           .groupBy("segment").pivot("feature", list(TYPICAL_NUM)).agg(F.first("value")))
-    cat = rows.select("segment", F.inline(F.array(*[
+    med = (selected_quantiles(rows, ["segment"], TYPICAL_NUM, [0.5], written=True)
+           .groupBy("segment").pivot("column", list(TYPICAL_NUM)).agg(F.first("value")))
+    # the combinations are counted first: only their few rows are unfolded
+    combos = rows.groupBy("segment", *TYPICAL_CAT).agg(F.count(F.lit(1)).alias("_n"))
+    cat = combos.select("segment", "_n", F.inline(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).alias("v")) for c in TYPICAL_CAT])))
-    counts = cat.groupBy("segment", "feature", "v").agg(F.count(F.lit(1)).alias("_n"))
+    counts = cat.groupBy("segment", "feature", "v").agg(F.sum("_n").alias("_n"))
     w = Window.partitionBy("segment", "feature").orderBy(F.col("_n").desc(), F.col("v"))
     modes = (counts.withColumn("_r", F.row_number().over(w)).where("_r = 1")
              .groupBy("segment").pivot("feature", list(TYPICAL_CAT)).agg(F.first("v")))

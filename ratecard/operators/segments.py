@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ratecard.operators.silhouette import silhouettes
+from ratecard.session import freeze
+
 SEGMENT_FEATURES = ("log_recency", "log_frequency", "log_monetary",
                     "acceptance_rate", "avg_price_ratio", "express_share")
 PROFILE_COLS = ("recency_days", "frequency_per_year", "monetary_per_year", "acceptance_rate",
@@ -154,14 +157,13 @@ def kmeans_fit(rfm: DataFrame, k: int, seed: int = 42, restarts: int = 10, max_i
     """K-means on standardised features; best of ``restarts`` seeds by cost.
     A null feature is an error.
 
-    The scaled feature frame is persisted once and reused by every fit."""
-    data = _scaled(rfm).persist()
+    The scaled feature frame is written once and reused by every fit."""
+    data = freeze(_scaled(rfm))
     return _best_kmeans(data, k, seed, restarts, max_iter), data
 
 
-def kmeans_segments(rfm: DataFrame, tier_order, k: int = 4, seed: int = 42,
-                    restarts: int = 10) -> DataFrame:
-    model, data = kmeans_fit(rfm, k, seed, restarts)
+def kmeans_segments(model, data: DataFrame, tier_order) -> DataFrame:
+    """Accounts with their cluster, its name and dominant tier, from ``kmeans_fit``."""
     feat = model.transform(data).drop("_raw", "features")
     prof = cluster_profile(feat, tier_order)
     return (feat.join(prof.select("cluster", "cluster_name",
@@ -175,17 +177,25 @@ def kmeans_segments(rfm: DataFrame, tier_order, k: int = 4, seed: int = 42,
 def kmeans_k_sweep(rfm: DataFrame, ks, seed: int = 42, restarts: int = 10,
                    max_iter: int = 300) -> DataFrame:
     """Inertia and silhouette for each k (driver loop over k only; each fit
-    is distributed). Spark's silhouette uses squared Euclidean distance."""
+    is distributed). ``silhouette`` is exact, by Euclidean distances, and its
+    work grows with the square of the accounts; Spark's, by squared distances,
+    stands beside it."""
     from pyspark.ml.evaluation import ClusteringEvaluator
-    data = _scaled(rfm).persist()
+    from pyspark.ml.functions import vector_to_array
+    data = freeze(_scaled(rfm))
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="cluster",
                              distanceMeasure="squaredEuclidean")
     rows = []
     for k in ks:
         m = _best_kmeans(data, k, seed, restarts, max_iter)
-        rows.append((int(k), float(m.summary.trainingCost), float(ev.evaluate(m.transform(data)))))
+        out = m.transform(data)
+        points = out.select("customer_id", "cluster", vector_to_array("features").alias("_x"))
+        points = points.select("customer_id", "cluster", *[F.col("_x")[i].alias(c)
+                                                           for i, c in enumerate(SEGMENT_FEATURES)])
+        exact = silhouettes(points, "customer_id", "cluster", SEGMENT_FEATURES).agg(F.avg("silhouette")).first()[0]
+        rows.append((int(k), float(m.summary.trainingCost), float(exact), float(ev.evaluate(out))))
     return rfm.sparkSession.createDataFrame(
-        rows, "k int, inertia double, silhouette_sq_euclidean double")
+        rows, "k int, inertia double, silhouette double, silhouette_sq_euclidean double")
 
 
 def pca_fit(rfm: DataFrame, k: int = 2):

@@ -312,6 +312,25 @@ FROM rc r JOIN named n ON r.cluster = n.cluster"""
 ORACLE_SQL["misfiled_top10"] = ORACLE_SQL["misfiled_accounts"] + """
 ORDER BY n_accounts DESC, r.true_segment, n.cluster_name LIMIT 10"""
 
+_seg_features = ("log_recency", "log_frequency", "log_monetary", "acceptance_rate", "avg_price_ratio",
+                 "express_share")
+ORACLE_SQL["silhouette_rule_clusters"] = with_(*BASE, RFM_CTE, RULE_CTE) + f""",
+z AS (SELECT customer_id, cluster, {", ".join(
+    f"(CAST({c} AS DOUBLE) - AVG(CAST({c} AS DOUBLE)) OVER ()) / STDDEV_POP(CAST({c} AS DOUBLE)) OVER () AS {c}"
+    for c in _seg_features)} FROM rc),
+size AS (SELECT cluster, COUNT(*) AS n FROM z GROUP BY cluster),
+d AS (SELECT a.customer_id, a.cluster, b.cluster AS other,
+             SUM(SQRT({" + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in _seg_features)})) AS total
+      FROM z a, z b GROUP BY 1, 2, 3),
+m AS (SELECT d.customer_id, d.cluster,
+             MAX(CASE WHEN other = d.cluster THEN total / greatest(n - 1, 1) END) AS own,
+             MAX(CASE WHEN other = d.cluster THEN n END) AS n,
+             MIN(CASE WHEN other <> d.cluster THEN total / n END) AS nearest
+      FROM d JOIN size s ON s.cluster = d.other GROUP BY 1, 2),
+s AS (SELECT cluster, CASE WHEN n = 1 THEN 0 ELSE (nearest - own) / greatest(nearest, own) END AS s FROM m)
+SELECT CAST(cluster AS BIGINT) AS cluster, COUNT(*) AS n, {rnd('AVG(s)', 9)} AS silhouette
+FROM s GROUP BY GROUPING SETS ((cluster), ())"""
+
 # ---- ranking metrics on the fixed arithmetic churn score -------------------
 
 SCORED_CTE = f"""
@@ -449,6 +468,10 @@ SELECT ROW_NUMBER() OVER (ORDER BY o.o_custkey, CAST(o.o_orderdate AS DATE), l.l
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
 JOIN customer c ON c.c_custkey = o.o_custkey"""
 
+ORACLE_SQL["sorted_quotes_rank"] = ORACLE_SQL["quote_sequence"]
+ORACLE_SQL["sorted_quotes_overlaps"] = with_(*BASE) + """
+SELECT COUNT(*) AS n_rows, CAST(0 AS BIGINT) AS n_overlaps FROM quotes"""
+
 
 # ---- pricing ------------------------------------------------------------------
 
@@ -565,6 +588,8 @@ stest AS (
 )"""
 
 _eps = 2.220446049250313e-16
+ORACLE_SQL["price_recommendation_stored"] = ORACLE_SQL["price_recommendation_stub"]
+
 ORACLE_SQL["log_loss_brier"] = with_(*BASE, QC_CTE, STUB_TEST_CTE) + f"""
 SELECT {rnd(f'AVG(-(CAST(accepted AS DOUBLE) * ln(LEAST(GREATEST(p, {_eps!r}), {1 - _eps!r}))'
             f' + (1.0 - CAST(accepted AS DOUBLE)) * ln(1.0 - LEAST(GREATEST(p, {_eps!r}), {1 - _eps!r}))))', 9)}
@@ -922,6 +947,9 @@ SELECT segment, {rnd('naive_mape', 9)} AS naive_mape,
        {rnd('recursive_mape', 9)} AS recursive_mape, best_method
 FROM win"""
 
+ORACLE_SQL["mape_by_method"] = _BT + "\n" + " UNION ALL ".join(
+    f"SELECT segment, '{m}' AS method, {rnd(f'{m}_mape', 9)} AS mape FROM win"
+    for m in ("naive", "trend_seasonal", "recursive"))
 ORACLE_SQL["forecast_winner"] = _BT + "\nSELECT segment, best_method FROM win"
 
 ORACLE_SQL["backtest_table"] = _BT + f"""

@@ -17,7 +17,9 @@ from ratecard.operators import features as fe
 from ratecard.plans.context import Tables
 from ratecard.session import ensure_checkpoint_dir, freeze
 from ratecard.sources.conformed import source_key
-from ratecard.sources.io import ACCOUNT_SCHEMA, read_table, write_table
+from ratecard.sources.io import (ACCOUNT_SCHEMA, RECOMMENDATION_SCHEMA, file_overlaps, rank_from_files, read_table,
+                                 write_sorted, write_table)
+from ratecard.sources.versions import publish, read_newest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 # queries whose result comes from a fitted model / iterative algorithm:
@@ -119,6 +121,7 @@ def q_overview_kpis(spark, sf_dir):
 # ---- segmentation (rule clusters: SQL-checkable) ---------------------------
 
 from ratecard.operators import segments as sg  # noqa: E402
+from ratecard.operators import silhouette as si  # noqa: E402
 
 
 def rule_clusters_of(t: Tables) -> DataFrame:
@@ -172,10 +175,24 @@ def q_misfiled_top10(spark, sf_dir):
             .orderBy(F.col("n_accounts").desc(), "true_segment", "cluster_name").limit(10))
 
 
+@query("silhouette_rule_clusters")
+def q_silhouette_rule_clusters(spark, sf_dir):
+    """Mean silhouette (Euclidean, standardised features) of the rule clusters, each and overall."""
+    feat = rule_clusters_of(Tables(spark, sf_dir))
+    z = ch.zscores(feat, sg.SEGMENT_FEATURES).join(feat.select("customer_id", "cluster"), "customer_id")
+    m = si.mean_silhouette(z, "customer_id", "cluster", [f"z_{c}" for c in sg.SEGMENT_FEATURES])
+    return m.select("cluster", "n", R("silhouette", 9).alias("silhouette"))
+
+
+def kmeans_of(t: Tables) -> tuple:
+    """The fitted clusters and the standardised features, shared by the queries of a session."""
+    return fitted(t, "kmeans", lambda: sg.kmeans_fit(rfm_of(t), t.p.k, t.p.seed))
+
+
 @query("kmeans_segments", rows_only=True)
 def q_kmeans_segments(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return sg.kmeans_segments(rfm_of(t), t.p.tier_order, k=t.p.k, seed=t.p.seed)
+    return sg.kmeans_segments(*kmeans_of(t), t.p.tier_order)
 
 
 @query("kmeans_k_sweep", rows_only=True)
@@ -187,8 +204,7 @@ def q_kmeans_k_sweep(spark, sf_dir):
 @query("kmeans_tier_ari", rows_only=True)
 def q_kmeans_tier_ari(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return sg.adjusted_rand_index(sg.kmeans_segments(rfm_of(t), t.p.tier_order, k=t.p.k),
-                                  "cluster", "true_segment")
+    return sg.adjusted_rand_index(sg.kmeans_segments(*kmeans_of(t), t.p.tier_order), "cluster", "true_segment")
 
 
 @query("pca_2d", rows_only=True)
@@ -290,6 +306,32 @@ def q_quote_sequence(spark, sf_dir):
     return seq.select("quote_id", "customer_id", "quote_date", "l_orderkey", "l_linenumber")
 
 
+QUOTE_ORDER = ["customer_id", "quote_date", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+
+
+def sorted_quotes(t: Tables) -> DataFrame:
+    """The quotes' keys as a table in global order, a file per range (written once per session)."""
+    def make():
+        path = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/sorted-quotes-{uuid.uuid4().hex}"
+        q = t.quotes().select(*QUOTE_ORDER)
+        write_sorted(q, path, QUOTE_ORDER, rk.bucket_count(q))
+        return path
+    return read_table(t.spark, fitted(t, "sorted quotes", make))
+
+
+@query("sorted_quotes_overlaps")
+def q_sorted_quotes_overlaps(spark, sf_dir):
+    """Rows of the sorted table, and files whose key range meets another's."""
+    return file_overlaps(sorted_quotes(Tables(spark, sf_dir)), QUOTE_ORDER)
+
+
+@query("sorted_quotes_rank")
+def q_sorted_quotes_rank(spark, sf_dir):
+    """Every quote's rank, read off its place in the sorted files."""
+    ranked = rank_from_files(sorted_quotes(Tables(spark, sf_dir)), QUOTE_ORDER, "quote_id")
+    return ranked.select("quote_id", "customer_id", "quote_date", "l_orderkey", "l_linenumber")
+
+
 # ---- pricing ------------------------------------------------------------------
 
 from ratecard.operators import pricing as pr  # noqa: E402
@@ -484,8 +526,14 @@ def window_of(t: Tables):
     return t.p.as_of - _dt.timedelta(days=t.p.experiment_days), t.p.as_of
 
 
+def sampled_of(t: Tables) -> DataFrame:
+    """The accounts that take part, drawn once per session and source state."""
+    return fitted(t, "ab sample", lambda: freeze(ex.sample_accounts(t.accounts(), t.p.sample_fraction, t.p.salt)))
+
+
 def assigned_of(t: Tables) -> DataFrame:
-    return ex.assign_arms(ex.sample_accounts(t.accounts(), t.p.sample_fraction, t.p.salt), t.p.salt)
+    """Their arms, likewise: every analysis of the test reads the one assignment."""
+    return fitted(t, "ab assignment", lambda: freeze(ex.assign_arms(sampled_of(t), t.p.salt)))
 
 
 def experiment_of(t: Tables) -> DataFrame:
@@ -496,8 +544,7 @@ def experiment_of(t: Tables) -> DataFrame:
 @query("ab_sample")
 def q_ab_sample(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return ex.sample_accounts(t.accounts(), t.p.sample_fraction, t.p.salt).select(
-        "customer_id", "true_segment")
+    return sampled_of(t).select("customer_id", "true_segment")
 
 
 @query("ab_assignment")
@@ -596,10 +643,26 @@ def q_ab_summary(spark, sf_dir):
                       else R(c, 6).alias(c) if c == "rev_df" else F.col(c) for c in s.columns])
 
 
+def stored_recommendations(t: Tables) -> DataFrame:
+    """The newest complete version of the price recommendations; the first use in a session (and the
+    first after a source file changed) computes and publishes one."""
+    def make():
+        root = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/recommendations-{uuid.uuid4().hex}"
+        publish(stub_recommendation(t), root, RECOMMENDATION_SCHEMA)
+        return root
+    return read_newest(t.spark, fitted(t, "recommendations", make), RECOMMENDATION_SCHEMA)
+
+
+@query("price_recommendation_stored")
+def q_price_recommendation_stored(spark, sf_dir):
+    """The recommendations as read back from the stored lookup."""
+    return stored_recommendations(Tables(spark, sf_dir))
+
+
 @query("ab_decision")
 def q_ab_decision(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    d = ex.decisions(effects_of(t), stub_recommendation(t), t.p.guardrail_drop)
+    d = ex.decisions(effects_of(t), stored_recommendations(t), t.p.guardrail_drop)
     return d.select("segment", "accept_diff", "decision", R("next_price_ratio", 9).alias("next_price_ratio"))
 
 
@@ -618,10 +681,16 @@ def dense_of(t: Tables) -> DataFrame:
     return fc.dense_panel(panel).repartition(1)
 
 
+def panel_of(t: Tables) -> DataFrame:
+    """The same panel, kept in memory for the session: every branch of every forecast reads it. It has
+    segments x months rows, however many quotes there are."""
+    return fitted(t, "panel", lambda: dense_of(t).persist())
+
+
 def backtest_of(t: Tables, boosted: bool = False) -> DataFrame:
     """Holdout rows with actual, seasonal-naive, trend and recursive
     forecasts (of the arithmetic stand-in, or of the boosted model)."""
-    dense = dense_of(t).persist()    # small panel reused by every branch
+    dense = panel_of(t)
     cut = fc.holdout_start(dense, t.p.holdout_months)
     tidx = fc.with_time_index(dense)
     coefs = fc.fit_trend(tidx.where(F.col("month") < cut))
@@ -650,7 +719,7 @@ def q_lag_features(spark, sf_dir):
 @query("seasonal_naive")
 def q_seasonal_naive(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    dense = dense_of(t).persist()
+    dense = panel_of(t)
     test = dense.where(F.col("month") >= fc.holdout_start(dense, t.p.holdout_months))
     return fc.seasonal_naive(dense, test.select("segment", "month", "revenue"))
 
@@ -658,7 +727,7 @@ def q_seasonal_naive(spark, sf_dir):
 @query("trend_forecast")
 def q_trend_forecast(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    dense = dense_of(t).persist()    # small panel reused by every branch
+    dense = panel_of(t)
     cut = fc.holdout_start(dense, t.p.holdout_months)
     tidx = fc.with_time_index(dense)
     coefs = fc.fit_trend(tidx.where(F.col("month") < cut))
@@ -669,7 +738,7 @@ def q_trend_forecast(spark, sf_dir):
 @query("recursive_forecast_stub")
 def q_recursive_forecast_stub(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    dense = dense_of(t).persist()
+    dense = panel_of(t)
     out = fc.recursive_forecast(dense, fc.holdout_start(dense, t.p.holdout_months),
                                 t.p.holdout_months, fc.stub_recursive_model)
     return _r4(out, _FC)
@@ -687,6 +756,16 @@ def q_backtest_metrics(spark, sf_dir):
                     "best_method")
 
 
+@query("mape_by_method")
+def q_mape_by_method(spark, sf_dir):
+    """The error table turned long: a method is its column's name without the suffix."""
+    m = metrics_of(backtest_of(Tables(spark, sf_dir)))
+    cols = [c for c in m.columns if c.endswith("_mape")]
+    lines = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("mape")) for c in cols])
+    return m.select("segment", F.inline(lines)).select(
+        "segment", F.regexp_replace("column", "_mape$", "").alias("method"), R("mape", 9).alias("mape"))
+
+
 @query("forecast_winner")
 def q_forecast_winner(spark, sf_dir):
     return metrics_of(backtest_of(Tables(spark, sf_dir))).select("segment", "best_method")
@@ -718,7 +797,7 @@ def q_bottom_up_total(spark, sf_dir):
 def forward_of(t: Tables, boosted: bool = False) -> DataFrame:
     """Refit on the full history, roll ``forecast_horizon`` months forward
     with both methods and keep each segment's backtest winner."""
-    dense = dense_of(t).persist()
+    dense = panel_of(t)
     tidx = fc.with_time_index(dense)
     coefs = fc.fit_trend(tidx)
     last = tidx.groupBy("segment").agg(F.max("month").alias("_m"), F.max("time_idx").alias("_i"))
@@ -763,7 +842,7 @@ def forecast_model(t: Tables, dense: DataFrame, cut=None):
 @query("gbt_recursive_forecast", rows_only=True)
 def q_gbt_recursive_forecast(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    dense = dense_of(t).persist()
+    dense = panel_of(t)
     cut = fc.holdout_start(dense, t.p.holdout_months)
     model = forecast_model(t, dense, cut)
     out = fc.recursive_forecast(dense, cut, t.p.holdout_months, model)
@@ -858,8 +937,7 @@ def q_logistic_certificate(spark, sf_dir):
 @query("kmeans_certificate")
 def q_kmeans_certificate(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    model, data = sg.kmeans_fit(rfm_of(t), t.p.k, t.p.seed)
-    c = ins.kmeans_certificate(model, data)
+    c = ins.kmeans_certificate(*kmeans_of(t))
     return c.select("cluster", "nearer_elsewhere", R("centre_gap", 6).alias("centre_gap"))
 
 
@@ -889,7 +967,7 @@ def q_gbt_backtest_metrics(spark, sf_dir):
     """Backtest with the boosted recursive forecaster as the second fitted
     candidate (trend+season vs boosted, naive reported as the floor)."""
     t = Tables(spark, sf_dir)
-    dense = dense_of(t).persist()
+    dense = panel_of(t)
     cut = fc.holdout_start(dense, t.p.holdout_months)
     tidx = fc.with_time_index(dense)
     coefs = fc.fit_trend(tidx.where(F.col("month") < cut))

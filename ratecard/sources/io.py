@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ACCOUNT_SCHEMA = T.StructType([
@@ -73,3 +76,44 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=Non
         w.option("header", True).csv(path)
     else:
         w.format(fmt).save(path)
+
+
+# ---- globally sorted tables -------------------------------------------------------
+
+def write_sorted(df: DataFrame, path: str, order: Sequence[str], files: int, fmt: str = "parquet",
+                 mode: str = "overwrite") -> None:
+    """Write ``df`` sorted by ``order``: file after file (by name) the rows are in order.
+
+    One range exchange; each of at most ``files`` tasks sorts and writes its own range, so no task
+    sees all rows. Rows that agree in all of ``order`` stay in one file, in any order among them."""
+    sorted_rows = df.repartitionByRange(files, *order).sortWithinPartitions(*order)
+    write_table(sorted_rows, path, fmt, mode=mode)
+
+
+def file_bounds(table: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Per file of a parquet table: ``file``, ``n_rows``, its ``lowest`` and ``highest`` key."""
+    key = F.struct(*order)
+    return table.groupBy(F.col("_metadata.file_path").alias("file")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min(key).alias("lowest"), F.max(key).alias("highest"))
+
+
+def file_overlaps(table: DataFrame, order: Sequence[str]) -> DataFrame:
+    """One row: ``n_rows`` and ``n_overlaps``, the files that begin before the file before them ends.
+    0 means that the files' key ranges are disjoint."""
+    w = Window.orderBy("lowest", "highest")   # one row per file
+    before = F.max("highest").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    bounds = file_bounds(table, order).withColumn("_before", before)
+    return bounds.agg(F.sum("n_rows").alias("n_rows"),
+                      F.count(F.when(F.col("lowest") <= F.col("_before"), 1)).alias("n_overlaps"))
+
+
+def rank_from_files(table: DataFrame, order: Sequence[str], name: str = "rank") -> DataFrame:
+    """The 1-based position of every row of a table written by ``write_sorted``, from its place in its
+    file and the sizes of the files before it: no row is exchanged or sorted again."""
+    bounds = file_bounds(table, order)
+    w = Window.orderBy("lowest", "highest").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per file of a table with a stated number of files
+    offsets = bounds.select("file", F.coalesce(F.sum("n_rows").over(w), F.lit(0)).alias("_before"))
+    rows = table.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("_at"))
+    return (rows.join(F.broadcast(offsets), "file")
+            .withColumn(name, F.col("_before") + F.col("_at") + 1).drop("file", "_before", "_at"))

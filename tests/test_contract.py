@@ -1,6 +1,8 @@
 """Driver contract and the SQL oracle gate on the smallest testdata."""
 
 import os
+import subprocess
+import sys
 
 import pytest
 
@@ -93,3 +95,14 @@ def test_experiment_summary_partition_invariant(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert compare(a, b)[0]
+
+
+def test_entry_lives_without_the_training_data_part():
+    """A library that part needs is missing: the base queries are all there."""
+    code = ("import sys; sys.modules['ahocorasick'] = None; sys.modules['tiktoken'] = None\n"
+            "import __spark_entry__ as e; from ratecard.plans import QUERIES\n"
+            "assert set(QUERIES) <= set(e.queries()); print(len(e.queries()))")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr
+    assert int(out.stdout) >= 85
