@@ -46,12 +46,73 @@ def test_slugs_of_titles_are_content():
              '<div class="post-share-buttons">no</div><div role="search">no</div><p>seven</p></article>')
     want = "a first paragraph of several words\none\ntwo three\nfour\nfive\nsix\nseven"
     assert h.main_text(inner, w) == want
-    in_main = list(h.tokens(inner.replace("article>", "main>")))
+    in_main = h.tokens(inner.replace("article>", "main>"))
     assert "\n".join(t.text for t in in_main if t.text and not t.skip) == want
     page_without = '<h2 id="search-algorithms">these are eight words so that they count</h2>'
     assert h.main_text(page_without, h.Weights([])) == "these are eight words so that they count"
 
 
+WRAPPED = [
+    '<form id="aspnetForm">{}</form>', '<div class="content no-sidebar">{}</div>', '<div class="with-sidebar">{}</div>',
+    '<div id="page" class="site cookies-not-set">{}</div>', '<div class="page-wrapper sidebar">{}</div>',
+    '<section role="search"><form><div id=comments>{}</div></form></section>', '<header class="banner">{}</header>',
+    '<form class="x">{}', '<div class="widget"><div class="share">{}</div>',
+]
+
+
+def test_what_lies_around_an_article_does_not_drop_it():
+    w = h.Weights(page(i)[0] for i in range(60))
+    text = "a first paragraph of several words\nand a second one"
+    for box in ("article", "main"):
+        inner = f"<{box}><p>a first paragraph of several words</p><form>your name</form><p>and a second one</p></{box}>"
+        for wrapper in WRAPPED:
+            whole = ("<html><body><nav><a href='/'>home</a></nav>" + wrapper.format(inner)
+                     + "<footer>all rights of this are reserved now</footer></body></html>")
+            if box == "article":
+                assert h.main_text(whole, w) == text, wrapper
+            else:
+                assert "\n".join(t.text for t in h.tokens(whole) if t.text and not t.skip) == text, wrapper
+
+
+def test_teasers_and_headers():
+    w = h.Weights(page(i)[0] for i in range(60))
+    card = "<article><p>read this other long and interesting story of ours now</p></article>"
+    own = "<article><header><h1>Title</h1></header><p>short text</p></article>"
+    for around in ('<div class="related-posts">{}</div>', "<aside>{}</aside>", "<form>{}</form>"):
+        assert h.main_text(f"<body>{own}{around.format(card * 3)}</body>", w) == "Title\nshort text"
+    assert h.main_text(f"<body><aside>{card}</aside></body>", w) == ""  # an aside is never spared
+    two = f'<div class="related"><article><p>one two</p></article></div><form>{card}</form>'
+    assert h.main_text(two, w) == "read this other long and interesting story of ours now"  # the longest is
+    seen = h.tokens("<body><header>site</header><main><header><h1>Title</h1></header><p>some text</p></main>")
+    assert [t.text for t in seen if t.text and not t.skip] == ["Title", "some text"]
+
+
+def test_page_wide_forms():
+    none = h.Weights([])
+    words = " ".join(f"w{i}" for i in range(30))
+    assert h.main_text(f"<form id=f><div><p>{words}</p></div></form>", none) == words
+    assert h.main_text(f"<p>{words}</p><form>name and street</form>", none) == words
+
+
+def test_held_out_pages_without_article_elements(spark):
+    """The scan finds the content where no element marks it: the article tag renamed after fitting."""
+    w = h.Weights(page(i)[0] for i in range(60))
+    right = [h.main_text(page(i)[0].replace("article>", "div>"), w) == page(i)[1] for i in range(60, 260)]
+    assert sum(right) >= 0.95 * sum(len(page(i)[1].split()) > 12 for i in range(60, 260))
+
+
+def test_a_very_long_page():
+    body = "".join(f"<p>paragraph {i} of the long text &amp; more</p>" for i in range(40_000))
+    got = h.main_text(f"<body><nav>menu</nav><article>{body}</article><footer>end</footer>", h.Weights([page(1)[0]]))
+    assert got.count("\n") == 39_999 and got.endswith("paragraph 39999 of the long text & more")
+
+
+def test_weights_counted_by_tasks_equal_those_of_the_pages(spark):
+    rows = [(i, page(i)[0]) for i in range(40)] + [(3, page(3)[0]), (50, "<p>no label</p>"), (51, None)]
+    fitted = h.fit_weights(spark.createDataFrame(rows, "page_id long, html string").repartition(3))
+    assert fitted.odds == h.Weights(page(i)[0] for i in range(40)).odds
+
+
 def test_rows(spark):
     rows = [(i, "u", page(i)[0], "x") for i in range(50)] + [(None, None, None, None), (3, "u", page(3)[0], "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
