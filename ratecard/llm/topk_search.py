@@ -9,10 +9,11 @@ every task has, for its rows, one list of partial scores per group.
    t / LISTS in some list, so the entries at or above that threshold suffice.
 3. The remaining partial scores of just these entries are added, and those that reach t are ranked.
 
-Equal vectors are one candidate and one query: their rows join in at the end, at most k + 1 smallest
-ids of each (no more can be among a query's k best, its own row aside). Queries and cutoffs are
-written to the shared folder in blocks of ``BLOCK`` vectors; every task reads them block by block, so
-neither the driver nor a broadcast holds them all.
+Equal vectors are one candidate and one query: their rows join in at the end, at most the k + 1 of
+the smallest ids of each (no more can be among a query's k best, its own row aside). Every row has a
+key of its own, so rows that share an id all take part. Queries and cutoffs are written to the shared
+folder in blocks of ``BLOCK`` vectors; every task reads them block by block, so neither the driver nor
+a broadcast holds them all. A task holds its own rows and, for one block at a time, the best totals.
 """
 
 from __future__ import annotations
@@ -36,13 +37,13 @@ CHUNK = 8192
 
 
 def integer_vectors(rows: DataFrame, scale: int, id_col: str, vec_col: str) -> DataFrame:
-    """``id`` and ``v`` (floor(scale * x) of every component x) of the rows that take part: those with
-    an id, a vector and finite components only. Of rows that share an id, the smallest vector stays."""
+    """``row`` (a key of its own), ``id`` and ``v`` (floor(scale * x) of every component x) of the rows that
+    take part: those with an id, a vector and finite components only."""
     x = F.col(vec_col).cast("array<double>")
     good = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) != float("inf")))
     return (rows.filter(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).filter(good)
-            .select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda e: F.floor(e * scale)).alias("v"))
-            .groupBy("id").agg(F.min("v").alias("v")))
+            .select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"),
+                    F.transform(x, lambda e: F.floor(e * scale)).alias("v")))
 
 
 @lru_cache(maxsize=4)
@@ -117,13 +118,16 @@ def search(rows: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_co
     """For every row whose id is divisible by ``every`` its ``k`` best other rows: query_id, rank (from
     1), vec_id, score; ties to smaller ids, fewer rows where there are fewer.
 
-    Rows with a null id, a null vector or a null or non-finite component take no part. Of rows that
-    share an id one takes part (the smallest vector). A shorter vector counts as padded with zeros. An
-    empty table gives an empty result; other columns are ignored."""
+    Rows with a null id, a null vector or a null or non-finite component take no part. Rows that share
+    an id are rows like any other: each is a candidate, a query if the id says so, and among the others
+    of its namesakes. A shorter vector counts as padded with zeros. An empty table gives an empty result;
+    other columns are ignored."""
     spark = rows.sparkSession
+    # written once, so that the keys are the same for all that follows
     vectors = stored(integer_vectors(rows, scale, id_col, vec_col), "vectors")
-    classes = stored(vectors.groupBy("v").agg(F.min("id").alias("cls")), "classes")
-    ids = stored(vectors.join(classes, "v").select("id", "cls"), "ids")
+    classes = stored(vectors.groupBy("v").agg(F.min("id").alias("least"))
+                     .withColumn("cls", F.monotonically_increasing_id()), "classes")
+    ids = stored(vectors.join(classes, "v").select("row", "id", "cls"), "ids")
     dims, largest = classes.agg(F.max(F.size("v")), F.max(F.array_max(F.transform("v", lambda e: F.abs(e))))).first()
     empty = "query_id long, rank int, vec_id long, score long"
     asked = ids.filter(F.pmod("id", F.lit(every)) == 0)
@@ -141,14 +145,17 @@ def search(rows: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_co
     numbers = [int(r[0]) for r in spark.read.parquet(folder).select("block").distinct().collect()]
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches):
-            x = matrix(joined_list(part.column("v")), dims, kind)
-            for number in numbers:
-                table = block_table(folder, number)
-                best = safe_totals(partial_scores(matrix(joined_list(table.column("v")), dims, kind), x), keep)
-                query = np.repeat(table.column("cls").to_numpy(), best.shape[1])
-                real = np.isfinite(best.ravel())
-                yield pa.record_batch({"query": query[real], "score": best.ravel()[real].astype(np.int64)})
+        mine = [matrix(joined_list(part.column("v")), dims, kind) for part in chunks(batches)]
+        for number in numbers if mine else []:
+            table = block_table(folder, number)
+            q = matrix(joined_list(table.column("v")), dims, kind)
+            best = np.zeros((len(q), 0))
+            for x in mine:
+                best = np.concatenate([best, safe_totals(partial_scores(q, x), keep)], axis=1)
+                best = -np.sort(-best, axis=1)[:, :keep]
+            query = np.repeat(table.column("cls").to_numpy(), best.shape[1])
+            real = np.isfinite(best.ravel())
+            yield pa.record_batch({"query": query[real], "score": best.ravel()[real].astype(np.int64)})
 
     lists = classes.mapInArrow(totals, "query long, score long")
     best = Window.partitionBy("query").orderBy(F.desc("score"))
@@ -160,25 +167,27 @@ def search(rows: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_co
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
-            x, own = matrix(joined_list(part.column("v")), dims, kind), part.column("cls").to_numpy()
+            x = matrix(joined_list(part.column("v")), dims, kind)
+            own, least = part.column("cls").to_numpy(), part.column("least").to_numpy()
             for number in numbers:
                 table = block_table(folder2, number)
                 cutoff = table.column("cutoff").to_numpy().astype(float)
                 cutoff[np.isnan(cutoff)] = -np.inf  # fewer than k rows: all are sufficient
                 q = matrix(joined_list(table.column("v")), dims, kind)
-                query, entry, total = sufficient(partial_scores(q, x), cutoff, own, keep)
+                query, entry, total = sufficient(partial_scores(q, x), cutoff, least, keep)
                 yield pa.record_batch({"query": table.column("cls").to_numpy()[query], "cls": own[entry],
-                                       "score": total.astype(np.int64)})
+                                       "least": least[entry], "score": total.astype(np.int64)})
 
-    found = classes.mapInArrow(entries, "query long, cls long, score long")
-    first = Window.partitionBy("query").orderBy(F.desc("score"), "cls")
+    found = classes.mapInArrow(entries, "query long, cls long, least long, score long")
+    first = Window.partitionBy("query").orderBy(F.desc("score"), "least", "cls")
     found = found.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= keep).drop("nth")
-    same = Window.partitionBy("cls").orderBy("id")
+    same = Window.partitionBy("cls").orderBy("id", "row")
     members = ids.withColumn("nth", F.row_number().over(same)).filter(F.col("nth") <= keep).drop("nth")
-    each = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    each = Window.partitionBy("query").orderBy(F.desc("score"), "id", "row")
     known = (found.join(members, "cls").withColumn("nth", F.row_number().over(each)).filter(F.col("nth") <= keep)
-             .select("query", F.col("id").alias("vec_id"), "score"))
-    mine = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (known.join(asked.select(F.col("cls").alias("query"), F.col("id").alias("query_id")), "query")
-            .filter("vec_id <> query_id").withColumn("rank", F.row_number().over(mine)).filter(F.col("rank") <= k)
+             .select("query", "row", F.col("id").alias("vec_id"), "score"))
+    mine = Window.partitionBy("asker").orderBy(F.desc("score"), "vec_id", "row")
+    askers = asked.select(F.col("cls").alias("query"), F.col("id").alias("query_id"), F.col("row").alias("asker"))
+    return (known.join(askers, "query").filter("row <> asker")
+            .withColumn("rank", F.row_number().over(mine)).filter(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

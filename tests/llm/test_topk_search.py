@@ -7,16 +7,12 @@ from ratecard.llm import topk_search
 
 
 def expected(rows, k, every=20):
-    good = {}
-    for i, v, _ in rows:
-        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        w = [math.floor(64 * x) for x in v]
-        good[i] = min(good.get(i, w), w)
+    good = [(i, [math.floor(64 * x) for x in v]) for i, v, _ in rows
+            if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, a in good.items():
+    for at, (q, a) in enumerate(good):
         if q % every == 0:
-            scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in good.items() if i != q)
+            scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for j, (i, b) in enumerate(good) if j != at)
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])]
     return sorted(out)
 
@@ -50,3 +46,22 @@ def test_large_components_stay_exact(spark):
     rows = [(i, [rng.uniform(-1e5, 1e5) for _ in range(8)], None) for i in range(60)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     assert sorted(map(tuple, topk_search.search(frame, k=5).collect())) == expected(rows, 5)
+
+
+def test_rows_that_share_an_id_all_take_part(spark):
+    rows = [(20, [1.0, 0.0], None), (20, [0.5, 0.5], None), (20, [0.5, 0.5], None), (1, [1.0, 1.0], None),
+            (1, [1.0, 1.0], None), (2, [0.0, 1.0], None), (40, [0.5, 0.5], None)]
+    rows += [(60, [0.25, 0.25], None)] * 30
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, row string").repartition(3)
+    for k in (2, 5, 20):
+        got = sorted(map(tuple, topk_search.search(frame, k=k).collect()))
+        assert got == expected(rows, k)
+    assert len({(r[0], r[1]) for r in got}) < len(got) == 20 * (3 + 1 + 30)
+
+
+def test_many_chunks_in_a_task(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(4)], None) for i in range(400)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, x int")
+    monkeypatch.setattr(topk_search, "CHUNK", 10)
+    assert sorted(map(tuple, topk_search.search(frame, k=3).collect())) == expected(rows, 3)
