@@ -165,19 +165,29 @@ def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
         prefixes, "hash long, node long, comp long, n long, at long")
 
 
+def cross_pairs(live: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of ``live`` (hash, node, comp, n, at) that share a hash and lie in different
+    components, once per shared hash. Components are paired first, by hash, and only then joined with
+    their nodes, so that no pair inside a component, however large, is ever formed."""
+    held = live.select("hash", "comp").distinct()
+    apart = (held.withColumnRenamed("comp", "cx").join(held.withColumnRenamed("comp", "cy"), "hash")
+             .filter("cx < cy"))
+    left = live.select("hash", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("at").alias("ax"))
+    right = live.select("hash", F.col("node").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("at").alias("ay"))
+    # the first shared shingle leaves this many that can still be shared
+    most = F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay"))
+    enough = most * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent
+    return (apart.join(left, ["hash", "cx"]).join(right, ["hash", "cy"]).filter(sizes_allow(percent) & enough)
+            .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")))
+
+
 def across_components(sets: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (x, y) of ``sets`` (node, comp, n, hashes) in different components; every pair
     that is similar enough is among them."""
     rare = stored(rare_shingles(sets, percent), "rare")
     live = rare.groupBy("hash").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("hash")
     live = stored(rare.join(live, "hash"), "rare")
-    left = live.select("hash", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("at").alias("ax"))
-    right = live.select("hash", F.col("node").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("at").alias("ay"))
-    # the first shared shingle leaves this many that can still be shared
-    most = F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay"))
-    enough = most * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent
-    return (left.join(right, "hash").filter((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")))
-            .filter(sizes_allow(percent) & enough).select("x", "y").distinct())
+    return cross_pairs(live, percent).distinct()
 
 
 def near_classes(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,7 +198,8 @@ def near_classes(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", tex
     with several texts, so they are in one component. A row with a null id is linked with nothing: its
     component is null and it is kept. An empty table gives an empty result; other columns are ignored.
     A link at the threshold that connects two otherwise unconnected parts is missed with a probability
-    of at most MISS."""
+    of at most MISS. Shingles are compared as 64-bit hashes; sets of one size with equal fingerprints of
+    128 bits are taken as equal, which two different sets are with a probability of 2^-128."""
     k, a = banding(percent)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     signed = stored(with_signatures(rows, k, a), "signatures")

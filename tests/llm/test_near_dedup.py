@@ -1,9 +1,12 @@
 """Near-dedup against brute force over all pairs."""
 
+import os
 import random
 import re
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from ratecard.llm import near_dedup as nd
 from ratecard.llm.common import buffers
@@ -111,3 +114,43 @@ def test_banding():
         s = percent / 100
         assert 1 - (1 - (1 - s ** k) ** a) ** 2 <= nd.MISS + 1e-12
     assert np.isfinite(nd.banding(85)).all()
+
+
+def test_pairs_inside_a_component_are_never_formed(spark):
+    """One component of many near copies beside a few strays: pairs grow with the copies, not their square."""
+    made = {}
+    for copies in (500, 2000):
+        live = (spark.range(copies).select(F.explode(F.array(*[F.lit(h) for h in range(3)])).alias("hash"),
+                                           F.col("id").alias("node"), F.lit(0).alias("comp"))
+                .unionByName(spark.range(3).selectExpr("explode(array(0, 1, 2)) AS hash", "id + 10000 AS node",
+                                                       "CAST(id + 10000 AS INT) AS comp"))
+                .withColumn("comp", F.col("comp").cast("long")).withColumn("n", F.lit(100).cast("long"))
+                .withColumn("at", F.lit(0).cast("long")))
+        pairs = nd.cross_pairs(live, 85)
+        made[copies] = pairs.count()
+        assert pairs.distinct().count() == 3 * copies + 3
+    assert made == {c: 3 * (3 * c + 3) for c in made}
+    same = spark.createDataFrame([(1, i, 7, 50, 0) for i in range(40)], "hash long, node long, comp long, n long, at long")
+    assert nd.cross_pairs(same, 85).count() == 0
+
+
+def test_loose_copies_beside_a_stray(spark):
+    """Near copies of one text, each other than the next, and a text that shares a passage with them."""
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(100)]
+    rows = []
+    for i in range(250):
+        t = list(base)
+        t[rng.randrange(100)] = f"x{i}"
+        rows.append((i, " ".join(t), None))
+    rows.append((900, " ".join(base[:60] + [f"s{i}" for i in range(40)]), None))
+    got = nd.near_classes(spark.createDataFrame(rows, "doc_id long, text string, n int")).collect()
+    assert sorted(map(tuple, got), key=str) == expected(rows, 85)
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="testdata missing")
+def test_whole_table_against_all_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    for percent in (85, 80):
+        assert sorted(map(tuple, nd.near_classes(docs, percent).collect()), key=str) == expected(rows, percent)
