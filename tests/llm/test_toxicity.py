@@ -1,10 +1,14 @@
 """Toxicity: held-out accuracy, the counts against brute force, and odd inputs."""
 
+import math
 import random
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 from ratecard.llm import toxicity
 
@@ -73,3 +77,87 @@ def test_words_with_equal_leading_bits_are_apart(spark):
     mine, theirs = toxicity.slots_of(pa.array([f"{w} {other}"]))[1].tolist()
     assert got.loc[mine, ["toxic", "ordinary"]].tolist() == [1, 0]
     assert got.loc[theirs, ["toxic", "ordinary"]].tolist() == [0, 1]
+
+
+def plain_counts(docs, labels, leave_out):
+    """word -> [toxic, ordinary] continuation counts, from the rows of the other folds."""
+    known = {}
+    for i, y in labels:
+        if i is not None and y is not None:
+            known[i] = max(y, known.get(i, 0))
+    seen = set()
+    for i, text in docs:
+        if i in known and zlib.crc32(str(i).encode()) % 5 not in leave_out:
+            words = words_of(text)
+            seen |= {(known[i], p, w) for p, w in zip(["", *words], words)}
+    out = {}
+    for y, _, w in seen:
+        out.setdefault(w, [0, 0])[1 - y] += 1
+    return out
+
+
+def words_of(text):
+    return re.sub(r"[^\w]|[\d_]", " ", (text or "").lower()).split()
+
+
+def plain_model(counts, d):
+    """word -> the two probabilities, and the backoff masses."""
+    total = [sum(c[k] for c in counts.values()) for k in (0, 1)]
+    taken = [sum(min(c[k], d) for c in counts.values()) / total[k] for k in (0, 1)]
+    return {w: [max(c[k] - d, 0) / total[k] + taken[k] * sum(c) / sum(total) for k in (0, 1)]
+            for w, c in counts.items()}, taken
+
+
+@pytest.fixture(scope="module")
+def fitted(spark):
+    rows = [(i, t, y) for i, t, y in corpus(1200, seed=11)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    return rows, docs, labels, toxicity.fit(docs, labels)
+
+
+@pytest.mark.parametrize("d", [1.0, 1.5, 5.0])
+def test_probabilities_of_a_class_sum_to_one(spark, d):
+    counts = spark.createDataFrame([(w, t, o, t, o) for w, (t, o) in enumerate([(1, 0), (0, 1), (7, 2), (3, 3), (0, 9)])],
+                                   "slot long, toxic int, ordinary int, toxic_rest int, ordinary_rest int")
+    m = toxicity.masses(counts, "", (d,))[0]
+    for cls in ("toxic", "ordinary"):
+        total = counts.agg(F.sum(m.probability(cls, F.col("toxic"), F.col("ordinary")))).first()[0]
+        assert total == pytest.approx(1.0, abs=1e-12)
+    plain, taken = plain_model({0: [1, 0], 1: [0, 1], 2: [7, 2], 3: [3, 3], 4: [0, 9]}, d)
+    assert m.rest() == pytest.approx(taken[0] / taken[1])
+    got = [r[0] for r in counts.orderBy("slot").select(m.ratio(F.col("toxic"), F.col("ordinary"))).collect()]
+    assert got == pytest.approx([plain[w][0] / plain[w][1] for w in range(5)])
+
+
+def test_scores_equal_a_plain_model(spark, fitted):
+    rows, docs, labels, model = fitted
+    counts = plain_counts([r[:2] for r in rows], [(i, y) for i, _, y in rows], {0})
+    plain, taken = plain_model(counts, model.discount)
+    rare = math.log1p(model.share * (taken[0] / taken[1] - 1))
+    says = {w: math.log1p(model.share * (p[0] / p[1] - 1)) - rare for w, p in plain.items()}
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    for i, text, _ in rows:
+        words = words_of(text)
+        x = sum(says.get(w, 0.0) for w in words) / max(len(words), 1)
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-(model.slope * x + model.offset))), abs=2e-4)
+
+
+def test_joined_weights_score_alike(spark, fitted, monkeypatch):
+    rows, docs, labels, model = fitted
+    docs = docs.unionByName(spark.createDataFrame([(None, None), (5000, ""), (1, rows[1][1]), (6000, "grob")], docs.schema))
+    docs = docs.withColumn("key", F.lit("k")).withColumn("score", F.lit(7))
+    key = lambda r: (str(r["doc_id"]), r["score"])
+    held = sorted(toxicity.score(docs, model).collect(), key=key)
+    kept = sorted(map(tuple, toxicity.keep_ordinary(docs, model).collect()), key=str)
+    monkeypatch.setattr(toxicity, "TABLE_ROWS", 0)
+    again = toxicity.fit(docs.select("doc_id", "text"), labels)
+    assert not again.held()
+    assert (again.discount, again.share, again.words) == (model.discount, model.share, model.words)
+    assert (again.slope, again.offset) == pytest.approx((model.slope, model.offset), rel=1e-3)
+    joined = sorted(toxicity.score(docs, model).collect(), key=key)
+    assert [(r["doc_id"], r["predicted"]) for r in joined] == [(r["doc_id"], r["predicted"]) for r in held]
+    assert [r["score"] for r in joined] == pytest.approx([r["score"] for r in held], abs=1e-6)
+    out = toxicity.keep_ordinary(docs, model)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect()), key=str) == kept
+    assert toxicity.score(docs.limit(0), model).count() == 0
