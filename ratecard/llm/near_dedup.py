@@ -166,15 +166,20 @@ def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def cross_pairs(live: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) of ``live`` (hash, node, comp, n, at) that share a hash and lie in different
-    components, once per shared hash. Components are paired first, by hash, and only then joined with
-    their nodes, so that no pair inside a component, however large, is ever formed."""
-    held = live.select("hash", "comp").distinct()
-    apart = (held.withColumnRenamed("comp", "cx").join(held.withColumnRenamed("comp", "cy"), "hash")
-             .filter("cx < cy"))
+    """Pairs (x, y) of ``live`` (hash, node, comp, n, at) that share a hash, lie in different components
+    and may be similar enough, once per shared hash. Components are paired first, by hash and by the
+    bounds of their nodes, and only then joined with their nodes, so that no pair inside a component,
+    however large, is ever formed."""
+    # the first shared shingle leaves n - at that can still be shared
+    held = live.groupBy("hash", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"),
+                                            F.max(F.col("n") - F.col("at")).alias("rest"))
+    one, other = (held.select("hash", F.col("comp").alias(f"c{i}"), F.col("least").alias(f"l{i}"),
+                              F.col("most").alias(f"m{i}"), F.col("rest").alias(f"r{i}")) for i in "xy")
+    sizes = F.least("mx", "my") * 100 >= F.greatest("lx", "ly") * percent
+    enough = F.least("rx", "ry") * (100 + percent) >= (F.col("lx") + F.col("ly")) * percent
+    apart = one.join(other, "hash").filter("cx < cy").filter(sizes & enough).select("hash", "cx", "cy")
     left = live.select("hash", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("at").alias("ax"))
     right = live.select("hash", F.col("node").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("at").alias("ay"))
-    # the first shared shingle leaves this many that can still be shared
     most = F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay"))
     enough = most * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent
     return (apart.join(left, ["hash", "cx"]).join(right, ["hash", "cy"]).filter(sizes_allow(percent) & enough)
