@@ -117,20 +117,25 @@ def held_table(folder: str, names: tuple[str, ...]) -> tuple[np.ndarray, list[np
     """Sorted words (the last one larger than any) and their columns ``names``, read from the shared
     folder once per worker."""
     place, base = fs.FileSystem.from_uri(folder)
-    rows = pq.read_table(base, columns=["slot", *names], filesystem=place)
-    keys = rows.column("slot").to_numpy()
+
+    def column(name: str) -> np.ndarray:  # one at a time: a worker holds little beside the result
+        values = pq.read_table(base, columns=[name], filesystem=place).column(name).to_numpy()
+        pa.default_memory_pool().release_unused()
+        return values
+
+    keys = column("slot")
     order = np.argsort(keys)
     return (np.append(keys[order], np.iinfo(np.int64).max),
-            [np.append(rows.column(n).to_numpy()[order], np.float32(np.nan)) for n in names])
+            [np.append(column(n)[order], np.float32(np.nan)) for n in names])
 
 
 def evidence(words: pa.Array, keys: np.ndarray, columns: list[np.ndarray], weigh) -> list[np.ndarray]:
     """Per document the length-normalised sums of its words' weights. ``weigh`` turns the columns' values
-    of the words found in ``keys`` into one or more weights each; other words say nothing. Two hundred
+    of the words found in ``keys`` into one or more weights each; other words say nothing. Fifty
     documents at a time, so arrays per word stay small."""
     parts = []
-    for at in range(0, max(len(words), 1), 200):
-        _, slot, counts = slots_of(words.slice(at, 200))
+    for at in range(0, max(len(words), 1), 50):
+        _, slot, counts = slots_of(words.slice(at, 50))
         doc = np.repeat(np.arange(len(counts)), counts)
         at_key = np.searchsorted(keys, slot)
         known = np.flatnonzero(keys[at_key] == slot)
