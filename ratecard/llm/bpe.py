@@ -234,26 +234,30 @@ def encode_documents(docs: DataFrame, path: str, result=IDS, leaf: int = LEAF,
     ``IDS``, ``DIGEST``) makes of the encoding of the whole text.
 
     Null counts as empty and has no ids. Repeated rows are returned as often as they occur, rows with
-    a null id too; an empty table gives an empty result; other columns are ignored."""
+    a null id too; an empty table gives an empty result; other columns are ignored. A task holds at most
+    the leaves of one long text, once, whichever rows share it."""
     schema, made = result
     names = [c.strip().split(" ")[0] for c in schema.split(", ")]
-    spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
-    # shared folders may lose no row: the first pass writes results of short texts and leaves of long
-    # ones side by side
-    first_schema = f"id {id_type}, {schema}, doc_sha string, leaf int, leaves int, text string"
+    # the first pass writes, side by side, the results of short texts, a row for each long one, and the
+    # leaves of the long texts, once per text and task
+    first_schema = f"id {id_type}, {schema}, doc_sha string, leaf int, text string"
 
     def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = load(path)
+        bpe, seen = load(path), set()
+        none = [None] * len(names)
         for batch in batches:
             rows = []
             for i, text in zip(batch["id"].array, batch["text"]):
                 if len(text) <= leaf:
-                    rows.append((i, *made(bpe, bpe.encode(text)), None, None, None, None))
-                else:
-                    sha, parts = hashlib.sha256(text.encode()).hexdigest(), cut(text, leaf)
-                    rows += [(i, *[None] * len(names), sha, n, len(parts), p) for n, p in enumerate(parts)]
-            yield frame(rows, ["id", *names, "doc_sha", "leaf", "leaves", "text"])
+                    rows.append((i, *made(bpe, bpe.encode(text)), None, None, None))
+                    continue
+                sha = hashlib.sha256(text.encode()).hexdigest()
+                rows.append((i, *none, sha, None, None))
+                if sha not in seen:
+                    seen.add(sha)
+                    rows += [(None, *none, sha, n, p) for n, p in enumerate(cut(text, leaf))]
+            yield frame(rows, ["id", *names, "doc_sha", "leaf", "text"])
 
     def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = load(path)
@@ -266,22 +270,21 @@ def encode_documents(docs: DataFrame, path: str, result=IDS, leaf: int = LEAF,
 
     def joined(group: pd.DataFrame) -> pd.DataFrame:
         bpe = load(path)
-        copies = int((group["leaf"] == 0).sum())
-        group = group.drop_duplicates("leaf").sort_values("leaf")
+        group = group.sort_values("leaf")
         back = lambda b: np.frombuffer(b, np.uint32).astype(np.int64)
         whole = bpe.join_all([Encoded(t, np.frombuffer(i, np.uint32), back(e), back(x))
                               for t, i, e, x in zip(group["text"], group["ids"], group["ends"], group["id_ends"])])
-        return frame([(group["id"].array[0], *made(bpe, whole.ids.tolist()))] * copies, ["id", *names])
+        return frame([(group["doc_sha"].array[0], *made(bpe, whole.ids.tolist()))], ["doc_sha", *names])
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     done = stored(rows.mapInPandas(short, first_schema), "bpe")
-    cut_up = done.filter("leaf IS NOT NULL").select("id", "doc_sha", "leaf", "text")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    encoded = (cut_up.repartition(n, "id", "doc_sha", "leaf")
-               .mapInPandas(leaves, cut_up.schema.simpleString()[7:-1]
-                            .replace(":", " ") + ", ids binary, ends binary, id_ends binary"))
-    long = encoded.groupBy("id", "doc_sha").applyInPandas(joined, f"id {id_type}, {schema}")
-    out = done.filter("leaf IS NULL").select("id", *names).unionByName(long)
+    # a text is encoded once, however many rows hold it; its leaves meet in one group, as its ids are one value
+    encoded = (done.filter("leaf IS NOT NULL").select("doc_sha", "leaf", "text").dropDuplicates(["doc_sha", "leaf"])
+               .mapInPandas(leaves, "doc_sha string, leaf int, text string, ids binary, ends binary, id_ends binary"))
+    long = encoded.groupBy("doc_sha").applyInPandas(joined, f"doc_sha string, {schema}")
+    holders = done.filter("leaf IS NULL AND doc_sha IS NOT NULL").select("id", "doc_sha")
+    out = (done.filter("leaf IS NULL AND doc_sha IS NULL").select("id", *names)
+           .unionByName(holders.join(stored(long, "long"), "doc_sha").select("id", *names)))
     return out.withColumnRenamed("id", id_col)
 
 

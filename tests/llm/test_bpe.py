@@ -71,3 +71,17 @@ def test_rows(spark, library):
     assert bpe.encode_documents(docs.limit(0), PATH, bpe.DIGEST).count() == 0
     back = bpe.decode_ids(bpe.encode_documents(docs, PATH, leaf=32), PATH).collect()
     assert sorted((r["doc_id"] or -1, r["text"]) for r in back) == sorted((i or -1, t or "") for i, t, _ in rows)
+
+
+def test_a_long_text_that_many_rows_share(spark, library, monkeypatch):
+    """Megabytes under one id, many times, and under null ids: encoded once, in leaves."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 9))) for _ in range(500)]
+    long = " ".join(rng.choice(words) for _ in range(400_000))
+    assert len(long.encode()) > 2_000_000
+    other = long[:70_000] + "x"
+    rows = [(7, long)] * 25 + [(None, long)] * 5 + [(7, other), (8, other), (8, "short"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, bpe.encode_documents(docs, PATH, bpe.DIGEST).collect()), key=str)
+    known = {t: expected(library, t) for t in {t for _, t in rows}}
+    assert got == sorted(((i, *known[t]) for i, t in rows), key=str)
