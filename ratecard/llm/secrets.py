@@ -14,7 +14,6 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
@@ -106,21 +105,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return docs.select(F.col(id_col), spans(F.coalesce(F.col(text_col), F.lit(""))).alias("found"))
 
 
-def scan_digest(docs: DataFrame) -> DataFrame:
-    """The counts, the digest of the base spans and all spans per document."""
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for doc_id, found in zip(b["doc_id"], b["found"]):
-                said = [f"{s['kind']}:{s['start']}:{s['end']}" for s in found]
-                base = [s for s, f in zip(said, found) if f["kind"] in BASE_KINDS]
-                n = [sum(f["kind"] == k for f in found) for k in BASE_KINDS]
-                rows.append((doc_id, *n, hashlib.sha256(",".join(base).encode()).hexdigest(), ",".join(said)))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
-            yield out.astype({"doc_id": "Int64"})
-
-    return scan(docs).mapInPandas(
-        digest, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+def scan_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The counts, the digest of the base spans and all spans per document, in one pass over the texts."""
+    @F.pandas_udf("n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    def digest(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in texts:
+            found = find_spans(text)
+            said = [f"{k}:{a}:{b}" for k, a, b in found]
+            base = ",".join(s for s, f in zip(said, found) if f[0] in BASE_KINDS)
+            rows.append((*(sum(f[0] == k for f in found) for k in BASE_KINDS),
+                         hashlib.sha256(base.encode()).hexdigest(), ",".join(said)))
+        return pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+
+    return (docs.select(F.col(id_col), digest(F.coalesce(F.col(text_col), F.lit(""))).alias("d"))
+            .select(id_col, "d.*"))
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:

@@ -83,3 +83,16 @@ def test_stages_and_run(spark, tmp_path):
     assert whole.groupby("sequence_id")["length"].sum().max() <= corpus_pipeline.SEQUENCE
     final = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     assert np.array_equal(np.sort(final["ids_crc32"]), np.sort(whole["ids_crc32"]))
+
+
+def test_empty_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    # rows, but no label
+    (tmp_path / "some").mkdir()
+    spark.createDataFrame([(1, "a b", "en", "s", 3), (2, "A B", None, None, None), (3, None, "en", "s", None)],
+                          schema).write.parquet(str(tmp_path / "some" / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "some" / "labels.parquet"))
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path / "some")).collect()} == {2, 3}
