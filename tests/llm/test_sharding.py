@@ -1,9 +1,13 @@
 """Sharding: the law, slots, sizes, and that linked documents end up together."""
 
+import itertools
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
+
 from ratecard.llm import sharding
 
 
@@ -78,3 +82,92 @@ def test_linked_documents_only(spark):
     for r in got:
         shards[texts[r["doc_id"]]].add(r["shard"])
     assert sum(len(s) > 1 for s in shards.values()) <= 2 * 6  # a border of a shard, or one of the last rows
+
+
+def test_granted_flows_respect_all_capacities():
+    rng = random.Random(2)
+    for _ in range(300):
+        n = rng.randint(2, 6)
+        demand = {(s, t): rng.randint(0, 30) for s in range(n) for t in range(n) if s != t and rng.random() < 0.7}
+        free = [rng.choice([0, 0, 3, 10]) for _ in range(n)]
+        flow = sharding.granted(demand, free)
+        assert all(0 < x <= demand[k] for k, x in flow.items())
+        for t in range(n):
+            come = sum(x for (_, b), x in flow.items() if b == t)
+            assert come - sum(x for (a, _), x in flow.items() if a == t) <= free[t]
+    assert sharding.granted({(0, 1): 5, (1, 0): 5}, [0, 0]) == {(0, 1): 5, (1, 0): 5}  # an exchange needs no room
+    assert sharding.granted({(0, 1): 5, (1, 2): 2}, [0, 0, 2]) == {(0, 1): 2, (1, 2): 2}
+
+
+def test_every_round_lowers_the_cut(spark):
+    rng = random.Random(5)
+    cells, load = [], Counter()
+    for g in range(400):
+        for shard, n in Counter(rng.randrange(5) for _ in range(900 if g == 0 else rng.choice([2, 2, 3, 5, 8]))).items():
+            cells.append((f"{g:016d}".encode(), shard, n))
+            load[shard] += n
+    frame = spark.createDataFrame(cells, "grp binary, shard int, n long")
+    capacity = [max(load.values()) + 2] * 5
+    groups, cuts = sharding.propagated(frame, capacity)
+    assert len(cuts) > 3 and all(a > b for a, b in zip(cuts, cuts[1:]))
+    out, sizes = groups.collect(), Counter()
+    for r in out:
+        assert r["size"] == sum(x["n"] for x in r["held"])
+        sizes.update({x["shard"]: x["n"] for x in r["held"]})
+    want = Counter()
+    for grp, _, n in cells:
+        want[grp] += n
+    assert {bytes(r["grp"]): r["size"] for r in out} == want
+    assert all(sizes[s] <= capacity[s] for s in range(5))
+    pairs = lambda n: n * (n - 1) // 2
+    assert cuts[-1] == sum(pairs(r["size"]) - sum(pairs(x["n"]) for x in r["held"]) for r in out)
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="testdata missing")
+def test_propagation_decides_on_a_small_table(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    seen, inner = [], sharding.propagated
+    monkeypatch.setattr(sharding, "propagated", lambda *a: seen.append(inner(*a)) or seen[-1])
+    got = sharding.shard_documents(docs).collect()
+    check([(r["doc_id"], r["text"], None) for r in docs.collect()], got, 24)
+    cuts = seen[0][1]
+    assert cuts[0] > 50 and cuts[-1] == cut(got) == 0  # the labels alone decide
+
+
+def least_cut(groups, sizes):
+    """The fewest cut links over all ways to deal groups of equal documents into shards of these sizes."""
+    pairs = lambda n: n * (n - 1) // 2
+
+    def best(at, room):
+        if at == len(groups):
+            return 0
+        found = None
+        for split in itertools.product(*(range(min(groups[at], r) + 1) for r in room)):
+            if sum(split) == groups[at]:
+                rest = best(at + 1, tuple(r - x for r, x in zip(room, split)))
+                if rest is not None:
+                    new = rest + pairs(groups[at]) - sum(map(pairs, split))
+                    found = new if found is None else min(found, new)
+        return found
+    return best(0, tuple(sizes))
+
+
+def test_cut_against_the_optimum(spark):
+    rng = random.Random(7)
+    ours = optimum = random_cut = 0
+    for _ in range(5):
+        groups = [rng.choice([1, 1, 2, 2, 3, 4]) for _ in range(7)]
+        texts = [f"text {g}" for g, n in enumerate(groups) for _ in range(n)]
+        least, more = divmod(len(texts), 3)
+        docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, shard string")
+        ours += cut(sharding.shard_documents(docs, 3).collect())
+        optimum += least_cut(groups, [least + (s < more) for s in range(3)])
+        random_cut += sum(n * (n - 1) // 2 for n in groups) * 2 // 3
+    assert optimum <= ours <= optimum + random_cut // 8
+
+
+def test_long_texts(spark):
+    long = "wort " * 400_000
+    rows = [(i, long if i % 2 else f"{long}{i}", None) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard string")
+    check(rows, sharding.shard_documents(docs, 4).collect(), 4)
