@@ -295,3 +295,39 @@ def boosting_losses(model: PipelineModel, train: DataFrame, label_col: str, loss
 def loss_rises(losses: Sequence[float], slack: float = 1e-9) -> int:
     """In how many rounds the training loss rose."""
     return sum(b > a + slack for a, b in zip(losses, losses[1:]))
+
+
+def hot_entries(model: PipelineModel, df: DataFrame, key: str) -> DataFrame:
+    """The one-hot positions of every row that are set, by name: ``key``, ``name``, ``value``. What is
+    encoded is read back from the assembled vector, so indexer, encoder and assembler are all seen."""
+    rows = PipelineModel(model.stages[:-1]).transform(df)
+    names = [n.removeprefix("_").replace("_oh_", "=", 1) if "_oh_" in n else None for n in feature_names(rows)]
+    x = vector_to_array("features")
+    entries = F.array(*[F.struct(F.lit(n).alias("name"), F.get(x, F.lit(i)).alias("value"))
+                        for i, n in enumerate(names) if n is not None])
+    return rows.select(key, F.inline(F.filter(entries, lambda e: e["value"] != 0.0)))
+
+
+def scoring_differences(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """One row: ``n_rows`` scored and the largest ``difference`` between the model's probabilities and
+    the same computed from its parts: coefficients as plain columns, or trees as arrays."""
+    last = model.stages[-1]
+    rows = PipelineModel(model.stages[:-1]).transform(df)
+    p = vector_to_array(last.getProbabilityCol())[1].alias("p")
+    rows = last.transform(rows).select(vector_to_array("features").alias("x"), p)
+    if hasattr(last, "coefficients"):
+        z = sum((F.col("x")[i] * float(b) for i, b in enumerate(last.coefficients.toArray())), F.lit(float(last.intercept)))
+        own = F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+        return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.max(F.abs(F.col("p") - own)).alias("difference"))
+    trees = tree_arrays(last)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = b.column("x").flatten().to_numpy().reshape(b.num_rows, -1)
+                margin = sum(t.weight * t.predict(x) for t in trees)
+                gap = np.abs(b.column("p").to_numpy() - 1 / (1 + np.exp(-2 * margin))).max()
+                yield pa.record_batch({"n": pa.array([b.num_rows], pa.int64()), "gap": pa.array([gap])})
+
+    return rows.mapInArrow(compare, "n long, gap double").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.max("gap").alias("difference"))

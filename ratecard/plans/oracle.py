@@ -1037,3 +1037,15 @@ FROM range(1, 3)"""
 ORACLE_SQL["boosting_certificate"] = f"""
 SELECT model, CAST({P.gbt_iter} AS BIGINT) AS rounds, CAST(0 AS BIGINT) AS rises, TRUE AS falls
 FROM (VALUES ('churn'), ('pricing')) v(model)"""
+
+ORACLE_SQL["one_hot_features"] = with_(*BASE, CHURN_CTE) + "\n" + " UNION ALL ".join(
+    f"SELECT customer_id, '{'segment' if c == 'true_segment' else c}=' || {c} AS name, CAST(1 AS DOUBLE) AS value FROM churn"
+    for c in _CHURN_CATS)
+
+ORACLE_SQL["scoring_certificate"] = with_(*BASE, CHURN_CTE) + """
+SELECT model, (SELECT COUNT(*) FROM churn) AS n_rows, CAST(0 AS DOUBLE) AS difference
+FROM (VALUES ('Logistic Regression'), ('Gradient Boosting')) v(model)"""
+
+ORACLE_SQL["importance_of_stub"] = """
+SELECT feature, feature IN ('acceptance_rate_12m', 'express_share_12m') AS matters
+FROM (VALUES ('acceptance_rate_12m'), ('express_share_12m'), ('n_quotes_12m'), ('revenue_12m'), ('region')) v(feature)"""

@@ -934,6 +934,36 @@ def q_logistic_certificate(spark, sf_dir):
     return out.select("model", "coefficient", (R("gradient", 5) + F.lit(0.0)).alias("gradient"))
 
 
+@query("one_hot_features")
+def q_one_hot_features(spark, sf_dir):
+    """Every account's categories as the churn model's pipeline encodes them."""
+    t = Tables(spark, sf_dir)
+    return ins.hot_entries(churn_model(t, "Logistic Regression"), churn_frame(t), "customer_id")
+
+
+@query("scoring_certificate")
+def q_scoring_certificate(spark, sf_dir):
+    """Rows scored by each churn model over the whole book, and by how much its probabilities differ
+    from the same computed from coefficients or trees."""
+    t = Tables(spark, sf_dir)
+    parts = [ins.scoring_differences(churn_model(t, which), churn_frame(t)).withColumn("model", F.lit(which))
+             for which in MODELS]
+    out = parts[0].unionByName(parts[1])
+    return out.select("model", "n_rows", R("difference", 9).alias("difference"))
+
+
+@query("importance_of_stub")
+def q_importance_of_stub(spark, sf_dir):
+    """Permutation importance of the arithmetic churn score: which features move its AUC at all."""
+    mf = ch.model_frame(churn_labels_of(Tables(spark, sf_dir))).withColumn("churned", F.col("churned").cast("int"))
+    features = ["acceptance_rate_12m", "express_share_12m", "n_quotes_12m", "revenue_12m", "region"]
+    rows = freeze(mf.select("customer_id", "churned", *features))
+    imp = ins.permutation_importance(lambda df: df.withColumn("score", ch.stub_risk_score(df)), rows, features,
+                                     "churned", ["customer_id"])
+    moves = (F.abs("importance_mean") > 1e-9) | (F.col("importance_std") > 1e-9)
+    return imp.select("feature", moves.alias("matters"))
+
+
 @query("kmeans_certificate")
 def q_kmeans_certificate(spark, sf_dir):
     t = Tables(spark, sf_dir)
