@@ -61,7 +61,9 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         left = left.select("id", "len", F.col("grp").alias("old"), "text_sha256",
                            F.expr(f"substring(rest, 1, {width})").alias("chunk"),
                            F.expr(f"substring(rest, {width + 1})").alias("rest"))
-        parts = left.groupBy("old", "chunk").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("grp"))
+        # written, so that the rows of a hot part, dealt for the join alone, can be split
+        parts = stored(left.groupBy("old", "chunk").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("grp")),
+                       "radix-parts")
         moved = stored(left.join(parts, ["old", "chunk"])
                        .select("id", "len", "grp", "n", "text_sha256", "rest"), "radix-rows")
         out.append(moved.filter("n = 1").select("id", F.col("grp").alias("keep_id"),
