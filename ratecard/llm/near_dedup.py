@@ -210,7 +210,8 @@ def near_classes(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", tex
     signed = stored(with_signatures(rows, k, a), "signatures")
     full = signed.filter("id IS NOT NULL AND n > 0")
     same = ["n", "fp1", "fp2"]
-    groups = full.groupBy(*same).agg(F.min("id").alias("node"))
+    # written, so that the rows of a hot group, dealt for the join alone, can be split
+    groups = stored(full.groupBy(*same).agg(F.min("id").alias("node")), "groups")
     members = stored(full.select("id", *same).join(groups, same).select("id", "node").distinct(), "members")
     nodes = stored(full.join(groups.select(*same, F.col("node").alias("id")), [*same, "id"])
                    .select(F.col("id").alias("node"), "n", "a", "b"), "nodes")
