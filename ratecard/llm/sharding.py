@@ -246,8 +246,9 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id",
     base = stored(base.withColumn("start", F.pmod("row", F.lit(shards)).cast("int")), "documents")
     least, more = divmod(base.count(), shards)
     size = [least + (s < more) for s in range(shards)]
-    linked = base.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    nodes = stored(base.join(linked.select("grp"), "grp").select("row", "grp", F.col("start").alias("shard")), "nodes")
+    # written, so that the rows of a hot group, dealt for the join alone, can be split
+    linked = stored(base.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("grp"), "linked")
+    nodes = stored(base.join(linked, "grp").select("row", "grp", F.col("start").alias("shard")), "nodes")
     cells = stored(nodes.groupBy("grp", "shard").agg(F.count(F.lit(1)).alias("n")), "cells")
     groups, _ = propagated(cells, size)
     moved = places(nodes.select("row", "grp"), groups, settled(groups, size))
