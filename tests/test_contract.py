@@ -31,7 +31,9 @@ def test_every_oracle_has_a_query():
 FAST = ["monthly_revenue", "churn_labels", "rfm_summary", "tier_crosstab", "roc_auc", "decile_lift",
         "stratified_split", "quote_sequence", "typical_shipment", "price_recommendation_stub",
         "calibration_bins", "ab_summary", "ab_segment_effects", "lag_features", "backtest_table",
-        "forward_pivot"]
+        "forward_pivot", "model_comparison_stub", "curves_thinned_stub", "price_support_approx",
+        "sorted_quotes_rank", "sorted_quotes_overlaps", "silhouette_rule_clusters",
+        "price_recommendation_stored", "mape_by_method", "pca_certificate"]
 
 
 @pytest.mark.parametrize("name", FAST)
@@ -68,11 +70,12 @@ def test_no_feature_row_after_cutoff(spark):
 
 
 def test_no_cartesian_or_nested_loop_joins(spark):
-    """Every oracle-checked query plans without cross products."""
+    """Every oracle-checked query plans without cross products (the two that fit boosted models for
+    minutes are left to ``test_inspection``)."""
     from ratecard.plans import ORACLE_SQL
     from ratecard.plans import QUERIES as qs
     bad = []
-    for name in ORACLE_SQL:
+    for name in sorted(set(ORACLE_SQL) - {"boosting_certificate", "scoring_certificate"}):
         plan = qs[name](spark, SF_SMALL)._jdf.queryExecution().sparkPlan().toString()
         if "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan:
             bad.append(name)

@@ -145,6 +145,18 @@ def test_boosting_loss(spark):
     assert ins.loss_rises([3.0, 2.0, 2.5, 2.5, 2.6]) == 2
 
 
+def test_encoding_and_scoring_seen_from_outside(spark):
+    df, *_ = frame(spark, 300)
+    logit = ch.fit_logistic(df, ["c"], ["a", "b"], "y")
+    boosted = ch.fit_gbt(df, ["c"], ["a", "b"], "y", max_iter=5, max_depth=3)
+    hot = {r["id"]: (r["name"], r["value"]) for r in ins.hot_entries(logit, df, "id").collect()}
+    assert hot == {r["id"]: (f"c={r['c']}", 1.0) for r in df.collect()}
+    for model in (logit, boosted):
+        row = ins.scoring_differences(model, df).first()
+        assert row["n_rows"] == 300 and row["difference"] < 1e-12
+    assert ins.scoring_differences(boosted, df.where("id < 0")).first()["n_rows"] == 0
+
+
 def two_models(spark):
     df, *_ = frame(spark, 700)
     scored = stub(df).withColumn("p", F.round(1 / (1 + F.exp(-F.col("score"))), 2))
