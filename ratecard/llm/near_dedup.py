@@ -177,12 +177,17 @@ def cross_pairs(live: DataFrame, percent: int) -> DataFrame:
                               F.col("most").alias(f"m{i}"), F.col("rest").alias(f"r{i}")) for i in "xy")
     sizes = F.least("mx", "my") * 100 >= F.greatest("lx", "ly") * percent
     enough = F.least("rx", "ry") * (100 + percent) >= (F.col("lx") + F.col("ly")) * percent
-    apart = one.join(other, "hash").filter("cx < cy").filter(sizes & enough).select("hash", "cx", "cy")
-    left = live.select("hash", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("at").alias("ax"))
-    right = live.select("hash", F.col("node").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("at").alias("ay"))
-    most = F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay"))
-    enough = most * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent
-    return (apart.join(left, ["hash", "cx"]).join(right, ["hash", "cy"]).filter(sizes_allow(percent) & enough)
+    apart = one.join(other, "hash").filter("cx < cy").filter(sizes & enough).select("hash", "cx", "cy", "ly", "my", "ry")
+    left = live.select("hash", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"),
+                       (F.col("n") - F.col("at")).alias("sx"))
+    right = live.select("hash", F.col("node").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"),
+                        (F.col("n") - F.col("at")).alias("sy"))
+    # a node against the bounds of the other component, then node against node
+    sizes = F.least("nx", "my") * 100 >= F.greatest("nx", "ly") * percent
+    enough = F.least("sx", "ry") * (100 + percent) >= (F.col("nx") + F.col("ly")) * percent
+    near = apart.join(left, ["hash", "cx"]).filter(sizes & enough).select("hash", "cy", "x", "nx", "sx")
+    enough = F.least("sx", "sy") * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent
+    return (near.join(right, ["hash", "cy"]).filter(sizes_allow(percent) & enough)
             .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")))
 
 

@@ -128,9 +128,9 @@ def settle(units: DataFrame, free: list[int], nth: int) -> tuple[DataFrame, Data
     room = F.array(*[F.lit(n).cast("long") for n in free])
     has_room = lambda shard: F.element_at(room, shard + 1) >= F.col("size")
     tie = lambda shard: F.xxhash64("unit", shard, F.lit(nth))
+    of_group = lambda x: F.xxhash64(F.substring("unit", 1, 16), x["shard"]).alias("tie")
     near = F.sort_array(F.transform(F.filter("held", lambda x: has_room(x["shard"])),
-                                    lambda x: F.struct(x["n"].alias("n"), F.xxhash64(F.substring("unit", 1, 16), x["shard"]).alias("tie"),
-                                                       x["shard"].alias("shard"))), False)
+                                    lambda x: F.struct(x["n"].alias("n"), of_group(x), x["shard"].alias("shard"))), False)
     # parts of one group want different shards
     mine = F.get(near, F.pmod(F.col("part"), F.greatest(F.size(near), F.lit(1))))["shard"]
     # the others are dealt to shards in proportion to their room
