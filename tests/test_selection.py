@@ -90,6 +90,28 @@ def test_silhouettes_equal_all_pairs(spark, monkeypatch, block):
         si.silhouettes(df.withColumn("p", F.when(F.col("id") > 3, F.col("p"))), "id", "cluster", ["p"]).count()
 
 
+@pytest.mark.parametrize("kind", ["spread", "near", "equal"])
+def test_block_distances_keep_their_digits(kind):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 6))
+    y = {"spread": rng.normal(size=(300, 6)), "near": x[rng.integers(0, 40, 300)] + rng.normal(size=(300, 6)) * 1e-7,
+         "equal": np.repeat(x[:1], 300, axis=0)}[kind]
+    y[:40] = x
+    want = np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2))
+    got = si.block_distances(x, y)
+    assert np.abs(got - want).max() < 1e-11 and (got[np.arange(40), np.arange(40)] == 0).all()
+
+
+def test_silhouettes_of_points_far_from_zero(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, i % 3, *map(float, p)) for i, p in enumerate(np.round(rng.normal(size=(90, 2)), 3))]
+    df = spark.createDataFrame(rows, "id long, cluster int, p double, q double")
+    near = {r["id"]: r["silhouette"] for r in si.silhouettes(df, "id", "cluster", ["p", "q"]).collect()}
+    far = df.select("id", "cluster", *[(F.col(c) + 2.0 ** 20).alias(c) for c in "pq"])
+    assert {r["id"]: r["silhouette"] for r in si.silhouettes(far, "id", "cluster", ["p", "q"]).collect()} == \
+        pytest.approx(near, abs=1e-8)
+
+
 SCHEMA = T.StructType([T.StructField("segment", T.StringType()), T.StructField("ratio", T.DoubleType())])
 
 
