@@ -57,3 +57,27 @@ def test_a_feature_without_a_value_is_an_error(spark, bad):
         ch.fit_gbt(table(spark).withColumn("y", F.lit(2)), ["c"], ["a", "b"], "y", max_depth=2, max_iter=2)
     with pytest.raises(ValueError, match="no training rows"):
         ch.fit_gbt(table(spark).where("a > 1e9"), ["c"], ["a"], "y", max_depth=2, max_iter=2)
+
+
+def test_held_rows_step_from_level_to_level():
+    rng = np.random.default_rng(3)
+    widths = [4, 6]
+    blocks = [(np.array([rng.integers(0, w, n) for w in widths], np.uint8), rng.choice([-1, 1], n).astype(np.int8),
+               np.zeros(n)) for n in (40, 25)]
+    settings = (5, 3, 0.3, [3], [[0.5, 1.5, 2.5, 3.5, 4.5]], widths)
+    anew = [(c, y, m.copy()) for c, y, m in blocks]
+    by_jobs = bo._rounds(*settings, lambda tree, opened, level, first: bo._summed(
+        bo._counted(tree.bare(), opened, level, first, widths)(anew)),
+        lambda trees: anew.__setitem__(slice(None), bo._moved([trees[-1].bare()])(anew)))
+    held = bo.Held(blocks, widths)
+    for a, b in zip(by_jobs, bo._rounds(*settings, held.counted, held.add), strict=True):
+        assert (a.column == b.column).all() and a.value == pytest.approx(b.value, abs=1e-12)
+    assert all(t.split for t in by_jobs)
+
+
+def test_half_a_million_rows_need_no_job_per_level(spark, monkeypatch):
+    monkeypatch.setattr(bo, "_counted", None)
+    n = 500_000
+    df = spark.range(n).select((F.col("id") % 50).cast("double").alias("a"), F.expr("string(id % 3)").alias("c"),
+                               (F.col("id") % 7 < 2).cast("int").alias("y"))
+    assert ch.fit_gbt(df, ["c"], ["a"], "y", max_depth=2, max_iter=3).stages[-1].getNumTrees == 3
