@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ratecard.operators.pricing import with_contract
 from ratecard.params import TESTDATA_PARAMS, AnalysisParams
 from ratecard.session import ensure_checkpoint_dir
 from ratecard.sources.conformed import conformed_accounts, conformed_quotes, quotes_stored
@@ -38,6 +39,13 @@ class Tables:
             q = q.where(F.col("quote_date") < F.lit(end))
         return q
 
+    def priced_once(self) -> DataFrame:
+        """All quotes with their account's contract (null: no such account), likewise without a stored copy.
+        The contracts are joined to the orders, not to their lines."""
+        if quotes_stored(self.spark, self.sf_dir):
+            return with_contract(self.quotes(), self.accounts())
+        return load_quotes(self.spark, self.sf_dir, contracts=self.accounts())
+
     def quotes_once(self, start: dt.date | None = None, end: dt.date | None = None,
                     by_order: bool = False) -> DataFrame:
         """The same rows (without the line-item keys) for one aggregation whose result is kept: the

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ratecard.operators import features as fe
 from ratecard.plans.context import Tables
-from ratecard.session import ensure_checkpoint_dir, freeze
+from ratecard.session import ensure_checkpoint_dir, freeze, small_splits
 from ratecard.sources.conformed import source_key
 from ratecard.sources.io import (ACCOUNT_SCHEMA, RECOMMENDATION_SCHEMA, file_overlaps, rank_from_files, read_table,
                                  write_sorted, write_table)
@@ -344,7 +344,10 @@ from ratecard.operators import pricing as pr  # noqa: E402
 
 
 def priced_quotes(t: Tables) -> DataFrame:
-    return pr.with_contract(t.quotes(), t.accounts())
+    """The quotes with their contracts, only the columns that the pricing queries read, kept for the
+    session: they are read several times, but need neither the keys nor the order of the stored quotes."""
+    columns = dict.fromkeys(["quote_date", *pr.NUM_FEATURES, *pr.CAT_FEATURES, "accepted"])
+    return fitted(t, "priced quotes", lambda: freeze(t.priced_once().select(*columns)))
 
 
 def typical_of(t: Tables, q: DataFrame) -> DataFrame:
@@ -363,7 +366,7 @@ def stub_curves(t: Tables) -> DataFrame:
 
 
 def stub_recommendation(t: Tables) -> DataFrame:
-    return pr.recommend_price(stub_curves(t), t.quotes())
+    return pr.recommend_price(stub_curves(t), priced_quotes(t))
 
 
 @query("time_split_counts")
@@ -470,6 +473,7 @@ def q_curves_thinned_stub(spark, sf_dir):
 # session share a fit as long as the source tables stay as they are
 _FITS: dict = {}
 MODELS = ("Logistic Regression", "Gradient Boosting")
+FIT_SPLIT_BYTES = 16 * 1024 * 1024
 
 
 def fitted(t: Tables, name: str, make: Callable):
@@ -489,7 +493,9 @@ def pricing_model(t: Tables, which: str):
         train = (pricing_split(t).where("split = 'train'")
                  .select(*pr.NUM_FEATURES, *pr.CAT_FEATURES, "accepted").persist())
         try:
-            return pr.fit_response_model(train, which, t.p.gbt_iter, t.p.seed)
+            # a row takes some ten bytes in the files, and hundreds as the vector every pass reads
+            with small_splits(t.spark, FIT_SPLIT_BYTES):
+                return pr.fit_response_model(train, which, t.p.gbt_iter, t.p.seed)
         finally:
             train.unpersist()
     return fitted(t, f"pricing {which}", make)
@@ -915,7 +921,8 @@ def q_pricing_permutation_importance(spark, sf_dir):
     """The same for the boosted acceptance model; a quote is named by its order line."""
     t = Tables(spark, sf_dir)
     return ins.permutation_importance(
-        ch.scorer(pricing_model(t, "Gradient Boosting")), pricing_split(t).where("split = 'test'"),
+        ch.scorer(pricing_model(t, "Gradient Boosting")),
+        pr.time_split(pr.with_contract(t.quotes(), t.accounts()), t.p.holdout_months).where("split = 'test'"),
         [*pr.NUM_FEATURES, *pr.CAT_FEATURES], "accepted", ["l_orderkey", "l_linenumber"], seed=t.p.seed)
 
 

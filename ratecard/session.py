@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -89,6 +90,18 @@ def default_parallelism(spark: SparkSession) -> int:
         return spark.sparkContext.defaultParallelism
 
 
+@contextmanager
+def small_splits(spark: SparkSession, size: int):
+    """Files are read in splits of at most ``size`` bytes meanwhile (or as set, if that is less)."""
+    name = "spark.sql.files.maxPartitionBytes"
+    was = spark.conf.get(name)
+    spark.conf.set(name, min(size, int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(was))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def freeze(df, bucket_col: str | None = None, n_buckets: int | None = None):
     """Materialise ``df`` as parquet under the reliable checkpoint folder and
     read it back: one job, lineage cut, and every later consumer (or retry)

@@ -85,7 +85,8 @@ _RATIO = ("(CAST(1 AS DECIMAL(3,2)) - CAST(l_discount AS DECIMAL(4,2)))"
 
 def load_quotes(spark: SparkSession, sf_dir: str, start: dt.date | None = None,
                 end: dt.date | None = None, with_part: bool = True,
-                keep_line_columns: bool = False, parts_first: bool = False) -> DataFrame:
+                keep_line_columns: bool = False, parts_first: bool = False,
+                contracts: DataFrame | None = None) -> DataFrame:
     """One row per line item = one price quote.
 
     ``start``/``end`` bound quote_date as [start, end) and are applied to
@@ -96,12 +97,16 @@ def load_quotes(spark: SparkSession, sf_dir: str, start: dt.date | None = None,
     lineitem), so the fact table is shuffled once by order key and, when
     needed, once by part key. ``parts_first`` joins the parts before the
     orders: an aggregation by customer then merges the lines of an order in
-    the task that joined them.
+    the task that joined them. ``contracts`` (customer_id, contract_type) adds
+    that column (null: no such customer), joined to the orders as well.
     """
     orders = _orders(spark, sf_dir, start, end)
     cust = load_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     oc = orders.join(cust, orders.o_custkey == cust.c_custkey).select(
         "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "c_mktsegment")
+    if contracts is not None:
+        oc = oc.join(contracts.select("customer_id", "contract_type"), F.col("o_custkey") == F.col("customer_id"),
+                     "left").drop("customer_id")
     li_cols = ["l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount",
                "l_tax", "l_returnflag"]
     if keep_line_columns:
@@ -138,6 +143,8 @@ def load_quotes(spark: SparkSession, sf_dir: str, start: dt.date | None = None,
         .cast("double").alias("quoted_price"),
         F.when(F.col("l_returnflag") != "R", 1).otherwise(0).alias("accepted"),
     ]
+    if contracts is not None:
+        cols.append(F.col("contract_type"))
     if keep_line_columns:
         cols += [F.col(c) for c in li_cols
                  if c not in ("l_quantity", "l_extendedprice", "l_partkey")]
