@@ -221,3 +221,31 @@ def test_a_wrong_quantile_is_told(spark, monkeypatch):
     monkeypatch.setattr(rk, "approx_quantiles", lambda *a: exact(*a).withColumn("value", F.col("value") + 60.0))
     got = rk.quantile_rank_check(df, ["g"], "v", [0.5, 0.9], 100).collect()
     assert [r["rank_in_bound"] for r in got] == [False, False]
+
+
+def test_importance_by_trees_equals_full_scoring(spark, monkeypatch):
+    monkeypatch.setattr(ins, "REPLICA_ROWS", 70)
+    df, *_ = frame(spark, 700)
+    model = ch.fit_gbt(df, ["c"], ["a", "b"], "y", max_depth=3, step=0.2, max_iter=8)
+    # a category that the fit has not seen and rows that come twice
+    rows = df.where("id % 3 > 0").withColumn("c", F.when(F.col("id") % 50 == 1, "new").otherwise(F.col("c")))
+    rows = rows.unionByName(rows.where("id < 40"))
+    args = (ch.scorer(model), rows, ["a", "c", "b"], "y", ["id"], 3)
+    want = {r["feature"]: r for r in ins.permutation_importance(*args).collect()}
+    got = {r["feature"]: r for r in ins.permutation_importance(*args, model=model).collect()}
+    assert sorted(got) == ["a", "b", "c"] and want["a"]["importance_mean"] > 0.05
+    for f, r in got.items():
+        assert tuple(r) == pytest.approx(tuple(want[f]), abs=1e-12)
+
+
+def test_a_replica_asks_only_the_trees_of_its_feature(spark, monkeypatch):
+    tree = lambda f, cut, w: ins.Tree(w, (f, -1, -1), (cut, np.nan, np.nan), (None,) * 3, (1, -1, -1), (2, -1, -1),
+                                      (0.0, -1.0, 1.0))
+    trees = [tree(0, 0.5, 1.0), tree(1, 0.5, 0.1), tree(0, 1.5, 0.1)]
+    x, other = np.array([[0.0, 1.0, 2.0], [0.0, 0.0, 1.0]]), np.array([[2.0, 0.0, 1.0], [1.0, 0.0, 0.0]])
+    want = [sum(t.weight * t.predict(v.T) for t in trees)
+            for v in (x, np.array([other[0], x[1]]), np.array([x[0], other[1]]))]
+    calls, plain = [], ins.Tree.by_columns
+    monkeypatch.setattr(ins.Tree, "by_columns", lambda self, v, node=0: (calls.append(node), plain(self, v, node))[1])
+    got = list(ins.replica_margins(trees, x, other, [np.array([0]), np.array([1])]))
+    assert np.allclose(got, want) and calls.count(0) == len(trees) + 2 + 1
