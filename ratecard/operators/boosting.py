@@ -5,7 +5,8 @@ result is an MLlib ``GBTClassificationModel``. What differs is what a level cost
 of the assembled vector for every row, some 160 of them for 8 columns, as a category with 150 values is 150
 positions. Here a column is one code per row: the gain of "is category c" follows from the counts per category
 as that of "at most t" follows from the counts per bin. The codes are written once as blocks; per level every task
-adds up its blocks and sends (rows, residuals) per open node and code, a bounded table whatever the rows.
+adds up its blocks and sends (rows, residuals) per code and node, of two siblings the smaller one only: a bounded
+table whatever the rows.
 """
 
 from __future__ import annotations
@@ -129,22 +130,28 @@ class Growing:
         self.to_right = np.zeros((2 ** self.depth, self.codes), bool)
         self.value = np.zeros(2 ** (self.depth + 1) - 1)
 
-    def nodes(self, codes: np.ndarray, levels: int) -> np.ndarray:
-        """The node that every row has reached after ``levels`` steps."""
-        at = np.zeros(codes.shape[1], np.int64)
+    def nodes(self, codes: np.ndarray, levels: int) -> dict[int, np.ndarray]:
+        """The rows of every node that rows have reached after ``levels`` steps."""
+        at = {0: np.arange(codes.shape[1])}
         for _ in range(levels):
             at = self.step_down(codes, at)
         return at
 
-    def step_down(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """The rows' nodes ``at`` one step further; rows at a leaf stay."""
-        n, inner = codes.shape[1], len(self.to_right)
-        asked = self.column >= 0
-        node = np.arange(len(self.column))
-        code = codes.ravel()[(np.where(asked, self.column, 0) * n)[at] + np.arange(n)]
-        first = np.where(asked, 2 * node + 1, node)
-        right = np.where(asked[:inner, None], self.to_right, False)
-        return first[at] + right.ravel()[np.where(asked, node, 0)[at] * self.codes + code] * asked[at]
+    def step_down(self, codes: np.ndarray, at: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+        """The nodes' rows ``at`` one step further; rows at a leaf stay."""
+        out = {}
+        for node, rows in at.items():
+            if self.column[node] < 0:
+                out[node] = rows
+                continue
+            right = self.to_right[node].take(codes[self.column[node]].take(rows))
+            out[2 * node + 1], out[2 * node + 2] = rows.compress(~right), rows.compress(right)
+        return out
+
+    def moved(self, margin: np.ndarray, at: dict[int, np.ndarray]) -> None:
+        """Adds the value of every leaf to its rows' margins."""
+        for node, rows in at.items():
+            margin[rows] += self.weight * self.value[node]
 
     def bare(self) -> tuple:
         return self.weight, self.depth, self.codes, self.column, self.to_right, self.value
@@ -156,16 +163,13 @@ def _tree(weight, depth, codes, column, to_right, value) -> Growing:
     return t
 
 
-def _counted(tree: tuple, opened: list[int], level: int, first: bool, widths: list[int]):
-    """A task's (rows, residuals) per open node and code, and squares per open node."""
+def _counted(tree: tuple, asked: list[int], level: int, first: bool, widths: list[int]):
+    """A task's (rows, residuals) per node asked for and code, and squares per such node."""
     def count(blocks):
         grown = _tree(*tree)
-        slot_of = np.full(len(grown.column), -1)
-        slot_of[opened] = np.arange(len(opened))
-        k = len(opened)
-        sums = np.zeros((k, sum(widths))), np.zeros((k, sum(widths))), np.zeros(k)
+        sums = _no_sums(len(asked), widths)
         for codes, y, margin in blocks:
-            _add_block(sums, codes, _residuals(y, margin, first), slot_of[grown.nodes(codes, level)], widths)
+            _add_block(sums, codes, _residuals(y, margin, first), grown.nodes(codes, level), asked, widths)
         yield sums
     return count
 
@@ -174,42 +178,50 @@ def _residuals(y: np.ndarray, margin: np.ndarray, first: bool) -> np.ndarray:
     return y.astype(float) if first else 4.0 * y / (1.0 + np.exp(2.0 * y * margin))
 
 
-def _add_block(sums: tuple, codes: np.ndarray, g: np.ndarray, slot: np.ndarray, widths: list[int]) -> None:
-    """Adds a block's rows, residuals and squares to the sums per open node (``slot``; -1: none) and code."""
+def _no_sums(k: int, widths: list[int]) -> tuple:
+    return np.zeros((k, sum(widths))), np.zeros((k, sum(widths))), np.zeros(k)
+
+
+def _add_block(sums: tuple, codes: np.ndarray, g: np.ndarray, at: dict[int, np.ndarray], asked: list[int],
+               widths: list[int]) -> None:
+    """Adds a block's rows, residuals and squares to the sums per node asked for (its rows: ``at``) and code."""
     n, s, squares = sums
-    k = len(squares)
-    if (slot < 0).any():
-        there = slot >= 0
-        codes, g, slot = codes[:, there], g[there], slot[there]
-    squares += np.bincount(slot, g * g, k)
-    at = 0
-    for j, w in enumerate(widths):
-        place = slot * w + codes[j]
-        n[:, at:at + w] += np.bincount(place, minlength=k * w).reshape(k, w)
-        s[:, at:at + w] += np.bincount(place, g, k * w).reshape(k, w)
-        at += w
+    for k, node in enumerate(asked):
+        rows = at[node]
+        everything = len(rows) == len(g)
+        own = g if everything else g.take(rows)
+        squares[k] += (own * own).sum()
+        start = 0
+        for j, w in enumerate(widths):
+            code = (codes[j] if everything else codes[j].take(rows)).astype(np.intp)
+            n[k, start:start + w] += np.bincount(code, minlength=w)
+            s[k, start:start + w] += np.bincount(code, own, w)
+            start += w
+
+
+def _remaining(whole: tuple, part: tuple) -> tuple:
+    """A node's sums without those of one child: the other child's."""
+    n = whole[0] - part[0]
+    return n, np.where(n > 0, whole[1] - part[1], 0.0), max(whole[2] - part[2], 0.0)
 
 
 class Held:
-    """The blocks of one task, and of every row its margin, residual and node: a level is one step down
-    from the level before, and a tree's residuals are computed once."""
+    """The blocks of one task, and of every row its margin and residual, of every node its rows: a level is
+    one step down from the level before, and a tree's residuals are computed once."""
 
     def __init__(self, blocks: list[tuple], widths: list[int]):
         self.codes, self.y, self.margin = (list(x) for x in zip(*blocks))
         self.widths = widths
 
-    def counted(self, tree: Growing, opened: list[int], level: int, first: bool) -> tuple:
+    def counted(self, tree: Growing, asked: list[int], level: int, first: bool) -> tuple:
         if level == 0:
             self.g = [_residuals(y, m, first) for y, m in zip(self.y, self.margin)]
-            self.at = [np.zeros(len(y), np.int64) for y in self.y]
+            self.at = [tree.nodes(codes, 0) for codes in self.codes]
         else:
             self.step(tree)
-        slot_of = np.full(len(tree.column), -1)
-        slot_of[opened] = np.arange(len(opened))
-        k = len(opened)
-        sums = np.zeros((k, sum(self.widths))), np.zeros((k, sum(self.widths))), np.zeros(k)
+        sums = _no_sums(len(asked), self.widths)
         for codes, g, at in zip(self.codes, self.g, self.at):
-            _add_block(sums, codes, g, slot_of[at], self.widths)
+            _add_block(sums, codes, g, at, asked, self.widths)
         return sums
 
     def step(self, tree: Growing) -> None:
@@ -219,7 +231,7 @@ class Held:
         """The newest tree's values to the margins; its last counted level is one step above the leaves."""
         self.step(trees[-1])
         for margin, at in zip(self.margin, self.at):
-            margin += trees[-1].weight * trees[-1].value[at]
+            trees[-1].moved(margin, at)
 
 
 def _moved(trees: list[tuple]):
@@ -229,7 +241,7 @@ def _moved(trees: list[tuple]):
         for codes, y, margin in blocks:
             margin = margin.copy()
             for t in grown:
-                margin += t.weight * t.value[t.nodes(codes, t.depth)]
+                t.moved(margin, t.nodes(codes, t.depth))
             yield codes, y, margin
     return move
 
@@ -254,7 +266,7 @@ def _best_split(n: np.ndarray, s: np.ndarray, squares: float, sizes: list[int],
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = np.where(ok, (b ** 2 / a + (total - b) ** 2 / (rows - a) - total ** 2 / rows) / rows, -np.inf)
     best = int(gain.argmax())
-    if gain[best] <= 1e-14 * squares / rows:                 # equal residuals but for rounding
+    if gain[best] <= 1e-13 * squares / rows:                 # equal residuals but for rounding
         return None
     sides = (a[best], b[best]), (rows - a[best], total - b[best])
     feature, at = best, 0
@@ -277,32 +289,38 @@ def _best_split(n: np.ndarray, s: np.ndarray, squares: float, sizes: list[int],
 
 def _rounds(rounds: int, depth: int, step: float, sizes: list[int], cuts: list[list[float]], widths: list[int],
             counted: Callable, add: Callable) -> list[Growing]:
-    """The boosted trees: ``counted`` gives a level's sums over all blocks, ``add`` moves the margins."""
+    """The boosted trees: ``counted`` gives the sums of some nodes of a level over all blocks, ``add`` moves the
+    margins. Of two children the one with fewer rows is counted, the other one is what its parent has beyond it."""
     trees: list[Growing] = []
     for m in range(rounds):
         tree = Growing(1.0 if m == 0 else step, depth, max(widths))
-        opened = [0]
+        opened, asked, above = [0], [0], {}
         for level in range(depth):
             if not opened:
                 break
-            n, s, squares = counted(tree, opened, level, m == 0)
-            following = []
-            for k, node in enumerate(opened):
-                rows, total = n[k, :widths[0]].sum(), s[k, :widths[0]].sum()
-                tree.stats[node] = (rows, total, squares[k])
+            sums = dict(zip(asked, zip(*counted(tree, asked, level, m == 0))))
+            following, asked = [], []
+            for node in opened:
+                if node not in sums:
+                    sums[node] = _remaining(above[(node - 1) // 2], sums[node + 1 if node % 2 else node - 1])
+                n, s, squares = sums[node]
+                rows, total = n[:widths[0]].sum(), s[:widths[0]].sum()
+                tree.stats[node] = (rows, total, squares)
                 tree.value[node] = total / rows
-                found = _best_split(n[k], s[k], squares[k], sizes, cuts, widths)
+                found = _best_split(n, s, squares, sizes, cuts, widths)
                 if found is None:
                     continue
                 gain, column, right, split, sides = found
                 tree.column[node] = column
                 tree.to_right[node, :len(right)] = right
                 tree.split[node] = (gain, *split)
-                for child, (rows, total) in zip((2 * node + 1, 2 * node + 2), sides):
+                children = (2 * node + 1, 2 * node + 2)
+                for child, (rows, total) in zip(children, sides):
                     tree.stats[child] = (rows, total, float("nan"))
                     tree.value[child] = total / rows
-                    following.append(child)
-            opened = following
+                following += children
+                asked.append(children[0] if sides[0][0] <= sides[1][0] else children[1])
+            opened, above = following, sums
         trees.append(tree)
         if m + 1 < rounds:
             add(trees)
@@ -337,8 +355,8 @@ def grown_trees(blocks: DataFrame, n: int, sizes: list[int], cuts: list[list[flo
     base = blocks.rdd.map(unpacked)
     held = [base.persist()]
 
-    def counted(tree, opened, level, first):
-        sums = _summed(held[-1].mapPartitions(_counted(tree.bare(), opened, level, first, widths)).collect())
+    def counted(tree, asked, level, first):
+        sums = _summed(held[-1].mapPartitions(_counted(tree.bare(), asked, level, first, widths)).collect())
         while len(held) > 1:                                 # what the margins came from
             held.pop(0).unpersist()
         return sums

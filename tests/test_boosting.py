@@ -75,6 +75,34 @@ def test_held_rows_step_from_level_to_level():
     assert all(t.split for t in by_jobs)
 
 
+def test_of_two_siblings_one_is_counted():
+    rng = np.random.default_rng(8)
+    widths, n = [4, 6, 3], 300
+    codes = np.array([rng.integers(0, w, n) for w in widths], np.uint8)
+    y = np.where(codes[1] + rng.normal(size=n) > 3, 1, -1).astype(np.int8)
+    settings = (6, 4, 0.3, [3], [[0.5, 1.5, 2.5, 3.5, 4.5], [0.5, 1.5]], widths)
+    held, asked, counted = bo.Held([(codes, y, np.zeros(n))], widths), [], 0
+
+    def count(tree, nodes, level, first):
+        nonlocal counted
+        sums = held.counted(tree, nodes, level, first)
+        asked.append(nodes)
+        counted += sums[0][:, :widths[0]].sum()
+        return sums
+
+    trees = bo._rounds(*settings, count, held.add)
+    assert all(len({(node - 1) // 2 for node in nodes}) == len(nodes) for nodes in asked)
+    assert counted <= 6 * n * (1 + 3 / 2)   # every row at the root, at most half of them on each level below
+    # what was not counted equals the sums of the rows themselves
+    margin = np.zeros(n)
+    for m, t in enumerate(trees):
+        g, at = bo._residuals(y, margin, m == 0), t.nodes(codes, t.depth)
+        for node, rows in at.items():
+            assert t.value[node] == pytest.approx(g[rows].mean(), abs=1e-12) and t.stats[node][0] == len(rows)
+        t.moved(margin, at)
+    assert sorted(np.concatenate(list(at.values()))) == list(range(n))
+
+
 def test_half_a_million_rows_need_no_job_per_level(spark, monkeypatch):
     monkeypatch.setattr(bo, "_counted", None)
     n = 500_000
