@@ -141,3 +141,58 @@ def test_half_a_million_rows_need_no_job_per_level(spark, monkeypatch):
     df = spark.range(n).select((F.col("id") % 50).cast("double").alias("a"), F.expr("string(id % 3)").alias("c"),
                                (F.col("id") % 7 < 2).cast("int").alias("y"))
     assert ch.fit_gbt(df, ["c"], ["a"], "y", max_depth=2, max_iter=3).stages[-1].getNumTrees == 3
+
+
+def test_joint_counts_equal_those_per_column(monkeypatch):
+    """Rows, residuals and squares per node and code, whether columns are counted together or one by one."""
+    rng = np.random.default_rng(5)
+    widths, n = [7, 300, 4, 40, 9_000, 3], 30_000
+    codes = np.array([rng.integers(0, w, n) for w in widths], np.uint32)
+    blocks = [(codes, rng.choice([-1, 1], n).astype(np.int8), rng.normal(size=n))]
+    tree = bo.Growing(1.0, 3, max(widths))
+    tree.column[[0, 1, 2]] = 1, 0, 4
+    tree.to_right[0, 120:300] = True          # beyond a threshold
+    tree.to_right[1, :7] = np.arange(7) != 3  # all but one category
+    tree.to_right[2, 5] = True                # one category
+    asked = [3, 4, 5, 6]
+    together = next(bo._counted(tree.bare(), asked, 2, False, widths)(blocks))
+    plain = bo._no_sums(len(asked), widths)
+    bo._add_block(plain, codes, bo._residuals(blocks[0][1], blocks[0][2], False), tree.nodes(codes, 2), asked, widths)
+    assert (together[0] == plain[0]).all()
+    assert together[1] == pytest.approx(plain[1], abs=1e-9) and together[2] == pytest.approx(plain[2])
+    # of a block's rows at the root a group of columns is counted once, and rows that are known not at all
+    narrow = [7, 50, 4, 40, 3]
+    counts = []
+    monkeypatch.setattr(bo.np, "bincount", lambda *a, f=np.bincount, **k: counts.append(1) or f(*a, **k))
+    next(bo._counted(tree.bare(), [0], 0, False, narrow, True)([(codes[[0, 3, 2, 3, 5]], *blocks[0][1:])]))
+    assert len(counts) == len(bo._joint_columns(narrow)) < len(narrow)
+
+
+@pytest.mark.parametrize("flagged", [[], [0], [3], [2, 3, 4], [0, 1, 3, 4], [0, 1, 4, 5, 6], [1, 2, 5], [0, 2, 4], range(7)])
+def test_flags_by_comparison(flagged):
+    flags = np.isin(np.arange(9), list(flagged))
+    codes = np.array([*range(9), 3, 3], np.uint8)
+    assert (bo._among(codes, flags) == flags[codes]).all()
+
+
+def test_steps_are_the_values_of_the_leaves():
+    rng = np.random.default_rng(6)
+    codes = np.array([rng.integers(0, 6, 500), rng.integers(0, 5, 500)], np.uint8)
+    tree = bo.Growing(0.3, 3, 6)
+    tree.column[[0, 1, 5]] = 0, 1, 0
+    tree.to_right[0, 2:6], tree.to_right[1, 1], tree.to_right[5, 4:6] = True, True, True
+    tree.value = rng.normal(size=15)
+    margin = np.zeros(500)
+    tree.moved(margin, tree.nodes(codes, 3))
+    assert (tree.steps(codes) == margin).all() and len(set(margin.tolist())) == 3
+
+
+def test_tasks_of_a_large_table_fill_all_cores(spark, monkeypatch):
+    monkeypatch.setattr(bo, "PART_ROWS", 100)
+    monkeypatch.setattr(bo, "BLOCK_ROWS", 20)
+    rows = spark.range(450).select((F.col("id") % 3).cast("double").alias("c0"), (F.col("id") % 2).cast("double").alias("y"))
+    parts = []
+    monkeypatch.setattr(bo, "freeze", lambda df: parts.append(df.rdd.getNumPartitions()) or df)
+    bo.coded_blocks(rows, 450, 1, [], np.uint8)
+    cores = spark.sparkContext.defaultParallelism
+    assert parts[0] % cores == 0 and parts[0] >= 5
