@@ -249,3 +249,29 @@ def test_a_replica_asks_only_the_trees_of_its_feature(spark, monkeypatch):
     monkeypatch.setattr(ins.Tree, "by_columns", lambda self, v, node=0: (calls.append(node), plain(self, v, node))[1])
     got = list(ins.replica_margins(trees, x, other, [np.array([0]), np.array([1])]))
     assert np.allclose(got, want) and calls.count(0) == len(trees) + 2 + 1
+
+
+def test_losses_equal_mllib_without_its_pass(spark, monkeypatch):
+    monkeypatch.setattr(ins, "LOSS_ROWS", 70)
+    df, *_ = frame(spark, 700)
+    model = ch.fit_gbt(df, ["c"], ["a", "b"], "y", max_depth=3, step=0.2, max_iter=8)
+    # rows of another table, with a category that the fit has not seen
+    rows = df.where("id % 3 > 0").withColumn("c", F.when(F.col("id") % 50 == 1, "new").otherwise(F.col("c")))
+    coded = ins.PipelineModel(model.stages[:-1]).transform(rows).withColumn("y", F.col("y").cast("double"))
+    want = model.stages[-1].evaluateEachIteration(coded.withColumnRenamed("y", model.stages[-1].getLabelCol()))
+    monkeypatch.setattr(type(model.stages[-1]), "evaluateEachIteration", None)
+    assert ins.boosting_losses(model, rows, "y") == pytest.approx(want, abs=1e-12) and len(want) == 8
+    with pytest.raises(Exception, match="0 or 1"):
+        ins.boosting_losses(model, rows.withColumn("y", F.lit(None).cast("int")), "y")
+
+
+def test_a_tree_by_columns_equals_row_by_row(spark):
+    df, *_ = frame(spark, 500)
+    model = ch.fit_gbt(df, ["c"], ["a", "b"], "y", max_depth=4, step=0.2, max_iter=6)
+    rng = np.random.default_rng(1)
+    x = np.column_stack([rng.integers(0, 2, (400, 4)), np.round(rng.normal(size=(400, 2)), 1)])
+    x[::40, 4:] = np.nan
+    for t in ins.tree_arrays(model.stages[-1]):
+        x[1::40, 4] = t.cuts(4)[0] if t.cuts(4) else 0.0
+        assert (t.by_columns(np.ascontiguousarray(x.T)) == t.predict(x)).all()
+    assert ins.Tree(1.0, (-1,), (np.nan,), (None,), (-1,), (-1,), (0.5,)).by_columns(x.T) == 0.5
