@@ -47,3 +47,24 @@ def test_a_centre_without_rows_stays(spark):
     far = np.full(6, 99.0)
     (centres, _), = sg.lloyd(data, [np.array([np.zeros(6), far])], 5, 1e-7)
     assert np.array_equal(centres[1], far) and np.allclose(centres[0], 0, atol=1e-12)
+
+
+def test_the_sweep_takes_all_distances_once(spark, monkeypatch):
+    rows, calls = frame(spark, 300), []
+    inner = sg.silhouettes_of
+    monkeypatch.setattr(sg, "silhouettes_of", lambda points, key, columns, features: (
+        calls.append(list(columns)), inner(points, key, columns, features))[1])
+    got = {r["k"]: r for r in sg.kmeans_k_sweep(rows, (2, 4, 3), seed=1, restarts=2).collect()}
+    assert len(calls) == 1 and len(calls[0]) == 3 and sorted(got) == [2, 3, 4]
+    for k, r in got.items():
+        model, data = sg.kmeans_fit(rows, k, seed=1, restarts=2)
+        at = model.transform(data).select("cluster", "features").collect()
+        x, c = np.array([a["features"].toArray() for a in at]), np.array([a["cluster"] for a in at])
+        far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+        s = []
+        for i in range(len(c)):
+            own = far[i, c == c[i]].sum() / (c == c[i]).sum().clip(2) / (1 - 1 / (c == c[i]).sum().clip(2))
+            other = min(far[i, c == o].mean() for o in range(k) if o != c[i])
+            s.append((other - own) / max(other, own))
+        assert r["silhouette"] == pytest.approx(np.mean(s), abs=1e-9)
+        assert r["inertia"] == pytest.approx(sum(((x[c == o] - x[c == o].mean(axis=0)) ** 2).sum() for o in range(k)))

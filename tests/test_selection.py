@@ -90,6 +90,25 @@ def test_silhouettes_equal_all_pairs(spark, monkeypatch, block):
         si.silhouettes(df.withColumn("p", F.when(F.col("id") > 3, F.col("p"))), "id", "cluster", ["p"]).count()
 
 
+@pytest.mark.parametrize("block, most", [(1024, 3), (8, 3), (1024, 40)])
+def test_clusterings_share_their_distances(spark, monkeypatch, block, most):
+    monkeypatch.setattr(si, "BLOCK_ROWS", block)
+    monkeypatch.setattr(si, "READ_ROWS", 50)
+    rng = np.random.default_rng(9)
+    rows = [(i, i % 2, *map(int, rng.integers(0, most, 2)), *map(float, p)) for i, p in enumerate(rng.normal(size=(150, 2)))]
+    df = spark.createDataFrame(rows, "id long, a int, b int, c int, p double, q double").repartition(3)
+    columns = ["b", "a", "c"]
+    got = {(r["clustering"], r["id"]): r for r in si.silhouettes_of(df, "id", columns, ["p", "q"]).collect()}
+    assert len(got) == 3 * 150
+    for i, column in enumerate(columns):
+        for r in si.silhouettes(df, "id", column, ["p", "q"]).collect():
+            mine = got[i, r["id"]]
+            assert mine["cluster"] == r["cluster"] and (mine["own"] is None) == (r["own"] is None)
+            assert (mine["nearest"], mine["silhouette"]) == pytest.approx((r["nearest"], r["silhouette"]), abs=1e-12)
+    with pytest.raises(Exception, match="null or NaN"):
+        si.silhouettes_of(df.withColumn("c", F.when(F.col("id") > 3, F.col("c"))), "id", columns, ["p"]).count()
+
+
 @pytest.mark.parametrize("kind", ["spread", "near", "equal"])
 def test_block_distances_keep_their_digits(kind):
     rng = np.random.default_rng(5)
